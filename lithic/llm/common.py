@@ -65,3 +65,47 @@ def _remove(spark: SparkSession, path: str) -> None:
 def word_count(text):
     """Number of words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def runs(batches, key: str, empty=None):
+    """Record batches of rows sorted by ``key`` as one table per value: (value, table)."""
+    import numpy as np
+    import pyarrow as pa
+
+    at, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch[key].to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if parts and values[a] != at:
+                yield at, pa.Table.from_batches(parts)
+                parts = []
+            at = values[a]
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield at, pa.Table.from_batches(parts)
+
+
+def id_filter(ids: DataFrame, column: str, bits: int = 23):
+    """A bit map of hashed ids as bytes: 2 ** bits bits, however many ids there are.
+
+    It may let other ids pass, so it only thins rows before a join.
+    """
+    import numpy as np
+
+    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
+    hit = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    out = np.zeros((1 << bits) // 8 + 4096, np.uint8)
+    for row in hit.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():  # at most 2 ** bits / 32768 rows
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        at = (row["bucket"] - 1) * 4096
+        out[at : at + len(part)] |= part
+    return out
+
+
+def filter_slot(column: str, bits: int = 23):
+    """The slot of an id in the bit map: bit (slot % 8) of byte (slot // 8), from 1 on as bitmap functions count."""
+    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
+    return ((F.bitmap_bucket_number(slot) - 1) * 32768 + F.bitmap_bit_position(slot)).cast("long")
