@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithic.llm import fingerprints, mixing, piece_codec, sharding, topk, url_filter
+from lithic.llm import fingerprints, jaccard_join, line_templates, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter
 from lithic.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -26,6 +34,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), piece_model(), full=False)
 
@@ -38,13 +50,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_toxicity": op2_toxicity,
+    "op3_tool_chat": op3_tool_chat,
     "op4_url_filters": op4_url_filters,
     "op5_exact_topk": op5_exact_topk,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
