@@ -25,7 +25,7 @@ from lithic.llm.wordhash import mix, slices, text_shingles
 
 PERCENT, WIDTH = 75, 5
 #: Counters of shingle frequencies, and the parts they travel in.
-COUNTERS, PARTS = 1 << 19, 32
+COUNTERS, PARTS = 1 << 23, 32
 #: A block of a candidate group: at most so many documents, and about so many shingles.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
@@ -54,18 +54,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(total: np.ndarray) -> pa.RecordBatch:
-    cut = total.reshape(PARTS, -1)
-    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "counts"])
+    """Counts of a task, up to 255 each, in compressed parts."""
+    cut = np.minimum(total, 255).astype(np.uint8).reshape(PARTS, -1)
+    packed = [pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in cut]
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summed counts of each part, as classes of their logarithm over the part's mean."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch["part"].to_pylist(), batch["counts"], strict=True):
-            found = np.frombuffer(counts.as_py(), np.uint32).astype(np.uint64)
-            sums[part] = sums.get(part, 0) + found
+            found = np.frombuffer(pa.decompress(counts.as_py(), COUNTERS // PARTS, codec="zstd", asbytes=True), np.uint8)
+            if part not in sums:
+                sums[part] = np.zeros(len(found), np.uint64)
+            sums[part] += found
     for part, counts in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["part", "counts"])
+        over = np.maximum(counts / max(float(counts.mean()), 1.0), 1.0)
+        classes = np.clip(np.floor(2 * np.log2(over)), 0, 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["part", "counts"])
 
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
@@ -76,12 +83,10 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
     """
     parts = docs.select("text").mapInArrow(_count, "part int, counts binary")
     summed = parts.repartition(PARTS, "part").mapInArrow(_sum, "part int, counts binary").collect()  # PARTS rows
-    out = np.zeros((PARTS, COUNTERS // PARTS), np.uint64)
+    out = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
     for row in summed:
-        out[row["part"]] += np.frombuffer(bytes(row["counts"]), np.uint64)
-    flat = out.ravel().astype(np.float64)
-    floor = max(flat.mean(), 1.0)
-    return np.clip(np.floor(2 * np.log2(np.maximum(flat / floor, 1.0))), 0, 255).astype(np.uint8)
+        out[row["part"]] = np.frombuffer(bytes(row["counts"]), np.uint8)
+    return out.ravel()
 
 
 class _Prefixes:
