@@ -43,11 +43,22 @@ def prefixes(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndar
     return n - _ceil(n, percent, 100) + 1, n - _ceil(n, 2 * percent, 100 + percent) + 1
 
 
+def _shingles(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, shingle hashes, first of each row) of texts, or of sets that were made of them."""
+    if "text" in batch.schema.names:
+        for part in slices(batch):
+            yield (part, *text_shingles(part["text"], WIDTH))
+    else:
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            sets = [np.frombuffer(m.as_py(), np.uint64) for m in part["members"]]
+            yield part, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
-        for part in slices(batch):
-            hashes, _ = text_shingles(part["text"], WIDTH)
+        for _, hashes, _ in _shingles(batch):
             total += np.bincount(hashes.astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
     if total.any():
         yield _parts(total)
@@ -76,12 +87,12 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """For each counter a class that grows with the logarithm of its count, over all texts.
+    """For each counter a class that grows with the logarithm of its count, over all texts or sets.
 
     The counters are a fixed number of bytes, so what comes to the driver has a bound. The
     classes only order shingles; any order gives the same links.
     """
-    parts = docs.select("text").mapInArrow(_count, "part int, counts binary")
+    parts = docs.mapInArrow(_count, "part int, counts binary")
     summed = parts.repartition(PARTS, "part").mapInArrow(_sum, "part int, counts binary").collect()  # PARTS rows
     out = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
     for row in summed:
@@ -100,10 +111,9 @@ class _Prefixes:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = self.classes.value
         for batch in batches:
-            for part in slices(batch):
+            for part, hashes, first in _shingles(batch):
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)
                 known = ~np.asarray(part["doc_id"].is_null())
-                hashes, first = text_shingles(part["text"], WIDTH)
                 rank = classes[hashes.astype(np.int64) & (COUNTERS - 1)]
                 n = np.zeros(len(part), np.int64)
                 sig1, sig2 = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
@@ -204,6 +214,57 @@ class _Sets:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "members"])
 
 
+class _Kept:
+    """The rows of sets that the bit map lets through."""
+
+    def __init__(self, found) -> None:
+        self.found = found
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = self.found.value
+        for batch in batches:
+            slot = batch["slot"].to_numpy()
+            yield batch.select(["doc_id", "members"]).filter(pa.array((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 == 1))
+
+
+class _Spread:
+    """Shortened shingle hashes of sets, packed by bucket."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes, first in _shingles(batch):
+                ids = part["doc_id"].to_numpy()
+                place = np.repeat(np.arange(len(part)), np.diff(first))
+                bucket = ((hashes >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, short, place = bucket[order], hashes[order].astype(np.uint32), place[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                out: list[list] = [[], [], [], []]
+                for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                    own, n = np.unique(place[a:b], return_counts=True)
+                    for col, value in zip(out, (int(bucket[a]), short[a:b].tobytes(), ids[own].astype(np.int64).tobytes(), n.astype(np.uint32).tobytes()), strict=True):
+                        col.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "shingles", "ids", "counts"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a bucket each document shares with any other: (doc_id, shared)."""
+    for _, table in runs(batches, "bucket"):
+        parts = [(np.frombuffer(s, np.uint32), np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32))) for s, i, n in zip(*[table[c].to_pylist() for c in ("shingles", "ids", "counts")], strict=True)]
+        shingle, doc = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(shingle, kind="stable")
+        shingle, doc = shingle[order], doc[order]
+        several = np.zeros(len(order), bool)
+        several[1:] |= shingle[1:] == shingle[:-1]
+        several[:-1] |= shingle[1:] == shingle[:-1]
+        ids, n = np.unique(doc[several], return_counts=True)
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["doc_id", "shared"])
+
+
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets of a tile, as pairs of ids.
 
@@ -321,29 +382,49 @@ def join(docs: DataFrame) -> DataFrame:
 
     Texts are read three times: to count shingles in a fixed number of counters, for the
     prefixes, and for the whole sets of documents in candidate groups. Equal sets are
-    merged by signature first. Groups larger than a block are verified in tiles of two
-    blocks, so no task holds more than two blocks whatever the size of a group.
+    merged by signature first. A candidate stays only if it shares PERCENT of its shingles
+    with other candidates, each maybe with another one: a linked document shares as many
+    with its partner alone. Those that stay are grouped anew, by counters of their own
+    shingles. Groups larger than a block are verified in tiles of two blocks, so no task
+    holds more than two blocks whatever the size of a group.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = spark.sparkContext.broadcast(frequency_classes(texts))  # COUNTERS bytes
-    packed = texts.mapInArrow(_Prefixes(classes, 4 * tasks), _Prefixes.SCHEMA)
-    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    grouped = staged(dealt.mapInArrow(_group, "kind int, doc_id long, n long, sig1 long, sig2 long"), "groups")
+    grouped = staged(_grouped(texts, tasks), "groups")
     rows = grouped.where("kind = 0")
     nodes = rows.where("n > 0 AND doc_id IS NOT NULL")
     equal = nodes.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = staged(nodes.join(equal, ["sig1", "sig2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    near = grouped.where("kind = 1").select(F.col("doc_id").alias("a"), F.col("n").alias("b")).distinct()
-    groups = connected(near.unionByName(copies), "groups")
-    single = nodes.select("doc_id", "n").join(groups, nodes["doc_id"] == groups["node"]).join(copies, F.col("doc_id") == F.col("a"), "left_anti")
-    members = staged(single.select("doc_id", "n", "component").distinct(), "members")
-    tiles = _tiles(members)
-    bits = spark.sparkContext.broadcast(id_filter(members, "doc_id"))  # a fixed number of bits
-    sets = texts.select("doc_id", filter_slot("doc_id").alias("slot"), "text").where("doc_id IS NOT NULL").mapInArrow(_Sets(bits), "doc_id long, members binary")
-    loaded = tiles.join(sets, "doc_id").repartition(tasks, "tile").sortWithinPartitions("tile")
+    stars = grouped.where("kind = 1")
+    near = stars.select("doc_id").unionByName(stars.select(F.col("n").alias("doc_id"))).distinct()
+    near = near.join(copies, F.col("doc_id") == F.col("a"), "left_anti")
+    sets = texts.select("doc_id", filter_slot("doc_id").alias("slot"), "text").where("doc_id IS NOT NULL").mapInArrow(_Sets(_bits(near)), "doc_id long, members binary")
+    sets = staged(sets, "sets")
+    spread = sets.mapInArrow(_Spread(4 * tasks), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = spread.mapInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    sizes = sets.select("doc_id", (F.octet_length("members") / 8).cast("long").alias("n"))
+    sharing = staged(sizes.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "n"), "sharing")
+    kept = sets.select("doc_id", filter_slot("doc_id").alias("slot"), "members").mapInArrow(_Kept(_bits(sharing)), "doc_id long, members binary")
+    again = _grouped(kept, tasks).where("kind = 1").select(F.col("doc_id").alias("a"), F.col("n").alias("b"))
+    groups = connected(again, "groups")
+    members = staged(sharing.distinct().join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "n", "component"), "members")
+    chosen = sets.select("doc_id", filter_slot("doc_id").alias("slot"), "members").mapInArrow(_Kept(_bits(members)), "doc_id long, members binary")
+    loaded = _tiles(members).join(chosen, "doc_id").repartition(tasks, "tile").sortWithinPartitions("tile")
     links = loaded.select("tile", "side", "doc_id", "members").mapInArrow(_verify, "a long, b long")
     found = connected(links.unionByName(copies), "links")
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _bits(ids: DataFrame):
+    """The bit map of these ids, a fixed number of bits, sent to the executors."""
+    return ids.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
+
+
+def _grouped(rows: DataFrame, tasks: int) -> DataFrame:
+    """Documents (kind 0) and the stars of their candidate groups (kind 1) of texts or sets."""
+    classes = rows.sparkSession.sparkContext.broadcast(frequency_classes(rows))  # COUNTERS bytes
+    packed = rows.mapInArrow(_Prefixes(classes, 4 * tasks), _Prefixes.SCHEMA)
+    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_group, "kind int, doc_id long, n long, sig1 long, sig2 long")
