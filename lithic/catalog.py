@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lithic.functions import similarity as sim
+from lithic.functions import types as ct
+from lithic.functions.normalize import normalize, parse_date, parse_email, parse_phone
+from lithic.operators import cross, dashboard, linkage, profile, rows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -12,5 +19,335 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def query(sql: str | None = None):
+    """Registers a function as a query, with the SQL that must give the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with some segments left out."""
+    segment = F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").withColumn("c_mktsegment", segment)
+
+
+CUSTOMERS = "(SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer)"
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer")
+    return rounded(profile.column_profiles(customers(spark, sf_dir)))
+
+
+def _profile_sql(source: str, columns: list[tuple[str, str]], metrics: str) -> str:
+    """One SELECT per column of (name, kind) over the display text d and the number x."""
+    parts = []
+    for i, (c, kind) in enumerate(columns):
+        x = f"CAST({c} AS DOUBLE)" if kind in ("int", "float") else "CAST(NULL AS DOUBLE)"
+        parts.append(f"SELECT '{c}' AS \"column\", {metrics} FROM (SELECT CAST({c} AS VARCHAR) AS d, {x} AS x FROM {source}) WHERE {i} = {i}")
+    return " UNION ALL ".join(parts)
+
+
+_C = [("c_custkey", "int"), ("c_name", "text"), ("c_nationkey", "int"), ("c_acctbal", "float"), ("c_mktsegment", "text")]
+
+
+@query(_profile_sql(CUSTOMERS, _C, "count(*) AS row_count, count(*) FILTER (d IS NULL OR trim(d) = '') AS null_count, round(100.0 * count(*) FILTER (d IS NULL OR trim(d) = '') / count(*), 6) AS null_pct, count(DISTINCT d) AS distinct_count, round(100.0 * count(DISTINCT d) / count(*), 6) AS distinct_pct"))
+def profile_counts(spark, sf_dir):
+    got = profile.column_profiles(customers(spark, sf_dir))
+    return rounded(got.select("column", "row_count", "null_count", "null_pct", "distinct_count", "distinct_pct"))
+
+
+_L = [("l_quantity", "float"), ("l_extendedprice", "float"), ("l_discount", "float"), ("l_linenumber", "int"), ("l_partkey", "int")]
+
+
+@query(_profile_sql("lineitem", _L, "round(min(x), 4) AS min, round(max(x), 4) AS max, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.75), 4) AS p75, round(stddev_samp(x), 4) AS std"))
+def profile_numeric(spark, sf_dir):
+    got = profile.column_profiles(table(spark, sf_dir, "lineitem"), columns=[c for c, _ in _L])
+    return rounded(got.select("column", "min", "max", "mean", "median", "p25", "p75", "std"), 4)
+
+
+@query("SELECT 'o_orderdate' AS \"column\", 'date' AS semantic_type, min(strftime(o_orderdate, '%Y-%m-%d')) AS date_min, max(strftime(o_orderdate, '%Y-%m-%d')) AS date_max FROM orders")
+def profile_dates(spark, sf_dir):
+    got = profile.column_profiles(table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date")), columns=["o_orderdate"])
+    return got.select("column", "semantic_type", "date_min", "date_max")
+
+
+@query("SELECT 'p_brand' AS \"column\", CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank, value, n FROM (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1) QUALIFY rank <= 10")
+def profile_top_values(spark, sf_dir):
+    return profile.top_values(table(spark, sf_dir, "part"), ["p_brand"])
+
+
+_JUNK = "CASE WHEN o_orderkey % 250 = 0 THEN 'n/a' ELSE CAST(o_orderkey AS VARCHAR) END"
+
+
+@query(f"SELECT 'k' AS \"column\", CASE WHEN 100 * ok >= 99 * n THEN 'integer' ELSE 'string' END AS semantic_type, CASE WHEN 100 * ok >= 99 * n THEN n - ok ELSE 0 END AS type_mismatch_count, CASE WHEN n > ok THEN 'red' ELSE 'green' END AS rag FROM (SELECT count(*) AS n, count(*) FILTER (regexp_full_match(k, '[+-]?[0-9]+')) AS ok FROM (SELECT {_JUNK} AS k FROM orders))")
+def infer_types(spark, sf_dir):
+    k = F.when(F.col("o_orderkey") % 250 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string"))
+    got = profile.column_profiles(table(spark, sf_dir, "orders").select(k.alias("k")))
+    return got.select("column", "semantic_type", "type_mismatch_count", "rag")
+
+
+@query("SELECT 'url' AS \"column\", 'url' AS pattern_label, round(100.0 * count(*) FILTER (regexp_full_match(url, 'https?://[^\\s]+')) / count(*), 6) AS pattern_pct FROM pages")
+def detect_patterns(spark, sf_dir):
+    return rounded(profile.column_profiles(table(spark, sf_dir, "pages").select("url")).select("column", "pattern_label", "pattern_pct"))
+
+
+def _outliers_sql(source: str, c: str) -> str:
+    return f"""SELECT '{c}' AS "column", (SELECT count(*) FROM {source}, q WHERE {c} < p25 - 1.5 * (p75 - p25) OR {c} > p75 + 1.5 * (p75 - p25)) AS outliers_iqr,
+(SELECT count(*) FROM {source}, q, m WHERE CASE WHEN mad <> 0 THEN 0.6745 * abs({c} - med) / mad > 3.5 WHEN gap <> 0 THEN abs({c} - med) / (1.253314 * gap) > 3.5 ELSE false END) AS outliers_mad"""
+
+
+_OUT = "WITH q AS (SELECT quantile_cont({c}, 0.25) AS p25, median({c}) AS med, quantile_cont({c}, 0.75) AS p75 FROM {t}), m AS (SELECT median(abs({c} - med)) AS mad, avg(abs({c} - med)) AS gap FROM {t}, q) "
+
+
+@query(_OUT.format(c="value", t="events") + _outliers_sql("events", "value"))
+def outliers_events(spark, sf_dir):
+    return profile.column_profiles(table(spark, sf_dir, "events"), columns=["value"]).select("column", "outliers_iqr", "outliers_mad")
+
+
+@query(_OUT.format(c="o_totalprice", t="orders") + _outliers_sql("orders", "o_totalprice"))
+def outliers_orders(spark, sf_dir):
+    return profile.column_profiles(table(spark, sf_dir, "orders"), columns=["o_totalprice"]).select("column", "outliers_iqr", "outliers_mad")
+
+
+@query("SELECT 'p_size' AS \"column\", count(*) FILTER (p_size < 5 OR p_size > 40) AS range_violations FROM part")
+def range_violations(spark, sf_dir):
+    got = profile.column_profiles(table(spark, sf_dir, "part"), {"p_size": (5, 40)}, ["p_size"])
+    return got.select("column", "range_violations")
+
+
+@query("SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM documents GROUP BY lang, source HAVING count(*) > 1)")
+def duplicate_rows(spark, sf_dir):
+    return profile.duplicate_rows(table(spark, sf_dir, "documents").select("lang", "source"))
+
+
+@query("SELECT 'o_custkey' AS \"left\", 'copy' AS \"right\"")
+def duplicate_columns(spark, sf_dir):
+    return profile.duplicate_columns(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("copy")))
+
+
+@query(f"SELECT 'customer' AS sheet, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, CAST(0 AS BIGINT) AS duplicate_rows, round(100 - 100.0 * count(*) FILTER (c_mktsegment IS NULL) / (count(*) * 5), 6) AS completeness_pct, 'amber' AS rag FROM {CUSTOMERS}")
+def sheet_profile(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    return rounded(profile.sheet_profile(df, profile.column_profiles(df), "customer"))
+
+
+@query(f"SELECT 'customer' AS sheet, 'c_mktsegment' AS \"column\", 'completeness' AS dimension, 'low' AS severity FROM {CUSTOMERS} HAVING 100.0 * count(*) FILTER (c_mktsegment IS NULL) / count(*) BETWEEN 5 AND 20")
+def issues(spark, sf_dir):
+    return profile.issues(profile.column_profiles(customers(spark, sf_dir)), "customer").drop("description")
+
+
+@query("SELECT severity, CASE severity WHEN 'low' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) v(severity)")
+def severity_histogram(spark, sf_dir):
+    return dashboard.severity_histogram(profile.issues(profile.column_profiles(customers(spark, sf_dir)), "customer"))
+
+
+@query("SELECT c AS \"column\", CASE c WHEN 'c_mktsegment' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')) v(c)")
+def issues_per_column(spark, sf_dir):
+    got = profile.column_profiles(customers(spark, sf_dir))
+    return dashboard.issues_per_column(got, profile.issues(got, "customer"))
+
+
+@query(f"SELECT CAST(count(*) + (SELECT count(*) FROM nation) AS BIGINT) AS row_count, CAST(8 AS BIGINT) AS column_count, round((100 - 100.0 * count(*) FILTER (c_mktsegment IS NULL) / (count(*) * 5) + 100) / 2, 6) AS completeness_pct, 'amber' AS rag FROM {CUSTOMERS}")
+def kpi_totals(spark, sf_dir):
+    a, b = customers(spark, sf_dir), table(spark, sf_dir, "nation")
+    sheets = profile.sheet_profile(a, profile.column_profiles(a), "customer").unionByName(profile.sheet_profile(b, profile.column_profiles(b), "nation"))
+    return rounded(dashboard.kpi_totals(sheets))
+
+
+_FD = ["n_nationkey", "n_name", "n_regionkey"]
+
+
+def _fd_sql(source: str, columns: list[str]) -> str:
+    parts = [f"SELECT '{a}' AS determinant, '{b}' AS dependent, count(*) AS n_groups, round(100.0 * count(*) FILTER (k <= 1) / count(*), 6) AS confidence_pct FROM (SELECT {a}, count(DISTINCT {b}) AS k FROM {source} WHERE {a} IS NOT NULL GROUP BY {a}) HAVING count(*) >= 3 AND 100.0 * count(*) FILTER (k <= 1) / count(*) >= 95" for a in columns for b in columns if a != b]
+    return " UNION ALL ".join(parts)
+
+
+@query(_fd_sql("nation", _FD))
+def functional_dependencies(spark, sf_dir):
+    return rounded(cross.functional_dependencies(table(spark, sf_dir, "nation").select(*_FD)))
+
+
+@query("SELECT 'l_quantity' AS \"left\", 'double_quantity' AS \"right\", 1.0::DOUBLE AS r")
+def numeric_correlation(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("double_quantity", F.col("l_quantity") * 2 + 3)
+    return rounded(cross.correlations(df, ["l_quantity", "double_quantity", "l_discount", "l_tax"]))
+
+
+_FK = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"]}
+
+
+def _fk_sql() -> str:
+    cols = [(t, c) for t, cs in _FK.items() for c in cs]
+    out = []
+    for pt, pc in cols:
+        for kt, kc in cols:
+            if pt != kt:
+                near = cross.name_similarity(pc, kc)
+                out.append(f"SELECT '{pt}' AS parent_table, '{pc}' AS parent_column, '{kt}' AS child_table, '{kc}' AS child_column, {near!r}::DOUBLE AS name_similarity, (SELECT count(DISTINCT {kc}) FROM {kt} WHERE {kc} IN (SELECT {pc} FROM {pt}))::DOUBLE / (SELECT count(DISTINCT {kc}) FROM {kt}) AS coverage, CASE WHEN (SELECT count({kc}) = count(DISTINCT {kc}) FROM {kt}) THEN 'one_to_one' ELSE 'many_to_one' END AS cardinality")
+    return f"SELECT parent_table, parent_column, child_table, child_column, round(name_similarity, 6) AS name_similarity, round(coverage, 6) AS coverage, cardinality, round((2 + name_similarity + coverage) / 4 * 100, 6) AS confidence_pct FROM ({' UNION ALL '.join(out)}) WHERE coverage >= 0.5 AND (2 + name_similarity + coverage) / 4 * 100 >= 50"
+
+
+@query(_fk_sql())
+def fk_candidates(spark, sf_dir):
+    tables = {t: table(spark, sf_dir, t) for t in _FK}
+    return rounded(cross.relationships(tables, _FK, {(t, c): "integer" for t, cs in _FK.items() for c in cs}))
+
+
+@query("SELECT DISTINCT o_custkey AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+def fk_violations(spark, sf_dir):
+    return cross.fk_violations(table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+
+
+def _filter(name: str, t: str, keep: list[str], filters: list[dict], sql: str) -> None:
+    def run(spark, sf_dir):
+        return rows.where(table(spark, sf_dir, t), filters).select(*keep)
+
+    run.__name__ = f"filter_{name}"
+    query(f"SELECT {', '.join(keep)} FROM {t} WHERE {sql}")(run)
+
+
+_filter("eq", "part", ["p_partkey"], [{"column": "p_brand", "op": "==", "value": "Brand#12"}], "p_brand = 'Brand#12'")
+_filter("ne", "orders", ["o_orderkey"], [{"column": "o_orderstatus", "op": "!=", "value": "F"}], "o_orderstatus IS DISTINCT FROM 'F'")
+_filter("range", "part", ["p_partkey"], [{"column": "p_size", "op": ">=", "value": 10}, {"column": "p_size", "op": "<", "value": 20}], "p_size >= 10 AND p_size < 20")
+_filter("contains", "customer", ["c_custkey"], [{"column": "c_mktsegment", "op": "contains", "value": "BUILD"}], "contains(lower(coalesce(c_mktsegment, 'nan')), 'build')")
+_filter("in", "orders", ["o_orderkey"], [{"column": "o_orderstatus", "op": "in", "value": ["F", "P"]}], "o_orderstatus IN ('F', 'P')")
+_filter("not_null", "documents", ["doc_id"], [{"column": "text", "op": "not_null"}], "text IS NOT NULL AND trim(text) <> ''")
+
+
+@query("SELECT count(*) AS row_count_total FROM part WHERE p_size > 25")
+def query_count(spark, sf_dir):
+    return rows.query(table(spark, sf_dir, "part"), [{"column": "p_size", "op": ">", "value": 25}], ["p_partkey"])[1]
+
+
+_NORM = {"case_fold": True, "collapse_whitespace": True, "strip_punctuation": True, "strip_corporate_suffix": True}
+
+
+@query("SELECT c_custkey, lower(replace(c_name, '#', '#')) AS name FROM customer")
+def normalize_text(spark, sf_dir):
+    dressed = F.concat(F.col("c_name"), F.lit(",  Inc."))
+    return table(spark, sf_dir, "customer").select("c_custkey", normalize(dressed, _NORM).alias("name"))
+
+
+@query("SELECT c_custkey, 'c' || c_custkey || '@example.com' AS email, true AS ok, '+1415555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone FROM customer")
+def parse_fields(spark, sf_dir):
+    email = parse_email(F.concat(F.lit(" C"), F.col("c_custkey"), F.lit("@Example.com ")))
+    phone = parse_phone(F.concat(F.lit("(415) 555-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")), "US")
+    return table(spark, sf_dir, "customer").select("c_custkey", email["value"].alias("email"), (email["ok"] & phone["ok"]).alias("ok"), phone["value"].alias("phone"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def parse_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", parse_date(F.date_format("o_orderdate", "MM/dd/yyyy"))["value"].alias("day"))
+
+
+def _pairs(spark, sf_dir):
+    part = table(spark, sf_dir, "part").where("p_partkey <= 60").select("p_partkey", "p_name", "p_size")
+    a, b = part.alias("a"), part.alias("b")
+    return a.join(b, F.col("a.p_partkey") < F.col("b.p_partkey"))
+
+
+_PAIRS = "FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE a.p_partkey <= 60 AND b.p_partkey <= 60"
+
+
+def _measure(name: str, column: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        score = sim.similarity(name, F.col(f"a.{column}").cast("string"), F.col(f"b.{column}").cast("string"))
+        return rounded(_pairs(spark, sf_dir).select(F.col("a.p_partkey").alias("i"), F.col("b.p_partkey").alias("j"), score.alias("score")))
+
+    run.__name__ = f"sim_{name}"
+    query(f"SELECT a.p_partkey AS i, b.p_partkey AS j, round(CAST({sql} AS DOUBLE), 6) AS score {_PAIRS}")(run)
+
+
+_T = "list_filter(string_split({x}.p_name, ' '), lambda t: t <> '')"
+_measure("exact", "p_name", "CASE WHEN a.p_name = b.p_name THEN 1 ELSE 0 END")
+_measure("levenshtein", "p_name", "1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))")
+_measure("jaro_winkler", "p_name", "jaro_winkler_similarity(a.p_name, b.p_name)")
+_measure("jaccard_tokens", "p_name", f"len(list_intersect({_T.format(x='a')}, {_T.format(x='b')})) / len(list_distinct(list_concat({_T.format(x='a')}, {_T.format(x='b')})))")
+_measure("numeric_tolerance", "p_size", "greatest(0, 1 - abs(a.p_size - b.p_size) / (0.01 + 0.05 * greatest(abs(a.p_size), abs(b.p_size))))")
+
+
+def _suppliers(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") - 1).alias("_row_index"), "s_name", (F.floor(F.col("s_acctbal") / 100)).alias("band"), F.col("s_nationkey").cast("string").alias("key"))
+
+
+@query("SELECT a.s_suppkey - 1 AS i, b.s_suppkey - 1 AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+def block_self_pairs(spark, sf_dir):
+    return linkage.candidates(_suppliers(spark, sf_dir), None)
+
+
+@query("SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)")
+def block_pair_count(spark, sf_dir):
+    return linkage.block_counts(_suppliers(spark, sf_dir), None)
+
+
+_PAIR_SCORES = linkage.Config([linkage.Mapping("s_name", "s_name", "levenshtein", 1.0, True), linkage.Mapping("band", "band", "numeric_tolerance", 0.5)], 0.9, {"case_fold": True})
+
+
+@query("SELECT i, j, round((s0 + 0.5 * s1) / 1.5, 6) AS score FROM (SELECT a.s_suppkey - 1 AS i, b.s_suppkey - 1 AS j, 1 - levenshtein(a.s_name, b.s_name) / length(a.s_name) AS s0, CASE WHEN a.k IS NULL OR b.k IS NULL THEN 0 ELSE greatest(0, 1 - abs(a.k - b.k) / (0.01 + 0.05 * greatest(abs(a.k), abs(b.k)))) END AS s1 FROM (SELECT *, floor(s_acctbal / 100) AS k FROM supplier) a JOIN (SELECT *, floor(s_acctbal / 100) AS k FROM supplier) b ON a.s_suppkey < b.s_suppkey) WHERE s0 >= 0.9")
+def pair_scores(spark, sf_dir):
+    return rounded(linkage.scores(_suppliers(spark, sf_dir).drop("key"), None, _PAIR_SCORES, cap=10**9).select("i", "j", "score"))
+
+
+@query()
+def blocking_keys(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", linkage.blocking_key(F.col("text")).alias("key"))
+
+
+@query()
+def linkage_clusters(spark, sf_dir):
+    data = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_row_index"), "text")
+    config = linkage.Config([linkage.Mapping("text", "text", "jaccard_tokens", 1.0, True)], 0.5, {"case_fold": True})
+    return linkage.clusters(linkage.scores(data, None, config))
+
+
+def _tree(spark, sf_dir):
+    return dashboard.flatten_tree([(table(spark, sf_dir, "region"), "r_regionkey", "r_name", None), (table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey"), (table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_nationkey")])
+
+
+_TREE = "(SELECT '0:' || r_regionkey AS id, NULL AS parent, 1 AS level, r_name AS name FROM region UNION ALL SELECT '1:' || n_nationkey, '0:' || n_regionkey, 2, n_name FROM nation UNION ALL SELECT '2:' || c_custkey, '1:' || c_nationkey, 3, c_name FROM customer)"
+
+
+@query(f"SELECT id, parent, level, name FROM {_TREE}")
+def tree_flatten(spark, sf_dir):
+    return _tree(spark, sf_dir)
+
+
+@query("SELECT '0:' || r_regionkey AS id, '0:' || r_regionkey AS root FROM region UNION ALL SELECT '1:' || n_nationkey, '0:' || n_regionkey FROM nation UNION ALL SELECT '2:' || c_custkey, '0:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def ancestor_root(spark, sf_dir):
+    return dashboard.ancestors(_tree(spark, sf_dir))
+
+
+@query(f"SELECT level, count(*) AS n FROM {_TREE} GROUP BY level")
+def tree_counts(spark, sf_dir):
+    return _tree(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, CAST(row_number() OVER (PARTITION BY parent ORDER BY name, id) - 1 AS INTEGER) AS position FROM {_TREE}")
+def sibling_rank(spark, sf_dir):
+    return dashboard.sibling_rank(_tree(spark, sf_dir))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_decode(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def latest_per_group(spark, sf_dir):
+    newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    return table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(newest)).where("n = 1").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS next_position FROM events GROUP BY 1")
+def next_position(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("next_position"))
