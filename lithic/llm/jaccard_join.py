@@ -25,7 +25,7 @@ from lithic.llm.wordhash import mix, slices, text_shingles
 
 PERCENT, WIDTH = 75, 5
 #: Counters of shingle frequencies, and the parts they travel in.
-COUNTERS, PARTS = 1 << 23, 32
+COUNTERS, PARTS = 1 << 21, 32
 #: A block of a candidate group: at most so many documents, and about so many shingles.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
@@ -46,7 +46,7 @@ def prefixes(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndar
 def _shingles(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, shingle hashes, first of each row) of texts, or of sets that were made of them."""
     if "text" in batch.schema.names:
-        for part in slices(batch):
+        for part in slices(batch, most=2 << 20):
             yield (part, *text_shingles(part["text"], WIDTH))
     else:
         for a in range(0, batch.num_rows, 1000):
@@ -59,7 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
         for _, hashes, _ in _shingles(batch):
-            total += np.bincount(hashes.astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
+            total += np.bincount((hashes & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS).astype(np.uint32)
     if total.any():
         yield _parts(total)
 
