@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch. Texts may be long: a batch must fit a Python worker several times.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; Arrow batches of the session become small enough for long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -109,3 +116,33 @@ def filter_slot(column: str, bits: int = 23):
     """The slot of an id in the bit map: bit (slot % 8) of byte (slot // 8), from 1 on as bitmap functions count."""
     slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
     return ((F.bitmap_bucket_number(slot) - 1) * 32768 + F.bitmap_bit_position(slot)).cast("long")
+
+
+class Task:
+    """A function over record batches for mapInArrow that gives memory back when its task ends.
+
+    Steps run one after the other in one Python worker.
+    """
+
+    def __init__(self, *steps) -> None:
+        self.steps = steps
+
+    def __call__(self, batches):
+        try:
+            for step in self.steps:
+                batches = step(batches)
+            yield from batches
+        finally:
+            _give_back()
+
+
+def _give_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the system: workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithic.llm.common import Task
 from lithic.llm.wordhash import slices, text_shingles
 
 #: The share of all hashes that a sketch retains.
@@ -121,7 +122,7 @@ def compare_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     dealt = rows.select("doc_id", "text", F.inline(places)).repartition(tasks, "part")
     ordered = dealt.sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.select("part", "guest", "doc_id", "text").mapInArrow(_edits, schema)
+    return ordered.select("part", "guest", "doc_id", "text").mapInArrow(Task(_edits), schema)
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

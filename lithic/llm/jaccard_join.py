@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import filter_slot, id_filter, runs, staged
+from lithic.llm.common import Task, filter_slot, id_filter, runs, staged
 from lithic.llm.components import connected, roots
 from lithic.llm.wordhash import mix, slices, text_shingles
 
@@ -86,14 +86,14 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["part", "counts"])
 
 
-def frequency_classes(docs: DataFrame) -> np.ndarray:
+def frequency_classes(docs: DataFrame, *before) -> np.ndarray:
     """For each counter a class that grows with the logarithm of its count, over all texts or sets.
 
     The counters are a fixed number of bytes, so what comes to the driver has a bound. The
     classes only order shingles; any order gives the same links.
     """
-    parts = docs.mapInArrow(_count, "part int, counts binary")
-    summed = parts.repartition(PARTS, "part").mapInArrow(_sum, "part int, counts binary").collect()  # PARTS rows
+    parts = docs.mapInArrow(Task(*before, _count), "part int, counts binary")
+    summed = parts.repartition(PARTS, "part").mapInArrow(Task(_sum), "part int, counts binary").collect()  # PARTS rows
     out = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
     for row in summed:
         out[row["part"]] = np.frombuffer(bytes(row["counts"]), np.uint8)
@@ -399,19 +399,19 @@ def join(docs: DataFrame) -> DataFrame:
     stars = grouped.where("kind = 1")
     near = stars.select("doc_id").unionByName(stars.select(F.col("n").alias("doc_id"))).distinct()
     near = near.join(copies, F.col("doc_id") == F.col("a"), "left_anti")
-    sets = texts.select("doc_id", filter_slot("doc_id").alias("slot"), "text").where("doc_id IS NOT NULL").mapInArrow(_Sets(_bits(near)), "doc_id long, members binary")
+    sets = texts.select("doc_id", filter_slot("doc_id").alias("slot"), "text").where("doc_id IS NOT NULL").mapInArrow(Task(_Sets(_bits(near))), "doc_id long, members binary")
     sets = staged(sets, "sets")
-    spread = sets.mapInArrow(_Spread(4 * tasks), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    shared = spread.mapInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    spread = sets.mapInArrow(Task(_Spread(4 * tasks)), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = spread.mapInArrow(Task(_shared), "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     sizes = sets.select("doc_id", (F.octet_length("members") / 8).cast("long").alias("n"))
     sharing = staged(sizes.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "n"), "sharing")
-    kept = sets.select("doc_id", filter_slot("doc_id").alias("slot"), "members").mapInArrow(_Kept(_bits(sharing)), "doc_id long, members binary")
-    again = _grouped(kept, tasks).where("kind = 1").select(F.col("doc_id").alias("a"), F.col("n").alias("b"))
+    marked = sets.select("doc_id", filter_slot("doc_id").alias("slot"), "members")
+    again = _grouped(marked, tasks, _Kept(_bits(sharing))).where("kind = 1").select(F.col("doc_id").alias("a"), F.col("n").alias("b"))
     groups = connected(again, "groups")
     members = staged(sharing.distinct().join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "n", "component"), "members")
-    chosen = sets.select("doc_id", filter_slot("doc_id").alias("slot"), "members").mapInArrow(_Kept(_bits(members)), "doc_id long, members binary")
+    chosen = marked.mapInArrow(Task(_Kept(_bits(members))), "doc_id long, members binary")
     loaded = _tiles(members).join(chosen, "doc_id").repartition(tasks, "tile").sortWithinPartitions("tile")
-    links = loaded.select("tile", "side", "doc_id", "members").mapInArrow(_verify, "a long, b long")
+    links = loaded.select("tile", "side", "doc_id", "members").mapInArrow(Task(_verify), "a long, b long")
     found = connected(links.unionByName(copies), "links")
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -422,9 +422,9 @@ def _bits(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
 
 
-def _grouped(rows: DataFrame, tasks: int) -> DataFrame:
-    """Documents (kind 0) and the stars of their candidate groups (kind 1) of texts or sets."""
-    classes = rows.sparkSession.sparkContext.broadcast(frequency_classes(rows))  # COUNTERS bytes
-    packed = rows.mapInArrow(_Prefixes(classes, 4 * tasks), _Prefixes.SCHEMA)
+def _grouped(rows: DataFrame, tasks: int, *before) -> DataFrame:
+    """Documents (kind 0) and the stars of their candidate groups (kind 1) of texts or sets; ``before`` thins the rows."""
+    classes = rows.sparkSession.sparkContext.broadcast(frequency_classes(rows, *before))  # COUNTERS bytes
+    packed = rows.mapInArrow(Task(*before, _Prefixes(classes, 4 * tasks)), _Prefixes.SCHEMA)
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_group, "kind int, doc_id long, n long, sig1 long, sig2 long")
+    return dealt.mapInArrow(Task(_group), "kind int, doc_id long, n long, sig1 long, sig2 long")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.llm.common import staged
+from lithic.llm.common import Task, staged
 from lithic.llm.wordhash import _powers, flat, mix, slices, words
 
 LEAD, SEGMENTS, LONG = 2, 3, 8
@@ -121,7 +121,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     many documents makes one hot key in the join back, which adaptive execution splits.
     """
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = staged(rows.mapInArrow(_emit, "doc_id long, key long"), "lines")
+    keys = staged(rows.mapInArrow(Task(_emit), "doc_id long, key long"), "lines")
     needed = F.when(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1, DOCUMENTS).otherwise(DOCUMENTS_SHORT)
     recurring = keys.groupBy("key").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     recurring = recurring.where((F.col("documents") >= needed) & (F.col("first") < F.col("last"))).select("key", "first")
@@ -131,7 +131,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     names = [f.name for f in fields]
     joined = docs.select(*names).join(marked.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     out = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in fields], T.StructField("_lines", T.LongType()), T.StructField("_dropped", T.ArrayType(T.IntegerType()))])
-    return joined.mapInArrow(_Drop(names), out)
+    return joined.mapInArrow(Task(_Drop(names)), out)
 
 
 def report(docs: DataFrame) -> DataFrame:

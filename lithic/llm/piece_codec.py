@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.llm.common import Task
+
 #: Chunks that a worker's table keeps at most; a full table is emptied and filled anew.
 TABLE = 200_000
 #: Longer chunks are segmented each time and not kept.
@@ -127,4 +129,4 @@ def encode(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_Encode(path, full), schema)
+    return rows.mapInArrow(Task(_Encode(path, full)), schema)

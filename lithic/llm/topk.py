@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lithic.llm.common import Task
+
 #: Queries in a block, candidates in a tile; PART queries are multiplied at once.
 BLOCK, TILE = 16384, 4096
 PART = 512
@@ -98,7 +100,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sh
     asked = queries.groupBy("id").agg(F.min("v").alias("v")).select(F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
     given = rows.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
     tiles = asked.unionByName(given).repartition(F.col("block"), F.col("shard")).sortWithinPartitions("block", "shard", "side", "id")
-    found = tiles.select("side", "block", "shard", "id", "v").mapInArrow(_Tiles(k), "query_id long, vec_id long, score long")
+    found = tiles.select("side", "block", "shard", "id", "v").mapInArrow(Task(_Tiles(k)), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

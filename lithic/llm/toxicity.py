@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.llm.common import Task
 from lithic.llm.wordhash import flat, mix, slices, words
 
 ORDER, SPAN, DECAY = 4, 7, 0.8
@@ -35,7 +36,7 @@ SAMPLE, SAMPLE_CHARS = 1500, 200_000
 LANDMARKS, ROUNDS, NEGATIVES, COST = 160, 3, 6000, 10.0
 THRESHOLD = 0.7
 #: Word scores that a worker keeps.
-CACHE = 1_000_000
+CACHE = 500_000
 
 _BITS = 5
 _PATTERNS = [(0, *p) for span in range(ORDER, SPAN + 1) for p in itertools.combinations(range(1, span), ORDER - 1) if p[-1] == span - 1]
@@ -333,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = [own.where(F.col("toxic") == y).orderBy(F.md5(text_id.cast("binary")), "doc_id").limit(sample) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
-    bags = rows.select("toxic", "text").mapInArrow(_bags, "toxic int, words array<binary>").collect()  # at most 2 * sample rows
+    bags = rows.select("toxic", "text").mapInArrow(Task(_bags), "toxic int, words array<binary>").collect()  # at most 2 * sample rows
     return fit(sorted((r["toxic"], sorted(bytes(w) for w in r["words"])) for r in bags))
 
 
@@ -344,7 +345,7 @@ class _Score:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = self.model.value
         for batch in batches:
-            for part in slices(batch, most=24 << 20, rows=20_000):
+            for part in slices(batch, most=6 << 20):
                 margin = document_margins(part["text"], model)
                 kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != "_scored"]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(model.probability(margin))], [*part.schema.names, "_score"])
@@ -363,7 +364,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: bool = False, model: Model |
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 4 MB, whatever the data
     if keep:
         schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-        return docs.mapInArrow(_Score(shared), schema)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_Score(shared), "doc_id long, text string, _score double")
+        return docs.mapInArrow(Task(_Score(shared)), schema)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(Task(_Score(shared)), "doc_id long, text string, _score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
