@@ -250,19 +250,39 @@ class _Spread:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "shingles", "ids", "counts"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of a bucket each document shares with any other: (doc_id, shared)."""
-    for _, table in runs(batches, "bucket"):
-        parts = [(np.frombuffer(s, np.uint32), np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32))) for s, i, n in zip(*[table[c].to_pylist() for c in ("shingles", "ids", "counts")], strict=True)]
-        shingle, doc = map(np.concatenate, zip(*parts, strict=True))
-        order = np.argsort(shingle, kind="stable")
-        shingle, doc = shingle[order], doc[order]
-        several = np.zeros(len(order), bool)
-        several[1:] |= shingle[1:] == shingle[:-1]
-        several[:-1] |= shingle[1:] == shingle[:-1]
-        ids, n = np.unique(doc[several], return_counts=True)
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["doc_id", "shared"])
+class _Shared:
+    """How many shingles of a bucket each document shares with any other, packed by hash of the document."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches, "bucket"):
+            found = [(np.frombuffer(s, np.uint32), np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32))) for s, i, n in zip(*[table[c].to_pylist() for c in ("shingles", "ids", "counts")], strict=True)]
+            shingle, doc = map(np.concatenate, zip(*found, strict=True))
+            order = np.argsort(shingle, kind="stable")
+            shingle, doc = shingle[order], doc[order]
+            several = np.zeros(len(order), bool)
+            several[1:] |= shingle[1:] == shingle[:-1]
+            several[:-1] |= shingle[1:] == shingle[:-1]
+            ids, n = np.unique(doc[several], return_counts=True)
+            part = (mix(ids.view(np.uint64)) % np.uint64(self.parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            ids, n, part = ids[order], n[order].astype(np.uint32), part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*cuts[1:], len(part)]
+            if len(cuts):
+                packed = [[c[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)] for c in (ids, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *[pa.array(c, pa.binary()) for c in packed]], ["part", "ids", "counts"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shared) of each part."""
+    for _, table in runs(batches, "part"):
+        ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["ids"]])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]])
+        own, place = np.unique(ids, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, counts).astype(np.int64))], ["doc_id", "shared"])
 
 
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -402,7 +422,8 @@ def join(docs: DataFrame) -> DataFrame:
     sets = texts.select("doc_id", filter_slot("doc_id").alias("slot"), "text").where("doc_id IS NOT NULL").mapInArrow(Task(_Sets(_bits(near))), "doc_id long, members binary")
     sets = staged(sets, "sets")
     spread = sets.mapInArrow(Task(_Spread(4 * tasks)), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    shared = spread.mapInArrow(Task(_shared), "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    packed = spread.mapInArrow(Task(_Shared(tasks)), "part int, ids binary, counts binary").repartition(tasks, "part").sortWithinPartitions("part")
+    shared = packed.mapInArrow(Task(_add), "doc_id long, shared long")
     sizes = sets.select("doc_id", (F.octet_length("members") / 8).cast("long").alias("n"))
     sharing = staged(sizes.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "n"), "sharing")
     marked = sets.select("doc_id", filter_slot("doc_id").alias("slot"), "members")
