@@ -34,7 +34,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     values = df.select(*[F.col(c).try_cast("double").alias(c) for c in columns])
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        aggs += [F.corr(a, b).alias(f"r{i}"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}")]
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant column
+        aggs += [r.alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
     rows = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])
     found = values.agg(*aggs).select(F.inline(rows))
     return found.where((F.col("n") >= ROWS) & F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= CORRELATION)).select("left", "right", "r")
