@@ -43,6 +43,33 @@ def prefixes(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndar
     return n - _ceil(n, percent, 100) + 1, n - _ceil(n, 2 * percent, 100 + percent) + 1
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed differences, byte plane by byte plane: rising ids and small counts take little more than a byte."""
+    steps = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(steps).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes) -> np.ndarray:
+    """The numbers that ``squeeze`` packed, as int64."""
+    n = int.from_bytes(data[:4], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data[4:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel())
+
+
+def _low40(hashes: np.ndarray) -> bytes:
+    """The lower 40 bits of each hash; with the bucket, made of the upper 24, they tell shingles apart well enough to group."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from40(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def _shingles(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, shingle hashes, first of each row) of texts, or of sets that were made of them."""
     if "text" in batch.schema.names:
@@ -148,7 +175,7 @@ class _Prefixes:
         out: list[list] = [[], [], [], [], []]
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             own, local = np.unique(place[a:b], return_inverse=True)
-            for col, value in zip(out, (int(bucket[a]), found[a:b].tobytes(), (local.astype(np.uint32) * 2 + index[a:b]).astype(np.uint16 if len(own) < 32768 else np.uint32).tobytes(), ids[own].astype(np.int64).tobytes(), n[own].astype(np.uint32).tobytes()), strict=True):
+            for col, value in zip(out, (int(bucket[a]), _low40(found[a:b]), squeeze(2 * local + index[a:b]), squeeze(ids[own]), squeeze(n[own])), strict=True):
                 col.append(value)
         none = pa.nulls(len(out[0]), pa.int64())
         cols = [pa.array(out[0], pa.int32()), pa.array(np.ones(len(out[0]), np.int32)), none, none, none, none, *[pa.array(c, pa.binary()) for c in out[1:]]]
@@ -167,12 +194,11 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         shingle, doc, n, store = [], [], [], []
         for s, p, i, z in zip(*[packs[c].to_pylist() for c in ("shingles", "place", "ids", "sizes")], strict=True):
-            s = np.frombuffer(s, np.uint64)
-            p = np.frombuffer(p, np.uint16 if len(p) == 2 * len(s) else np.uint32)
+            p = expand(p)
             own = p >> 1
-            shingle.append(s)
-            doc.append(np.frombuffer(i, np.int64)[own])
-            n.append(np.frombuffer(z, np.uint32)[own])
+            shingle.append(_from40(s))
+            doc.append(expand(i)[own])
+            n.append(expand(z).astype(np.uint32)[own])
             store.append((p & 1).astype(bool))
         shingle, doc, n, store = map(np.concatenate, (shingle, doc, n, store))
         order = np.argsort(shingle, kind="stable")
@@ -245,7 +271,7 @@ class _Spread:
                 out: list[list] = [[], [], [], []]
                 for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                     own, n = np.unique(place[a:b], return_counts=True)
-                    for col, value in zip(out, (int(bucket[a]), short[a:b].tobytes(), ids[own].astype(np.int64).tobytes(), n.astype(np.uint32).tobytes()), strict=True):
+                    for col, value in zip(out, (int(bucket[a]), short[a:b].tobytes(), squeeze(ids[own]), squeeze(n)), strict=True):
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "shingles", "ids", "counts"])
 
@@ -258,7 +284,7 @@ class _Shared:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs(batches, "bucket"):
-            found = [(np.frombuffer(s, np.uint32), np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32))) for s, i, n in zip(*[table[c].to_pylist() for c in ("shingles", "ids", "counts")], strict=True)]
+            found = [(np.frombuffer(s, np.uint32), np.repeat(expand(i), expand(n))) for s, i, n in zip(*[table[c].to_pylist() for c in ("shingles", "ids", "counts")], strict=True)]
             shingle, doc = map(np.concatenate, zip(*found, strict=True))
             order = np.argsort(shingle, kind="stable")
             shingle, doc = shingle[order], doc[order]
@@ -268,19 +294,19 @@ class _Shared:
             ids, n = np.unique(doc[several], return_counts=True)
             part = (mix(ids.view(np.uint64)) % np.uint64(self.parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            ids, n, part = ids[order], n[order].astype(np.uint32), part[order]
+            ids, n, part = ids[order], n[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             ends = [*cuts[1:], len(part)]
             if len(cuts):
-                packed = [[c[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)] for c in (ids, n)]
+                packed = [[squeeze(c[x:y]) for x, y in zip(cuts, ends, strict=True)] for c in (ids, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *[pa.array(c, pa.binary()) for c in packed]], ["part", "ids", "counts"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, shared) of each part."""
     for _, table in runs(batches, "part"):
-        ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["ids"]])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]])
+        ids = np.concatenate([expand(x.as_py()) for x in table["ids"]])
+        counts = np.concatenate([expand(x.as_py()) for x in table["counts"]])
         own, place = np.unique(ids, return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, counts).astype(np.int64))], ["doc_id", "shared"])
 
