@@ -156,8 +156,7 @@ class _Landmarks:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, cost: float = COST) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights and bias of a linear machine with squared hinge loss, by Newton steps; the last column of ``x`` is all ones."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
@@ -221,14 +220,32 @@ def _disguise(found: list[bytes], each: int, draw: random.Random) -> list[bytes]
     return out
 
 
-def fit(bags: list[tuple[int, list[bytes]]]) -> Model:
-    """A model from (label, distinct words) of documents."""
-    seen: dict[tuple, tuple[int, list[bytes]]] = {}
-    for y, bag in bags:  # near copies of a document count once
-        seen.setdefault((y, *sorted(hashlib.md5(w).digest() for w in bag)[:2]), (y, bag))
-    vocabulary = sorted({w for _, bag in seen.values() for w in bag})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    toxic, clean = ([np.array([place[w] for w in bag]) for y, bag in seen.values() if y == label and bag] for label in (1, 0))
+def _coded(labels: pa.ChunkedArray, bags: pa.ChunkedArray) -> tuple[list[bytes], list[tuple[int, np.ndarray]]]:
+    """(sorted words, (label, sorted places of the distinct words) of each document), near copies of a document once.
+
+    Words become numbers in Arrow, so the driver holds no object per word and document.
+    """
+    listed = pa.concat_arrays(bags.chunks) if bags.num_chunks else pa.array([], bags.type)
+    encoded = listed.flatten().dictionary_encode()
+    found = encoded.dictionary.to_pylist()
+    order = sorted(range(len(found)), key=found.__getitem__)
+    found = [found[i] for i in order]
+    codes = np.argsort(order)[encoded.indices.to_numpy()] if order else np.zeros(0, np.int64)
+    digests = [hashlib.md5(w).digest() for w in found]
+    drawn = np.argsort(sorted(range(len(found)), key=digests.__getitem__)) if order else codes
+    first = np.concatenate([[0], np.cumsum([len(b) for b in listed])]).astype(np.int64)
+    rows = [(y, np.sort(codes[a:b]).astype(">u4")) for y, a, b in zip(labels.to_pylist(), first[:-1], first[1:], strict=True)]
+    seen: dict[tuple, tuple[int, np.ndarray]] = {}
+    for y, bag in sorted(rows, key=lambda r: (r[0], r[1].tobytes())):
+        seen.setdefault((y, *np.sort(drawn[bag])[:2].tolist()), (y, bag))
+    used = np.unique(np.concatenate([bag for _, bag in seen.values()])) if seen else codes
+    return [found[i] for i in used], [(y, np.searchsorted(used, bag)) for y, bag in seen.values()]
+
+
+def fit(labels: pa.ChunkedArray, bags: pa.ChunkedArray) -> Model:
+    """A model from the labels and the distinct words of documents."""
+    vocabulary, coded = _coded(labels, bags)
+    toxic, clean = ([bag for y, bag in coded if y == label and len(bag)] for label in (1, 0))
     if not toxic or not clean:
         return NO_MODEL
     up, down = (np.bincount(np.concatenate(x), minlength=len(vocabulary)) for x in (toxic, clean))
@@ -253,7 +270,10 @@ def fit(bags: list[tuple[int, list[bytes]]]) -> Model:
         whiten = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
         y = np.array([1.0] * (len(plus) + len(hidden)) + [-1.0] * (len(minus) + len(harmless)))
         weight = np.concatenate([1 + np.log(up[positive]), np.full(len(hidden), 0.5), np.ones(len(minus) + len(harmless))])
-        w = _machine(x @ whiten, y, weight)
+        features = np.ones((len(x), x.shape[1] + 1))
+        features[:, :-1] = x @ whiten
+        del x
+        w = _machine(features, y, weight)
         table, bias = marks.fold(whiten @ w[:-1]), float(w[-1])
         score = margins(*everything, table) + bias
         hard = cleanly[np.argsort(-score[cleanly], kind="stable")[: NEGATIVES // 4]].tolist()
@@ -323,19 +343,32 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["toxic"], pa.array(bags, pa.list_(pa.binary()))], ["toxic", "words"])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all bags of a task, as one row."""
+    found = [b for b in batches if b.num_rows]
+    model = fit(pa.chunked_array([b["toxic"] for b in found]), pa.chunked_array([b["words"] for b in found])) if found else NO_MODEL
+    numbers = [pa.array([x]) for x in (model.bias, model.slope, model.offset)]
+    yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), *numbers], ["weights", "bias", "slope", "offset"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` documents of each label, those with the least hash of their id.
 
     Only labels of ids whose CRC-32 modulo 3 is not 1 are used. The bound is per label, so
-    the driver gets the distinct words of at most 2 * sample documents.
+    one task gets the distinct words of at most 2 * sample documents, of SAMPLE_CHARS
+    characters each at most. It fits the machine, and runs again elsewhere if its executor is
+    lost; the driver gets the model alone, of a fixed size.
     """
     text_id = F.col("doc_id").cast("string")
     own = labels.where((F.crc32(text_id.cast("binary")) % 3 != 1) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = [own.where(F.col("toxic") == y).orderBy(F.md5(text_id.cast("binary")), "doc_id").limit(sample) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
-    bags = rows.select("toxic", "text").mapInArrow(Task(_bags), "toxic int, words array<binary>").collect()  # at most 2 * sample rows
-    return fit(sorted((r["toxic"], sorted(bytes(w) for w in r["words"])) for r in bags))
+    bags = rows.select("toxic", "text").mapInArrow(Task(_bags), "toxic int, words array<binary>")
+    fitted = bags.repartition(1).mapInArrow(Task(_fit), "weights binary, bias double, slope double, offset double").collect()  # one row of 4 MB
+    if not fitted:
+        return NO_MODEL
+    return Model(np.frombuffer(bytes(fitted[0]["weights"]), np.float32), fitted[0]["bias"], fitted[0]["slope"], fitted[0]["offset"])
 
 
 class _Score:
