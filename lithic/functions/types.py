@@ -27,6 +27,11 @@ PATTERNS = (
 )
 
 
+def cell(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_blank(text: Column) -> Column:
     """Null, empty or whitespace only."""
     return text.isNull() | (F.trim(F.regexp_replace(text, r"\s", " ")) == "")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.functions.types import cell
+
 GROUPS, CONFIDENCE, CORRELATION, ROWS = 3, 95.0, 0.95, 10
 COVERAGE, RELATION = 0.5, 50.0
 
@@ -21,7 +23,7 @@ def functional_dependencies(df: DataFrame) -> DataFrame:
     parts = []
     for a in df.columns:
         others = [b for b in df.columns if b != a]
-        groups = df.where(F.col(a).isNotNull()).groupBy(a).agg(*[(F.min(b) < F.max(b)).alias(f"_{i}") for i, b in enumerate(others)])
+        groups = df.where(cell(a).isNotNull()).groupBy(cell(a)).agg(*[(F.min(cell(b)) < F.max(cell(b))).alias(f"_{i}") for i, b in enumerate(others)])
         counts = groups.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(F.col(f"_{i}"), F.lit(False))).alias(f"_{i}") for i in range(len(others))])
         rows = F.array(*[F.struct(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), F.col("n").alias("n_groups"), (100 * (F.col("n") - F.col(f"_{i}")) / F.col("n")).alias("confidence_pct")) for i, b in enumerate(others)])
         parts.append(counts.where(F.col("n") >= GROUPS).select(F.inline(rows)))
@@ -31,11 +33,11 @@ def functional_dependencies(df: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(left, right, r) of numeric columns with an absolute Pearson correlation of at least 0.95."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    values = df.select(*[F.col(c).try_cast("double").alias(c) for c in columns])
+    values = df.select(*[cell(c).try_cast("double").alias(c) for c in columns])
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        both = cell(a).isNotNull() & cell(b).isNotNull()
+        x, y = F.when(both, cell(a)), F.when(both, cell(b))
         r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant column
         aggs += [r.alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
     rows = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])
@@ -63,7 +65,7 @@ def relationships(tables: dict[str, DataFrame], columns: dict[str, list[str]], k
     parts, facts = [], []
     for t, df in tables.items():
         for c in columns[t]:
-            one = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n"))
+            one = df.where(cell(c).isNotNull()).groupBy(cell(c).cast("string").alias("value")).agg(F.count("*").alias("n"))
             parts.append(one.select(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(kinds[t, c]).alias("kind"), "value", "n"))
     values = reduce(DataFrame.unionByName, parts).persist()
     sizes = values.groupBy("t", "c").agg(F.count("*").alias("distinct"), F.sum("n").alias("rows"))
@@ -85,5 +87,5 @@ def relationships(tables: dict[str, DataFrame], columns: dict[str, list[str]], k
 
 def fk_violations(parent: DataFrame, parent_column: str, child: DataFrame, child_column: str) -> DataFrame:
     """(value) of the child's distinct non-null values that the parent lacks."""
-    own = child.where(F.col(child_column).isNotNull()).select(F.col(child_column).alias("value")).distinct()
-    return own.join(parent.select(F.col(parent_column).alias("value")).distinct(), "value", "left_anti")
+    own = child.where(cell(child_column).isNotNull()).select(cell(child_column).alias("value")).distinct()
+    return own.join(parent.select(cell(parent_column).alias("value")).distinct(), "value", "left_anti")

@@ -25,7 +25,7 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     parts = []
     for i, c in enumerate(columns or df.columns):
         kind = kinds[c]
-        shown = ct.iso(F.col(c)) if kind in ("timestamp", "timestamp_ntz", "date") else F.col(c).cast("string")
+        shown = ct.iso(ct.cell(c)) if kind in ("timestamp", "timestamp_ntz", "date") else ct.cell(c).cast("string")
         family = "bool" if kind == "boolean" else "date" if kind in ("timestamp", "timestamp_ntz", "date") else "int" if kind in ("int", "bigint", "smallint", "tinyint") else "float" if kind in ("double", "float") else "text"
         parts.append(df.groupBy(shown.alias("value")).agg(F.count("*").alias("n")).select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(family).alias("kind"), "value", "n"))
     return reduce(DataFrame.unionByName, parts)
@@ -139,7 +139,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = SAMPLES
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows have an equal row, all copies counted."""
-    copies = df.groupBy(*df.columns).count().where("count > 1")
+    copies = df.groupBy(*[ct.cell(c) for c in df.columns]).count().where("count > 1")
     return copies.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -148,7 +148,7 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(df.columns) for b in df.columns[i + 1 :] if dict(df.dtypes)[a] == dict(df.dtypes)[b]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "left string, right string")
-    checks = df.agg(*[F.coalesce(F.bool_and(F.col(a).eqNullSafe(F.col(b))), F.lit(True)).alias(str(i)) for i, (a, b) in enumerate(pairs)])
+    checks = df.agg(*[F.coalesce(F.bool_and(ct.cell(a).eqNullSafe(ct.cell(b))), F.lit(True)).alias(str(i)) for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.when(F.col(str(i)), F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"))) for i, (a, b) in enumerate(pairs)])
     return checks.select(F.inline(F.filter(rows, lambda r: r.isNotNull())))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithic.functions.types import cell as whole_name
 from lithic.functions.types import is_blank
 
 OPERATORS = ("==", "!=", "<", "<=", ">", ">=", "contains", "in", "is_null", "not_null")
@@ -17,7 +18,7 @@ def predicate(df: DataFrame, column: str, op: str, value=None) -> Column:
     """One filter as a column that is never null."""
     if column not in df.columns:
         raise ValueError(f"unknown column {column!r}")
-    cell, kind = F.col(column), dict(df.dtypes)[column]
+    cell, kind = whole_name(column), dict(df.dtypes)[column]
     shown = cell.cast("string")
     if op in ("is_null", "not_null"):
         blank = is_blank(shown)
@@ -56,4 +57,4 @@ def query(df: DataFrame, filters: list[dict], columns: list[str] | None = None,
         if c not in df.columns:
             raise ValueError(f"unknown column {c!r}")
     most = max(1, min(limit if limit is not None else LIMIT, LIMIT_MOST))
-    return matched.select(*(columns or df.columns)).limit(most), matched.agg(F.count("*").alias("row_count_total"))
+    return matched.select(*[whole_name(c) for c in columns or df.columns]).limit(most), matched.agg(F.count("*").alias("row_count_total"))
