@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithic.functions import text
 from lithic.functions.types import to_timestamp
 
 
@@ -67,6 +68,11 @@ def soundex(a: Column, b: Column) -> Column:
     return _guard(a, b, (alpha(a) & alpha(b) & (F.soundex(a) == F.soundex(b))).cast("double"))
 
 
+def metaphone(a: Column, b: Column) -> Column:
+    x, y = text.metaphone(a), text.metaphone(b)
+    return _guard(a, b, ((x == y) & (x != "")).cast("double"))
+
+
 def _jaro_winkler(s: str | None, t: str | None) -> float:
     if not s or not t:
         return 0.0
@@ -105,7 +111,7 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
 REGISTRY = {
     "exact": exact, "levenshtein": levenshtein, "jaro_winkler": jaro_winkler, "jaccard_tokens": jaccard_tokens, "cosine_tokens": cosine_tokens,
-    "soundex": soundex, "ngram": ngram, "numeric_tolerance": numeric_tolerance, "date_proximity": date_proximity,
+    "soundex": soundex, "metaphone": metaphone, "ngram": ngram, "numeric_tolerance": numeric_tolerance, "date_proximity": date_proximity,
 }
 
 
