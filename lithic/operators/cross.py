@@ -89,3 +89,17 @@ def fk_violations(parent: DataFrame, parent_column: str, child: DataFrame, child
     """(value) of the child's distinct non-null values that the parent lacks."""
     own = child.where(cell(child_column).isNotNull()).select(cell(child_column).alias("value")).distinct()
     return own.join(parent.select(cell(parent_column).alias("value")).distinct(), "value", "left_anti")
+
+
+def counter_examples(df: DataFrame, determinant: str, dependent: str, k: int = 10) -> DataFrame:
+    """(value): the least ten values of a determinant that go with several values of the dependent."""
+    groups = df.where(cell(determinant).isNotNull()).groupBy(cell(determinant).alias("value")).agg((F.min(cell(dependent)) < F.max(cell(dependent))).alias("broken"))
+    return groups.where("broken").select(F.col("value").cast("string")).orderBy("value").limit(k)
+
+
+def fk_issue(violations: DataFrame, parent: tuple[str, str], child: tuple[str, str], k: int = 10) -> DataFrame:
+    """No row without violations, else one issue with their number and the least ten as samples."""
+    text = F.concat(F.lit(f"[FK violation] {child[0]}.{child[1]} has "), F.col("n").cast("string"), F.lit(f" value(s) not present in {parent[0]}.{parent[1]}."))
+    few = violations.select(F.col("value").cast("string")).orderBy("value").limit(k).agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
+    total = violations.agg(F.count("*").alias("n")).where("n > 0").crossJoin(F.broadcast(few))  # one row each
+    return total.select(F.lit(child[0]).alias("sheet"), F.lit(child[1]).alias("column"), F.lit("validity").alias("dimension"), F.lit("high").alias("severity"), text.alias("description"), "sample_values")

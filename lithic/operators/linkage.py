@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lithic.functions.normalize import normalize, parse_date, parse_email, parse_phone
 from lithic.functions.similarity import similarity
+from lithic.functions.types import cell
 
 PAIR_CAP = 100_000
 TEXT_MEASURES = ("levenshtein", "jaro_winkler", "jaccard_tokens", "cosine_tokens", "soundex", "metaphone", "ngram", "exact")
@@ -76,7 +77,7 @@ def _prepared(df: DataFrame, columns: list[tuple[str, str, str | None]], toggles
     parsers = {"email": parse_email, "phone": parse_phone, "date": parse_date}
     out = [F.col("_row_index")]
     for alias, column, parser in columns:
-        text = F.col(column).cast("string")
+        text = cell(column).cast("string")
         if parser:
             found = parsers[parser](text)
             out.append(F.when(found["ok"], found["value"]).alias(alias))
@@ -85,13 +86,8 @@ def _prepared(df: DataFrame, columns: list[tuple[str, str, str | None]], toggles
     return df.select(*out)
 
 
-def scores(a: DataFrame, b: DataFrame | None, config: Config, cap: int = PAIR_CAP) -> DataFrame:
-    """(i, j, score, per_column) of the pairs that pass the threshold and the importance gate.
-
-    ``a`` and ``b`` carry ``_row_index``. Blocks come from the heaviest important text
-    mapping; without one all pairs are candidates. The number of pairs is known from block
-    sizes before any pair is made; above the cap nothing runs.
-    """
+def _blocked(a: DataFrame, b: DataFrame | None, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Both sides with prepared texts and a blocking key; one key for all rows without a text mapping."""
     if not any(m.important for m in config.mappings):
         raise ValueError("at least one mapping must be important")
     same = b is None
@@ -103,6 +99,24 @@ def scores(a: DataFrame, b: DataFrame | None, config: Config, cap: int = PAIR_CA
         left, right = left.withColumn("key", blocking_key(F.col(f"l{k}"))), right.withColumn("key", blocking_key(F.col(f"r{k}")))
     else:
         left, right = left.withColumn("key", F.lit("")), right.withColumn("key", F.lit(""))
+    return left, right
+
+
+def candidate_count(a: DataFrame, b: DataFrame | None, config: Config) -> int:
+    """How many candidate pairs the settings give, without making them."""
+    left, right = _blocked(a, b, config)
+    return block_counts(left, None if b is None else right).first()["pairs"]
+
+
+def scores(a: DataFrame, b: DataFrame | None, config: Config, cap: int = PAIR_CAP) -> DataFrame:
+    """(i, j, score, per_column) of the pairs that pass the threshold and the importance gate.
+
+    ``a`` and ``b`` carry ``_row_index``. Blocks come from the heaviest important text
+    mapping; without one all pairs are candidates. The number of pairs is known from block
+    sizes before any pair is made; above the cap nothing runs.
+    """
+    same = b is None
+    left, right = _blocked(a, b, config)
     pairs = block_counts(left, None if same else right).first()["pairs"]
     if pairs > cap:
         raise TooManyPairs(pairs, cap)

@@ -164,8 +164,12 @@ def sheet_profile(df: DataFrame, profiles: DataFrame, name: str) -> DataFrame:
     return rows.select(F.lit(name).alias("sheet"), "row_count", F.lit(wide).cast("long").alias("column_count"), "duplicate_rows", full.alias("completeness_pct"), rag.alias("rag"))
 
 
-def issues(profiles: DataFrame, sheet: str, duplicates: int = 0) -> DataFrame:
-    """Issues that column profiles give rise to, and one for duplicate rows."""
+def issues(profiles: DataFrame, sheet: str, duplicates: int = 0, bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """Issues that column profiles give rise to, and one for duplicate rows; ``bounds`` are shown in their texts."""
+    limits = F.lit("")
+    for c, (lo, hi) in (bounds or {}).items():
+        shown = ", ".join("None" if x is None else repr(float(x)) for x in (lo, hi))
+        limits = F.when(F.col("column") == c, f" [{shown}]").otherwise(limits)
     filled = F.col("row_count") - F.col("null_count")
     name = F.concat(F.lit("Column '"), F.col("column"), F.lit("'"))
     whole = lambda c: F.col(c).cast("string")
@@ -176,8 +180,8 @@ def issues(profiles: DataFrame, sheet: str, duplicates: int = 0) -> DataFrame:
         ((F.col("null_pct") >= 5) & (F.col("null_pct") <= 20), "completeness", "low", nulls),
         (F.col("type_mismatch_count") > 0, "consistency", "high", F.concat(name, F.lit(" was inferred as '"), F.col("semantic_type"), F.lit("' but "), whole("type_mismatch_count"), F.lit(" of "), filled.cast("string"), F.lit(" non-null values do not conform."))),
         (F.col("pattern_pct") < 100, "consistency", "medium", F.concat(name, F.lit(" looks like '"), F.col("pattern_label"), F.format_string("' (%.1f%% conformance); some values don't match the pattern.", "pattern_pct"))),
-        (F.col("range_violations") > 0, "validity", "high", F.concat(name, F.lit(" has "), whole("range_violations"), F.lit(" value(s) outside the configured bounds."))),
-        (F.col("outliers_iqr") > 0, "accuracy", "low", F.concat(name, F.lit(" has "), whole("outliers_iqr"), F.lit(" Tukey-IQR outlier(s) and "), whole("outliers_mad"), F.lit(" MAD outlier(s)."))),
+        (F.col("range_violations") > 0, "validity", "high", F.concat(name, F.lit(" has "), whole("range_violations"), F.lit(" value(s) outside the configured bounds"), limits, F.lit("."))),
+        (F.col("outliers_iqr") > 0, "accuracy", "low", F.concat(name, F.lit(" has "), whole("outliers_iqr"), F.lit(" Tukey-IQR outlier(s) and "), whole("outliers_mad"), F.lit(" MAD outlier(s); investigate whether they are valid extremes."))),
         ((F.col("distinct_count") == 1) & (filled > 0), "uniqueness", "low", F.concat(name, F.lit(" has only one distinct value across "), filled.cast("string"), F.lit(" non-null rows; consider dropping."))),
     ]
     drafts = F.array(*[F.when(on, F.struct(F.lit(d).alias("dimension"), F.lit(s).alias("severity"), text.alias("description"))) for on, d, s, text in rules])
@@ -186,3 +190,40 @@ def issues(profiles: DataFrame, sheet: str, duplicates: int = 0) -> DataFrame:
         text = f"Sheet '{sheet}' contains {duplicates} row(s) that appear more than once."
         found = found.unionByName(profiles.sparkSession.createDataFrame([(sheet, None, "uniqueness", "medium", text)], found.schema))
     return found
+
+
+def _first(df: DataFrame, column: str, on: Column) -> DataFrame:
+    """(value) of the first rows where a condition on ``value`` holds, by ``_row_index`` or else by value."""
+    shown = ct.iso(ct.cell(column)) if dict(df.dtypes)[column] in ("timestamp", "timestamp_ntz", "date") else ct.cell(column).cast("string")
+    turn = F.col("_row_index") if "_row_index" in df.columns else F.lit(0)
+    return df.select(shown.alias("value"), turn.alias("turn")).where(on).orderBy("turn", "value").limit(SAMPLES)
+
+
+def samples(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(column, dimension, sample_values): up to ten cells behind each type and pattern issue.
+
+    Only flagged columns are read again, each by a bounded ordered selection.
+    """
+    fits = {"integer": ct.is_integer, "float": ct.is_float, "date": ct.is_date}
+    flagged = profiles.where("type_mismatch_count > 0 OR pattern_pct < 100").select("column", "semantic_type", "type_mismatch_count", "pattern_label").collect()  # a row per column
+    value, parts = F.col("value"), []
+    for r in flagged:
+        if r.type_mismatch_count and r.semantic_type in fits:
+            parts.append((r.column, "consistency", ~fits[r.semantic_type](value)))
+        elif r.pattern_label:
+            parts.append((r.column, "consistency", ~value.rlike(dict(ct.PATTERNS)[r.pattern_label])))
+    found = df.sparkSession.createDataFrame([], "column string, dimension string, sample_values array<string>")
+    for column, dimension, bad in parts:
+        picked = _first(df, column, ~ct.is_blank(value) & bad).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "value"))), lambda x: x["value"]).alias("sample_values"))
+        found = found.unionByName(picked.select(F.lit(column).alias("column"), F.lit(dimension).alias("dimension"), "sample_values"))
+    return found
+
+
+def column_pair_issues(pairs: DataFrame, sheet: str) -> DataFrame:
+    """Issues for equal columns (left, right) or, with ``r``, for correlated ones; both names are the samples."""
+    names = F.array("left", "right")
+    if "r" in pairs.columns:
+        text = F.format_string(f"Columns '%s' and '%s' on sheet '{sheet.replace('%', '%%')}' have Pearson r=%.3f (|r| >= 0.95); consider whether they are redundant.", "left", "right", "r")
+    else:
+        text = F.concat(F.lit(f"Sheet '{sheet}' has identical columns '"), F.col("left"), F.lit("' and '"), F.col("right"), F.lit("'; consider dropping one."))
+    return pairs.select(F.lit(sheet).alias("sheet"), F.lit(None).cast("string").alias("column"), F.lit("redundancy").alias("dimension"), F.lit("medium").alias("severity"), text.alias("description"), names.alias("sample_values"))
