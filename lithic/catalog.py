@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithic.functions import similarity as sim
+from lithic.functions import text as tx
 from lithic.functions import types as ct
 from lithic.functions.normalize import normalize, parse_date, parse_email, parse_phone
-from lithic.operators import cross, dashboard, linkage, profile, rows
+from lithic.operators import cross, dashboard, hierarchy, linkage, profile, rows
+from lithic.plans import annotate, recommend, report
+from lithic.streaming import profile as streamed
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -203,9 +206,19 @@ def fk_candidates(spark, sf_dir):
     return rounded(cross.relationships(tables, _FK, {(t, c): "integer" for t, cs in _FK.items() for c in cs}))
 
 
-@query("SELECT DISTINCT o_custkey AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@query("SELECT DISTINCT l_partkey AS value FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)")
 def fk_violations(spark, sf_dir):
-    return cross.fk_violations(table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+    return cross.fk_violations(table(spark, sf_dir, "supplier"), "s_suppkey", table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query("SELECT 'lineitem' AS sheet, 'l_partkey' AS \"column\", 'validity' AS dimension, 'high' AS severity, '[FK violation] lineitem.l_partkey has ' || count(DISTINCT l_partkey) || ' value(s) not present in supplier.s_suppkey.' AS description FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def fk_issue(spark, sf_dir):
+    return cross.fk_issue(fk_violations(spark, sf_dir), ("supplier", "s_suppkey"), ("lineitem", "l_partkey")).drop("sample_values")
+
+
+@query("SELECT value FROM (SELECT CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1) ORDER BY value LIMIT 10")
+def fd_counter_examples(spark, sf_dir):
+    return cross.counter_examples(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
 
 def _filter(name: str, t: str, keep: list[str], filters: list[dict], sql: str) -> None:
@@ -251,21 +264,22 @@ def parse_dates(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey <= 60").select("p_partkey", "p_name", "p_size")
+    """Every part with the one that follows it by key."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     a, b = part.alias("a"), part.alias("b")
-    return a.join(b, F.col("a.p_partkey") < F.col("b.p_partkey"))
+    return a.join(b, F.col("a.p_partkey") + 1 == F.col("b.p_partkey"))
 
 
-_PAIRS = "FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE a.p_partkey <= 60 AND b.p_partkey <= 60"
+_PAIRS = "FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey"
 
 
-def _measure(name: str, column: str, sql: str) -> None:
+def _measure(name: str, column: str, sql: str | None = None) -> None:
     def run(spark, sf_dir):
         score = sim.similarity(name, F.col(f"a.{column}").cast("string"), F.col(f"b.{column}").cast("string"))
         return rounded(_pairs(spark, sf_dir).select(F.col("a.p_partkey").alias("i"), F.col("b.p_partkey").alias("j"), score.alias("score")))
 
     run.__name__ = f"sim_{name}"
-    query(f"SELECT a.p_partkey AS i, b.p_partkey AS j, round(CAST({sql} AS DOUBLE), 6) AS score {_PAIRS}")(run)
+    query(sql and f"SELECT a.p_partkey AS i, b.p_partkey AS j, round(CAST({sql} AS DOUBLE), 6) AS score {_PAIRS}")(run)
 
 
 _T = "list_filter(string_split({x}.p_name, ' '), lambda t: t <> '')"
@@ -273,6 +287,10 @@ _measure("exact", "p_name", "CASE WHEN a.p_name = b.p_name THEN 1 ELSE 0 END")
 _measure("levenshtein", "p_name", "1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))")
 _measure("jaro_winkler", "p_name", "jaro_winkler_similarity(a.p_name, b.p_name)")
 _measure("jaccard_tokens", "p_name", f"len(list_intersect({_T.format(x='a')}, {_T.format(x='b')})) / len(list_distinct(list_concat({_T.format(x='a')}, {_T.format(x='b')})))")
+_measure("soundex", "p_name")
+_measure("metaphone", "p_name")
+_measure("ngram", "p_name")
+_measure("cosine_tokens", "p_name")
 _measure("numeric_tolerance", "p_size", "greatest(0, 1 - abs(a.p_size - b.p_size) / (0.01 + 0.05 * greatest(abs(a.p_size), abs(b.p_size))))")
 
 
@@ -337,6 +355,101 @@ def sibling_rank(spark, sf_dir):
     return dashboard.sibling_rank(_tree(spark, sf_dir))
 
 
+@query("SELECT '0:' || r_regionkey AS ancestor, count(*) AS n FROM (SELECT r_regionkey FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey) GROUP BY 1 UNION ALL SELECT '1:' || c_nationkey, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def descendant_counts(spark, sf_dir):
+    return hierarchy.lineage(_tree(spark, sf_dir)).groupBy("ancestor").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id FROM {_TREE} WHERE NOT coalesce(parent = '0:1', false) AND NOT coalesce(parent IN (SELECT '1:' || n_nationkey FROM nation WHERE n_regionkey = 1), false)")
+def visible_nodes(spark, sf_dir):
+    return hierarchy.visible(_tree(spark, sf_dir), ["0:1"]).select("id")
+
+
+@query(f"SELECT id, contains(lower(name), 'an') AS hit FROM {_TREE}")
+def label_search(spark, sf_dir):
+    return hierarchy.search(_tree(spark, sf_dir), " AN ")
+
+
+@query(f"SELECT parent AS source, id AS target FROM {_TREE} WHERE parent IS NOT NULL")
+def tree_edges(spark, sf_dir):
+    return hierarchy.edges(_tree(spark, sf_dir))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS broken FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IS NULL")
+def hierarchy_validation(spark, sf_dir):
+    return hierarchy.validate(_tree(spark, sf_dir)).agg(F.count("*").alias("broken"))
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS region, '0' AS id, NULL AS parent, 1 AS level, r_name AS name FROM region UNION ALL SELECT CAST(n_regionkey AS VARCHAR), '0.' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1), '0', 2, n_name FROM nation")
+def tree_from_json(spark, sf_dir):
+    """Each region with its nations by name, as a tree in JSON, taken apart again."""
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list("n_name")), lambda n: F.struct(n.alias("name"))).alias("children"))
+    tops = table(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
+    trees = tops.select(F.col("r_regionkey").cast("string").alias("region"), F.to_json(F.array(F.struct(F.col("r_name").alias("name"), "children"))).alias("tree"))
+    return hierarchy.from_json(trees, "tree", "region").drop("description", "position")
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '^https?://[^/?#:]') AND NOT regexp_matches(lower(url), '^https?://(localhost|127[.]|10[.]|192[.]168[.])') AS ok FROM pages")
+def safe_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.safe_url(F.col("url")).alias("ok"))
+
+
+@query("SELECT page_id, url, url AS title FROM pages WHERE url <> ''")
+def transcript_citations(spark, sf_dir):
+    cited = F.array(F.struct(F.col("url").alias("url"), F.lit(None).cast("string").alias("title")), F.struct(F.col("url").alias("url"), F.lit("again").alias("title")))
+    transcript = F.to_json(F.array(F.struct(F.array(F.struct(cited.alias("citations"))).alias("content"))))
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(tx.citations(transcript))).select("page_id", "url", "title")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '... [+' || (length(text) - 300) || ' more chars]' ELSE text END AS preview FROM documents")
+def text_preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT conv_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn, t), '') AS text FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id")
+def joined_turns(spark, sf_dir):
+    """Turns of a conversation as one text; a conversation has a handful."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("turns"))
+    return turns.select("conv_id", tx.join_turns(F.col("turns")).alias("text"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(*) FILTER (value IS NULL) AS nulls, round(min(value), 4) AS low, round(max(value), 4) AS high, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    return rounded(streamed.windowed(table(spark, sf_dir, "events"), "ts", "value", ["event_type"]), 4)
+
+
+@query("SELECT * FROM (VALUES ('n_name', 'c_name', 'jaro_winkler'), ('n_nationkey', 'c_nationkey', 'numeric_tolerance')) v(column_a, column_b, measure)")
+def recommended_mappings(spark, sf_dir):
+    """Settings for nations and customers, from their profiles alone; prefixes of column names count as words."""
+    both = {}
+    for name in ("nation", "customer"):
+        df = table(spark, sf_dir, name)
+        both[name] = recommend.facts(profile.column_profiles(df), profile.top_values(df))
+    found = recommend.mappings(both["nation"], both["customer"])
+    return spark.createDataFrame([(m.left, m.right, m.measure) for m in found], "column_a string, column_b string, measure string")
+
+
+@query(f"SELECT CAST(1 AS BIGINT) AS issue_id, 'done' AS ai_status, 'Review the completeness of the data.' AS ai_fix FROM {CUSTOMERS} HAVING 100.0 * count(*) FILTER (c_mktsegment IS NULL) / count(*) BETWEEN 5 AND 20")
+def annotated_issues(spark, sf_dir):
+    found = profile.issues(profile.column_profiles(customers(spark, sf_dir)), "customer")
+    numbered = found.withColumn("issue_id", F.row_number().over(Window.orderBy("sheet", "column", "dimension")).cast("long"))  # a few per column
+    return annotate.annotate(numbered).select("issue_id", "ai_status", "ai_fix")
+
+
+@query("SELECT 'k' AS \"column\", 'consistency' AS dimension, 'n/a' AS sample, least(10, count(*) FILTER (o_orderkey % 250 = 0)) AS n FROM orders HAVING count(*) FILTER (o_orderkey % 250 = 0) > 0")
+def issue_samples(spark, sf_dir):
+    k = F.when(F.col("o_orderkey") % 250 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string"))
+    df = table(spark, sf_dir, "orders").select(k.alias("k"))
+    found = profile.samples(df, profile.column_profiles(df)).select("column", "dimension", F.explode("sample_values").alias("sample"))
+    return found.groupBy("column", "dimension", "sample").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'o_totalprice' AS \"column\", round(min(o_totalprice), 2) AS low, round(median(o_totalprice), 2) AS middle, round(max(o_totalprice), 2) AS high FROM orders")
+def distribution_summary(spark, sf_dir):
+    got = report.five_numbers(profile.column_profiles(table(spark, sf_dir, "orders"), columns=["o_totalprice"]))
+    return rounded(got.select("column", F.col("summary")[0].alias("low"), F.col("summary")[2].alias("middle"), F.col("summary")[4].alias("high")), 2)
+
+
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_decode(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
