@@ -204,6 +204,40 @@ def test_line_dedup(spark):
     assert line_templates.report(rows.limit(0)).count() == 0
 
 
+def test_line_dedup_places(spark):
+    line = "the user {} logged in from the {} office at noon and left {} again"
+    texts = [line.format(a, b, c) for a, b, c in (("ann", "main", "late"), ("bob", "north", "late"), ("bob", "north", "soon"), ("eve", "east", "never"))]
+    texts += ["the user ann went out of the small door to see what had come up"] + [f"Posted by {who} in News" for who in ("ann", "bob", "cid", "dan", "eve", "fay", "gus", "hal")] + ["Posted by ann on Monday"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.report(rows).collect()}
+    assert [i for i in sorted(got) if got[i]] == [0, 4, 5, 13]
+
+
+def test_line_groups():
+    draw = np.random.default_rng(5)
+    lines, leaf = [], []
+    for n in (8, 11, 20):
+        for _ in range(12):
+            base = draw.integers(0, 50, n)
+            for _ in range(int(draw.choice([1, 3, 40]))):
+                copy = base.copy()
+                for k in draw.choice(np.arange(2, n), int(draw.integers(0, n // 2)), replace=False):
+                    copy[k] = draw.integers(0, 50)
+                lines.append(copy)
+                leaf.append(n)
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if leaf[i] == leaf[j] and (lines[i][2:] != lines[j][2:]).sum() <= -(-(leaf[i] - 2) // 3):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    for line in lines:
+        line[:2] = 1  # the leaf's leading words
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+    assert line_templates.groups(np.array(leaf, np.uint64), np.concatenate(lines).astype(np.uint32), ends).tolist() == root
+    assert len(set(root)) < len(root)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
