@@ -5,9 +5,10 @@ such a leaf groups its lines by the words that are equal in the same place. Word
 digit are variable fields: they equal each other. Lines of at least LONG words belong
 together if at most a third of the words behind the leading ones differ (rounded up), in any
 places, directly or by way of other lines. Shorter lines of at least MASKED words belong to
-one template for each place behind the leading words, in which that word is variable. Lines
-recur if enough documents have them; they are dropped from all of them but the first, by
-doc_id.
+one template for each place behind the leading words, in which that word is variable; and
+neighbouring shorter lines of together LONG words, as few as it takes, are one unit. Lines
+and units recur if enough documents have them; they are dropped from all of them but the
+first, by doc_id.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from lithic.llm.common import Task, staged
 from lithic.llm.wordhash import _powers, flat, mix, slices, words
 
 LEAD, SEGMENTS, LONG, MASKED = 2, 3, 8, 5
-#: Documents that make a template recur: for lines of at least LONG words, and for shorter ones.
+#: Documents that make a template recur: for lines and units of at least LONG words, and for shorter lines.
 DOCUMENTS, DOCUMENTS_SHORT = 2, 8
 
 #: Lowest two bits of a key: what it stands for.
-_SHORT, _WHOLE = 2, 3
+_UNIT, _SHORT, _WHOLE = 1, 2, 3
 #: Bits of the map of leaves, lines that are grouped at once, lines whose pairs are all tried.
 _LEAF_BITS, _CHUNK, _PAIRED = 25, 50_000, 16
 
@@ -94,11 +95,38 @@ def line_keys(lines: _Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(LEAD, LONG - 1):
         on = ~long & (lines.n >= MASKED) & (lines.n > k)
         found.append((lines.own[on], lines.own[on], _mark(lines.whole[on] - lines.value[lines.begin[on] + k] + np.uint64((k + 1) * _SALT % 2**64), _SHORT)))
+    found += _units(lines)
     start, stop, keys = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(start, kind="stable")
     return start[order], stop[order], keys[order]
 
 
+def _units(lines: _Lines) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, key) of the least runs of short lines with LONG words that begin or end at each; lines without words do not count.
+
+    Any passage of short lines with LONG words is covered by such runs inside it.
+    """
+    count = len(lines.own)
+    if not count:
+        return []
+    short = ~lines.long()
+    run = np.cumsum(~short | (np.diff(lines.text(lines.own), prepend=-1) != 0))
+    run = np.where(short, 2 * run, -np.arange(1, count + 1))  # a long line is in no run
+    total = np.cumsum(lines.n)
+    at = np.arange(count)
+    to = np.searchsorted(total, total - lines.n + LONG)
+    since = np.searchsorted(total - lines.n, total - LONG, "right") - 1
+    forward, back = short & (to < count) & (run[np.minimum(to, count - 1)] == run), short & (since >= 0) & (run[np.maximum(since, 0)] == run)
+    a, b = np.concatenate([at[forward], since[back]]), np.concatenate([to[forward], at[back]])
+    both = np.unique(a * count + b)
+    a, b = both // count, both % count
+    own, powers, unit = mix(lines.whole), _powers(0xD1342543DE82EF95, LONG), (b - a).astype(np.uint64)
+    for k in range(LONG):
+        on = a + k <= b
+        unit[on] += own[a[on] + k] * powers[k]
+    return [(lines.own[a], lines.own[b], _mark(unit, _UNIT))]
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct template hashes, with the leaf of a long line."""
     for batch in batches:
@@ -334,7 +362,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     keys = staged(rows.mapInArrow(Task(_emit), "doc_id long, key long, leaf long"), "lines")
     kind = F.col("key").bitwiseAND(F.lit(3).cast("long"))
     recurring = keys.where(kind != _WHOLE).groupBy("key").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    recurring = recurring.where((F.col("documents") >= DOCUMENTS_SHORT) & (F.col("first") < F.col("last"))).select("key", "first")
+    recurring = recurring.where((F.col("documents") >= F.when(kind == _UNIT, DOCUMENTS).otherwise(DOCUMENTS_SHORT)) & (F.col("first") < F.col("last"))).select("key", "first")
     leaves = docs.sparkSession.sparkContext.broadcast(_shared_leaves(keys))  # 2 ** _LEAF_BITS bits
     gathered = rows.mapInArrow(Task(_Gather(leaves)), _Gather.SCHEMA).repartition("leaf").sortWithinPartitions("leaf")
     recurring = recurring.unionByName(gathered.mapInArrow(Task(_leaves), "key long, first long"))

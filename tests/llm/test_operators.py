@@ -213,6 +213,26 @@ def test_line_dedup_places(spark):
     assert [i for i in sorted(got) if got[i]] == [0, 4, 5, 13]
 
 
+def test_line_dedup_passages(spark):
+    verse = [f"verse {'so sweet ' * (i % 3)}{'abcdefghij'[i]}" for i in range(10)]
+    long = "one long line that belongs to the {} document and stays in it"
+    texts = ["\n".join(["mine", *verse[:5], "", *verse[5:], "end here"]), "\n".join(["yours", *verse[:4], verse[4], " ", *verse[5:], long.format("second")]), "\n".join([verse[0], long.format("3rd and last"), verse[1]]), verse[9]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.report(rows).collect()}
+    assert got[0] == texts[0] and got[2] == texts[2] and got[3] == texts[3]
+    assert got[1] == f"yours\n \n{long.format('second')}"
+
+
+def test_line_units():
+    draw = np.random.default_rng(7)
+    for _ in range(200):
+        sizes = draw.integers(1, 8, int(draw.integers(1, 9)))
+        text = "\n".join(" ".join("w" * int(k) for k in draw.integers(1, 9, n)) for n in sizes)
+        found = line_templates._units(line_templates._parse(line_templates.pa.array([text])))
+        covered = {i for a, b, _ in found for x, y in zip(a, b, strict=True) for i in range(x, y + 1)}
+        assert covered == (set(range(len(sizes))) if sizes.sum() >= 8 else set())
+
+
 def test_line_groups():
     draw = np.random.default_rng(5)
     lines, leaf = [], []
