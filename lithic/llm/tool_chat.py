@@ -25,8 +25,8 @@ SCHEMAS = {
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-#: Rounds in which levels of calls that wait for other results settle.
-ROUNDS = 64
+#: Level of calls in cycles and behind them; one more for results without a settled call.
+LAST = 2_000_000_000
 
 
 def canonical(pairs: Column) -> Column:
@@ -76,7 +76,7 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     Calls and results meet by conversation and identifier in a hash join. A call waits for
     the results that its argument values name as ``@identifier``; levels grow along these
     waits and a row's position is (level, turn, part), so the order is topological. Calls in
-    a cycle keep linked = false and come last. If calls share an identifier, the earliest
+    a cycle and calls that wait for them keep linked = false and come last. If calls share an identifier, the earliest
     is meant; of equal results each is linked. Null texts are empty prose, malformed JSON
     is prose, null conversations and turns are values of their own, repeated rows stay,
     an empty table gives an empty result, other columns are not read. No row gathers a
@@ -107,15 +107,15 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     body = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("{}")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
     made = made.withColumn("problems", wrong).select(
         "conv_id", "turn", "part", F.lit("call").alias("kind"), "call_id", (F.coalesce("answered", F.lit(False)) & F.col("level").isNotNull()).alias("linked"), (F.size("problems") == 0).alias("valid"), "problems",
-        F.coalesce(F.col("level"), F.lit(2 * ROUNDS + 2)).alias("level"), body.alias("json"),
+        F.coalesce(F.col("level"), F.lit(LAST)).alias("level"), body.alias("json"),
     )
     given = _left(results, levels, on, ["level", "known"]).select(
         "conv_id", "turn", "part", F.lit("result").alias("kind"), "call_id", F.coalesce("known", F.lit(False)).alias("linked"), F.lit(None).cast("boolean").alias("valid"),
-        F.expr("cast(array() as array<string>)").alias("problems"), F.coalesce(F.col("level") + 1, F.lit(2 * ROUNDS + 3)).alias("level"),
+        F.expr("cast(array() as array<string>)").alias("problems"), F.coalesce(F.col("level") + 1, F.lit(LAST + 1)).alias("level"),
         canonical(F.create_map(F.lit("content"), F.col("content"), F.lit("role"), F.lit("tool"), F.lit("tool_call_id"), F.col("call_id"))).alias("json"),
     )
     every = prose.unionByName(made).unionByName(given)
-    position = F.concat_ws(":", F.lpad(F.col("level").cast("string"), 4, "0"), F.lpad(F.coalesce(F.col("turn").cast("string"), F.lit("")), 20, "0"), F.lpad(F.col("part").cast("string"), 10, "0"))
+    position = F.concat_ws(":", F.lpad(F.col("level").cast("string"), 10, "0"), F.lpad(F.coalesce(F.col("turn").cast("string"), F.lit("")), 20, "0"), F.lpad(F.col("part").cast("string"), 10, "0"))
     return every.withColumn("position", position)
 
 
@@ -129,7 +129,13 @@ def _left(rows: DataFrame, other: DataFrame, on: list[str], take: list[str]) ->
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, known) of each identifier's earliest call; no level in cycles."""
+    """(conv_id, call_id, level, known) of each identifier's earliest call; no level in cycles and behind them.
+
+    In each round a call gets its level if all that it waits for have theirs; a wait for a call
+    that itself has one wait only is replaced by that one, with the steps added, so a chain
+    takes rounds by the logarithm of its length. A round that settles nothing is the last:
+    among open calls outside of cycles one waits for settled ones alone.
+    """
     earliest = Window.partitionBy("conv_id", "call_id").orderBy("turn", "part")
     nodes = calls.where("call_id IS NOT NULL").withColumn("n", F.row_number().over(earliest)).where("n = 1").select("conv_id", "call_id", "waits")
     waits = staged(nodes.select("conv_id", "call_id", F.explode("waits").alias("on")), "waits")
@@ -137,17 +143,26 @@ def _levels(calls: DataFrame) -> DataFrame:
     known = nodes.select("conv_id", "call_id", F.lit(True).alias("known"))
     if waits.isEmpty():
         return known.withColumn("level", F.lit(0))
-    waits = _left(waits.select("conv_id", F.col("call_id").alias("waiter"), F.col("on").alias("call_id")), known, ["conv_id", "call_id"], ["known"]).where("known").select("conv_id", "waiter", F.col("call_id").alias("on"))
-    waits = staged(waits, "waits")
+    waits = _left(waits.select("conv_id", F.col("call_id").alias("waiter"), F.col("on").alias("call_id")), known, ["conv_id", "call_id"], ["known"]).where("known")
+    waits = staged(waits.select("conv_id", "waiter", F.col("call_id").alias("on"), F.lit(1).alias("steps")), "waits")
     blocked = waits.select("conv_id", F.col("waiter").alias("call_id")).distinct().withColumn("waits", F.lit(True))
     level = _left(nodes, blocked, ["conv_id", "call_id"], ["waits"]).withColumn("level", F.when(F.col("waits").isNull(), 0)).drop("waits")
     level = staged(level, "levels")
-    for _ in range(ROUNDS):
+    settled, longest = level.where("level IS NOT NULL").count(), level.count()
+    while True:
         before = level.select("conv_id", F.col("call_id").alias("on"), "level")
-        ready = _left(waits, before, ["conv_id", "on"], ["level"]).groupBy("conv_id", F.col("waiter").alias("call_id")).agg(F.when(F.count("level") == F.count("*"), F.max("level") + 2).alias("ready"))
-        after = staged(_left(level, ready, ["conv_id", "call_id"], ["ready"]).select("conv_id", "call_id", F.coalesce("level", "ready").alias("level")), "levels")
-        moved = after.where("level IS NOT NULL").count() != level.where("level IS NOT NULL").count()
-        level = after
-        if not moved:
+        reached = _left(waits, before, ["conv_id", "on"], ["level"]).groupBy("conv_id", F.col("waiter").alias("call_id"))
+        ready = reached.agg(F.when(F.count("level") == F.count("*"), F.max(F.col("level") + 2 * F.col("steps"))).alias("ready"))
+        level = staged(_left(level, ready, ["conv_id", "call_id"], ["ready"]).select("conv_id", "call_id", F.coalesce("level", "ready").alias("level")), "levels")
+        now = level.where("level IS NOT NULL").count()
+        if now == settled or now == longest:
             break
+        settled = now
+        waiters = level.where("level IS NULL").select("conv_id", F.col("call_id").alias("waiter"), F.lit(True).alias("open"))
+        waits = staged(_left(waits, waiters, ["conv_id", "waiter"], ["open"]).where("open").drop("open"), "waits")
+        single = waits.groupBy("conv_id", F.col("waiter").alias("on")).agg(F.count("*").alias("n"), F.min("on").alias("next"), F.min("steps").alias("more")).where("n = 1")
+        nearer = _left(waits, single, ["conv_id", "on"], ["next", "more"])
+        jump = F.col("next").isNotNull() & (F.col("steps") + F.col("more") <= longest)  # a longer path is a cycle's
+        nearer = nearer.select("conv_id", "waiter", F.when(jump, F.col("next")).otherwise(F.col("on")).alias("on"), F.when(jump, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"))
+        waits = staged(nearer.groupBy("conv_id", "waiter", "on").agg(F.max("steps").alias("steps")), "waits")
     return level.withColumn("known", F.lit(True))

@@ -91,6 +91,24 @@ def test_tool_chat(spark):
     assert tool_chat.link(messages.limit(0)).count() == 0
 
 
+def test_tool_chat_chains(spark):
+    call = '{"tool_calls":[{"id":"%s","name":"lookup","arguments":{"key":"k",%s}}]}'
+    waits = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(150)}  # a chain of 150 calls
+    waits |= {"x": ["y"], "y": ["x"], "z": ["y", "c3"], "s": ["s"], "d0": ["c1"], "d1": ["d0", "c5"], "d2": ["d0", "d1", "gone"], "d3": ["d2", "c149"]}
+    rows = []
+    for turn, (name, on) in enumerate(reversed(waits.items())):
+        rows += [(1, 2 * turn, "assistant", call % (name, ",".join(f'"a{k}":"@{w}"' for k, w in enumerate(["none", *on])))), (1, 2 * turn + 1, "tool", '{"tool_call_id":"%s","content":"r"}' % name)]
+    got = tool_chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = {}
+    for name in [*(f"c{i}" for i in range(150)), "d0", "d1", "d2", "d3"]:
+        want[name] = max([want[w] + 2 for w in waits[name] if w in want], default=0)
+    assert {r.call_id: r.level for r in got if r.kind == "call" and r.linked} == want
+    order = [(r.kind, r.call_id) for r in sorted(got, key=lambda r: r.position)]
+    at = {key: i for i, key in enumerate(order)}
+    assert all(at["result", w] < at["call", name] for name in want for w in waits[name] if w in want)
+    assert {name for _, name in order[-8:]} == {"x", "y", "z", "s"}
+
+
 def test_url_filter(spark):
     urls = ["http://Sub.Example.NET/en/1", "https://x.example.net", "x://a.org/fr/casino", "no scheme casino", None, "", "http://a.b/poker?x#y", "http://e.example.com/de/", "http://pokers.b/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
