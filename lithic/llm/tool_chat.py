@@ -23,7 +23,7 @@ SCHEMAS = {
     "lookup": {"key": "string", "after?": "string"},
 }
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>>"
+CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 #: Level of calls in cycles and behind them; one more for results without a settled call.
 LAST = 2_000_000_000
@@ -36,29 +36,40 @@ def canonical(pairs: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
 
 
+def canonical_values(pairs: Column) -> Column:
+    """A JSON object of a map of variants, as canonical(); each value keeps its JSON type, nested objects have their keys in order."""
+    texts = F.transform(F.array_sort(F.map_keys(pairs)), lambda k: F.concat(_quoted(k), F.lit(":"), F.to_json(F.element_at(pairs, k))))
+    return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+
+
+def _object(value: Column) -> Column:
+    """The fields of a variant that is an object, as a map of variants; else null."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
 def _quoted(text: Column) -> Column:
     one = F.to_json(F.struct(text.alias("v")))  # {"v":"..."}, or {} for null
     return F.when(text.isNull(), F.lit("null")).otherwise(F.substring(one, F.lit(6), F.length(one) - 6))
 
 
 def _kind(value: Column) -> Column:
-    """The JSON kind that an argument's text reads as."""
-    return F.when(value.isNull(), "null").when(value.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "number").when(value.isin("true", "false"), "boolean").otherwise("string")
+    """The JSON kind of a variant."""
+    kind = F.lower(F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1))
+    return F.when(kind == "void", "null").when(kind.isin("bigint", "decimal", "double", "float"), "number").otherwise(kind)
 
 
 def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, str]] = SCHEMAS) -> Column:
-    """What is wrong with the arguments of a call: an array of strings, empty if nothing."""
+    """What is wrong with the arguments of a call, a map of variants: an array of strings, empty if nothing."""
     found = F.array(F.when(name.isNull(), "no name").otherwise(F.concat(F.lit("unknown tool "), name)))
     none = F.expr("cast(array() as array<string>)")
     for tool, fields in sorted(schemas.items()):
         checks = []
         for field, kind in sorted(fields.items()):
             key, optional = field.rstrip("?"), field.endswith("?")
-            value = F.element_at(arguments, F.lit(key))
+            value = F.try_element_at(arguments, F.lit(key))
             has = F.coalesce(F.map_contains_key(arguments, F.lit(key)), F.lit(False))
-            right = F.lit(True) if kind == "string" else _kind(value) == kind
             absent = F.lit(None).cast("string") if optional else F.lit(f"{key} is missing")
-            checks.append(F.when(~has, absent).when(value.isNull() | ~right, F.lit(f"{key} is not a {kind}")))
+            checks.append(F.when(~has, absent).when(has & (_kind(value) != kind), F.lit(f"{key} is not a {kind}")))
         known = F.array(*[F.lit(f.rstrip("?")) for f in fields])
         extra = F.transform(F.array_except(F.coalesce(F.map_keys(arguments), none), known), lambda k: F.concat(k, F.lit(" is unknown")))
         found = F.when(name == tool, F.concat(F.filter(F.array(*checks), lambda x: x.isNotNull()), F.array_sort(extra))).otherwise(found)
@@ -78,10 +89,15 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     waits and a row's position is (level, turn, part), so the order is topological. Calls in
     a cycle and calls that wait for them keep linked = false and come last. If calls share an identifier, the earliest
     is meant; of equal results each is linked. Null texts are empty prose, malformed JSON
-    is prose, null conversations and turns are values of their own, repeated rows stay,
+    is prose, of fields of one name in an object the last counts, null conversations and turns are values of their own, repeated rows stay,
     an empty table gives an empty result, other columns are not read. No row gathers a
     whole conversation, so one very long conversation is no hot group.
+
+    Arguments keep their JSON types: they are variants, numbers exact to 38 digits, beyond
+    that and with exponents doubles. Keys inside nested values are in UTF-16 order. Absent
+    arguments count as an empty object.
     """
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # else such calls would be lost
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), text.alias("text"))
     maybe = F.trim("text").startswith("{")
@@ -95,7 +111,9 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
         canonical(F.create_map(F.lit("content"), F.col("text"), F.lit("role"), F.col("role"))).alias("json"),
     )
     calls = rows.where(is_call).select("conv_id", "turn", F.posexplode("calls").alias("part", "call"))
-    waits = F.transform(F.filter(F.coalesce(F.map_values("call.arguments"), F.expr("cast(array() as array<string>)")), lambda v: v.startswith("@")), lambda v: F.substring(v, F.lit(2), F.length(v)))
+    values = F.coalesce(F.map_values(_object(F.col("call.arguments"))), F.expr("cast(array() as array<variant>)"))
+    values = F.transform(F.filter(values, lambda v: _kind(v) == "string"), lambda v: F.variant_get(v, "$", "string"))
+    waits = F.transform(F.filter(values, lambda v: v.startswith("@")), lambda v: F.substring(v, F.lit(2), F.length(v)))
     calls = calls.select("conv_id", "turn", "part", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), F.array_distinct(waits).alias("waits"))
     results = rows.where(is_result).select("conv_id", "turn", F.lit(0).alias("part"), F.col("result.tool_call_id").alias("call_id"), F.col("result.content").alias("content"))
     calls, results = staged(calls, "calls"), staged(results, "results")
@@ -103,8 +121,10 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     on = ["conv_id", "call_id"]
     made = _left(_left(calls, levels, on, ["level"]), answered, on, ["answered"])
-    wrong = problems(F.col("name"), F.col("arguments"), schemas)
-    body = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("{}")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
+    fields = _object(F.col("arguments"))
+    shape = F.when(F.col("arguments").isNotNull() & fields.isNull(), F.array(F.lit("arguments are not an object"))).otherwise(F.expr("cast(array() as array<string>)"))
+    wrong = F.concat(shape, problems(F.col("name"), fields, schemas))
+    body = F.concat(F.lit('{"arguments":'), F.coalesce(canonical_values(fields), F.to_json("arguments"), F.lit("{}")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
     made = made.withColumn("problems", wrong).select(
         "conv_id", "turn", "part", F.lit("call").alias("kind"), "call_id", (F.coalesce("answered", F.lit(False)) & F.col("level").isNotNull()).alias("linked"), (F.size("problems") == 0).alias("valid"), "problems",
         F.coalesce(F.col("level"), F.lit(LAST)).alias("level"), body.alias("json"),

@@ -91,6 +91,20 @@ def test_tool_chat(spark):
     assert tool_chat.link(messages.limit(0)).count() == 0
 
 
+def test_tool_chat_types(spark):
+    call = '{"tool_calls":[{"id":"%s","name":"search","arguments":%s}]}'
+    arguments = ['{"query":5}', '{"query":"5","limit":"5"}', '{"limit":5.5,"query":"5"}', '{"query":null,"limit":true}', '{"query":{"b":[1,{"y":null,"x":"é\\n"}],"a":-2}}', '["@a0"]', '{"query":"q","query":"r"}', '{"query":"q","limit":1e2}']
+    rows = [(1, i, "assistant", call % (f"a{i}", a)) for i, a in enumerate(arguments)] + [(1, 99, "assistant", '{"tool_calls":[{"id":"a99","name":"search"}]}')]
+    got = {r.call_id: r for r in tool_chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows) and {r.kind for r in got.values()} == {"call"}
+    wrong = {k: r.problems for k, r in got.items()}
+    assert wrong["a0"] == ["query is not a string"] and wrong["a1"] == ["limit is not a number"] and wrong["a2"] == [] and wrong["a3"] == ["limit is not a number", "query is not a string"]
+    assert wrong["a4"] == ["query is not a string"] and wrong["a5"] == ["arguments are not an object", "query is missing"] and wrong["a6"] == wrong["a7"] == [] and wrong["a99"] == ["query is missing"]
+    written = {k: r.json.removeprefix('{"arguments":').partition(',"id":"a')[0] for k, r in got.items()}
+    assert [written[f"a{i}"] for i in range(6)] == ['{"query":5}', '{"limit":"5","query":"5"}', '{"limit":5.5,"query":"5"}', '{"limit":true,"query":null}', '{"query":{"a":-2,"b":[1,{"x":"é\\n","y":null}]}}', '["@a0"]']
+    assert written["a6"] == '{"query":"r"}' and written["a7"] == '{"limit":100.0,"query":"q"}' and written["a99"] == "{}"
+
+
 def test_tool_chat_chains(spark):
     call = '{"tool_calls":[{"id":"%s","name":"lookup","arguments":{"key":"k",%s}}]}'
     waits = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(150)}  # a chain of 150 calls
