@@ -2,7 +2,8 @@
 
 A message is a row (conv_id, turn, role, text). An assistant message whose text is a JSON
 object with ``tool_calls`` (id, name, arguments) makes calls; a message of role ``tool``
-whose text is an object with ``tool_call_id`` is a result. Any other text is prose.
+whose text is an object with ``tool_call_id`` is a result. Any other text is prose. What
+a message with calls says besides them is a message, too.
 """
 
 from __future__ import annotations
@@ -36,9 +37,20 @@ def canonical(pairs: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
 
 
-def canonical_values(pairs: Column) -> Column:
-    """A JSON object of a map of variants, as canonical(); each value keeps its JSON type, nested objects have their keys in order."""
-    texts = F.transform(F.array_sort(F.map_keys(pairs)), lambda k: F.concat(_quoted(k), F.lit(":"), F.to_json(F.element_at(pairs, k))))
+def canonical_values(pairs: Column, **texts_of: Column) -> Column:
+    """A JSON object of a map of variants, as canonical(); each value keeps its JSON type, nested objects have their keys in order.
+
+    Strings given by name are fields besides; they go before those of the map.
+    """
+    keys = F.array_union(F.map_keys(pairs), F.array(*[F.lit(k) for k in texts_of])) if texts_of else F.map_keys(pairs)
+
+    def value(k: Column) -> Column:
+        out = F.to_json(F.try_element_at(pairs, k))
+        for name, text in texts_of.items():
+            out = F.when(k == name, _quoted(text)).otherwise(out)
+        return out
+
+    texts = F.transform(F.array_sort(keys), lambda k: F.concat(_quoted(k), F.lit(":"), value(k)))
     return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
 
 
@@ -79,6 +91,9 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, str]]
 def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
     """One row per message, call and result, in an order that puts results after their calls.
 
+    A message with calls also has a message row if its object has fields besides tool_calls
+    and role that are not null: its json holds these fields and the row's role.
+
     Columns: conv_id, turn, part (place among the calls of a message), kind (message, call
     or result), call_id, linked (a call has a result, a result a call; null for messages),
     valid (of a call: its arguments fit the tool's schema; else null), problems, level,
@@ -86,12 +101,13 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
 
     Calls and results meet by conversation and identifier in a hash join. A call waits for
     the results that its argument values name as ``@identifier``; levels grow along these
-    waits and a row's position is (level, turn, part), so the order is topological. Calls in
-    a cycle and calls that wait for them keep linked = false and come last. If calls share an identifier, the earliest
-    is meant; of equal results each is linked. Null texts are empty prose, malformed JSON
-    is prose, of fields of one name in an object the last counts, null conversations and turns are values of their own, repeated rows stay,
-    an empty table gives an empty result, other columns are not read. No row gathers a
-    whole conversation, so one very long conversation is no hot group.
+    waits and a row's position is (level, turn, part, messages before others), so the order
+    is topological. Calls in a cycle and calls that wait for them keep linked = false and
+    come last. If calls share an identifier, the earliest is meant; of equal results each is
+    linked. Null texts are empty prose, malformed JSON is prose, of fields of one name in an
+    object the last counts, null conversations and turns are values of their own, repeated
+    rows stay, an empty table gives an empty result, other columns are not read. No row
+    gathers a whole conversation, so one very long conversation is no hot group.
 
     Arguments keep their JSON types: they are variants, numbers exact to 38 digits, beyond
     that and with exponents doubles. Keys inside nested values are in UTF-16 order. Absent
@@ -105,10 +121,12 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     rows = rows.withColumn("result", F.when(maybe & (F.col("role") == "tool"), F.from_json("text", RESULT)))
     none = F.expr(f"cast(array() as {CALLS[len('struct<tool_calls:'):-1]})")
     is_call, is_result = F.size(F.coalesce("calls", none)) > 0, F.coalesce(F.col("result.tool_call_id").isNotNull(), F.lit(False))
-    prose = rows.where(~is_call & ~is_result).select(
+    rest = F.map_filter(_object(F.try_parse_json("text")), lambda k, v: ~k.isin("tool_calls", "role") & ~F.is_variant_null(v))
+    rows = rows.withColumn("rest", F.when(is_call, rest))
+    prose = rows.where(~is_result & (~is_call | (F.size("rest") > 0))).select(
         "conv_id", "turn", F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("boolean").alias("linked"),
         F.lit(None).cast("boolean").alias("valid"), F.expr("cast(array() as array<string>)").alias("problems"), F.lit(0).alias("level"),
-        canonical(F.create_map(F.lit("content"), F.col("text"), F.lit("role"), F.col("role"))).alias("json"),
+        F.when(is_call, canonical_values(F.col("rest"), role=F.col("role"))).otherwise(canonical(F.create_map(F.lit("content"), F.col("text"), F.lit("role"), F.col("role")))).alias("json"),
     )
     calls = rows.where(is_call).select("conv_id", "turn", F.posexplode("calls").alias("part", "call"))
     values = F.coalesce(F.map_values(_object(F.col("call.arguments"))), F.expr("cast(array() as array<variant>)"))
@@ -135,7 +153,7 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
         canonical(F.create_map(F.lit("content"), F.col("content"), F.lit("role"), F.lit("tool"), F.lit("tool_call_id"), F.col("call_id"))).alias("json"),
     )
     every = prose.unionByName(made).unionByName(given)
-    position = F.concat_ws(":", F.lpad(F.col("level").cast("string"), 10, "0"), F.lpad(F.coalesce(F.col("turn").cast("string"), F.lit("")), 20, "0"), F.lpad(F.col("part").cast("string"), 10, "0"))
+    position = F.concat_ws(":", F.lpad(F.col("level").cast("string"), 10, "0"), F.lpad(F.coalesce(F.col("turn").cast("string"), F.lit("")), 20, "0"), F.lpad(F.col("part").cast("string"), 10, "0"), F.when(F.col("kind") == "message", "0").otherwise("1"))
     return every.withColumn("position", position)
 
 

@@ -105,6 +105,14 @@ def test_tool_chat_types(spark):
     assert written["a6"] == '{"query":"r"}' and written["a7"] == '{"limit":100.0,"query":"q"}' and written["a99"] == "{}"
 
 
+def test_tool_chat_mixed(spark):
+    calls = '"tool_calls":[{"id":"a","name":"lookup","arguments":{"key":"k"}},{"id":"b","name":"lookup","arguments":{"key":"l"}}]'
+    rows = [(1, 0, "assistant", '{"role":"assistant","content":"Let me \\"look\\"",%s,"meta":{"z":1,"a":[2]}}' % calls), (1, 1, "assistant", '{%s,"content":null,"role":"assistant"}' % calls.replace('"a"', '"c"').replace('"b"', '"d"')), (1, 2, "user", "hi")]
+    got = sorted(tool_chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.position)
+    assert [(r.kind, r.turn, r.part, r.call_id) for r in got] == [("message", 0, 0, None), ("call", 0, 0, "a"), ("call", 0, 1, "b"), ("call", 1, 0, "c"), ("call", 1, 1, "d"), ("message", 2, 0, None)]
+    assert got[0].json == '{"content":"Let me \\"look\\"","meta":{"a":[2],"z":1},"role":"assistant"}' and got[5].json == '{"content":"hi","role":"user"}'
+
+
 def test_tool_chat_chains(spark):
     call = '{"tool_calls":[{"id":"%s","name":"lookup","arguments":{"key":"k",%s}}]}'
     waits = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(150)}  # a chain of 150 calls
