@@ -16,8 +16,8 @@ HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/
 PATTERN_RULES = (
     "^porn^", "^xxx^", "^adult^", "^sex^", "^escort^", "^casino^", "^poker^", "^betting^", "^viagra^", "^cialis^",
     "^warez^", "^torrent^", "^crack^*^download^", "^phishing^", "^malware^", "^doubleclick^", "^adserver^", "^banner^ads^",
-    "^click^track^", "^utm_medium=affiliate^", "^wp-login.php^", "^login^redirect^", "^cart^checkout^", "^search^q=^",
-    "^calendar^*^month=^", "^.exe^", "^.apk^", "^.iso^",
+    "^click^track^", "^utm_medium=affiliate^", "^wp-login.php^", "^login^redirect^", "^cart^checkout^", "^search^q=",
+    "^calendar^month=", "^calendar^*^month=", ".exe^", ".apk^", ".iso^",
 )
 
 

@@ -141,6 +141,14 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_rules(spark):
+    paths = """porn xxx adult sex escort casino poker betting viagra cialis warez torrent crack/x/download phishing malware doubleclick adserver banner/ads
+        click/track ?utm_medium=affiliate wp-login.php login/redirect cart/checkout search?q=shoes calendar?month=5 calendar?year=1&month=5 setup.exe a/setup.apk?v=1 x.iso""".split()
+    pages = spark.createDataFrame([(i, f"http://a.b/{path}") for i, path in enumerate(paths)] + [(99, "http://a.b/setup.exes/research?q=x")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.pattern) for r in url_filter.judge(pages).collect()}
+    assert got == {i: ("block", p) for i, p in enumerate(url_filter.PATTERN_RULES)} | {99: ("allow", None)}
+
+
 def test_topk(spark):
     draw = np.random.default_rng(1)
     vectors = [[float(x) for x in draw.normal(size=4)] for _ in range(220)] + [[1.0] * 4] * 8 + [None, [None] * 4, [float("nan")] * 4, [float("inf")] * 4]
