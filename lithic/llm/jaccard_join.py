@@ -444,7 +444,10 @@ def join(docs: DataFrame) -> DataFrame:
     copies = staged(nodes.join(equal, ["sig1", "sig2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
     stars = grouped.where("kind = 1")
     near = stars.select("doc_id").unionByName(stars.select(F.col("n").alias("doc_id"))).distinct()
-    near = near.join(copies, F.col("doc_id") == F.col("a"), "left_anti")
+    rest = nodes.join(copies.select("a").distinct(), F.col("doc_id") == F.col("a"), "left_semi")
+    rest = rest.join(equal.withColumnRenamed("n", "_n").withColumnsRenamed({"sig1": "_sig1", "sig2": "_sig2"}), F.expr("sig1 = _sig1 AND sig2 = _sig2 AND n = _n AND doc_id <> rep"), "left_anti")
+    whole = copies.select("a").distinct().join(rest, F.col("a") == F.col("doc_id"), "left_anti")  # ids with no row that is not a copy
+    near = near.join(whole, F.col("doc_id") == F.col("a"), "left_anti")
     sets = texts.select("doc_id", filter_slot("doc_id").alias("slot"), "text").where("doc_id IS NOT NULL").mapInArrow(Task(_Sets(_bits(near))), "doc_id long, members binary")
     sets = staged(sets, "sets")
     spread = sets.mapInArrow(Task(_Spread(4 * tasks)), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")

@@ -195,6 +195,12 @@ def test_jaccard_join_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.join(nulls).collect()) == [("5", "5"), ("5", "5"), ("6", "6"), ("None", "None")]
 
 
+def test_jaccard_join_shared_ids(spark):
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = spark.createDataFrame([(3, other), (5, BASE), (5, other), (9, BASE + " more"), (11, "all alone here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.join(rows).collect()) == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+
+
 def test_piece_codec(docs):
     import sentencepiece
 
