@@ -26,9 +26,24 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents that with the smallest id."""
-    kept = jaccard_join.join(docs).where("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("_copy"), "left_anti")
+    """Of each component of linked documents that with the smallest id.
+
+    Rows that share an id or have none are documents of their own here, so one row of each
+    component stays. The first row of an id counts as that id, other rows come after all ids.
+    """
+    docs = docs.select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    repeated = staged(repeated, "repeated")
+    rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    if not repeated.isEmpty():
+        last = docs.agg(F.max("doc_id")).first()[0] or 0
+        odd = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id() + F.lit(max(int(last), 0) + 1))
+        odd = staged(odd, "odd")  # the numbers must not change
+        first = odd.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_row").alias("_first")).withColumnRenamed("doc_id", "_id")
+        odd = odd.join(first, F.col("doc_id") == F.col("_id"), "left").withColumn("_row", F.when(F.col("_row") == F.col("_first"), F.col("doc_id").cast("long")).otherwise(F.col("_row")))
+        rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(odd.select(*COLUMNS, "_row"))
+    copies = jaccard_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return rows.join(copies, F.col("_row") == F.col("_copy"), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

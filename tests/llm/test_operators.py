@@ -201,6 +201,14 @@ def test_jaccard_join_shared_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.join(rows).collect()) == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
 
 
+def test_pipeline_one_of_each(spark):
+    other = " ".join(f"o{i}" for i in range(60))
+    texts = [(5, BASE), (5, BASE), (5, other), (None, BASE + " more"), (None, "x y z"), (None, "x y z"), (7, BASE + " more"), (8, "w"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, BASE), (5, other), (None, "x y z"), (8, "w"), (None, None)], key=str)
+
+
 def test_piece_codec(docs):
     import sentencepiece
 
