@@ -218,10 +218,27 @@ def test_piece_codec(docs):
         ids = sp.encode(t or "", add_eos=True)
         assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].decoded == sp.decode(ids)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-    own = piece_codec.ChunkCodec(piece_model(), table=3)
-    for t in [" ", "▁", "a ", "  a", "\n", "\n\n a", " \n ", "a\r\nb", "\ta ▁▁b", "�é", "x" * 500]:
-        ids = sp.encode(t, add_eos=True)
-        assert own.encode(t) == (" ".join(map(str, ids)), len(ids), sp.decode(ids)), t
+
+
+def test_piece_codec_texts(spark, docs, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(piece_codec, "BLOCK", 2000)  # several blocks; workers started by now may keep the old value
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    draw = np.random.default_rng(11)
+    texts = [" ", "▁", "a ", "  a", "\n", "\n\n a", " \n ", "a\r\nb", "\ta ▁▁b", "\ufffdé", "x" * 500, "\u2581", "â\u2580", "a▁ b ▁", "word " * 30_000, None, "", "twice", "twice"]
+    texts += ["".join(draw.choice(list("ab\n\t ▁é漢𝄞\x00.")) for _ in range(int(draw.integers(1, 40)))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3, "doc_id")
+    got = piece_codec.encode(rows, piece_model()).collect()
+    assert len(got) == len(texts)
+    own = piece_codec.codec(piece_model())
+    for r in got:
+        ids = sp.encode(texts[r.doc_id] or "", add_eos=True)
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), sp.decode(ids)), texts[r.doc_id]
+        assert own.decode(r.ids) == r.decoded
+    assert piece_codec.encode(docs.limit(0), piece_model()).count() == 0
+    nulls = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in piece_codec.encode(nulls, piece_model(), full=False).collect()) == [("1", 3), ("1", 3), ("None", 3)]
 
 
 def test_sharding(docs):
