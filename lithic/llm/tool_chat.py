@@ -28,6 +28,8 @@ CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant>
 RESULT = "struct<tool_call_id:string,content:string>"
 #: Level of calls in cycles and behind them; one more for results without a settled call.
 LAST = 2_000_000_000
+#: The place of rows that have none: behind all others.
+END = "~"
 
 
 def canonical(pairs: Column) -> Column:
@@ -100,14 +102,17 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     position (the order key within the conversation), json (canonical).
 
     Calls and results meet by conversation and identifier in a hash join. A call waits for
-    the results that its argument values name as ``@identifier``; levels grow along these
-    waits and a row's position is (level, turn, part, messages before others), so the order
-    is topological. Calls in a cycle and calls that wait for them keep linked = false and
-    come last. If calls share an identifier, the earliest is meant; of equal results each is
-    linked. Null texts are empty prose, malformed JSON is prose, of fields of one name in an
-    object the last counts, null conversations and turns are values of their own, repeated
-    rows stay, an empty table gives an empty result, other columns are not read. No row
-    gathers a whole conversation, so one very long conversation is no hot group.
+    the results that its argument values name as ``@identifier``, a result for its call.
+    Rows keep the order of turns and parts but where such a wait forces a move: a row's
+    place is the latest turn and part among its own and those that it waits for, directly or
+    by way of others, and rows of one place stand by level, which grows along waits. So the
+    order is topological. Calls in a cycle and calls that wait for them keep linked = false
+    and come last, with their results. If calls share an identifier, the earliest is meant;
+    of equal results each is linked; a result without a call keeps its turn. Null texts are
+    empty prose, malformed JSON is prose, of fields of one name in an object the last
+    counts, null conversations and turns are values of their own (a null turn is the first),
+    repeated rows stay, an empty table gives an empty result, other columns are not read. No
+    row gathers a whole conversation, so one very long conversation is no hot group.
 
     Arguments keep their JSON types: they are variants, numbers exact to 38 digits, beyond
     that and with exponents doubles. Keys inside nested values are in UTF-16 order. Absent
@@ -125,7 +130,7 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     rows = rows.withColumn("rest", F.when(is_call, rest))
     prose = rows.where(~is_result & (~is_call | (F.size("rest") > 0))).select(
         "conv_id", "turn", F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("boolean").alias("linked"),
-        F.lit(None).cast("boolean").alias("valid"), F.expr("cast(array() as array<string>)").alias("problems"), F.lit(0).alias("level"),
+        F.lit(None).cast("boolean").alias("valid"), F.expr("cast(array() as array<string>)").alias("problems"), F.lit(0).alias("level"), _place(F.lit(0)).alias("place"),
         F.when(is_call, canonical_values(F.col("rest"), role=F.col("role"))).otherwise(canonical(F.create_map(F.lit("content"), F.col("text"), F.lit("role"), F.col("role")))).alias("json"),
     )
     calls = rows.where(is_call).select("conv_id", "turn", F.posexplode("calls").alias("part", "call"))
@@ -135,26 +140,34 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     calls = calls.select("conv_id", "turn", "part", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), F.array_distinct(waits).alias("waits"))
     results = rows.where(is_result).select("conv_id", "turn", F.lit(0).alias("part"), F.col("result.tool_call_id").alias("call_id"), F.col("result.content").alias("content"))
     calls, results = staged(calls, "calls"), staged(results, "results")
-    levels = _levels(calls)
+    calls, results = calls.withColumn("own", _place()), results.withColumn("own", _place())
+    levels = _levels(calls, results)
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     on = ["conv_id", "call_id"]
-    made = _left(_left(calls, levels, on, ["level"]), answered, on, ["answered"])
+    made = _left(_left(calls, levels, on, ["level", "place"]), answered, on, ["answered"])
     fields = _object(F.col("arguments"))
     shape = F.when(F.col("arguments").isNotNull() & fields.isNull(), F.array(F.lit("arguments are not an object"))).otherwise(F.expr("cast(array() as array<string>)"))
     wrong = F.concat(shape, problems(F.col("name"), fields, schemas))
     body = F.concat(F.lit('{"arguments":'), F.coalesce(canonical_values(fields), F.to_json("arguments"), F.lit("{}")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
     made = made.withColumn("problems", wrong).select(
         "conv_id", "turn", "part", F.lit("call").alias("kind"), "call_id", (F.coalesce("answered", F.lit(False)) & F.col("level").isNotNull()).alias("linked"), (F.size("problems") == 0).alias("valid"), "problems",
-        F.coalesce(F.col("level"), F.lit(LAST)).alias("level"), body.alias("json"),
+        F.coalesce(F.col("level"), F.lit(LAST)).alias("level"), F.when(F.col("call_id").isNull(), F.col("own")).when(F.col("place").isNull(), END).otherwise(F.greatest("place", "own")).alias("place"), body.alias("json"),
     )
-    given = _left(results, levels, on, ["level", "known"]).select(
+    given = _left(results, levels, on, ["level", "known", "place"]).select(
         "conv_id", "turn", "part", F.lit("result").alias("kind"), "call_id", F.coalesce("known", F.lit(False)).alias("linked"), F.lit(None).cast("boolean").alias("valid"),
         F.expr("cast(array() as array<string>)").alias("problems"), F.coalesce(F.col("level") + 1, F.lit(LAST + 1)).alias("level"),
+        F.when(F.col("known").isNull(), F.col("own")).when(F.col("place").isNull(), END).otherwise(F.greatest("place", "own")).alias("place"),
         canonical(F.create_map(F.lit("content"), F.col("content"), F.lit("role"), F.lit("tool"), F.lit("tool_call_id"), F.col("call_id"))).alias("json"),
     )
     every = prose.unionByName(made).unionByName(given)
-    position = F.concat_ws(":", F.lpad(F.col("level").cast("string"), 10, "0"), F.lpad(F.coalesce(F.col("turn").cast("string"), F.lit("")), 20, "0"), F.lpad(F.col("part").cast("string"), 10, "0"), F.when(F.col("kind") == "message", "0").otherwise("1"))
-    return every.withColumn("position", position)
+    position = F.concat_ws(":", "place", F.lpad(F.col("level").cast("string"), 10, "0"), F.when(F.col("kind") == "message", "0").otherwise("1"), _place())
+    return every.withColumn("position", position).drop("place")
+
+
+def _place(part: Column | None = None) -> Column:
+    """Turn and part as a text that sorts as they do."""
+    turn = F.col("turn").try_cast("bigint").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.concat(F.lpad(F.coalesce(turn.cast("string"), F.lit("")), 20, "0"), F.lit("."), F.lpad((F.col("part") if part is None else part).cast("string"), 10, "0"))
 
 
 def _left(rows: DataFrame, other: DataFrame, on: list[str], take: list[str]) -> DataFrame:
@@ -166,41 +179,49 @@ def _left(rows: DataFrame, other: DataFrame, on: list[str], take: list[str]) ->
     return rows.join(other, condition, "left").drop(*[f"_{c}" for c in on])
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, known) of each identifier's earliest call; no level in cycles and behind them.
+def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, place, known) of each identifier's earliest call; no level and place in cycles and behind them.
 
     In each round a call gets its level if all that it waits for have theirs; a wait for a call
-    that itself has one wait only is replaced by that one, with the steps added, so a chain
-    takes rounds by the logarithm of its length. A round that settles nothing is the last:
-    among open calls outside of cycles one waits for settled ones alone.
+    that itself has one wait only is replaced by that one, with the steps added and the latest
+    place on the way kept, so a chain takes rounds by the logarithm of its length. A round that
+    settles nothing is the last: among open calls outside of cycles one waits for settled ones alone.
     """
-    earliest = Window.partitionBy("conv_id", "call_id").orderBy("turn", "part")
-    nodes = calls.where("call_id IS NOT NULL").withColumn("n", F.row_number().over(earliest)).where("n = 1").select("conv_id", "call_id", "waits")
-    waits = staged(nodes.select("conv_id", "call_id", F.explode("waits").alias("on")), "waits")
-    nodes = staged(nodes.select("conv_id", "call_id"), "nodes")
-    known = nodes.select("conv_id", "call_id", F.lit(True).alias("known"))
+    key = ["conv_id", "call_id"]
+    earliest = Window.partitionBy(*key).orderBy("turn", "part")
+    nodes = calls.where("call_id IS NOT NULL").withColumn("n", F.row_number().over(earliest)).where("n = 1").select(*key, "own", "waits")
+    waits = staged(nodes.select(*key, F.explode("waits").alias("on")), "waits")
+    last = results.groupBy(*key).agg(F.max("own").alias("last"))
+    nodes = staged(_left(nodes.select(*key, "own"), last, key, ["last"]).withColumn("last", F.greatest("own", "last")), "nodes")
+    known = nodes.select(*key, F.lit(True).alias("known"))
     if waits.isEmpty():
-        return known.withColumn("level", F.lit(0))
-    waits = _left(waits.select("conv_id", F.col("call_id").alias("waiter"), F.col("on").alias("call_id")), known, ["conv_id", "call_id"], ["known"]).where("known")
-    waits = staged(waits.select("conv_id", "waiter", F.col("call_id").alias("on"), F.lit(1).alias("steps")), "waits")
+        return known.withColumn("level", F.lit(0)).withColumn("place", F.lit(""))
+    waits = _left(waits.select("conv_id", F.col("call_id").alias("waiter"), F.col("on").alias("call_id")), known, key, ["known"]).where("known")
+    waits = staged(waits.select("conv_id", "waiter", F.col("call_id").alias("on"), F.lit(1).alias("steps"), F.lit("").alias("way")), "waits")
     blocked = waits.select("conv_id", F.col("waiter").alias("call_id")).distinct().withColumn("waits", F.lit(True))
-    level = _left(nodes, blocked, ["conv_id", "call_id"], ["waits"]).withColumn("level", F.when(F.col("waits").isNull(), 0)).drop("waits")
+    open_ = F.col("waits").isNotNull()
+    level = _left(nodes, blocked, key, ["waits"]).select(*key, "own", "last", F.when(~open_, 0).alias("level"), F.when(~open_, F.col("own")).alias("place"))
     level = staged(level, "levels")
     settled, longest = level.where("level IS NOT NULL").count(), level.count()
     while True:
-        before = level.select("conv_id", F.col("call_id").alias("on"), "level")
-        reached = _left(waits, before, ["conv_id", "on"], ["level"]).groupBy("conv_id", F.col("waiter").alias("call_id"))
-        ready = reached.agg(F.when(F.count("level") == F.count("*"), F.max(F.col("level") + 2 * F.col("steps"))).alias("ready"))
-        level = staged(_left(level, ready, ["conv_id", "call_id"], ["ready"]).select("conv_id", "call_id", F.coalesce("level", "ready").alias("level")), "levels")
+        before = level.select("conv_id", F.col("call_id").alias("on"), "level", F.greatest("place", "last").alias("done"))
+        reached = _left(waits, before, ["conv_id", "on"], ["level", "done"]).groupBy("conv_id", F.col("waiter").alias("call_id"))
+        every = F.count("level") == F.count("*")
+        ready = reached.agg(F.when(every, F.max(F.col("level") + 2 * F.col("steps"))).alias("ready"), F.when(every, F.max(F.greatest("done", "way"))).alias("latest"))
+        level = _left(level, ready, key, ["ready", "latest"])
+        level = level.select(*key, "own", "last", F.coalesce("level", "ready").alias("level"), F.coalesce("place", F.when(F.col("ready").isNotNull(), F.greatest("own", "latest"))).alias("place"))
+        level = staged(level, "levels")
         now = level.where("level IS NOT NULL").count()
         if now == settled or now == longest:
             break
         settled = now
         waiters = level.where("level IS NULL").select("conv_id", F.col("call_id").alias("waiter"), F.lit(True).alias("open"))
         waits = staged(_left(waits, waiters, ["conv_id", "waiter"], ["open"]).where("open").drop("open"), "waits")
-        single = waits.groupBy("conv_id", F.col("waiter").alias("on")).agg(F.count("*").alias("n"), F.min("on").alias("next"), F.min("steps").alias("more")).where("n = 1")
-        nearer = _left(waits, single, ["conv_id", "on"], ["next", "more"])
+        single = waits.groupBy("conv_id", F.col("waiter").alias("on")).agg(F.count("*").alias("n"), F.min("on").alias("next"), F.min("steps").alias("more"), F.min("way").alias("beyond")).where("n = 1")
+        single = _left(single, nodes.select("conv_id", F.col("call_id").alias("on"), "last"), ["conv_id", "on"], ["last"])
+        nearer = _left(waits, single, ["conv_id", "on"], ["next", "more", "beyond", "last"])
         jump = F.col("next").isNotNull() & (F.col("steps") + F.col("more") <= longest)  # a longer path is a cycle's
-        nearer = nearer.select("conv_id", "waiter", F.when(jump, F.col("next")).otherwise(F.col("on")).alias("on"), F.when(jump, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"))
-        waits = staged(nearer.groupBy("conv_id", "waiter", "on").agg(F.max("steps").alias("steps")), "waits")
-    return level.withColumn("known", F.lit(True))
+        pick = lambda there, here: F.when(jump, there).otherwise(F.col(here)).alias(here)
+        nearer = nearer.select("conv_id", "waiter", pick(F.col("next"), "on"), pick(F.col("steps") + F.col("more"), "steps"), pick(F.greatest("way", "beyond", "last"), "way"))
+        waits = staged(nearer.groupBy("conv_id", "waiter", "on").agg(F.max("steps").alias("steps"), F.max("way").alias("way")), "waits")
+    return level.select(*key, "level", "place").withColumn("known", F.lit(True))
