@@ -80,7 +80,7 @@ def _parse(texts: pa.Array) -> _Lines:
     begin = np.flatnonzero(np.diff(line, prepend=-1))
     n = np.diff(np.append(begin, len(line)))
     at = np.arange(len(line)) - np.repeat(begin, n)
-    value = hashes * _powers(0xDA942042E4DD58B5, int(n.max()))[at]
+    value = mix(hashes + at.astype(np.uint64) * np.uint64(_SALT))
     return _Lines(first, line[begin], begin, n, np.add.reduceat(value, begin) + n.astype(np.uint64), hashes, value)
 
 
@@ -250,7 +250,7 @@ def groups(leaf: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray
     line = np.repeat(np.arange(len(n)), n)
     stretch = np.where(at < LEAD, -1, (at - LEAD) * (most + 1)[line] // (n - LEAD)[line])
     begin = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(stretch, prepend=-2) != 0))
-    value = np.add.reduceat(mix(places[word].astype(np.uint64)) * _powers(0xDA942042E4DD58B5, int(n.max()))[at], begin)
+    value = np.add.reduceat(mix(places[word].astype(np.uint64) + at.astype(np.uint64) * np.uint64(_SALT)), begin)
     begin, value = begin[stretch[begin] >= 0], value[stretch[begin] >= 0]
     key = mix(value + leaf[line[begin]] + (stretch[begin] + 1).astype(np.uint64) * np.uint64(_SALT))
     order = np.argsort(key, kind="stable")

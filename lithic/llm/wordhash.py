@@ -1,8 +1,10 @@
 """Words and word shingles of Arrow text columns as 64-bit hashes, whole arrays at a time.
 
 A word is a run of bytes other than space and U+0009 to U+000D; in UTF-8 these bytes never
-occur inside another character. Its hash is a polynomial of its bytes modulo 2 ** 64,
-finished by a bijective mixer: prefix sums give the hashes of all words of a piece at once.
+occur inside another character. Its hash is the sum of a mixed number for each pair of a
+byte and its place in the word, finished by a bijective mixer: prefix sums give the hashes
+of all words of a piece at once. A polynomial modulo 2 ** 64 would do less: whatever its
+base, some words of a thousand letters, a and b in the order of Thue and Morse, fall together.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ PIECE = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_SAME = np.arange(256, dtype=np.int64)
 _LOWER = _SAME.copy()
-_LOWER[65:91] += np.uint64(32)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_LOWER[65:91] += 32
+#: Places in a word whose numbers are kept in a table.
+_NEAR = 64
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -32,22 +35,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-class _Tables:
-    def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n <= len(self.up):
-            return self.up[:n], self.down[:n]
-        up, down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-        if n <= 2 * PIECE:
-            self.up, self.down = up, down
-        return up, down
-
-
-_tables = _Tables()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x.astype(np.uint64)
@@ -59,6 +46,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_TABLE = mix(np.arange(256 * _NEAR, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _placed(letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The number of each byte at its place in its word."""
+    key = (place << 8) | letters
+    far = np.flatnonzero(place >= _NEAR)
+    if not len(far):
+        return _TABLE[key]
+    out = _TABLE[np.where(place < _NEAR, key, 0)]
+    out[far] = mix(key[far].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -103,10 +104,12 @@ def words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.nd
         before = inner[inner > 0] - 1
         stop[before] = word[before]
         s, e = np.flatnonzero(begins), np.flatnonzero(stop) + 1
-        up, down = _tables.get(len(part))
+        place = np.zeros(len(part), np.int64)
+        place[s] = s
+        place = np.arange(len(part)) - np.maximum.accumulate(place)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(letters[part] * up, out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        np.cumsum(_placed(letters[part], np.where(word, place, 0)), out=sums[1:])
+        hashes.append(mix(sums[e] - sums[s] + (e - s).astype(np.uint64)))
         starts.append(s + a)
         stops.append(e + a)
     start = np.concatenate(starts)

@@ -1,6 +1,8 @@
 """The corpus operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lithic.llm import fingerprints, jaccard_join, line_templates, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter
+from lithic.llm import fingerprints, jaccard_join, line_templates, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter, wordhash
 from lithic.llm.queries import piece_model
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +57,26 @@ def test_fingerprints_edges(spark, docs):
     assert fingerprints.compare_edits(nulls).count() == 3
 
 
+def thue_morse(a, b, n=4096):
+    return [a if i.bit_count() % 2 else b for i in range(n)]
+
+
+def test_word_hashes(spark):
+    """Words and lines whose polynomials modulo 2 ** 64 are equal for any base."""
+    pairs = [("".join(thue_morse(*ab, n)), "".join(thue_morse(*ab[::-1], n))) for ab in ("ab", "éx") for n in (64, 1024, 4096)]
+    hashes, first = wordhash.text_shingles(wordhash.pa.array([w for pair in pairs for w in pair] + ["a", "b", "ab", "ba"]))
+    assert len(set(hashes.tolist())) == len(hashes) == 2 * len(pairs) + 4
+    one, two = pairs[1]
+    rows = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(rows).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.near_next for r in fingerprints.compare_edits(rows).collect()} == {1: 1, 2: 0, 3: 0}
+    lines = spark.createDataFrame([(1, "x y " + " ".join(thue_morse("a", "b"))), (2, "x y " + " ".join(thue_morse("b", "a")))], "doc_id long, text string")
+    assert [r.n_dropped for r in line_templates.report(lines).collect()] == [0, 0]
+    long = "w" * 300_000
+    hashes, _ = wordhash.text_shingles(wordhash.pa.array([long, long.upper(), long + "w", "w" * 299_999 + "v"]))
+    assert hashes[0] == hashes[1] and len(set(hashes.tolist())) == 3
+
+
 def test_toxicity(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     bad = ["stupid idiot", "you are a moron", "trash and scum"]
@@ -131,6 +153,74 @@ def test_tool_chat_chains(spark):
     assert {name for _, name in order[-8:]} == {"x", "y", "z", "s"}
 
 
+def linked_by_hand(rows):
+    """(conv, turn, part, kind, id) of each row in order, and which calls and results are linked, one conversation at a time."""
+    out, linked = [], {}
+    for conv in {r[0] for r in rows}:
+        calls, results, items = {}, {}, []
+        for _, turn, role, text in (r for r in rows if r[0] == conv):
+            body = json.loads(text) if text.startswith("{") else {}
+            if role == "assistant" and "tool_calls" in body:
+                items += [("call", turn, part, c["id"], {v[1:] for v in c["arguments"].values() if v.startswith("@")}) for part, c in enumerate(body["tool_calls"])]
+            else:
+                items.append(("result", turn, 0, body["tool_call_id"], None) if role == "tool" and "tool_call_id" in body else ("message", turn, 0, None, None))
+        for kind, turn, part, name, waits in sorted(items, key=lambda i: i[1:3]):
+            if kind == "call":
+                calls.setdefault(name, ((turn, part), waits))
+            elif kind == "result":
+                results.setdefault(name, []).append((turn, part))
+        settled = {}
+        while True:
+            more = {n: (own, {w for w in waits if w in calls}) for n, (own, waits) in calls.items() if n not in settled and all(w in settled for w in waits if w in calls)}
+            for n, (own, waits) in more.items():
+                settled[n] = (max([settled[w][0] + 2 for w in waits], default=0), max([own, *(x for w in waits for x in (settled[w][1], *results.get(w, [])))]))
+            if not more:
+                break
+        for kind, turn, part, name, _ in items:
+            level, place = (0, (turn, part)) if kind == "message" else settled.get(name, (None, None)) if name in calls else (0, (turn, part))
+            lost = level is None
+            place = (1, 0, 0) if lost else (0, *max(place, (turn, part)))
+            out.append(((conv, place, 3 if lost else level + (kind == "result" and name in calls), kind != "message", turn, part), (conv, turn, part, kind, name)))
+            if kind != "message":
+                linked[conv, turn, part, kind] = not lost and name in results if kind == "call" else name in calls
+    return out, linked
+
+
+def test_tool_chat_random(spark):
+    """Random conversations with waits, cycles, lost results and calls that share identifiers."""
+    draw = random.Random(5)
+    rows = []
+    for conv in range(40):
+        size, back = draw.choice([3, 12, 60]), draw.random() < 0.3
+        for turn in range(size):
+            kind = draw.random()
+            if kind < 0.2:
+                rows.append((conv, turn, "user", f"say {turn}"))
+            elif kind < 0.6:
+                made = [{"id": f"c{draw.randrange(size)}", "name": "lookup", "arguments": {"key": "k", **{f"w{k}": f"@c{draw.randrange(size if back else max(1, turn))}" for k in range(draw.randrange(3))}}} for _ in range(draw.randrange(1, 3))]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": made})))
+            else:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{draw.randrange(size)}", "content": "r"})))
+    want, linked = linked_by_hand(rows)
+    got = tool_chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit(1))).collect()
+    assert {(r.conv_id, r.turn, r.part, r.kind): r.linked for r in got if r.kind != "message"} == linked
+    assert sum(linked.values()) > 100 and not all(linked.values())
+    last = {key for key, _ in want if key[1] == (1, 0, 0)}
+    assert last
+    for conv in range(40):
+        order = [(r.conv_id, r.turn, r.part, r.kind, r.call_id) for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)]
+        expected = sorted((k, v) for k, v in want if k[0] == conv and k not in last)
+        assert order[: len(expected)] == [v for _, v in expected]
+
+
+def test_tool_chat_turns(spark):
+    """Without waits rows keep their turns; repeated rows and negative turns stay in order."""
+    call = '{"tool_calls":[{"id":"%s","name":"lookup","arguments":{"key":"k"}}]}'
+    rows = [(1, -2, "user", "a"), (1, 0, "assistant", call % "a"), (1, 1, "tool", '{"tool_call_id":"a","content":"1"}'), (1, 2, "assistant", "so"), (1, 3, "assistant", call % "b"), (1, 11, "tool", '{"tool_call_id":"b","content":"2"}'), (1, 12, "user", "z")]
+    got = tool_chat.link(spark.createDataFrame(rows + rows[3:4], "conv_id long, turn int, role string, text string")).collect()
+    assert [r.turn for r in sorted(got, key=lambda r: r.position)] == [-2, 0, 1, 2, 2, 3, 11, 12]
+
+
 def test_url_filter(spark):
     urls = ["http://Sub.Example.NET/en/1", "https://x.example.net", "x://a.org/fr/casino", "no scheme casino", None, "", "http://a.b/poker?x#y", "http://e.example.com/de/", "http://pokers.b/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
