@@ -26,6 +26,10 @@ from lithic.llm.wordhash import mix, slices, text_shingles
 PERCENT, WIDTH = 75, 5
 #: Counters of shingle frequencies, and the parts they travel in.
 COUNTERS, PARTS = 1 << 21, 32
+#: Groups of equal sets, the largest, whose copies are told by signature: any other has at most a share of 1 / GROUPS of all rows.
+GROUPS = 1 << 16
+#: Ids of a bit map at most; beyond, rows are thinned by a join.
+MAPPED = 1 << 24
 #: A block of a candidate group: at most so many documents, and about so many shingles.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
@@ -86,11 +90,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
         for _, hashes, _ in _shingles(batch):
-            total += np.bincount((hashes & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+            total += _counters(hashes)
     if total.any():
         yield _parts(total)
 
 
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return np.bincount((hashes & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+
+
+SIGNED = "kind int, doc_id long, n long, sig1 long, sig2 long, part int, counts binary"
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document its set's size and signature (kind 0), and the task's counters of shingles (kind 1)."""
+    names = [c.split()[0] for c in SIGNED.split(", ")]
+    total = np.zeros(COUNTERS, np.uint32)
+    for batch in batches:
+        for part, hashes, first in _shingles(batch):
+            total += _counters(hashes)
+            n, sig1, sig2 = np.zeros(len(part), np.int64), np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
+            for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                if a < b:
+                    n[i], sig1[i], sig2[i] = _signature(np.unique(hashes[a:b]))
+            cols = [pa.array(np.zeros(len(part), np.int32)), part["doc_id"].cast(pa.int64()), pa.array(n), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+    if total.any():
+        parts = _parts(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(parts), np.int32)), *[pa.nulls(len(parts), pa.int64())] * 4, *parts.columns], names)
+
+
+def _signature(own: np.ndarray) -> tuple[int, np.uint64, np.uint64]:
+    """Size and two sums of the hashes of a set."""
+    return len(own), own.sum(dtype=np.uint64), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+
+
 def _parts(total: np.ndarray) -> pa.RecordBatch:
     """Counts of a task, up to 255 each, in compressed parts."""
     cut = np.minimum(total, 255).astype(np.uint8).reshape(PARTS, -1)
@@ -113,60 +147,64 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["part", "counts"])
 
 
-def frequency_classes(docs: DataFrame, *before) -> np.ndarray:
-    """For each counter a class that grows with the logarithm of its count, over all texts or sets.
+def frequency_classes(parts: DataFrame) -> np.ndarray:
+    """For each counter a class that grows with the logarithm of its count, from the counters of all tasks.
 
     The counters are a fixed number of bytes, so what comes to the driver has a bound. The
     classes only order shingles; any order gives the same links.
     """
-    parts = docs.mapInArrow(Task(*before, _count), "part int, counts binary")
-    summed = parts.repartition(PARTS, "part").mapInArrow(Task(_sum), "part int, counts binary").collect()  # PARTS rows
+    summed = parts.select("part", "counts").repartition(PARTS, "part").mapInArrow(Task(_sum), "part int, counts binary").collect()  # PARTS rows
     out = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
     for row in summed:
         out[row["part"]] = np.frombuffer(bytes(row["counts"]), np.uint8)
     return out.ravel()
 
 
+class _Large:
+    """The largest groups of equal sets: only the document that stands for a group shows its prefix."""
+
+    def __init__(self, equal: DataFrame | None) -> None:
+        rows = equal.orderBy(F.col("copies").desc(), "sig1", "sig2").limit(GROUPS).select("sig1", "sig2", "rep").toArrow().sort_by("sig1") if equal is not None else None
+        self.sig1, self.sig2, self.rep = (rows[c].to_numpy() if rows else np.zeros(0, np.int64) for c in ("sig1", "sig2", "rep"))
+
+    def left_out(self, sig1: np.uint64, sig2: np.uint64, doc: int) -> bool:
+        one, two = np.array([sig1, sig2]).view(np.int64)
+        a, b = np.searchsorted(self.sig1, one, "left"), np.searchsorted(self.sig1, one, "right")
+        return any(self.sig2[i] == two and self.rep[i] != doc for i in range(a, b))
+
+
 class _Prefixes:
-    """Documents as (doc_id, n, signature), and their prefixes packed by bucket of shingles."""
+    """The prefixes of sets, packed by bucket of shingles."""
 
-    SCHEMA = "bucket int, kind int, doc_id long, n long, sig1 long, sig2 long, shingles binary, place binary, ids binary, sizes binary"
+    SCHEMA = "bucket int, shingles binary, place binary, ids binary, sizes binary"
 
-    def __init__(self, classes, buckets: int) -> None:
-        self.classes, self.buckets = classes, buckets
+    def __init__(self, classes, buckets: int, large=None) -> None:
+        self.classes, self.buckets, self.large = classes, buckets, large
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = self.classes.value
+        classes, large = self.classes.value, self.large and self.large.value
         for batch in batches:
             for part, hashes, first in _shingles(batch):
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)
                 known = ~np.asarray(part["doc_id"].is_null())
                 rank = classes[hashes.astype(np.int64) & (COUNTERS - 1)]
                 n = np.zeros(len(part), np.int64)
-                sig1, sig2 = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
                 found, place, index = [], [], []
                 for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    if a == b:
+                    if a == b or not known[i]:
                         continue
                     own, at = np.unique(hashes[a:b], return_index=True)
                     n[i] = len(own)
-                    sig1[i] = own.sum(dtype=np.uint64)
-                    sig2[i] = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                    if known[i]:
-                        probe, store = prefixes(n[i])
-                        order = np.argsort(rank[a:b][at], kind="stable")[:probe]
-                        found.append(own[order])
-                        place.append(np.full(len(order), i, np.int32))
-                        index.append(np.arange(len(order)) < store)
-                yield self._rows(np.zeros(len(part), np.int32) + np.arange(len(part), dtype=np.int32) % self.buckets, part["doc_id"], n, sig1, sig2)
+                    if large and len(large.rep) and large.left_out(*_signature(own)[1:], ids[i]):
+                        continue
+                    probe, store = prefixes(n[i])
+                    order = np.argsort(rank[a:b][at], kind="stable")[:probe]
+                    found.append(own[order])
+                    place.append(np.full(len(order), i, np.int32))
+                    index.append(np.arange(len(order)) < store)
                 if found:
                     yield self._packs(np.concatenate(found), np.concatenate(place), np.concatenate(index), ids, n)
 
-    def _rows(self, bucket, doc_id, n, sig1, sig2) -> pa.RecordBatch:
-        none = pa.nulls(len(n), pa.binary())
-        cols = [pa.array(bucket), pa.array(np.zeros(len(n), np.int32)), doc_id.cast(pa.int64()), pa.array(n), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), none, none, none, none]
-        return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in self.SCHEMA.split(", ")])
-
     def _packs(self, found, place, index, ids, n) -> pa.RecordBatch:
         bucket = ((found >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -177,21 +215,13 @@ class _Prefixes:
             own, local = np.unique(place[a:b], return_inverse=True)
             for col, value in zip(out, (int(bucket[a]), _low40(found[a:b]), squeeze(2 * local + index[a:b]), squeeze(ids[own]), squeeze(n[own])), strict=True):
                 col.append(value)
-        none = pa.nulls(len(out[0]), pa.int64())
-        cols = [pa.array(out[0], pa.int32()), pa.array(np.ones(len(out[0]), np.int32)), none, none, none, none, *[pa.array(c, pa.binary()) for c in out[1:]]]
+        cols = [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]]
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in self.SCHEMA.split(", ")])
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as they are; for each bucket's postings a star per candidate group: (kind 1, doc_id, n = root)."""
-    names = ["kind", "doc_id", "n", "sig1", "sig2"]
-    for _, table in runs(batches, "bucket"):
-        is_doc = np.asarray(table["kind"]) == 0
-        docs = table.filter(pa.array(is_doc)).select(names)
-        yield from docs.to_batches()
-        packs = table.filter(pa.array(~is_doc))
-        if not packs.num_rows:
-            continue
+    """For each bucket's postings a star per candidate group: (a, b = its least id)."""
+    for _, packs in runs(batches, "bucket"):
         shingle, doc, n, store = [], [], [], []
         for s, p, i, z in zip(*[packs[c].to_pylist() for c in ("shingles", "place", "ids", "sizes")], strict=True):
             p = expand(p)
@@ -219,38 +249,31 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = root != np.arange(len(ids))
         k = int(own.sum())
         if k:
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ids[own]), pa.array(ids[root[own]]), none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
 
 
 class _Sets:
-    """The whole set of each document that the bit map lets through."""
-
-    def __init__(self, found) -> None:
-        self.found = found
+    """The whole set of each document."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = self.found.value
         for batch in batches:
-            slot = batch["slot"].to_numpy()
-            kept = batch.filter(pa.array((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 == 1))
-            for part in slices(kept):
+            for part in slices(batch):
                 hashes, first = text_shingles(part["text"], WIDTH)
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "members"])
 
 
 class _Kept:
-    """The rows of sets that the bit map lets through."""
+    """The rows that the bit map lets through."""
 
-    def __init__(self, found) -> None:
-        self.found = found
+    def __init__(self, found, take: str) -> None:
+        self.found, self.take = found, take
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = self.found.value
         for batch in batches:
             slot = batch["slot"].to_numpy()
-            yield batch.select(["doc_id", "members"]).filter(pa.array((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 == 1))
+            yield batch.select(["doc_id", self.take]).filter(pa.array((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 == 1))
 
 
 class _Spread:
@@ -426,40 +449,45 @@ def join(docs: DataFrame) -> DataFrame:
     an id share its component. An empty table gives an empty result; other columns are
     not read. Shingles are compared by 64-bit hashes.
 
-    Texts are read three times: to count shingles in a fixed number of counters, for the
-    prefixes, and for the whole sets of documents in candidate groups. Equal sets are
-    merged by signature first. A candidate stays only if it shares PERCENT of its shingles
-    with other candidates, each maybe with another one: a linked document shares as many
-    with its partner alone. Those that stay are grouped anew, by counters of their own
-    shingles. Groups larger than a block are verified in tiles of two blocks, so no task
-    holds more than two blocks whatever the size of a group.
+    Texts are read three times: for signatures and counters of shingles, for the prefixes,
+    and for the whole sets of documents in candidate groups. Equal sets are merged by
+    signature first: of the largest groups one document shows its prefix, whatever the
+    number of copies. A candidate stays only if it shares PERCENT of its shingles with
+    other candidates, each maybe with another one: a linked document shares as many with
+    its partner alone. Those that stay are grouped anew, by counters of their own shingles.
+    Groups larger than a block are verified in tiles of two blocks, so no task holds more
+    than two blocks whatever the size of a group.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = staged(_grouped(texts, tasks), "groups")
-    rows = grouped.where("kind = 0")
+    signed = staged(texts.mapInArrow(Task(_sign), SIGNED), "signed")
+    rows = signed.where("kind = 0").select("doc_id", "n", "sig1", "sig2")
     nodes = rows.where("n > 0 AND doc_id IS NOT NULL")
-    equal = nodes.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = staged(nodes.join(equal, ["sig1", "sig2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    stars = grouped.where("kind = 1")
-    near = stars.select("doc_id").unionByName(stars.select(F.col("n").alias("doc_id"))).distinct()
+    equal = nodes.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    equal = staged(equal, "equal")  # a table of its own, so that the join may split a large group
+    copies = staged(nodes.join(equal.drop("copies"), ["sig1", "sig2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
+    share = spark.sparkContext.broadcast
+    named = texts.where("doc_id IS NOT NULL")
+    stars = _grouped(named, tasks, share(frequency_classes(signed.where("kind = 1"))), share(_Large(equal)))
+    stars = staged(stars, "stars")
+    near = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
     rest = nodes.join(copies.select("a").distinct(), F.col("doc_id") == F.col("a"), "left_semi")
-    rest = rest.join(equal.withColumnRenamed("n", "_n").withColumnsRenamed({"sig1": "_sig1", "sig2": "_sig2"}), F.expr("sig1 = _sig1 AND sig2 = _sig2 AND n = _n AND doc_id <> rep"), "left_anti")
+    rest = rest.join(equal.drop("copies").withColumnRenamed("n", "_n").withColumnsRenamed({"sig1": "_sig1", "sig2": "_sig2"}), F.expr("sig1 = _sig1 AND sig2 = _sig2 AND n = _n AND doc_id <> rep"), "left_anti")
     whole = copies.select("a").distinct().join(rest, F.col("a") == F.col("doc_id"), "left_anti")  # ids with no row that is not a copy
-    near = near.join(whole, F.col("doc_id") == F.col("a"), "left_anti")
-    sets = texts.select("doc_id", filter_slot("doc_id").alias("slot"), "text").where("doc_id IS NOT NULL").mapInArrow(Task(_Sets(_bits(near))), "doc_id long, members binary")
+    near = staged(near.join(whole, F.col("doc_id") == F.col("a"), "left_anti"), "near")
+    sets = _thinned(named, near, "text").mapInArrow(Task(_Sets()), "doc_id long, members binary")
     sets = staged(sets, "sets")
     spread = sets.mapInArrow(Task(_Spread(4 * tasks)), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     packed = spread.mapInArrow(Task(_Shared(tasks)), "part int, ids binary, counts binary").repartition(tasks, "part").sortWithinPartitions("part")
     shared = packed.mapInArrow(Task(_add), "doc_id long, shared long")
     sizes = sets.select("doc_id", (F.octet_length("members") / 8).cast("long").alias("n"))
     sharing = staged(sizes.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "n"), "sharing")
-    marked = sets.select("doc_id", filter_slot("doc_id").alias("slot"), "members")
-    again = _grouped(marked, tasks, _Kept(_bits(sharing))).where("kind = 1").select(F.col("doc_id").alias("a"), F.col("n").alias("b"))
+    kept = _thinned(sets, sharing.select("doc_id").distinct(), "members")
+    again = _grouped(kept, tasks, share(frequency_classes(kept.mapInArrow(Task(_count), "part int, counts binary"))))
     groups = connected(again, "groups")
     members = staged(sharing.distinct().join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "n", "component"), "members")
-    chosen = marked.mapInArrow(Task(_Kept(_bits(members))), "doc_id long, members binary")
+    chosen = _thinned(sets, members.select("doc_id").distinct(), "members")
     loaded = _tiles(members).join(chosen, "doc_id").repartition(tasks, "tile").sortWithinPartitions("tile")
     links = loaded.select("tile", "side", "doc_id", "members").mapInArrow(Task(_verify), "a long, b long")
     found = connected(links.unionByName(copies), "links")
@@ -467,14 +495,18 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _bits(ids: DataFrame):
-    """The bit map of these ids, a fixed number of bits, sent to the executors."""
-    return ids.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
+def _thinned(rows: DataFrame, ids: DataFrame, take: str) -> DataFrame:
+    """The rows of these ids, and maybe some others: by a bit map of eight bits an id, or beyond MAPPED ids by a join."""
+    count = ids.count()
+    if count > MAPPED:
+        return rows.select("doc_id", take).join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    bits = max(20, (8 * count).bit_length())
+    found = rows.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id", bits))  # 32 MB at most
+    return rows.select("doc_id", filter_slot("doc_id", bits).alias("slot"), take).mapInArrow(Task(_Kept(found, take)), f"doc_id long, {take} {'string' if take == 'text' else 'binary'}")
 
 
-def _grouped(rows: DataFrame, tasks: int, *before) -> DataFrame:
-    """Documents (kind 0) and the stars of their candidate groups (kind 1) of texts or sets; ``before`` thins the rows."""
-    classes = rows.sparkSession.sparkContext.broadcast(frequency_classes(rows, *before))  # COUNTERS bytes
-    packed = rows.mapInArrow(Task(*before, _Prefixes(classes, 4 * tasks)), _Prefixes.SCHEMA)
+def _grouped(rows: DataFrame, tasks: int, classes, large=None) -> DataFrame:
+    """The stars of the candidate groups of texts or sets."""
+    packed = rows.mapInArrow(Task(_Prefixes(classes, 4 * tasks, large)), _Prefixes.SCHEMA)
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(Task(_group), "kind int, doc_id long, n long, sig1 long, sig2 long")
+    return dealt.mapInArrow(Task(_group), "a long, b long")
