@@ -38,13 +38,19 @@ def _ceil(a: np.ndarray, top: int, bottom: int) -> np.ndarray:
     return -(-a * top // bottom)
 
 
-def prefixes(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(n: np.ndarray, percent: int = PERCENT, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """How many first shingles a set of ``n`` shows to smaller sets, and to larger or equal ones.
 
     A set shares at least percent/100 of its own shingles with any partner, and at least
-    2 * percent / (100 + percent) of them with one that is not smaller.
+    2 * percent / (100 + percent) of them with one that is not smaller. Prefixes with
+    ``more`` shingles hold as many common ones.
     """
-    return n - _ceil(n, percent, 100) + 1, n - _ceil(n, 2 * percent, 100 + percent) + 1
+    return n - _ceil(n, percent, 100) + more, n - _ceil(n, 2 * percent, 100 + percent) + more
+
+
+def common(n: np.ndarray) -> np.ndarray:
+    """How many common shingles the longer prefixes of two linked sets hold, the smaller of which has ``n`` shingles."""
+    return np.maximum(1, n // 16)
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -63,17 +69,6 @@ def expand(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel())
 
 
-def _low40(hashes: np.ndarray) -> bytes:
-    """The lower 40 bits of each hash; with the bucket, made of the upper 24, they tell shingles apart well enough to group."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _from40(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
-
-
 def _shingles(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, shingle hashes, first of each row) of texts, or of sets that were made of them."""
     if "text" in batch.schema.names:
@@ -99,6 +94,8 @@ def _counters(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS).astype(np.uint32)
 
 
+#: Counts of shared shingles, packed.
+COUNTED = "part int, ids binary, counts binary, sizes binary"
 SIGNED = "kind int, doc_id long, n long, sig1 long, sig2 long, part int, counts binary"
 
 
@@ -174,12 +171,16 @@ class _Large:
 
 
 class _Prefixes:
-    """The prefixes of sets, packed by bucket of shingles."""
+    """The prefixes of sets, packed by bucket of shingles; longer ones, that linked sets share several shingles of, if ``long``.
+
+    The lower 32 bits of a hash, with the bucket, made of the upper 24, tell shingles apart
+    well enough to find candidates.
+    """
 
     SCHEMA = "bucket int, shingles binary, place binary, ids binary, sizes binary"
 
-    def __init__(self, classes, buckets: int, large=None) -> None:
-        self.classes, self.buckets, self.large = classes, buckets, large
+    def __init__(self, classes, buckets: int, large=None, long: bool = False) -> None:
+        self.classes, self.buckets, self.large, self.long = classes, buckets, large, long
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, large = self.classes.value, self.large and self.large.value
@@ -197,7 +198,7 @@ class _Prefixes:
                     n[i] = len(own)
                     if large and len(large.rep) and large.left_out(*_signature(own)[1:], ids[i]):
                         continue
-                    probe, store = prefixes(n[i])
+                    probe, store = prefixes(n[i], more=common(n[i]) if self.long else 1)
                     order = np.argsort(rank[a:b][at], kind="stable")[:probe]
                     found.append(own[order])
                     place.append(np.full(len(order), i, np.int32))
@@ -213,7 +214,7 @@ class _Prefixes:
         out: list[list] = [[], [], [], [], []]
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             own, local = np.unique(place[a:b], return_inverse=True)
-            for col, value in zip(out, (int(bucket[a]), _low40(found[a:b]), squeeze(2 * local + index[a:b]), squeeze(ids[own]), squeeze(n[own])), strict=True):
+            for col, value in zip(out, (int(bucket[a]), found[a:b].astype(np.uint32).tobytes(), squeeze(2 * local + index[a:b]), squeeze(ids[own]), squeeze(n[own])), strict=True):
                 col.append(value)
         cols = [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]]
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in self.SCHEMA.split(", ")])
@@ -226,7 +227,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, p, i, z in zip(*[packs[c].to_pylist() for c in ("shingles", "place", "ids", "sizes")], strict=True):
             p = expand(p)
             own = p >> 1
-            shingle.append(_from40(s))
+            shingle.append(np.frombuffer(s, np.uint32))
             doc.append(expand(i)[own])
             n.append(expand(z).astype(np.uint32)[own])
             store.append((p & 1).astype(bool))
@@ -252,6 +253,59 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
 
 
+class _Crowd:
+    """How many shingles of its prefix each document shares, in a bucket, with any other that is not much larger or smaller."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, packs in runs(batches, "bucket"):
+            shingle, doc, n = [], [], []
+            for s, p, i, z in zip(*[packs[c].to_pylist() for c in ("shingles", "place", "ids", "sizes")], strict=True):
+                own = expand(p) >> 1
+                shingle.append(np.frombuffer(s, np.uint32))
+                doc.append(expand(i)[own])
+                n.append(expand(z)[own])
+            shingle, doc, n = map(np.concatenate, (shingle, doc, n))
+            order = np.lexsort((n, shingle))
+            shingle, doc, n = shingle[order], doc[order], n[order]
+            near = (shingle[1:] == shingle[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])  # the nearest in size is near enough if any is
+            shared = np.append(near, False) | np.append(False, near)
+            yield from _dealt(doc[shared], n[shared], self.parts)
+
+
+def _dealt(doc: np.ndarray, size: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """How often each document occurs, and its least size, packed by hash of the document."""
+    order = np.lexsort((size, doc))
+    doc, size = doc[order], size[order]
+    ids, at, n = np.unique(doc, return_index=True, return_counts=True)
+    part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    columns, part = [c[order] for c in (ids, n, size[at])], part[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    if len(cuts):
+        packed = [[squeeze(c[x:y]) for x, y in zip(cuts, [*cuts[1:], len(part)], strict=True)] for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *[pa.array(c, pa.binary()) for c in packed]], ["part", "ids", "counts", "sizes"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, shared) of each part; of sizes under one id the least counts."""
+    for _, table in runs(batches, "part"):
+        ids, counts, sizes = (np.concatenate([expand(x.as_py()) for x in table[c]]) for c in ("ids", "counts", "sizes"))
+        own, place = np.unique(ids, return_inverse=True)
+        least = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(least), pa.array(np.bincount(place, counts).astype(np.int64))], ["doc_id", "n", "shared"])
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents that share as many shingles of their prefixes as linked ones do."""
+    for batch in _add(batches):
+        n, shared = batch["n"].to_numpy(), batch["shared"].to_numpy()
+        yield batch.select(["doc_id"]).filter(pa.array(shared >= common(_ceil(n, PERCENT, 100))))
+
+
 class _Sets:
     """The whole set of each document."""
 
@@ -314,24 +368,7 @@ class _Shared:
             several = np.zeros(len(order), bool)
             several[1:] |= shingle[1:] == shingle[:-1]
             several[:-1] |= shingle[1:] == shingle[:-1]
-            ids, n = np.unique(doc[several], return_counts=True)
-            part = (mix(ids.view(np.uint64)) % np.uint64(self.parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            ids, n, part = ids[order], n[order], part[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = [*cuts[1:], len(part)]
-            if len(cuts):
-                packed = [[squeeze(c[x:y]) for x, y in zip(cuts, ends, strict=True)] for c in (ids, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *[pa.array(c, pa.binary()) for c in packed]], ["part", "ids", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shared) of each part."""
-    for _, table in runs(batches, "part"):
-        ids = np.concatenate([expand(x.as_py()) for x in table["ids"]])
-        counts = np.concatenate([expand(x.as_py()) for x in table["counts"]])
-        own, place = np.unique(ids, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, counts).astype(np.int64))], ["doc_id", "shared"])
+            yield from _dealt(doc[several], np.zeros(int(several.sum()), np.int64), self.parts)
 
 
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -450,11 +487,12 @@ def join(docs: DataFrame) -> DataFrame:
     not read. Shingles are compared by 64-bit hashes.
 
     Texts are read three times: for signatures and counters of shingles, for the prefixes,
-    and for the whole sets of documents in candidate groups. Equal sets are merged by
-    signature first: of the largest groups one document shows its prefix, whatever the
-    number of copies. A candidate stays only if it shares PERCENT of its shingles with
-    other candidates, each maybe with another one: a linked document shares as many with
-    its partner alone. Those that stay are grouped anew, by counters of their own shingles.
+    and for the whole sets of candidates. Equal sets are merged by signature first: of the
+    largest groups one document shows its prefix, whatever the number of copies. A document
+    is a candidate if it shares a sixteenth of its size in shingles of its prefix with
+    others, each maybe with another one: a linked document shares as many with its partner
+    alone. By the same reason a candidate stays only if it shares PERCENT of its shingles
+    with other candidates. Those that stay are grouped by counters of their own shingles.
     Groups larger than a block are verified in tiles of two blocks, so no task holds more
     than two blocks whatever the size of a group.
     """
@@ -469,9 +507,9 @@ def join(docs: DataFrame) -> DataFrame:
     copies = staged(nodes.join(equal.drop("copies"), ["sig1", "sig2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
     share = spark.sparkContext.broadcast
     named = texts.where("doc_id IS NOT NULL")
-    stars = _grouped(named, tasks, share(frequency_classes(signed.where("kind = 1"))), share(_Large(equal)))
-    stars = staged(stars, "stars")
-    near = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    prefixes_ = _Prefixes(share(frequency_classes(signed.where("kind = 1"))), 4 * tasks, share(_Large(equal)), True)
+    dealt = named.mapInArrow(Task(prefixes_), _Prefixes.SCHEMA).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    near = _summed(dealt.mapInArrow(Task(_Crowd(tasks)), COUNTED), tasks).mapInArrow(Task(_crowded), "doc_id long")
     rest = nodes.join(copies.select("a").distinct(), F.col("doc_id") == F.col("a"), "left_semi")
     rest = rest.join(equal.drop("copies").withColumnRenamed("n", "_n").withColumnsRenamed({"sig1": "_sig1", "sig2": "_sig2"}), F.expr("sig1 = _sig1 AND sig2 = _sig2 AND n = _n AND doc_id <> rep"), "left_anti")
     whole = copies.select("a").distinct().join(rest, F.col("a") == F.col("doc_id"), "left_anti")  # ids with no row that is not a copy
@@ -479,8 +517,7 @@ def join(docs: DataFrame) -> DataFrame:
     sets = _thinned(named, near, "text").mapInArrow(Task(_Sets()), "doc_id long, members binary")
     sets = staged(sets, "sets")
     spread = sets.mapInArrow(Task(_Spread(4 * tasks)), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    packed = spread.mapInArrow(Task(_Shared(tasks)), "part int, ids binary, counts binary").repartition(tasks, "part").sortWithinPartitions("part")
-    shared = packed.mapInArrow(Task(_add), "doc_id long, shared long")
+    shared = _summed(spread.mapInArrow(Task(_Shared(tasks)), COUNTED), tasks).mapInArrow(Task(_add), "doc_id long, n long, shared long").drop("n")
     sizes = sets.select("doc_id", (F.octet_length("members") / 8).cast("long").alias("n"))
     sharing = staged(sizes.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "n"), "sharing")
     kept = _thinned(sets, sharing.select("doc_id").distinct(), "members")
@@ -505,8 +542,12 @@ def _thinned(rows: DataFrame, ids: DataFrame, take: str) -> DataFrame:
     return rows.select("doc_id", filter_slot("doc_id", bits).alias("slot"), take).mapInArrow(Task(_Kept(found, take)), f"doc_id long, {take} {'string' if take == 'text' else 'binary'}")
 
 
-def _grouped(rows: DataFrame, tasks: int, classes, large=None) -> DataFrame:
-    """The stars of the candidate groups of texts or sets."""
-    packed = rows.mapInArrow(Task(_Prefixes(classes, 4 * tasks, large)), _Prefixes.SCHEMA)
+def _summed(counts: DataFrame, tasks: int) -> DataFrame:
+    return counts.repartition(tasks, "part").sortWithinPartitions("part")
+
+
+def _grouped(rows: DataFrame, tasks: int, classes) -> DataFrame:
+    """The stars of the candidate groups of sets."""
+    packed = rows.mapInArrow(Task(_Prefixes(classes, 4 * tasks)), _Prefixes.SCHEMA)
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(Task(_group), "a long, b long")
