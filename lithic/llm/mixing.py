@@ -72,7 +72,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     are interchangeable, an empty table gives an empty result, other columns are ignored.
 
     Ranks are made in two levels, so no task gets a whole source: rows are counted by
-    source, size class and two digits of the hash; only these counts are summed up.
+    source, size class and two digits of the hash; only these counts are summed up, and
+    meet the rows where these are ranked, so that the columns of ``carry`` are shuffled
+    once. With ``carry`` documents are read twice, else their sizes are staged.
     """
     rows = docs.select(
         "doc_id",
@@ -82,16 +84,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     )
     draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     rows = rows.select("*", size_class(F.col("size")).alias("class"), draw.alias("draw")).withColumn("part", F.substring("draw", 1, 2))
-    rows = staged(rows, "mix")
+    if not carry:
+        rows = staged(rows, "mix")
     parts = rows.groupBy("source", "class", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
+    if carry:
+        parts = staged(parts, "parts")
     rates = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     earlier = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "class", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
     starts = starts.alias("s").join(rates.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source"))).select("s.*", "r.source_size", "r.target", "r.rate")
-    inside = Window.partitionBy("source", "class", "part").orderBy("draw", "doc_id", "size")
-    ranked = rows.withColumn("n", F.row_number().over(inside) - 1)
-    on = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.class") == F.col("s.class")) & (F.col("d.part") == F.col("s.part"))
-    placed = ranked.alias("d").join(starts.alias("s"), on).select("d.*", "s.source_size", "s.target", "s.rate", (F.col("s.start") + F.col("n")).alias("rank"))
+    named, sourceless = F.coalesce("source", F.lit("")).alias("named"), F.col("source").isNull().alias("sourceless")
+    keys = ["named", "sourceless", "class", "part"]  # of window and join, so that both take one shuffle
+    inside = Window.partitionBy(*keys).orderBy("draw", "doc_id", "size")
+    ranked = rows.select("*", named, sourceless).withColumn("n", F.row_number().over(inside) - 1)
+    starts = starts.select(named, sourceless, "class", "part", "source_size", "target", "rate", "start")
+    placed = ranked.join(starts, keys).withColumn("rank", F.col("start") + F.col("n"))
     u = offset(F.col("source"), seed)
     copies = (F.floor((F.col("rank") + 1) * F.col("rate") + u) - F.floor(F.col("rank") * F.col("rate") + u)).cast("long")
     return placed.withColumn("copies", copies).select(

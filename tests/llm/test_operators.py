@@ -359,6 +359,10 @@ def test_mixing(spark, docs):
     assert sum(target.values()) == pytest.approx(sum(r["size"] for r in got))
     assert all(abs(taken[k] - t) <= 0.03 * t + 40 for k, t in target.items()) and all(t <= 3 * k[0] + 1e-6 for k, t in target.items())
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(rows.repartition(5)).collect()), key=str)
+    carried = mixing.mix(docs, carry=("text", "source")).collect()
+    assert sorted(((r.doc_id, r.copies, r.text, r.source) for r in carried), key=str) == sorted(((r.doc_id, r.copies, TEXTS[r.doc_id], f"s{r.doc_id % 3}" if r.doc_id % 5 else None) for r in mixing.mix(docs).collect()), key=str)
+    odd = spark.createDataFrame([(None, "a b c", "s"), (None, "a b c", "s"), (1, "d", ""), (1, "d", None)], "doc_id long, text string, source string")
+    assert sorted((str(r.doc_id), r.source_size) for r in mixing.mix(odd).collect()) == [("1", 1), ("1", 1), ("None", 6), ("None", 6)]
     assert mixing.mix(docs).count() == len(TEXTS) and mixing.mix(docs.limit(0)).count() == 0
 
 
