@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lithic.llm.common import Task
+
+#: Bytes of rules that may be broadcast; larger lists are joined.
+MOST_BYTES = 32 << 20
 
 #: Host rules: (rule, verdict); the rule is a host, a slash and the beginning of a path.
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -52,70 +61,132 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.when(has, F.translate(head, upper, lower)).otherwise(""), F.when(has, F.regexp_extract(after, r"^([^?#]*)", 1)).otherwise("")
 
 
-def tokens_of(url: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(url.cast("string"), F.lit(""))), F.lit("([a-z0-9]+)"), 1))
-
-
-def index_rules(pages: DataFrame, rules: list[PatternRule]) -> tuple[dict[str, list[PatternRule]], list[PatternRule]]:
-    """Each rule under that of its tokens which the fewest urls hold; rules without a token apart.
-
-    The counts are of all urls, but only of tokens that occur in rules: what comes to the
-    driver is bounded by the rules.
-    """
-    wanted = sorted({t for r in rules for t in r.tokens})
-    counts: dict[str, int] = {}
-    if wanted:
-        hits = pages.select(F.explode(F.array_intersect(tokens_of(F.col("url")), F.array(*[F.lit(t) for t in wanted]))).alias("token"))
-        counts = {r["token"]: r["count"] for r in hits.groupBy("token").count().collect()}
-    index: dict[str, list[PatternRule]] = {}
-    rest = []
-    for rule in rules:
-        if rule.tokens:
-            index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(rule)
-        else:
-            rest.append(rule)
-    return index, rest
-
-
-def judge(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERN_RULES) -> DataFrame:
+class _Count:
+    """Of the wanted tokens, how many urls hold each."""
+
+    def __init__(self, wanted) -> None:
+        self.wanted = wanted
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, total = self.wanted.value, Counter()
+        for batch in batches:
+            for url, n in Counter(batch["url"].to_pylist()).items():
+                for token in wanted.intersection(_TOKEN(url)):
+                    total[token] += n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["token", "n"])
+
+
+_TOKEN = re.compile("[a-z0-9]+").findall
+
+
+class Index:
+    """Pattern rules under one token each, host rules under their host."""
+
+    def __init__(self, host_rules, rules: list[PatternRule], counts: dict[str, int]) -> None:
+        self.hosts: dict[str, list[tuple[str, str, str]]] = {}
+        for text, verdict in host_rules:
+            host, _, path = text.partition("/")
+            self.hosts.setdefault(host, []).append((f"/{path}", text, verdict))
+        self.under: dict[str, list[int]] = {}
+        self.rest: list[int] = []
+        for i, rule in enumerate(rules):
+            (self.under.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []) if rule.tokens else self.rest).append(i)
+        self.rules = [(r.pattern, r.regex) for r in rules]
+
+    def listed(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """The longest host rule that fits, and its verdict."""
+        found: tuple[str | None, str | None] = (None, None)
+        at = 0
+        while host and at >= 0:
+            for start, text, verdict in self.hosts.get(host[at:], ()):
+                if path.startswith(start) and (found[0] is None or (len(text), text) > (len(found[0]), found[0])):
+                    found = text, verdict
+            at = host.find(".", at) + 1 or -1
+        return found
+
+    def pattern(self, url: str, compiled: dict) -> str | None:
+        """The first pattern rule that matches; only candidates that a token of the url fetches are tried."""
+        tried = sorted([*self.rest, *(i for t in set(_TOKEN(url)) for i in self.under.get(t, ()))])
+        for i in tried:
+            if i not in compiled:
+                compiled[i] = re.compile(self.rules[i][1])
+            if compiled[i].search(url):
+                return self.rules[i][0]
+        return None
+
+
+class _Judge:
+    def __init__(self, index) -> None:
+        self.index = index
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, compiled = self.index.value, {}
+        for batch in batches:
+            known: dict[tuple, tuple] = {}
+            out = []
+            for key in zip(*[batch[c].to_pylist() for c in ("host", "path", "url")], strict=True):
+                if key not in known:
+                    rule, verdict = index.listed(*key[:2])
+                    pattern = None if rule is not None else index.pattern(key[2], compiled)
+                    known[key] = rule, verdict or ("allow" if pattern is None else "block"), pattern
+                out.append(known[key])
+            columns = [pa.array(c, pa.string()) for c in zip(*out, strict=True)] or [pa.array([], pa.string())] * 3
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], *columns], ["page_id", "host", "path", "rule", "verdict", "pattern"])
+
+
+def judge(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERN_RULES, most: int = MOST_BYTES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, pattern.
 
     The longest host rule that fits decides. Else the page is blocked if a pattern rule
-    matches its url and allowed if none does. A url's tokens look up candidate rules in the
-    index; no other rule's regular expression runs. ``pattern`` is the first rule in order
-    that matched, only where no host rule fits.
+    matches its url and allowed if none does. Each pattern rule stands under that of its
+    tokens which the fewest urls hold; a url's tokens look up candidate rules there, and no
+    other rule's regular expression runs. ``pattern`` is the first rule in order that
+    matched, only where no host rule fits.
 
     Null urls and urls without ``://`` have an empty host and path; patterns still see
     their text. Repeated rows are judged alike, an empty table gives an empty result,
-    other columns are not read. The plan has no shuffle but for the small token counts.
+    other columns are not read. Rules of ``most`` bytes at most are sent to the executors,
+    and the plan has no shuffle but for the counts of rule tokens; longer lists become
+    tables that are joined with the distinct urls by token and by host, and only rules
+    without a token, which have to see every url, stand in the plan one by one.
     """
     rules = [parse_rule(p) for p in patterns]
-    index, rest = index_rules(pages, rules)
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.lower(F.coalesce(F.col("url").cast("string"), F.lit(""))).alias("url"))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, said in sorted(host_rules, key=lambda r: (len(r[0]), r[0])):  # the last that fits is the longest
-        name, _, tail = text.partition("/")
-        fits = ((F.col("host") == name) | F.col("host").endswith(f".{name}")) & F.col("path").startswith(f"/{tail}")
-        rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("listed"))
-    order = {r.pattern: i for i, r in enumerate(rules)}
-
-    def entries(found: list[PatternRule]) -> Column:
-        return F.array(*[F.struct(F.lit(order[r.pattern]).alias("at"), F.lit(r.pattern).alias("pattern"), F.lit(r.regex).alias("regex")) for r in found])
-
-    none = F.expr("array(named_struct('at', 0, 'pattern', '', 'regex', ''))")
-    empty = F.filter(none, lambda x: F.lit(False))
-    candidates = entries(rest) if rest else empty
-    if index:
-        table = F.create_map(*[x for token, found in sorted(index.items()) for x in (F.lit(token), entries(found))])
-        keys = F.array(*[F.lit(t) for t in sorted(index)])
-        fetched = F.flatten(F.transform(F.array_intersect(tokens_of(F.col("url")), keys), lambda t: table[t]))
-        candidates = F.concat(candidates, fetched)
-    matched = F.array_sort(F.filter(candidates, lambda r: F.rlike(F.col("url"), r["regex"])))
-    pattern = F.when(F.col("listed").isNull() & (F.size(matched) > 0), F.get(matched, F.lit(0))["pattern"])
-    rows = rows.withColumn("pattern", pattern)
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("pattern").isNotNull(), "block").otherwise("allow")).alias("verdict"), "pattern")
+    if sum(len(r.pattern) + len(r.regex) for r in rules) + sum(len(t) for t, _ in host_rules) > most:
+        return _joined(rows, host_rules, rules)
+    share = pages.sparkSession.sparkContext.broadcast
+    counted = rows.select("url").mapInArrow(Task(_Count(share({t for r in rules for t in r.tokens}))), "token string, n long")
+    counts = {r["token"]: r["n"] for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()}  # a row for each token of a rule at most
+    fields = [pages.schema["page_id"], *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict", "pattern")]]
+    return rows.mapInArrow(Task(_Judge(share(Index(host_rules, rules, counts)))), T.StructType(fields))
+
+
+def _joined(rows: DataFrame, host_rules, rules: list[PatternRule]) -> DataFrame:
+    """The same with the rules as tables: nothing of their size is broadcast by this code, nor comes back to the driver."""
+    spark = rows.sparkSession
+    listed = spark.createDataFrame([(t.partition("/")[0], "/" + t.partition("/")[2], t, v) for t, v in host_rules], "on string, start string, rule string, listed string")
+    table = spark.createDataFrame([(i, r.pattern, r.regex, list(r.tokens)) for i, r in enumerate(rules)], "at int, pattern string, regex string, tokens array<string>")
+    urls = rows.select("host", "path", "url").distinct()
+    found = F.regexp_extract_all("url", F.lit("([a-z0-9]+)"), 1)
+    tokens = urls.select("url").distinct().select("url", F.explode(F.array_distinct(found)).alias("token"))
+    wanted = table.select("at", F.explode("tokens").alias("token"))
+    counts = tokens.join(wanted.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    under = wanted.join(counts, "token", "left").groupBy("at").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
+    fetched = tokens.join(table.join(under, "at"), "token").where(F.rlike("url", F.col("regex")))
+    matched = fetched.groupBy("url").agg(F.min(F.struct("at", "pattern")).alias("first"))
+    labels = F.split("host", "[.]")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = urls.select("host", "path").distinct().select("host", "path", F.explode(ends).alias("on")).join(listed, "on").where(F.startswith("path", "start"))
+    fits = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "listed")).alias("best")).select("host", "path", "best.rule", "best.listed")
+    out = rows.join(fits, ["host", "path"], "left").join(matched, "url", "left")
+    first = F.col("first")
+    for i, r in enumerate(rules):
+        if not r.tokens:  # a rule without a token has to see every url
+            first = F.least(first, F.when(F.rlike("url", F.lit(r.regex)), F.struct(F.lit(i).alias("at"), F.lit(r.pattern).alias("pattern"))))
+    pattern = F.when(F.col("rule").isNull(), first["pattern"])
+    return out.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(pattern.isNotNull(), "block").otherwise("allow")).alias("verdict"), pattern.alias("pattern"))
 
 
 def oracle(host_rules=HOST_RULES, patterns=PATTERN_RULES) -> str:

@@ -239,6 +239,27 @@ def test_url_rules(spark):
     assert got == {i: ("block", p) for i, p in enumerate(url_filter.PATTERN_RULES)} | {99: ("allow", None)}
 
 
+def test_url_rules_many(spark):
+    """A hundred thousand rules, broadcast and joined, against trying those that can match; repeated rows and a rule without a token."""
+    draw = random.Random(3)
+    patterns = [f"^site{i}^*^page{i % 100}^" for i in range(100_000)] + ["*~*", "^site7^", "^"]
+    hosts = [(f"h{i}.example/a{i % 3}/", draw.choice(["block", "allow"])) for i in range(20_000)] + list(url_filter.HOST_RULES)
+    urls = [f"http://www.h{draw.randrange(30_000)}.example/a{draw.randrange(4)}/x" for _ in range(150)] + [f"http://b.c/site{i}/x/page{draw.choice([i % 100, 7])}" for i in draw.sample(range(100_000), 150)]
+    urls += ["http://b.c/site7/", "http://b.c/~", "~", None, "", "http://b.c/site7/", "http://s.example.net/en/x"]
+    pages = spark.createDataFrame([(i % 300, u, "x") for i, u in enumerate(urls)], "page_id int, url string, pattern string").repartition(3)
+    few = [p for p in patterns[:-1] if any(u and p.split("^")[1] in u for u in urls if "site" in p) or "site" not in p]
+    want = url_filter.judge(pages, hosts, few).collect()
+    assert {r.rule is None for r in want} == {True, False} and len({r.pattern for r in want}) > 50
+    for got in (url_filter.judge(pages, hosts, patterns[:-1]), url_filter.judge(pages, hosts, patterns[:-1], most=0)):
+        assert got.columns == ["page_id", "host", "path", "rule", "verdict", "pattern"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
+    for r in want:
+        tried = [p for p in few if re.search(url_filter.parse_rule(p).regex, (urls[r.page_id] or "").lower())]
+        fits = [h for h in hosts if (r.host == h[0].partition("/")[0] or r.host.endswith("." + h[0].partition("/")[0])) and r.path.startswith("/" + h[0].partition("/")[2])]
+        if r.page_id >= 7:  # an id of one url
+            assert r.rule == max((h[0] for h in fits), key=len, default=None) and r.pattern == (None if fits else next(iter(tried), None))
+
+
 def test_topk(spark):
     draw = np.random.default_rng(1)
     vectors = [[float(x) for x in draw.normal(size=4)] for _ in range(220)] + [[1.0] * 4] * 8 + [None, [None] * 4, [float("nan")] * 4, [float("inf")] * 4]
