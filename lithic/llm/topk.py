@@ -12,11 +12,11 @@ from pyspark.sql.window import Window
 
 from lithic.llm.common import Task
 
-#: Queries in a block, candidates in a tile; PART queries are multiplied at once.
-BLOCK, TILE = 16384, 4096
+#: Bytes of the vectors of a block of queries; candidates in a tile; PART queries are multiplied at once.
+BLOCK_BYTES, TILE = 64 << 20, 4096
 PART = 512
-#: Shards of the candidates, for each block of queries.
-SHARDS = 48
+#: Candidates of a shard, and lists that are merged at once.
+SHARD, FAN = 1 << 17, 16
 
 
 def matrix(values: pa.Array) -> np.ndarray:
@@ -72,12 +72,12 @@ class Best:
             s, f, real = (np.take_along_axis(x, order, 1) for x in (s, f, real))
         return s[:, : self.k], f[:, : self.k], real[:, : self.k]
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, shard: int) -> pa.RecordBatch:
         q = np.repeat(self.ids, self.real.sum(1))
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(self.found[self.real]), pa.array(self.score[self.real])], ["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), shard, np.int64)), pa.array(q), pa.array(self.found[self.real]), pa.array(self.score[self.real])], ["shard", "query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shards: int = SHARDS) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shards: int | None = None) -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Queries are the rows whose vec_id is divisible by
@@ -89,20 +89,33 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sh
 
     Query blocks and candidate shards meet in tiles: a block is sent once to each shard
     and a candidate once to each block (key: shard, block). A tile takes its candidates in
-    batches, keeps k rows per query, and passes these lists on; ranking merges them. Hash
-    shards of rows cannot be skewed by one common vector.
+    batches and keeps k rows per query, its list. Lists are merged in a tree, FAN lists of a
+    query at a time, so no task gets all lists of a query at once. Blocks follow from the
+    bytes of the queries and shards from the number of candidates, at least one for each
+    shuffle partition. Hash shards of rows cannot be skewed by one common vector.
     """
     whole = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     sound = F.forall(F.col("embedding"), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select(F.col("vec_id").cast("long").alias("id"), whole.alias("v"))
     queries = rows.where(F.col("id") % every == 0)
-    blocks = max(1, -(-queries.count() // BLOCK))
+    own = F.col("vec_id").cast("long") % every == 0
+    counted = vectors.agg(F.count("*").alias("rows"), F.sum(F.when(own, F.lit(1).cast("long"))).alias("asked"), F.max(F.size("embedding")).alias("width")).first()
+    blocks = max(1, -(-8 * (counted["asked"] or 0) * max(counted["width"] or 1, 1) // BLOCK_BYTES))
+    shards = shards or max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted["rows"] // SHARD))
     asked = queries.groupBy("id").agg(F.min("v").alias("v")).select(F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
     given = rows.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
     tiles = asked.unionByName(given).repartition(F.col("block"), F.col("shard")).sortWithinPartitions("block", "shard", "side", "id")
-    found = tiles.select("side", "block", "shard", "id", "v").mapInArrow(Task(_Tiles(k)), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lists = tiles.select("side", "block", "shard", "id", "v").mapInArrow(Task(_Tiles(k)), "shard long, query_id long, vec_id long, score long")
+    while shards > FAN:
+        shards = -(-shards // FAN)
+        lists = _best(lists.withColumn("shard", F.floor(F.col("shard") / FAN).cast("long")), ["query_id", "shard"], k).drop("rank")
+    return _best(lists, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(lists: DataFrame, of: list[str], k: int) -> DataFrame:
+    """The k best rows of each list."""
+    order = Window.partitionBy(*of).orderBy(F.col("score").desc(), "vec_id")
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 class _Tiles:
@@ -114,12 +127,12 @@ class _Tiles:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, queries, vectors, best = None, [], [], None
         for batch in batches:
-            key = batch["block"].to_numpy() * (1 << 20) + batch["shard"].to_numpy() * 2 + batch["side"].to_numpy()
+            key = (batch["block"].to_numpy().astype(np.int64) << 32) + batch["shard"].to_numpy().astype(np.int64) * 2 + batch["side"].to_numpy()
             cuts = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else []
             for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 tile, side = key[a] // 2, key[a] % 2
                 if tile != at:
-                    yield from self._out(best)
+                    yield from self._out(best, at)
                     at, queries, vectors, best = tile, [], [], None
                 for c in range(a, b, TILE):
                     part = batch.slice(c, min(TILE, b - c))
@@ -135,11 +148,11 @@ class _Tiles:
                             best = Best(np.concatenate(queries), self.k)
                         parts = [best.add(ids, scores(asked[i : i + PART], values), slice(i, i + PART)) for i in range(0, len(asked), PART)]
                         best.score, best.found, best.real = (np.concatenate(x) for x in zip(*parts, strict=True))
-        yield from self._out(best)
+        yield from self._out(best, at)
 
-    def _out(self, best: Best | None) -> Iterator[pa.RecordBatch]:
+    def _out(self, best: Best | None, tile: int | None) -> Iterator[pa.RecordBatch]:
         if best is not None and best.real.any():
-            yield best.rows()
+            yield best.rows(int(tile) % (1 << 31))
 
 
 def oracle(k: int = 5, every: int = 50, scale: int = 256) -> str:

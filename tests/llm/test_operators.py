@@ -260,7 +260,7 @@ def test_url_rules_many(spark):
             assert r.rule == max((h[0] for h in fits), key=len, default=None) and r.pattern == (None if fits else next(iter(tried), None))
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     draw = np.random.default_rng(1)
     vectors = [[float(x) for x in draw.normal(size=4)] for _ in range(220)] + [[1.0] * 4] * 8 + [None, [None] * 4, [float("nan")] * 4, [float("inf")] * 4]
     rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
@@ -272,6 +272,11 @@ def test_topk(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(ranked)]
     assert got == sorted(want)
     assert topk.search(rows.limit(0)).count() == 0
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 64)  # several blocks of queries
+    monkeypatch.setattr(topk, "FAN", 2)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(rows, shards=11).collect()) == got
+    odd = spark.createDataFrame([(50, [1.0, 2.0]), (50, [1.0, 3.0]), (None, [9.0]), (3, [1.0, 2.0, 5.0]), (3, [1.0]), (4, [])], "vec_id int, embedding array<double>")
+    assert [(r.rank, r.vec_id, r.score) for r in topk.search(odd).orderBy("rank").collect()] == [(1, 3, 327680), (2, 3, 65536), (3, 4, 0)]
 
 
 def components(texts):
