@@ -31,17 +31,18 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates large-star and small-star: each node hangs its larger, then its smaller
     neighbours on the least one, until every component is a star. Each round is written to
     the shared folder; only a count of changed edges comes to the driver. A hub's rows are
-    reduced before the shuffle, and the join that brings the least neighbour back can be
-    split by adaptive execution.
+    reduced before the shuffle, and the join that brings the least neighbour back has a
+    shuffle of its own on both sides, so that adaptive execution can split a hub.
     """
+    own = F.col("a").bitwiseXOR(F.lit(1).cast("long"))  # another key than the aggregation's
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     state = _state(now)
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(own.alias("key"), "m")
+        large = both.join(least, own == F.col("key")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
+        small = large.join(lower.select(own.alias("key"), "m"), own == F.col("key"))
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
         after = staged(small, name)
         now, before, state = after, state, _state(after)
