@@ -1,16 +1,17 @@
 """Toxicity scores: a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel of two words is the gap-weighted subsequence kernel: each subsequence of ORDER
+The kernel of two strings is the gap-weighted subsequence kernel: each subsequence of ORDER
 symbols that spans at most SPAN counts with DECAY to the power of the symbols it skips, so
 a word with inserted or left-out characters stays near the word it disguises. It is divided
-by a function of each word's length. Words are read as symbols of a small alphabet; runs
-of single characters between spaces are read as one word too.
+by a function of each string's length. Strings are the words of sentences and phrases, two
+words with a border between them; runs of single characters are read as one word too.
 
-A labelled document is a bag of the words of its sentences: a toxic one holds at least one
-insult, a clean one none. The machine is trained on words, and the word of each toxic
+A labelled document is a bag of the strings of its sentences: a toxic one holds at least one
+insult, a clean one none. The machine is trained on strings, and the string of each toxic
 document that stands for it is chosen anew by the machine after each round. With landmarks
-l_j and weights a_j a word's margin is the sum of a_j k(w, l_j). As every term is a sum over
-subsequences, the landmarks fold into one table of subsequence weights that scoring reads.
+l_j and weights a_j a string's margin is the sum of a_j k(w, l_j). As every term is a sum
+over subsequences, the landmarks fold into one table of subsequence weights that scoring
+reads. Whole sentences as strings were tried, too: one insult among twenty words drowns.
 """
 
 from __future__ import annotations
@@ -26,30 +27,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithic.llm.common import Task
 from lithic.llm.wordhash import flat, mix, slices, words
 
 ORDER, SPAN, DECAY = 4, 7, 0.8
 #: Bounds of the training sample: documents of each label, and characters of one of them.
-SAMPLE, SAMPLE_CHARS = 1500, 200_000
+SAMPLE, SAMPLE_CHARS = 1500, 100_000
 LANDMARKS, ROUNDS, NEGATIVES, COST = 160, 3, 6000, 10.0
 THRESHOLD = 0.7
 #: Word scores that a worker keeps.
 CACHE = 500_000
 
-_BITS = 5
+_BITS = 6
 _PATTERNS = [(0, *p) for span in range(ORDER, SPAN + 1) for p in itertools.combinations(range(1, span), ORDER - 1) if p[-1] == span - 1]
 _WEIGHTS = [DECAY ** (p[-1] + 1 - ORDER) for p in _PATTERNS]
 
 
 def _alphabet() -> np.ndarray:
-    """Symbols of bytes: 1 to 26 letters, 27 digits, 28 other ASCII, 29 to 31 the rest; 0 is a word's border."""
-    table = np.full(256, 28, np.uint8)
+    """Symbols of ASCII: 0 a border, 1 to 26 letters, 27 to 36 digits, 37 the rest; 38 to 63 are for other characters."""
+    table = np.full(128, 37, np.uint8)
     for i in range(26):
         table[[65 + i, 97 + i]] = i + 1
-    table[48:58] = 27
-    table[128:] = 29 + np.arange(128) % 3
+    table[48:58] = 27 + np.arange(10)
+    table[0x20] = 0
     return table
 
 
@@ -71,17 +73,46 @@ def _norm(lengths: np.ndarray) -> np.ndarray:
     return np.sqrt(sum(w * w * np.maximum(0, lengths - p[-1]) for p, w in zip(_PATTERNS, _WEIGHTS, strict=True)))
 
 
-def _symbols(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of all words, each between two borders; first symbol of each word)."""
-    sizes = stop - start
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol of each character of UTF-8 bytes, number of characters before each byte)."""
+    begins = (data & 0xC0) != 0x80
+    before = np.concatenate([[0], np.cumsum(begins)])
+    out = _SYMBOL[np.minimum(data, 127)]
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        point = padded[wide]
+        for k, lead in enumerate((0xC0, 0xE0, 0xF0), 1):  # characters of two, three and four bytes
+            point = np.where(padded[wide] >= lead, (point << 6) | (padded[wide + k] & 0x3F), point)
+        out[wide] = 38 + point % 26
+    return out[begins], before
+
+
+def _symbols(read: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all strings, each between two borders; first symbol of each string) of bytes that ``_characters`` read."""
+    symbol, before = read
+    start, sizes = before[start], before[stop] - before[start]
     first = np.concatenate([[0], np.cumsum(sizes + 2)])
     out = np.zeros(int(first[-1]), np.uint32)
-    inner = np.repeat(first[:-1] + 1 - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum())) if len(sizes) else np.zeros(0, np.int64)
-    source = np.repeat(start - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum())) if len(sizes) else inner
-    out[inner] = _SYMBOL[data[source]]
+    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(first[:-1] + 1, sizes) + inner] = symbol[np.repeat(start, sizes) + inner]
     return out, first
 
 
+def naive_kernel(a: list[int], b: list[int]) -> float:
+    """The kernel of two strings of symbols from its definition."""
+
+    def features(s: list[int]) -> Counter:
+        out: Counter = Counter()
+        for i in range(len(s)):
+            for places in itertools.combinations(range(i + 1, min(len(s), i + SPAN)), ORDER - 1):
+                out[tuple(s[j] for j in (i, *places))] += DECAY ** (places[-1] - i + 1 - ORDER)
+        return out
+
+    one, two = features(a), features(b)
+    return sum(v * two[k] for k, v in one.items())
+
+
 def _occurrences(symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each gap pattern (places where it fits in a word, subsequences there, weight)."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(symbols))  # symbols from here to the word's end
@@ -94,23 +125,49 @@ def _occurrences(symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.nd
 
 
 def margins(data: np.ndarray, start: np.ndarray, stop: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The sum of a word's subsequence weights over its norm, for all words."""
+    """The sum of a string's subsequence weights over its norm, for all strings."""
     out = np.zeros(len(start))
+    read = _characters(data)
     for a in range(0, len(start), 20_000):
-        s, e = start[a : a + 20_000], stop[a : a + 20_000]
-        symbols, first = _symbols(data, s, e)
-        at_place = np.zeros(len(symbols))
+        symbols, first = _symbols(read, start[a : a + 20_000], stop[a : a + 20_000])
         left = np.repeat(first[1:], np.diff(first)) - np.arange(len(symbols))
-        for pattern, weight in zip(_PATTERNS, _WEIGHTS, strict=True):
-            n = len(symbols) - pattern[-1]
-            if n <= 0:
-                continue
-            key = symbols[:n]
-            for step in pattern[1:]:
-                key = (key << np.uint32(_BITS)) | symbols[step : n + step]
-            at_place[:n] += table[key] * (weight * (left[:n] > pattern[-1]))
-        sums = np.add.reduceat(at_place, first[:-1])
-        out[a : a + 20_000] = sums / np.maximum(_norm(np.diff(first)), 1e-9)
+        out[a : a + 20_000] = _sums(symbols, left, first[:-1], table) / np.maximum(_norm(np.diff(first)), 1e-9)
+    return out
+
+
+def _sums(symbols: np.ndarray, left: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The weights of the subsequences that begin in each run of symbols from ``first`` on; ``left`` symbols are open to them."""
+    at_place = np.zeros(len(symbols))
+    for pattern, weight in zip(_PATTERNS, _WEIGHTS, strict=True):
+        n = len(symbols) - pattern[-1]
+        if n <= 0:
+            continue
+        key = symbols[:n]
+        for step in pattern[1:]:
+            key = (key << np.uint32(_BITS)) | symbols[step : n + step]
+        at_place[:n] += table[key] * (weight * (left[:n] > pattern[-1]))
+    return np.add.reduceat(at_place, first)
+
+
+def phrase_margins(data: np.ndarray, start: np.ndarray, stop: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The same for each word and the next as one string, a border between them; one fewer than words."""
+    out = np.zeros(max(0, len(start) - 1))
+    read = _characters(data)
+    for a in range(0, len(out), 20_000):
+        s, e = start[a : a + 20_001], stop[a : a + 20_001]
+        symbol, before = read
+        low, sizes = before[s], before[e] - before[s]
+        first = np.concatenate([[0], np.cumsum(sizes + 1)])  # each word behind a border, the last before one
+        symbols = np.zeros(int(first[-1]) + 1, np.uint32)
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        symbols[np.repeat(first[:-1] + 1, sizes) + inner] = symbol[np.repeat(low, sizes) + inner]
+        place = np.arange(len(symbols))
+        word = np.repeat(np.arange(len(sizes)), sizes + 1)
+        word = np.append(word, len(sizes) - 1)
+        own = first[word + 1] + 1 - place
+        both = first[np.minimum(word + 2, len(sizes))] + 1 - place
+        one, two = _sums(symbols, own, first[:-1], table), _sums(symbols, both, first[:-1], table)
+        out[a : a + 20_000] = (two[:-1] + one[1:]) / np.maximum(_norm(sizes[:-1] + sizes[1:] + 3), 1e-9)
     return out
 
 
@@ -119,17 +176,20 @@ def _buffer(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(found) else ends, ends
 
 
+def _strings(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data, start, stop = _buffer(found)
+    return _symbols(_characters(data), start, stop)
+
+
 class _Landmarks:
     """Kernel rows against fixed words."""
 
     def __init__(self, found: list[bytes]) -> None:
         self.found = found
-        symbols, first = _symbols(*_buffer(found))
+        symbols, first = _strings(found)
         parts = [(np.searchsorted(first, at, "right") - 1, key, np.full(len(at), w)) for at, key, w in _occurrences(symbols, first)]
         word, key, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.keys, row = np.unique(key, return_inverse=True)
-        self.row = np.full(1 << (_BITS * ORDER), -1, np.int32)
-        self.row[self.keys] = np.arange(len(self.keys))
         norm = np.maximum(_norm(np.diff(first)), 1e-9)
         self.features = np.zeros((len(self.keys), len(found)))
         np.add.at(self.features, (row, word), weight / norm[word])
@@ -137,11 +197,12 @@ class _Landmarks:
     def kernel(self, found: list[bytes]) -> np.ndarray:
         out = np.zeros((len(found), self.features.shape[1]))
         for a in range(0, len(found), 1000):
-            symbols, first = _symbols(*_buffer(found[a : a + 1000]))
+            symbols, first = _strings(found[a : a + 1000])
             norm = np.maximum(_norm(np.diff(first)), 1e-9)
             for at, key, w in _occurrences(symbols, first):
-                row = self.row[key]
-                at, row = at[row >= 0], row[row >= 0]
+                row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[row] == key
+                at, row = at[known], row[known]
                 word = np.searchsorted(first, at, "right") - 1
                 cuts = np.flatnonzero(np.diff(word, prepend=-1))
                 if len(cuts):
@@ -149,10 +210,8 @@ class _Landmarks:
         return out
 
     def fold(self, weights: np.ndarray) -> np.ndarray:
-        """One table of subsequence weights for the expansion with ``weights``."""
-        table = np.zeros(1 << (_BITS * ORDER), np.float32)
-        table[self.keys] = self.features @ weights
-        return table
+        """The weights of the subsequences ``keys`` for the expansion with ``weights``."""
+        return (self.features @ weights).astype(np.float32)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, cost: float = COST) -> np.ndarray:
@@ -192,21 +251,34 @@ def _platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class Model:
-    table: np.ndarray
+    """Subsequences with their weights, the bias, the logistic curve of margins, and whether phrases count."""
+
+    keys: np.ndarray
+    weights: np.ndarray
     bias: float
     slope: float
     offset: float
+    phrases: bool = False
 
     @property
     def key(self) -> str:
-        return hashlib.md5(self.table.tobytes()).hexdigest()
+        return hashlib.md5(self.keys.tobytes() + self.weights.tobytes()).hexdigest()
+
+    def table(self) -> np.ndarray:
+        """The weight of every possible subsequence; a process keeps the table of one model."""
+        if self.key not in _tables:
+            _tables.clear()
+            _tables[self.key] = np.zeros(1 << (_BITS * ORDER), np.float32)
+            _tables[self.key][self.keys] = self.weights
+        return _tables[self.key]
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
 
+_tables: dict[str, np.ndarray] = {}
 #: Without labelled rows of both kinds: nothing is toxic.
-NO_MODEL = Model(np.zeros(1 << (_BITS * ORDER), np.float32), -1.0, 1.0, -4.0)
+NO_MODEL = Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), -1.0, 1.0, -4.0)
 
 
 def _disguise(found: list[bytes], each: int, draw: random.Random) -> list[bytes]:
@@ -220,12 +292,13 @@ def _disguise(found: list[bytes], each: int, draw: random.Random) -> list[bytes]
     return out
 
 
-def _coded(labels: pa.ChunkedArray, bags: pa.ChunkedArray) -> tuple[list[bytes], list[tuple[int, np.ndarray]]]:
-    """(sorted words, (label, sorted places of the distinct words) of each document), near copies of a document once.
+def _coded(labels: pa.ChunkedArray, texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """(sorted words, label of each document, places of its words in order), near copies of a document once.
 
-    Words become numbers in Arrow, so the driver holds no object per word and document.
+    Words become numbers in Arrow, so the task holds no object per word and document. The
+    words of a document come in order, those that are spelled in single characters behind.
     """
-    listed = pa.concat_arrays(bags.chunks) if bags.num_chunks else pa.array([], bags.type)
+    listed = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], texts.type)
     encoded = listed.flatten().dictionary_encode()
     found = encoded.dictionary.to_pylist()
     order = sorted(range(len(found)), key=found.__getitem__)
@@ -234,32 +307,95 @@ def _coded(labels: pa.ChunkedArray, bags: pa.ChunkedArray) -> tuple[list[bytes],
     digests = [hashlib.md5(w).digest() for w in found]
     drawn = np.argsort(sorted(range(len(found)), key=digests.__getitem__)) if order else codes
     first = np.concatenate([[0], np.cumsum([len(b) for b in listed])]).astype(np.int64)
-    rows = [(y, np.sort(codes[a:b]).astype(">u4")) for y, a, b in zip(labels.to_pylist(), first[:-1], first[1:], strict=True)]
-    seen: dict[tuple, tuple[int, np.ndarray]] = {}
-    for y, bag in sorted(rows, key=lambda r: (r[0], r[1].tobytes())):
-        seen.setdefault((y, *np.sort(drawn[bag])[:2].tolist()), (y, bag))
-    used = np.unique(np.concatenate([bag for _, bag in seen.values()])) if seen else codes
-    return [found[i] for i in used], [(y, np.searchsorted(used, bag)) for y, bag in seen.values()]
-
-
-def fit(labels: pa.ChunkedArray, bags: pa.ChunkedArray) -> Model:
-    """A model from the labels and the distinct words of documents."""
-    vocabulary, coded = _coded(labels, bags)
-    toxic, clean = ([bag for y, bag in coded if y == label and len(bag)] for label in (1, 0))
-    if not toxic or not clean:
+    rows = [(y, np.unique(codes[a:b]).astype(">u4"), codes[a:b]) for y, a, b in zip(labels.to_pylist(), first[:-1], first[1:], strict=True)]
+    seen: dict[tuple, tuple[int, np.ndarray, np.ndarray]] = {}
+    for y, bag, row in sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())):
+        seen.setdefault((y, *np.sort(drawn[bag])[:2].tolist()), (y, bag, row))
+    used = np.unique(np.concatenate([bag for _, bag, _ in seen.values()])) if seen else codes
+    place = lambda x: np.searchsorted(used, x)
+    rows = [x for x in seen.values() if len(x[1])]
+    return [found[i] for i in used], np.array([y for y, _, _ in rows], np.int64), [place(row) for _, _, row in rows]
+
+
+def _marks(up: np.ndarray, down: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Which of the strings that so many toxic and clean documents hold mark toxic ones beyond chance, however many are looked at."""
+    n, share = np.maximum(up + down, 1), toxic / (toxic + clean)
+    ratio = up * np.log(np.maximum(up, 1e-9) / (n * share)) + down * np.log(np.maximum(down, 1e-9) / (n * (1 - share)))
+    return (up > n * share) & (ratio > np.log(max(len(up), 1) / 0.01))
+
+
+def _odds(up: np.ndarray, down: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    return np.log((up / toxic + 1e-4) / (down / clean + 1e-4)) * np.minimum(1.0, up / 3)
+
+
+def _phrases(rows: list[np.ndarray], y: np.ndarray, missed: np.ndarray, words_: int, most: int) -> np.ndarray:
+    """Neighbouring words that mark toxic documents which no word marks."""
+    pairs = [np.unique(row[:-1] * words_ + row[1:]) for row in rows]
+    toxic, clean = int((y == 1).sum()), int((y == 0).sum())
+    found, up = np.unique(np.concatenate([pairs[i] for i in missed]), return_counts=True)
+    many = len(found)
+    found, up = found[up >= max(5, 0.01 * toxic)], up[up >= max(5, 0.01 * toxic)]
+    down = np.zeros(len(found), np.int64)
+    for i in np.flatnonzero(y == 0):
+        down += np.isin(found, pairs[i], assume_unique=True)
+    odds = _odds(up, down, max(1, len(missed)), clean)
+    marked = _marks(np.append(up, np.zeros(many - len(up))), np.append(down, np.zeros(many - len(up))), max(1, len(missed)), clean)[: len(up)]
+    order = np.lexsort((found, -odds))
+    return found[order[marked[order] & (odds[order] > np.log(30))]][:most]
+
+
+def fit(labels: pa.ChunkedArray, texts: pa.ChunkedArray) -> Model:
+    """A model from the labels and the words of documents, in order.
+
+    Phrases are looked for in the toxic documents that the machine of words leaves; where
+    there are some, a second machine learns words and phrases.
+    """
+    vocabulary, y, rows = _coded(labels, texts)
+    if not (y == 1).any() or not (y == 0).any():
         return NO_MODEL
+    bags = [np.unique(row) for row in rows]
+    model, best = _train(vocabulary, y, bags, [])
+    missed = np.flatnonzero((y == 1) & (model.probability(best) < THRESHOLD))
+    phrases = _phrases(rows, y, missed, len(vocabulary), LANDMARKS // 4) if len(missed) else []
+    if not len(phrases):
+        return model
+    count = len(vocabulary)
+    draw = np.random.default_rng(7)
+    clean = np.unique(np.concatenate([rows[i][:-1] * count + rows[i][1:] for i in np.flatnonzero(y == 0)]))
+    alike = np.isin(clean // count, phrases // count) | np.isin(clean % count, phrases % count)
+    added = np.unique(np.concatenate([phrases, draw.permutation(clean[alike])[:10_000], draw.permutation(clean)[:10_000]]))
+    bags = [np.union1d(bag, count + np.flatnonzero(np.isin(added, row[:-1] * count + row[1:]))) for bag, row in zip(bags, rows, strict=True)]
+    longer = vocabulary + [vocabulary[k // count] + b" " + vocabulary[k % count] for k in added.tolist()]
+    model, best = _train(longer, y, bags, (count + np.searchsorted(added, phrases)).tolist())
+    model.phrases = True
+    data, start, stop = _buffer(vocabulary)
+    for i, row in enumerate(rows):
+        if len(row) > 1:
+            best[i] = max(best[i], phrase_margins(data, start[row], stop[row], model.table()).max() + model.bias)
+    model.slope, model.offset = _platt(best, y.astype(float))
+    return model
+
+
+def _train(vocabulary: list[bytes], y: np.ndarray, bags: list[np.ndarray], known: list[int]) -> tuple[Model, np.ndarray]:
+    """A machine for the strings ``vocabulary`` of documents, ``known`` ones being insults, and the highest margin of each document."""
+    toxic, clean = ([bag for label, bag in zip(y, bags, strict=True) if label == kind] for kind in (1, 0))
     up, down = (np.bincount(np.concatenate(x), minlength=len(vocabulary)) for x in (toxic, clean))
-    odds = np.log((up / len(toxic) + 1e-4) / (down / len(clean) + 1e-4)) * np.minimum(1.0, up / 3)
-    sure = np.flatnonzero((up >= max(5, 0.01 * len(toxic))) & (odds > np.log(30)))
+    odds = _odds(up, down, len(toxic), len(clean))
+    marked = _marks(up, down, len(toxic), len(clean))
+    sure = [*np.flatnonzero(marked & (odds > np.log(30))).tolist(), *known]
     everything = _buffer(vocabulary)
     cleanly = np.flatnonzero(down)
     common = cleanly[np.argsort(-down[cleanly], kind="stable")]
     draw = random.Random(7)
     negatives = common[: NEGATIVES // 2].tolist() + draw.sample(common[NEGATIVES // 2 :].tolist(), min(NEGATIVES // 2, max(0, len(common) - NEGATIVES // 2)))
     score, hard = odds, []
-    table, bias = NO_MODEL.table, NO_MODEL.bias
+    model = NO_MODEL
     for _ in range(ROUNDS):
-        stands = Counter(sure.tolist()) + Counter(int(bag[np.argmax(score[bag])]) for bag in toxic)
+        may = np.where((marked & (odds > np.log(5))) | ((down == 0) & (score > 0) & (score is not odds)), score, -np.inf)  # no word stands for a document by chance
+        found = ((bag, int(np.argmax(may[bag]))) for bag in toxic)
+        stands = Counter(sure) + Counter(int(bag[i]) for bag, i in found if may[bag[i]] > -np.inf)
+        if not stands:
+            return NO_MODEL, np.full(len(bags), NO_MODEL.bias)
         positive = sorted(stands, key=lambda i: (-up[i], i))
         against = [i for i in dict.fromkeys([*negatives, *hard]) if i not in stands]
         marks = _Landmarks([vocabulary[i] for i in [*positive[: LANDMARKS * 3 // 4], *hard[: LANDMARKS // 8], *against]][:LANDMARKS])
@@ -268,18 +404,18 @@ def fit(labels: pa.ChunkedArray, bags: pa.ChunkedArray) -> Model:
         x = marks.kernel([*plus, *hidden, *minus, *harmless])
         value, vector = np.linalg.eigh(marks.kernel([*marks.found]))
         whiten = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
-        y = np.array([1.0] * (len(plus) + len(hidden)) + [-1.0] * (len(minus) + len(harmless)))
+        goal = np.array([1.0] * (len(plus) + len(hidden)) + [-1.0] * (len(minus) + len(harmless)))
         weight = np.concatenate([1 + np.log(up[positive]), np.full(len(hidden), 0.5), np.ones(len(minus) + len(harmless))])
         features = np.ones((len(x), x.shape[1] + 1))
         features[:, :-1] = x @ whiten
         del x
-        w = _machine(features, y, weight)
-        table, bias = marks.fold(whiten @ w[:-1]), float(w[-1])
-        score = margins(*everything, table) + bias
+        w = _machine(features, goal, weight)
+        model = Model(marks.keys, marks.fold(whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        score = margins(*everything, model.table()) + model.bias
         hard = cleanly[np.argsort(-score[cleanly], kind="stable")[: NEGATIVES // 4]].tolist()
-    best = np.array([score[bag].max() for bag in [*toxic, *clean]])
-    slope, offset = _platt(best, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
-    return Model(table, bias, slope, offset)
+    best = np.array([score[bag].max() for bag in bags])
+    model.slope, model.offset = _platt(best, y.astype(float))
+    return model, best
 
 
 def _spelled(data: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> list[tuple[int, bytes]]:
@@ -315,7 +451,7 @@ def document_margins(texts: pa.Array, model: Model) -> np.ndarray:
             at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
             new = known[at] != distinct
             value[~new] = known_value[at[~new]]
-        value[new] = margins(data, start[index[new]], stop[index[new]], model.table) + model.bias
+        value[new] = margins(data, start[index[new]], stop[index[new]], model.table()) + model.bias
         if len(known) + new.sum() <= CACHE:
             both = np.concatenate([known, distinct[new]])
             order = np.argsort(both, kind="stable")
@@ -323,9 +459,13 @@ def document_margins(texts: pa.Array, model: Model) -> np.ndarray:
             _scores[model.key] = both[order], np.concatenate([known_value, value[new]])[order]
         full = np.flatnonzero(np.diff(first))
         out[full] = np.maximum(np.maximum.reduceat(value[inverse], first[full]), out[full])
+        if model.phrases:
+            text = np.repeat(np.arange(len(texts)), np.diff(first))
+            same = text[1:] == text[:-1]
+            np.maximum.at(out, text[1:][same], phrase_margins(data, start, stop, model.table())[same] + model.bias)
     spelled = _spelled(data, start, stop, first)
     if spelled:
-        more = margins(*_buffer([w for _, w in spelled]), model.table) + model.bias
+        more = margins(*_buffer([w for _, w in spelled]), model.table()) + model.bias
         for (text, _), m in zip(spelled, more, strict=True):
             out[text] = max(out[text], m)
     return out
@@ -337,67 +477,74 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, ends = flat(part["text"])
             _, start, stop, first = words(data, ends)
             raw = data.tobytes().lower()
-            bags = [list({raw[a:b] for a, b in zip(start[i:j], stop[i:j], strict=True)}) for i, j in zip(first[:-1], first[1:], strict=True)]
+            bags = [[raw[a:b] for a, b in zip(start[i:j].tolist(), stop[i:j].tolist(), strict=True)] for i, j in itertools.pairwise(first.tolist())]
             for text, word in _spelled(data, start, stop, first):
                 bags[text].append(word.lower())
             yield pa.RecordBatch.from_arrays([part["toxic"], pa.array(bags, pa.list_(pa.binary()))], ["toxic", "words"])
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The model of all bags of a task, as one row."""
+    """The model of all documents of a task, as one row."""
     found = [b for b in batches if b.num_rows]
     model = fit(pa.chunked_array([b["toxic"] for b in found]), pa.chunked_array([b["words"] for b in found])) if found else NO_MODEL
-    numbers = [pa.array([x]) for x in (model.bias, model.slope, model.offset)]
-    yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), *numbers], ["weights", "bias", "slope", "offset"])
+    numbers = [pa.array([x]) for x in (model.bias, model.slope, model.offset, model.phrases)]
+    yield pa.RecordBatch.from_arrays([pa.array([model.keys.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), *numbers], ["keys", "weights", "bias", "slope", "offset", "phrases"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` documents of each label, those with the least hash of their id.
 
     Only labels of ids whose CRC-32 modulo 3 is not 1 are used. The bound is per label, so
-    one task gets the distinct words of at most 2 * sample documents, of SAMPLE_CHARS
-    characters each at most. It fits the machine, and runs again elsewhere if its executor is
-    lost; the driver gets the model alone, of a fixed size.
+    one task gets the words of at most 2 * sample documents, of SAMPLE_CHARS characters
+    each at most. It fits the machine, and runs again elsewhere if its executor is lost;
+    the driver gets the model alone: a row for each subsequence of LANDMARKS strings.
     """
-    text_id = F.col("doc_id").cast("string")
-    own = labels.where((F.crc32(text_id.cast("binary")) % 3 != 1) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    picked = [own.where(F.col("toxic") == y).orderBy(F.md5(text_id.cast("binary")), "doc_id").limit(sample) for y in (0, 1)]
+    labelled = F.col("doc_id").cast("long")
+    text_id = labelled.cast("string")
+    own = labels.where((F.crc32(text_id.cast("binary")) % 3 != 1) & F.col("toxic").isin(0, 1)).select(labelled.alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    draw = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    picked = [own.where(F.col("toxic") == y).orderBy(draw, "doc_id").limit(sample) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
     bags = rows.select("toxic", "text").mapInArrow(Task(_bags), "toxic int, words array<binary>")
-    fitted = bags.repartition(1).mapInArrow(Task(_fit), "weights binary, bias double, slope double, offset double").collect()  # one row of 4 MB
+    fitted = bags.repartition(1).mapInArrow(Task(_fit), "keys binary, weights binary, bias double, slope double, offset double, phrases boolean").collect()  # one row
     if not fitted:
         return NO_MODEL
-    return Model(np.frombuffer(bytes(fitted[0]["weights"]), np.float32), fitted[0]["bias"], fitted[0]["slope"], fitted[0]["offset"])
+    row = fitted[0]
+    return Model(np.frombuffer(bytes(row["keys"]), np.uint32), np.frombuffer(bytes(row["weights"]), np.float32), row["bias"], row["slope"], row["offset"], row["phrases"])
 
 
 class _Score:
+    """A batch's columns and, behind them, the score of its ``_text``."""
+
     def __init__(self, model) -> None:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = self.model.value
         for batch in batches:
-            for part in slices(batch, most=6 << 20):
-                margin = document_margins(part["text"], model)
-                kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != "_scored"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.probability(margin))], [*part.schema.names, "_score"])
+            for part in slices(batch, "_text", most=6 << 20):
+                margin = document_margins(part["_text"], model)
+                kept = [i for i, n in enumerate(part.schema.names) if n != "_text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], pa.array(model.probability(margin))], [*[part.schema.names[i] for i in kept], "_score"])
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: bool = False, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document; with ``keep`` its own columns first, and only ``score_toxic``.
+    """doc_id, held_out, score, predicted of each document; with ``keep`` instead its own columns and ``_score``.
 
     Scores depend on the text alone. Null text counts as empty; a text without words gets
     a low score; repeated rows get equal scores; an empty table gives an empty result; a
-    table without usable labels scores all texts low. Other columns take no part.
+    table without usable labels scores all texts low; ids may be of any whole type. Other
+    columns take no part; with ``keep`` a column named ``_score`` or ``_text`` is replaced.
     """
-    from pyspark.sql import types as T
-
     model = model or train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 4 MB, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the subsequences of LANDMARKS strings, whatever the data
+    fields = [f for f in docs.schema.fields if f.name not in ("_score", "_text")] if keep else [T.StructField("doc_id", T.LongType())]
+    text = F.col("text").cast("string").alias("_text")
+    rows = docs.select(*[f.name for f in fields], text) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    scored = rows.mapInArrow(Task(_Score(shared)), T.StructType([*fields, T.StructField("_score", T.DoubleType())]))
     if keep:
-        schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-        return docs.mapInArrow(Task(_Score(shared)), schema)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(Task(_Score(shared)), "doc_id long, text string, _score double")
+        return scored
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return rows.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -153,6 +153,57 @@ def test_tool_chat_chains(spark):
     assert {name for _, name in order[-8:]} == {"x", "y", "z", "s"}
 
 
+def test_toxicity_kernel():
+    """The machine's kernel against its definition, over words, phrases and other letters."""
+    marks = toxicity._Landmarks([b"idiot", b"clear off", "дурак".encode()])
+    string = lambda w: [0, *toxicity._characters(np.frombuffer(w, np.uint8))[0].tolist(), 0]
+    size = lambda w: float(toxicity._norm(np.array([len(string(w))]))[0])
+    for word in (b"idiot", b"IDIOT!", b"i.d.i.o.t", b"clear off", b"clearoff", b"x", "дурак".encode(), "ду-рак".encode(), "漢字𝄞é".encode()):
+        want = [toxicity.naive_kernel(string(word), string(m)) / max(size(word) * size(m), 1e-9) for m in marks.found]
+        assert marks.kernel([word])[0] == pytest.approx(want)
+    assert marks.kernel([b"i.d.i.o.t"])[0][0] > 0 and len(set(string("дурак".encode()))) > 4
+    draw = np.random.default_rng(4)
+    weights = draw.normal(size=3)
+    model = toxicity.Model(marks.keys, marks.fold(weights), 0.25, 1.0, 0.0, True)
+    words = ["so", "clear", "off", "idiot", "дурак"]
+    found = toxicity.document_margins(toxicity.pa.array([" ".join(words), "\n".join(words), "", None]), model)
+    strings = [w.encode() for w in [*words, *map(" ".join, zip(words[:-1], words[1:], strict=True))]]
+    assert found[0] == pytest.approx((marks.kernel(strings) @ weights).max() + 0.25, abs=1e-5) and found[1] == pytest.approx(found[0])
+    assert found[2] == found[3] == -1
+
+
+def test_toxicity_phrases():
+    """Two harmless words that insult when they stand together, and labels that are noise."""
+    draw = random.Random(1)
+    known = ["w" + "".join(draw.choice("abcdehilmnoprstu") for _ in range(draw.randrange(2, 8))) for _ in range(500)]
+
+    def text(toxic):
+        words = [w for w in draw.choices(known, k=draw.randrange(20, 60))]
+        for w in ("clear", "off", "clear", "off"):
+            words.insert(draw.randrange(len(words)), w)
+        words = [w for i, w in enumerate(words) if w != "off" or not i or words[i - 1] != "clear"]
+        return " ".join(words[:9] + ["clear", "off"] * toxic + words[9:])
+
+    labels = [i % 2 for i in range(500)]
+    texts = [text(y) for y in labels]
+    batch = toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array(labels[:400], toxicity.pa.int32()), toxicity.pa.array(texts[:400])], ["toxic", "text"])
+    bags = toxicity.pa.Table.from_batches(list(toxicity._bags(iter([batch]))))
+    model = toxicity.fit(bags["toxic"], bags["words"])
+    got = model.probability(toxicity.document_margins(toxicity.pa.array(texts[400:]), model)) >= toxicity.THRESHOLD
+    assert model.phrases and (got == np.array(labels[400:], bool)).mean() >= 0.95
+
+
+def test_toxicity_edges(spark):
+    """Whole ids of another type, clashing columns, nulls, a very long text."""
+    rows = [(i, "plain words in here " * (2000 if i == 3 else 1) + ("idiot" if i % 2 else ""), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([(r[0], r[1], "x", 1.0) for r in rows] + [(None, None, "x", 1.0)], "doc_id int, text string, words string, _score double")
+    labels = spark.createDataFrame([(r[0], r[2], "x") for r in rows] + [(None, 1, "x"), (3, None, "x")], "doc_id int, toxic long, text string")
+    got = toxicity.score(docs, labels).collect()
+    assert len(got) == 301 and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None)
+    kept = toxicity.score(docs, labels, keep=True)
+    assert kept.columns == ["doc_id", "text", "words", "_score"] and kept.count() == 301
+
+
 def linked_by_hand(rows):
     """(conv, turn, part, kind, id) of each row in order, and which calls and results are linked, one conversation at a time."""
     out, linked = [], {}
