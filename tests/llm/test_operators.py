@@ -195,7 +195,9 @@ def test_toxicity_phrases():
 
 def test_toxicity_edges(spark):
     """Whole ids of another type, clashing columns, nulls, a very long text."""
-    rows = [(i, "plain words in here " * (2000 if i == 3 else 1) + ("idiot" if i % 2 else ""), i % 2) for i in range(300)]
+    draw = random.Random(2)
+    plain = lambda n: " ".join("".join(draw.choices("abenorstu", k=6)) for _ in range(n))
+    rows = [(i, f"{plain(40_000 if i == 4 else 12)} {'idiot' if i % 2 else 'nice'} end", i % 2) for i in range(300)]
     docs = spark.createDataFrame([(r[0], r[1], "x", 1.0) for r in rows] + [(None, None, "x", 1.0)], "doc_id int, text string, words string, _score double")
     labels = spark.createDataFrame([(r[0], r[2], "x") for r in rows] + [(None, 1, "x"), (3, None, "x")], "doc_id int, toxic long, text string")
     got = toxicity.score(docs, labels).collect()
