@@ -26,6 +26,11 @@ ADDRESS = {
 #: Letters without a decomposition, and ASCII for them.
 LETTERS = {"ß": "ss", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "þ": "th", "Þ": "Th", "ð": "d", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
 
+# Cyrillic and Greek letters in Latin ones.
+LETTERS |= dict(zip("абвгдезийклмнопрстуфыэ", "abvgdeziiklmnoprstufye", strict=True)) | {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "iu", "я": "ia", "і": "i", "є": "ie", "ґ": "g", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz"}
+LETTERS |= dict(zip("αβγδεζηικλμνξοπρστυφωςϊϋ", "abgdeziiklmnxoprstyfosiy", strict=True)) | {"η": "e", "θ": "th", "χ": "ch", "ψ": "ps"}
+LETTERS |= {k.upper(): v.capitalize() for k, v in LETTERS.items() if k.islower() and len(k.upper()) == 1 and k.upper() not in LETTERS}
+
 RULES = ("nfkd_fold", "strip_special_chars", "expand_address_abbrev", "case_fold", "strip_punctuation", "strip_corporate_suffix", "collapse_whitespace")
 
 
@@ -44,33 +49,62 @@ def nfkd_fold(text: Column) -> Column:
     return _fold(text)
 
 
+# General categories of characters that are taken out.
+SPECIAL = ("Cc", "Cf", "Cn", "Co", "Cs", "Sk", "So")
+# Characters that punctuation is.
+PUNCTUATION = ",;:!?\"'`()[]{}<>/\\|_*~^"
+
+
 def strip_special_chars(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Cs}\p{So}\p{Sk}]", "")
+    return F.regexp_replace(text, "[" + "".join(rf"\p{{{c}}}" for c in SPECIAL) + "]", "")
 
 
 def expand_address_abbrev(text: Column) -> Column:
-    """Whole words of the table; a single letter only as a capital; "St" before a capital is "Saint"."""
-    end = r"(?![A-Za-z0-9_])(?:\.(?=\s|$))?"
-    text = F.regexp_replace(text, rf"\b[Ss][Tt]{end}(?=\s*\p{{Lu}})", "Saint")
-    for word, full in ADDRESS.items():
-        if len(word) == 1:
-            text = F.regexp_replace(text, rf"\b{word.upper()}{end}", full)
-        else:
-            text = F.regexp_replace(text, rf"\b(?i:{word}){end}", full)
-    return text
+    """Whole words of the table; a single letter only as a capital; "St" before a capital is "Saint".
+
+    The text is cut into words and what stands between them, and each piece is looked up
+    once. A dot behind an expanded word goes if a blank or the end follows it.
+    """
+    pieces = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), 0)
+    table = F.create_map(*[F.lit(x) for pair in ADDRESS.items() for x in pair])
+
+    def full(i: Column) -> Column:
+        word, after = F.get(pieces, i), F.concat_ws("", F.get(pieces, i + 1), F.get(pieces, i + 2))
+        saint = (F.lower(word) == "st") & F.coalesce(after.rlike(r"^(\.(?=\s))?\s*\p{Lu}"), F.lit(False))
+        known = F.when((F.length(word) > 1) | (word == F.upper(word)), F.try_element_at(table, F.lower(word)))
+        return F.when(saint, "Saint").otherwise(known)
+
+    def piece(i: Column) -> Column:
+        own, before = F.get(pieces, i), F.when(i > 0, full(i - 1))
+        bare = F.when(before.isNotNull() & own.rlike(r"^\.(\s|$)") & (own.rlike(r"^\.\s") | (i == F.size(pieces) - 1)), F.substring(own, F.lit(2), F.length(own)))
+        return F.coalesce(full(i), bare, own)
+
+    return F.when(F.size(pieces) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), piece), "")).otherwise(text)
 
 
 def case_fold(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, "[ßẞ]", "ss"))
+    """Lower case; letters that fold to several or to another are exchanged first."""
+    for letters, folded in (("[ßẞ]", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("[ﬅﬆ]", "st"), ("ŉ", "ʼn"), ("ſ", "s"), ("ς", "σ"), ("µ", "μ")):
+        text = F.regexp_replace(text, letters, folded)
+    return F.translate(F.lower(text), "ς", "σ")
 
 
 def strip_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"[,;:!?\"'`()\[\]{}<>/\\|_*~^]", " ")
+    return F.translate(text, PUNCTUATION, " " * len(PUNCTUATION))
 
 
 def strip_corporate_suffix(text: Column) -> Column:
-    names = "|".join(s.replace(".", r"\.") for s in CORPORATE)
-    return F.regexp_replace(text, rf"(?i)(?:[\s,]+(?:{names})\.?)+\s*$", "")
+    """Without the words at the end that name a kind of company; the first word stays."""
+    words = F.regexp_extract_all(text, F.lit(r"[\s,]*[^\s,]+"), 0)
+    bare = lambda w: F.lower(F.regexp_replace(w, r"^[\s,]+|\.$", ""))
+    start = F.struct(F.lit(0).alias("gone"), F.lit(True).alias("on"))
+
+    def step(at: Column, word: Column) -> Column:
+        suffix = at["on"] & bare(word).isin(*CORPORATE)
+        return F.struct(F.when(suffix, at["gone"] + 1).otherwise(at["gone"]).alias("gone"), suffix.alias("on"))
+
+    gone = F.least(F.aggregate(F.reverse(words), start, step)["gone"], F.size(words) - 1)
+    return F.when(gone > 0, F.array_join(F.slice(words, F.lit(1), F.size(words) - gone), "")).otherwise(text)
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -96,18 +130,44 @@ def parse_email(text: Column) -> Column:
     return F.struct(F.when(ok, value).otherwise(text).alias("value"), ok.alias("ok"))
 
 
+# Country calling codes in use, by their first digits.
+CALLING = (
+    "1", "7", "2(?:0|7|1[12368]|2\\d|3\\d|4\\d|5[0-8]|6\\d|9[01789])", "3(?:[0-469]|5\\d|7[0-8]|8[0-3567]|89)", "4(?:[013-9]|2[013])", "5(?:[1-8]|0\\d|9\\d)",
+    "6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])", "8(?:[1246]|0[08]|5[02356]|7[08]|8[012368])", "9(?:[0-58]|6[0-8]|7[0-79]|9[2-68])",
+)
+
+
 def parse_phone(text: Column, region: str | None = None) -> Column:
-    """Struct (value, ok) in E.164 form; without a region only numbers with a plus sign."""
+    """Struct (value, ok) in E.164 form; without a region only numbers with a plus sign.
+
+    The country code must be in use, and numbers of the North American plan must have its
+    form; further rules of countries are not known here.
+    """
     digits = F.regexp_replace(F.trim(text), r"[\s().\-]", "")
-    number = F.when(digits.rlike(r"^\+[1-9]\d{6,14}$"), digits)
+    american = r"[2-9]\d{2}[2-9]\d{6}"
+    other = "|".join(CALLING[1:])
+    number = F.when(digits.rlike(rf"^\+(1{american}|(?=\d{{7,15}}$)(?:{other})\d+)$"), digits)
     if region in ("US", "CA"):
-        local = F.regexp_extract(digits, r"^1?([2-9]\d{2}[2-9]\d{6})$", 1)
+        local = F.regexp_extract(digits, rf"^1?({american})$", 1)
         number = F.coalesce(number, F.when(local != "", F.concat(F.lit("+1"), local)))
     return F.struct(F.coalesce(number, text).alias("value"), number.isNotNull().alias("ok"))
 
 
+#: Formats of dates in numbers, month before day, and with names of months.
+NUMBER_DATES = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "yyyyMMdd")
+NAMED_DATES = ("d-MMM-yyyy", "d MMM yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d yyyy", "yyyy MMM d", "yyyy MMMM d", "d-MMMM-yyyy")
+
+
 def parse_date(text: Column) -> Column:
-    """Struct (value, ok) with an ISO date; month before day where both are numbers."""
-    formats = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s")
-    found = F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    """Struct (value, ok) with an ISO date; month before day where both are numbers.
+
+    The day is that which the text names, whatever time and zone stand behind it; names of
+    weekdays, commas and endings of ordinals are passed over.
+    """
+    day = F.regexp_replace(F.trim(text), r"(?i)(?:T|\s+|,\s*)\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[ap]m)?\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})?$", "")
+    named = F.regexp_replace(F.lower(day), r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b[.,]?\s*", "")
+    named = F.regexp_replace(F.regexp_replace(F.regexp_replace(named, r"(\d)(?:st|nd|rd|th)\b", "$1"), r"[,.]|\bof\b", " "), r"\bsept\b", "sep")
+    named = F.initcap(F.trim(F.regexp_replace(named, r"\s+", " ")))
+    dashed = F.concat_ws("-", F.transform(F.split(named, "-"), F.initcap))
+    found = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in NUMBER_DATES], *[F.try_to_timestamp(dashed if "-" in f else named, F.lit(f)) for f in NAMED_DATES])
     return F.struct(F.coalesce(F.date_format(found, "yyyy-MM-dd"), text).alias("value"), found.isNotNull().alias("ok"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +102,10 @@ def _jaro_winkler(s: str | None, t: str | None) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    """Once per distinct pair of a batch."""
+    pairs = list(zip(a, b, strict=True))
+    known = {p: _jaro_winkler(*p) for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype=float)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -114,8 +117,39 @@ REGISTRY = {
     "soundex": soundex, "metaphone": metaphone, "ngram": ngram, "numeric_tolerance": numeric_tolerance, "date_proximity": date_proximity,
 }
 
+#: For each measure the kinds of columns it suits, a label, and what it tells.
+ABOUT = {
+    "exact": (("string", "integer", "float", "boolean", "date"), "Exact match", "1 for equal texts, else 0."),
+    "levenshtein": (("string",), "Edit distance", "Share of characters that need no edit."),
+    "jaro_winkler": (("string",), "Jaro-Winkler", "Common characters in similar places; equal beginnings count more."),
+    "jaccard_tokens": (("string",), "Token overlap", "Common words over all words."),
+    "cosine_tokens": (("string",), "Token cosine", "Angle between the counts of words."),
+    "soundex": (("string",), "Soundex", "1 for texts that sound alike by Soundex."),
+    "metaphone": (("string",), "Metaphone", "1 for texts that sound alike by Metaphone."),
+    "ngram": (("string",), "Trigram overlap", "Dice coefficient of runs of three characters."),
+    "numeric_tolerance": (("integer", "float"), "Numeric tolerance", "Falls from 1 to 0 as numbers leave a tolerance."),
+    "date_proximity": (("date",), "Date proximity", "Falls from 1 to 0 within a week."),
+}
+
 
 def similarity(name: str, a: Column, b: Column) -> Column:
     if name not in REGISTRY:
         raise ValueError(f"unknown similarity {name!r}")
     return REGISTRY[name](a, b)
+
+
+def registry(spark: SparkSession, kind: str | None = None) -> DataFrame:
+    """(name, valid_for, label, description) of all measures, or of those that suit a kind of column."""
+    rows = [(n, list(kinds), label, text) for n, (kinds, label, text) in ABOUT.items() if kind is None or kind in kinds]
+    return spark.createDataFrame(rows, "name string, valid_for array<string>, label string, description string")
+
+
+def clamped(value: Column) -> Column:
+    """A number held between 0 and 1; 0 for null and NaN."""
+    number = value.cast("double")
+    return F.when(F.isnan(number) | number.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+
+
+def band(score: Column) -> Column:
+    """Strong from 0.95, good from 0.8, else weak."""
+    return F.when(score >= 0.95, "strong").when(score >= 0.8, "good").otherwise("weak")

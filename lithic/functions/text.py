@@ -13,13 +13,14 @@ RESULT_CHARS, PREVIEW_CHARS = 30_000, 300
 CITATIONS = "array<struct<content:array<struct<citations:array<struct<url:string,title:string,cited_text:string>>>>>>"
 
 
+_FENCED = re.compile(r"```(?:[^\n]*\n)?(.*?)(?:```)?", re.S)
+
+
 def strip_codefence(raw: str) -> str:
-    """Text without the fence lines of a code block around it."""
-    raw = raw.strip()
-    if not raw.startswith("```"):
-        return raw
-    body = raw.partition("\n")[2] if "\n" in raw else raw[3:]
-    return body.removesuffix("```").strip()
+    """What a code block holds, if the text is one; else the text."""
+    text = raw.strip()
+    found = _FENCED.fullmatch(text)
+    return found[1].strip() if found else text
 
 
 def strip_codefences(text: Column) -> Column:
@@ -62,12 +63,62 @@ def citations(transcript: Column) -> Column:
 
 
 def safe_url(url: Column) -> Column:
-    """Whether an address is http(s) and does not name a private, local or reserved host."""
+    """Whether an address is http(s) and does not name a private, local or reserved host.
+
+    Numeric hosts count only as four decimal numbers without leading zeros, bracketed ones
+    only as global unicast addresses without an embedded older one; dots at the end of a
+    name are dropped first.
+    """
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    host = F.regexp_replace(host, r"\.+$", "")
     web = F.lower(url).rlike("^https?://")
-    # Address ranges that are not public.
-    closed = r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\.|^\[(::1?|f[cd].*|fe[89ab].*|ff.*)\]$|^localhost$|\.localhost$|\.local$"
-    return F.coalesce(web & (host != "") & ~host.rlike(closed) & ~host.rlike(r"^(\d+|0x[0-9a-f]+)$"), F.lit(False))
+    # Address ranges and names that are not public.
+    closed = r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51)\.|^203\.0\.113\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\."
+    local = r"^localhost$|\.localhost$|\.local$|\.localdomain$|\.internal$"
+    octet = r"(25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)"
+    numeric = host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*$")
+    fine = host.rlike(rf"^{octet}(\.{octet}){{3}}$") & ~host.rlike(closed)
+    global6 = host.rlike(r"^\[[23][0-9a-f]{3}:[0-9a-f:]+\]$") & ~host.rlike(r"^\[(2001:(0{0,3}:|0?db8:)|2002:)")
+    named = ~numeric & ~host.rlike(local) & host.rlike(r"^[^\[\]\s%]+$")
+    return F.coalesce(web & (host != "") & F.when(host.startswith("["), global6).when(numeric, fine).otherwise(named), F.lit(False))
+
+
+def html_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments and tags, named characters read, blocks on lines of their own."""
+    text = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\b[^>]*>", "\n")
+    text = F.regexp_replace(text, r"<[^>]+>", "")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[\s]*", "\n")
+    return _strip(text)
+
+
+def thinking_text(transcript: Column) -> Column:
+    """What a transcript's thinking blocks say, joined by empty lines; empty for bad JSON."""
+    blocks = F.from_json(transcript, "array<struct<type:string,thinking:string>>")
+    return join_turns(F.coalesce(F.transform(F.filter(blocks, lambda b: b["type"] == "thinking"), lambda b: F.coalesce(b["thinking"], F.lit(""))), F.array().cast("array<string>")))
+
+
+def search_summary(results: Column, most: int = 5) -> Column:
+    """A line for each of the first results of a search that have an address: title and address."""
+    rows = F.from_json(results, "array<struct<title:string,url:string>>")
+    named = F.slice(F.filter(rows, lambda r: F.coalesce(r["url"] != "", F.lit(False))), 1, most)
+    lines = F.transform(named, lambda r: F.concat(F.lit("- "), F.when(r["title"] != "", r["title"]).otherwise(r["url"]), F.lit(" ("), r["url"], F.lit(")")))
+    return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
+
+
+def sse_frames(text: Column) -> Column:
+    """array<struct<event, data>>: the frames of an event stream; lines of data are joined, frames without data left out."""
+    frames = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n\n+")
+
+    def read(frame: Column) -> Column:
+        lines = F.split(frame, "\n")
+        said = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
+        events = said("event")
+        return F.struct(F.when(F.size(events) > 0, F.element_at(events, -1)).otherwise("message").alias("event"), F.array_join(said("data"), "\n").alias("data"))
+
+    return F.filter(F.transform(frames, read), lambda f: f["data"] != "")
 
 
 #: Metaphone, as published by Philips in 1990: for each letter, the contexts in order and their sounds.
@@ -124,4 +175,5 @@ def metaphone_code(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def metaphone(texts: pd.Series) -> pd.Series:
-    return texts.map(metaphone_code, na_action="ignore")
+    """The code of each text, worked out once per distinct text of a batch."""
+    return texts.map({t: metaphone_code(t) for t in texts.dropna().unique()})

@@ -12,6 +12,8 @@ from lithic.functions.types import cell
 
 GROUPS, CONFIDENCE, CORRELATION, ROWS = 3, 95.0, 0.95, 10
 COVERAGE, RELATION = 0.5, 50.0
+# Fixed value: how descriptions of such issues begin.
+FK_LABEL = "[FK violation]"
 
 
 def functional_dependencies(df: DataFrame) -> DataFrame:
@@ -21,6 +23,8 @@ def functional_dependencies(df: DataFrame) -> DataFrame:
     value of the dependent differ.
     """
     parts = []
+    if len(df.columns) < 2:
+        return df.sparkSession.createDataFrame([], "determinant string, dependent string, n_groups long, confidence_pct double")
     for a in df.columns:
         others = [b for b in df.columns if b != a]
         groups = df.where(cell(a).isNotNull()).groupBy(cell(a)).agg(*[(F.min(cell(b)) < F.max(cell(b))).alias(f"_{i}") for i, b in enumerate(others)])
@@ -33,6 +37,8 @@ def functional_dependencies(df: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(left, right, r) of numeric columns with an absolute Pearson correlation of at least 0.95."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, r double")
     values = df.select(*[cell(c).try_cast("double").alias(c) for c in columns])
     aggs = []
     for i, (a, b) in enumerate(pairs):
@@ -97,9 +103,14 @@ def counter_examples(df: DataFrame, determinant: str, dependent: str, k: int = 1
     return groups.where("broken").select(F.col("value").cast("string")).orderBy("value").limit(k)
 
 
+def fk_labelled(issues: DataFrame) -> DataFrame:
+    """The issues that tell of values which a parent lacks."""
+    return issues.where(F.contains("description", F.lit(FK_LABEL)))
+
+
 def fk_issue(violations: DataFrame, parent: tuple[str, str], child: tuple[str, str], k: int = 10) -> DataFrame:
     """No row without violations, else one issue with their number and the least ten as samples."""
-    text = F.concat(F.lit(f"[FK violation] {child[0]}.{child[1]} has "), F.col("n").cast("string"), F.lit(f" value(s) not present in {parent[0]}.{parent[1]}."))
+    text = F.concat(F.lit(f"{FK_LABEL} {child[0]}.{child[1]} has "), F.col("n").cast("string"), F.lit(f" value(s) not present in {parent[0]}.{parent[1]}."))
     few = violations.select(F.col("value").cast("string")).orderBy("value").limit(k).agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
     total = violations.agg(F.count("*").alias("n")).where("n > 0").crossJoin(F.broadcast(few))  # one row each
     return total.select(F.lit(child[0]).alias("sheet"), F.lit(child[1]).alias("column"), F.lit("validity").alias("dimension"), F.lit("high").alias("severity"), text.alias("description"), "sample_values")

@@ -28,9 +28,10 @@ def severity_histogram(issues: DataFrame) -> DataFrame:
 
 
 def issues_per_column(profiles: DataFrame, issues: DataFrame) -> DataFrame:
-    """(column, n): every profiled column with its number of issues."""
-    counts = issues.groupBy("column").agg(F.count("*").alias("n"))
-    return profiles.select("column").join(counts, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
+    """(sheet, column, n): every profiled column of every sheet, and "" for a sheet's own issues, with its number of issues."""
+    counts = issues.groupBy("sheet", F.coalesce("column", F.lit("")).alias("column")).agg(F.count("*").alias("n"))
+    shown = profiles.select("sheet", "column").unionByName(profiles.select("sheet").distinct().withColumn("column", F.lit("")))
+    return shown.join(counts, ["sheet", "column"], "left").select("sheet", "column", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def flatten_tree(levels: list[tuple[DataFrame, str, str, str | None]]) -> DataFrame:

@@ -102,6 +102,70 @@ def move(tree: DataFrame, node: str, step: int) -> DataFrame:
     return tree.withColumn("position", swapped)
 
 
+NODE = "id string, parent string, level int, name string, description string, position int"
+
+
+def listed(tree: DataFrame) -> DataFrame:
+    """Nodes by level, then position, then id."""
+    return tree.orderBy("level", "position", "id")
+
+
+def _node(tree: DataFrame, node: str):
+    found = tree.where(F.col("id") == node).limit(1).collect()
+    if not found:
+        raise ValueError(f"no node {node!r}")
+    return found[0]
+
+
+def create(tree: DataFrame, node: str, name: str, parent: str | None = None, description: str | None = None) -> DataFrame:
+    """The tree with a node behind the last child of its parent; at most LEVELS levels."""
+    if not name.strip():
+        raise ValueError("a node has a name")
+    if tree.where(F.col("id") == node).take(1):
+        raise ValueError(f"the node {node!r} is there already")
+    level = 1 if parent is None else _node(tree, parent).level + 1
+    if level > LEVELS:
+        raise ValueError(f"trees have {LEVELS} levels")
+    own = next_position(tree, parent).select(F.lit(node).alias("id"), F.lit(parent).cast("string").alias("parent"), F.lit(level).alias("level"), F.lit(name.strip()).alias("name"), F.lit(description).cast("string").alias("description"), F.col("position").cast("int").alias("position"))
+    return tree.unionByName(own, allowMissingColumns=True)
+
+
+def update(tree: DataFrame, node: str, name: str | None = None, description: str | None = None) -> DataFrame:
+    """The tree with another name or description of a node; what is not given stays."""
+    _node(tree, node)
+    if name is not None and not name.strip():
+        raise ValueError("a node has a name")
+    own = F.col("id") == node
+    out = tree
+    for column, value in (("name", name and name.strip()), ("description", description)):
+        if value is not None:
+            out = out.withColumn(column, F.when(own, F.lit(value)).otherwise(F.col(column)))
+    return out
+
+
+def delete(tree: DataFrame, node: str) -> DataFrame:
+    """The tree without a node and all nodes below it."""
+    _node(tree, node)
+    return tree.where(F.col("id") != node).join(descendants(tree, node), "id", "left_anti")
+
+
+def replace(trees: DataFrame, key: str, owner: str, new: DataFrame) -> DataFrame:
+    """All trees, that of ``owner`` replaced by the rows ``new``; a broken tree is refused."""
+    if validate(new).take(1):
+        raise ValueError("a node's parent is missing or not a level above it")
+    return trees.where(~F.col(key).eqNullSafe(F.lit(owner))).unionByName(new.withColumn(key, F.lit(owner)), allowMissingColumns=True)
+
+
+def level_counts(tree: DataFrame) -> DataFrame:
+    """(level, n)."""
+    return tree.groupBy("level").agg(F.count("*").alias("n"))
+
+
+def next_positions(tree: DataFrame) -> DataFrame:
+    """(parent, position) after the last child of every node that has children, the top (null) included."""
+    return tree.groupBy("parent").agg((F.max("position") + 1).cast("long").alias("position"))
+
+
 def palette(tree: DataFrame, colours: int) -> DataFrame:
     """(id, colour) of the top level in order of position."""
     order = Window.orderBy("position", "id")  # the top level only

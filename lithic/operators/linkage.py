@@ -7,11 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lithic.functions.normalize import normalize, parse_date, parse_email, parse_phone
 from lithic.functions.similarity import similarity
 from lithic.functions.types import cell
+from lithic.operators.graph import components, numbered
 
 PAIR_CAP = 100_000
 TEXT_MEASURES = ("levenshtein", "jaro_winkler", "jaccard_tokens", "cosine_tokens", "soundex", "metaphone", "ngram", "exact")
@@ -137,28 +137,23 @@ def clusters(pairs: DataFrame, merge_roles: bool = False) -> DataFrame:
     """(cluster_index, members_a, members_b, top_score, min_score, representative) of linked rows.
 
     A row's node as the first of a pair and as the second are two nodes, unless
-    ``merge_roles``. Labels spread along pairs until none changes, each round written to
-    the checkpoint folder if there is one.
+    ``merge_roles``. Clusters are numbered by falling top score, then by their first pair.
     """
     b = F.col("j") if merge_roles else -F.col("j") - 1
-    edges = pairs.select(F.col("i").alias("u"), b.alias("v"))
-    edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).persist()
-    label = edges.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
-    durable = pairs.sparkSession.conf.get("spark.checkpoint.dir", None)
-    cut = (lambda d: d.checkpoint()) if durable else (lambda d: d.persist())
-    label = cut(label)
-    while True:
-        near = edges.join(label, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        after = cut(label.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
-        moved = after.where("moved").limit(1).count()
-        label = after.select("node", "label")
-        if not moved:
-            break
+    label = components(pairs.select(F.col("i").alias("u"), b.alias("v")))
+    alone = pairs.where(F.col("i") == F.col("j")).select(F.col("i").alias("node")).distinct() if merge_roles else None
+    if alone is not None:
+        label = label.unionByName(alone.join(label, "node", "left_anti").withColumn("label", F.col("node")))
     named = pairs.join(label, F.col("i") == F.col("node"))
     best = F.min_by(F.struct("i", "j"), F.struct(-F.col("score"), F.col("i"), F.col("j")))
     groups = named.groupBy("label").agg(
         F.sort_array(F.collect_set("i")).alias("members_a"), F.sort_array(F.collect_set("j")).alias("members_b"),
         F.max("score").alias("top_score"), F.min("score").alias("min_score"), best.alias("representative"), F.min(F.struct("i", "j")).alias("first"),
     )
-    order = Window.orderBy(F.col("top_score").desc(), "first")
-    return groups.withColumn("cluster_index", F.row_number().over(order) - 1).select("cluster_index", "members_a", "members_b", "top_score", "min_score", "representative")
+    indexed = numbered(groups, "cluster_index", F.col("top_score").desc(), F.col("first").asc())
+    return indexed.select("cluster_index", "members_a", "members_b", "top_score", "min_score", "representative")
+
+
+def merged_members(clusters: DataFrame) -> DataFrame:
+    """(cluster_index, members): how many rows a cluster of one table has, each counted once."""
+    return clusters.select("cluster_index", F.size(F.array_union("members_a", "members_b")).cast("long").alias("members"))

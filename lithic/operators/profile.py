@@ -2,7 +2,10 @@
 
 The rows of each column are first reduced to its distinct values with their counts. All
 statistics then run over distinct values, weighted by count: predicates and patterns are
-evaluated once per value, and only two small joins bring quantiles back for outliers.
+evaluated once per value, and only two small joins bring quantiles back for outliers. The
+quantiles are exact. Up to BUFFERED distinct values of a column they come from one buffer;
+beyond, the values are counted in ranges, and only the ranges that hold the wanted ranks
+are put in order.
 """
 
 from __future__ import annotations
@@ -17,17 +20,20 @@ from lithic.functions import types as ct
 
 VERSION = "stats/1"
 SAMPLES = 10
+#: Distinct numbers of a column that one aggregation buffer may hold, and ranges that more are counted in.
+BUFFERED, RANGES = 1_000_000, 256
 
 
-def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(ordinal, column, kind, value, n): distinct display values of each column with their counts."""
+def frequencies(df: DataFrame, columns: list[str] | None = None, turn: str | None = None) -> DataFrame:
+    """(ordinal, column, kind, value, n): distinct display values of each column with their counts; with ``turn`` also its least value as ``first``."""
+    first = F.min(turn) if turn else F.lit(None).cast("long")
     kinds = dict(df.dtypes)
     parts = []
     for i, c in enumerate(columns or df.columns):
         kind = kinds[c]
         shown = ct.iso(ct.cell(c)) if kind in ("timestamp", "timestamp_ntz", "date") else ct.cell(c).cast("string")
         family = "bool" if kind == "boolean" else "date" if kind in ("timestamp", "timestamp_ntz", "date") else "int" if kind in ("int", "bigint", "smallint", "tinyint") else "float" if kind in ("double", "float") else "text"
-        parts.append(df.groupBy(shown.alias("value")).agg(F.count("*").alias("n")).select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(family).alias("kind"), "value", "n"))
+        parts.append(df.groupBy(shown.alias("value")).agg(F.count("*").alias("n"), first.alias("first")).select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(family).alias("kind"), "value", "n", *(["first"] if turn else [])))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -51,9 +57,48 @@ def _weighted(on: Column, n: Column) -> Column:
     return F.coalesce(F.sum(F.when(on, n)), F.lit(0)).cast("long")
 
 
+def quantiles(freq: DataFrame, value: Column, shares: tuple[float, ...], buffered: bool) -> DataFrame:
+    """(ordinal, column, q): the interpolated quantiles of each column's numbers ``value``, weighted by n.
+
+    Rank (N - 1) * share lies between two ranks; each is a value whose count of smaller and
+    equal ones reaches it. With ``buffered`` a column's numbers are collected in one buffer.
+    """
+    by = ["ordinal", "column"]
+    rows = freq.select(*by, value.cast("double").alias("x"), "n").where("x IS NOT NULL")
+    if buffered:
+        return rows.groupBy(*by).agg(F.percentile("x", F.array(*map(F.lit, shares)), F.col("n")).alias("q"))
+    cuts = rows.groupBy(*by).agg(F.approx_percentile("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"), F.sum("n").alias("total"))
+    ranged = rows.join(F.broadcast(cuts), by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")  # a row per column
+    counts = ranged.groupBy(*by, "total", "range").agg(F.sum("n").alias("held"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), side.alias("rank"), share.alias("share")) for i, s in enumerate(shares) for side, share in _sides(s)]))
+    wanted = counts.select(*by, "range", "before", "held", place.alias("w")).select(*by, "range", "before", "held", "w.*")
+    wanted = wanted.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("held"))).select(*by, "range", "before", "i", "rank", "share")
+    few = ranged.join(F.broadcast(wanted.select(*by, "range", "before").distinct()), [*by, "range"])  # two ranges a share at most
+    upto = Window.partitionBy(*by, "range").orderBy("x")
+    placed = few.withColumn("end", F.col("before") + F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
+    hit = placed.drop("before").join(F.broadcast(wanted.drop("before")), [*by, "range"]).where("rank >= start AND rank < end")
+    one = hit.groupBy(*by, "i").agg(F.sum(F.col("x") * F.col("share")).alias("x"))
+    return one.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("q"))
+
+
+def _sides(share: float) -> list[tuple[Column, Column]]:
+    """The two ranks around a share of ``total``, and how much each counts."""
+    at = (F.col("total") - 1) * share
+    low = F.floor(at).cast("long")
+    return [(low, 1 - (at - low)), (F.least(low + 1, F.col("total") - 1), at - low)]
+
+
 def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """One row per column with counts, inferred type, numbers, outliers, pattern, bounds and rating."""
+    """One row per column with counts, inferred type, numbers, outliers, pattern, bounds and rating.
+
+    Columns of a table without rows are ``empty``.
+    """
+    names = columns or df.columns
     freq = _conforms(frequencies(df, columns)).persist()
+    distinct = freq.where("num IS NOT NULL").groupBy("ordinal").count().agg(F.max("count")).first()[0] or 0
+    buffered = distinct <= BUFFERED
     n, full = F.col("n"), ~F.col("blank")
     by = ["ordinal", "column"]
     types = ("boolean", "integer", "float", "date")
@@ -75,10 +120,10 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         F.max("num").alias("max"),
         (F.sum(F.col("num") * n) / F.sum(F.when(F.col("num").isNotNull(), n))).alias("mean"),
         F.sum(F.when(F.col("num").isNotNull(), n)).alias("numbers"),
-        F.percentile("num", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n).alias("q"),
         F.min(F.when(full & F.col("as_date"), F.col("value"))).alias("date_min"),
         F.max(F.when(full & F.col("as_date"), F.col("value"))).alias("date_max"),
     )
+    base = base.join(F.broadcast(quantiles(freq, F.col("num"), (0.25, 0.5, 0.75), buffered)), by, "left")  # a row per column
     base = base.select("*", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75")).drop("q")
     spread = freq.where("num IS NOT NULL").join(F.broadcast(base.select(*by, "mean", "p25", "median", "p75")), by)  # a row per column
     gap, iqr = F.abs(F.col("num") - F.col("median")), F.col("p75") - F.col("p25")
@@ -86,9 +131,9 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
     around = spread.groupBy(*by).agg(
         F.sum(n * (F.col("num") - F.col("mean")) ** 2).alias("squares"),
         _weighted(fence, n).alias("iqr"),
-        F.percentile(gap, F.lit(0.5), n).alias("mad"),
         (F.sum(gap * n) / F.sum(n)).alias("mean_gap"),
     )
+    around = around.join(F.broadcast(quantiles(spread, gap, (0.5,), buffered).withColumn("mad", F.col("q")[0]).drop("q")), by, "left")
     far = spread.join(F.broadcast(around.select(*by, "mad", "mean_gap")), by)
     odd = F.when(F.col("mad") != 0, 0.6745 * gap / F.col("mad") > 3.5).when(F.col("mean_gap") != 0, gap / (1.253314 * F.col("mean_gap")) > 3.5).otherwise(False)
     modified = far.groupBy(*by).agg(_weighted(odd, n).alias("modified"))
@@ -118,6 +163,8 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         F.when(F.col("semantic_type") == "date", F.col("date_max")).alias("date_max"),
         "pattern_label", "pattern_pct",
     )
+    heads = df.sparkSession.createDataFrame(list(enumerate(names)), "ordinal int, column string")
+    rows = F.broadcast(heads).join(rows, by, "left").na.fill({"row_count": 0, "null_count": 0, "null_pct": 0.0, "distinct_count": 0, "distinct_pct": 0.0, "type_mismatch_count": 0, "outliers_iqr": 0, "outliers_mad": 0, "semantic_type": "empty"})
     return rows.withColumn("rag", column_rating())
 
 
@@ -131,9 +178,10 @@ def column_rating() -> Column:
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = SAMPLES) -> DataFrame:
-    """(column, rank, value, n): the most frequent values; ties go to the smaller value."""
-    freq = _conforms(frequencies(df, columns)).where(~F.col("blank"))
-    order = Window.partitionBy("ordinal", "column").orderBy(F.col("n").desc(), "value")
+    """(column, rank, value, n): the most frequent values; ties go to that seen first, by ``_row_index``, else to the smaller value."""
+    turn = "_row_index" if "_row_index" in df.columns else None
+    freq = _conforms(frequencies(df, [c for c in columns or df.columns if c != turn], turn)).where(~F.col("blank"))
+    order = Window.partitionBy("ordinal", "column").orderBy(F.col("n").desc(), *([F.col("first")] if turn else []), "value")
     return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("column", "rank", "value", F.col("n").cast("long").alias("n"))
 
 
@@ -146,6 +194,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def duplicate_columns(df: DataFrame) -> DataFrame:
     """(left, right) of columns that are equal in every row, nulls being equal; all pairs for no rows."""
     pairs = [(a, b) for i, a in enumerate(df.columns) for b in df.columns[i + 1 :] if dict(df.dtypes)[a] == dict(df.dtypes)[b]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string")
+    sums = df.agg(*[F.sum(F.xxhash64(ct.cell(c)).cast("decimal(38,0)")).alias(str(i)) for i, c in enumerate(df.columns)]).first()  # equal columns have equal sums
+    told = {c: sums[i] for i, c in enumerate(df.columns)}
+    pairs = [(a, b) for a, b in pairs if told[a] == told[b]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "left string, right string")
     checks = df.agg(*[F.coalesce(F.bool_and(ct.cell(a).eqNullSafe(ct.cell(b))), F.lit(True)).alias(str(i)) for i, (a, b) in enumerate(pairs)])
@@ -156,10 +209,10 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
 def sheet_profile(df: DataFrame, profiles: DataFrame, name: str) -> DataFrame:
     """One row: counts, completeness and rating of a sheet."""
     wide = len(df.columns)
-    totals = profiles.agg(F.max("row_count").alias("row_count"), F.sum("null_count").alias("nulls"), F.max((F.col("rag") == "red").cast("int")).alias("red"), F.max((F.col("rag") == "amber").cast("int")).alias("amber"))
+    totals = profiles.agg(F.coalesce(F.max("row_count"), F.lit(0)).cast("long").alias("row_count"), F.sum("null_count").alias("nulls"), F.max((F.col("rag") == "red").cast("int")).alias("red"), F.max((F.col("rag") == "amber").cast("int")).alias("amber"))
     rows = totals.crossJoin(F.broadcast(duplicate_rows(df)))  # one row each
     cells = F.col("row_count") * wide
-    full = F.when(cells > 0, 100 - F.col("nulls") / cells * 100).otherwise(100.0)
+    full = F.when(cells > 0, 100 - F.coalesce("nulls", F.lit(0)) / cells * 100).otherwise(100.0)
     rag = F.when((F.col("duplicate_rows") > 0) | (F.col("red") == 1), "red").when(F.col("amber") == 1, "amber").otherwise("green")
     return rows.select(F.lit(name).alias("sheet"), "row_count", F.lit(wide).cast("long").alias("column_count"), "duplicate_rows", full.alias("completeness_pct"), rag.alias("rag"))
 
@@ -184,6 +237,7 @@ def issues(profiles: DataFrame, sheet: str, duplicates: int = 0, bounds: dict[st
         (F.col("outliers_iqr") > 0, "accuracy", "low", F.concat(name, F.lit(" has "), whole("outliers_iqr"), F.lit(" Tukey-IQR outlier(s) and "), whole("outliers_mad"), F.lit(" MAD outlier(s); investigate whether they are valid extremes."))),
         ((F.col("distinct_count") == 1) & (filled > 0), "uniqueness", "low", F.concat(name, F.lit(" has only one distinct value across "), filled.cast("string"), F.lit(" non-null rows; consider dropping."))),
     ]
+    # The texts above are those that readers of reports know.
     drafts = F.array(*[F.when(on, F.struct(F.lit(d).alias("dimension"), F.lit(s).alias("severity"), text.alias("description"))) for on, d, s, text in rules])
     found = profiles.select(F.lit(sheet).alias("sheet"), "column", F.inline(F.filter(drafts, lambda x: x.isNotNull())))
     if duplicates:

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lithic.functions.text import strip_codefence
+from lithic.operators.graph import numbered
 
 BATCH, MOST_CHARS = 20, 1000
 ASK = 'Explain each issue and suggest a fix. Answer with JSON only: {"annotations": [{"issue_id": int, "narrative": str, "suggested_fix": str}]}'
@@ -47,8 +47,7 @@ def annotate(issues: DataFrame, model: Callable[[str, str], str] = offline) -> D
     fails its batch alone.
     """
     shown = ["issue_id", "sheet", "column", "dimension", "severity", "description"]
-    rank = F.row_number().over(Window.orderBy("issue_id")) - 1  # issues are a few per column
-    batches = issues.select(*shown).withColumn("batch", F.floor(rank / BATCH)).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("rows"))
+    batches = numbered(issues.select(*shown), "rank", F.col("issue_id").asc()).withColumn("batch", F.floor(F.col("rank") / BATCH)).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("rows"))
     asked = batches.select(F.to_json(F.struct(F.col("rows").alias("issues"))).alias("user"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

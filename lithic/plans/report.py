@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lithic.functions.similarity import band
 from lithic.functions.types import cell
 from lithic.operators import cross, dashboard, linkage, profile
 from lithic.plans import recommend
@@ -17,6 +17,7 @@ VERSIONS = {"profile": profile.VERSION, "cross": "cross/1", "linkage": "linkage/
 DIMENSIONS = ("completeness", "consistency", "uniqueness", "validity", "accuracy", "redundancy")
 STATES = ("suggested", "confirmed", "dismissed")
 KEY = ["parent_table", "parent_column", "child_table", "child_column"]
+RUNS = 20
 ISSUE_LIMIT, MOST_SAMPLES, MOST_CHARS = 100, 20, 1000
 ISSUE = "sheet string, column string, dimension string, severity string, description string, sample_values array<string>, sample_value_count int, engine_version string"
 
@@ -34,8 +35,8 @@ def bounds(store: Store, dataset: str) -> dict[str, dict[str, tuple[float | None
     return out
 
 
-def set_bounds(store: Store, dataset: str, sheet: str, column: str, low: float | None, high: float | None) -> None:
-    """Bounds of a column from the next profile on; both None removes them."""
+def set_bounds(store: Store, dataset: str, sheet: str, column: str, low: float | None, high: float | None, sheets: dict[str, DataFrame] | None = None) -> None:
+    """Bounds of a column; both None removes them. With the dataset's ``sheets`` it is profiled anew at once."""
     if low is not None and high is not None and low > high:
         raise ValueError("the lower bound is above the upper one")
     now = bounds(store, dataset)
@@ -43,10 +44,12 @@ def set_bounds(store: Store, dataset: str, sheet: str, column: str, low: float |
     number = lambda x: None if x is None else float(x)
     rows = [(s, c, number(lo), number(hi)) for s, cs in now.items() for c, (lo, hi) in cs.items() if (lo, hi) != (None, None)]
     store.save(dataset, "bounds", {"bounds": store.spark.createDataFrame(rows, "sheet string, column string, low double, high double")})
+    if sheets is not None:
+        profile_dataset(store, dataset, sheets)
 
 
-def decide(store: Store, dataset: str, key: tuple[str, str, str, str], status: str) -> None:
-    """Confirms, dismisses or reopens a suggested relationship."""
+def decide(store: Store, dataset: str, key: tuple[str, str, str, str], status: str, sheets: dict[str, DataFrame] | None = None) -> None:
+    """Confirms, dismisses or reopens a suggested relationship. With the dataset's ``sheets`` it is profiled anew at once."""
     if status not in STATES:
         raise ValueError(f"unknown status {status!r}")
     found = store.load(dataset, "profile", "relationships")
@@ -56,6 +59,8 @@ def decide(store: Store, dataset: str, key: tuple[str, str, str, str], status: s
     rows = {tuple(r[k] for k in KEY): r.status for r in old.collect()} if old is not None else {}  # made by hand, so few
     rows[key] = status
     store.save(dataset, "decisions", {"decisions": store.spark.createDataFrame([(*k, s) for k, s in rows.items() if s != "suggested"], ", ".join(f"{k} string" for k in [*KEY, "status"]))})
+    if sheets is not None:
+        profile_dataset(store, dataset, sheets)
 
 
 def _issues(rows: DataFrame, version: str) -> DataFrame:
@@ -81,7 +86,7 @@ def profile_dataset(store: Store, dataset: str, sheets: dict[str, DataFrame]) ->
         columns.append(own.withColumn("sheet", F.lit(name)))
         whole = profile.sheet_profile(df, own, name).persist()
         totals.append(whole)
-        tops.append(profile.top_values(df).withColumn("sheet", F.lit(name)))
+        tops.append(profile.top_values(raw).withColumn("sheet", F.lit(name)))
         copies = whole.first()["duplicate_rows"]
         found = profile.issues(own, name, copies, limits.get(name))
         # The type issue is high and the pattern issue medium; a column has at most one of them.
@@ -149,18 +154,27 @@ def list_dependencies(found: DataFrame) -> DataFrame:
     return found.orderBy("sheet", F.col("confidence_pct").desc(), "determinant", "dependent")
 
 
-def sort_columns(columns: DataFrame, by: str = "column", descending: bool = False) -> DataFrame:
-    """Column profiles by name, type, share of nulls, distinct values or rating (worst first)."""
+def sort_columns(columns: DataFrame, by: str = "column", descending: bool = False, issues: DataFrame | None = None) -> DataFrame:
+    """Column profiles by name, type, share of nulls, distinct values, rating (worst first) or, with ``issues``, their number."""
+    if by == "issues":
+        columns = columns.join(dashboard.issues_per_column(columns, issues).withColumnRenamed("n", "issues"), ["sheet", "column"], "left")
     key = dashboard.rag_rank(F.col("rag")) if by == "rag" else F.col(by)
-    return columns.orderBy(key.desc() if descending else key.asc(), "column")
+    return columns.orderBy(key.desc() if descending else key.asc(), *(["sheet"] if "sheet" in columns.columns else []), "column")
 
 
 def payload(columns: DataFrame, tops: DataFrame) -> DataFrame:
-    """(column, json) of each profile with its top values; shares have two decimals."""
-    top = tops.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))), lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count"))).alias("top_values"))
-    rows = columns.join(top, "column", "left")
+    """(sheet if there is one, column, json) of each profile with its top values; shares have two decimals."""
+    by = [c for c in ("sheet", "column") if c in columns.columns]
+    top = tops.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))), lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count"))).alias("top_values"))  # ten a column
+    rows = columns.join(top, by, "left")
     shown = [F.round(c, 2).alias(c) if c.endswith("_pct") else F.col(c) for c in rows.columns]
-    return rows.select("column", F.to_json(F.struct(*shown)).alias("json"))
+    return rows.select(*by, F.to_json(F.struct(*shown)).alias("json"))
+
+
+def nested(sheets: DataFrame, columns: DataFrame) -> DataFrame:
+    """A row per sheet with its profile and ``columns``, the profiles of its columns in order."""
+    own = columns.groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("ordinal", *[c for c in columns.columns if c not in ("sheet", "ordinal")]))).alias("columns"))
+    return sheets.join(own, "sheet", "left")
 
 
 def five_numbers(columns: DataFrame) -> DataFrame:
@@ -178,7 +192,10 @@ def draft(store: Store, dataset: str, left: str, right: str | None = None) -> li
 
 
 def save_config(store: Store, dataset: str, left: DataFrame, right: DataFrame, config: linkage.Config) -> None:
-    """Replaces the dataset's linkage settings; columns must exist and one mapping be important."""
+    """Replaces the dataset's linkage settings; columns must exist and one mapping be important.
+
+    The time at which settings were first complete stays.
+    """
     for side, names in ((left, [m.left for m in config.mappings]), (right, [m.right for m in config.mappings])):
         if set(names) - set(side.columns):
             raise ValueError(f"unknown columns {sorted(set(names) - set(side.columns))}")
@@ -186,9 +203,24 @@ def save_config(store: Store, dataset: str, left: DataFrame, right: DataFrame, c
         raise ValueError("at least one mapping must be important")
     if not 0 <= config.threshold <= 1 or any(not 0 <= m.weight <= 1 for m in config.mappings):
         raise ValueError("thresholds and weights lie between 0 and 1")
+    old = store.load(dataset, "config", "settings")
+    done = old.first().completed_at if old is not None else None
     maps = store.spark.createDataFrame([(i, m.left, m.right, m.measure, float(m.weight), m.important, m.parser) for i, m in enumerate(config.mappings)], "turn int, left string, right string, measure string, weight double, important boolean, parser string")
-    head = store.spark.createDataFrame([(float(config.threshold), config.toggles)], "threshold double, toggles map<string,boolean>")
-    store.save(dataset, "config", {"mappings": maps, "settings": head})
+    head = store.spark.createDataFrame([(float(config.threshold), config.toggles, done, False)], "threshold double, toggles map<string,boolean>, completed_at timestamp, skipped boolean")
+    store.save(dataset, "config", {"mappings": maps, "settings": head.withColumn("completed_at", F.coalesce("completed_at", F.current_timestamp()))})
+
+
+def skip_config(store: Store, dataset: str) -> None:
+    """Marks linkage settings as passed over, without any; settings that are there stay."""
+    if store.load(dataset, "config", "settings") is None:
+        maps = store.spark.createDataFrame([], "turn int, left string, right string, measure string, weight double, important boolean, parser string")
+        head = store.spark.createDataFrame([(0.0, {}, True)], "threshold double, toggles map<string,boolean>, skipped boolean")
+        store.save(dataset, "config", {"mappings": maps, "settings": head.select("threshold", "toggles", F.current_timestamp().alias("completed_at"), "skipped")})
+
+
+def config_done(store: Store, dataset: str) -> bool:
+    """Whether linkage settings were saved or passed over, so that a report may be shown."""
+    return store.load(dataset, "config", "settings") is not None
 
 
 def load_config(store: Store, dataset: str) -> linkage.Config | None:
@@ -196,15 +228,17 @@ def load_config(store: Store, dataset: str) -> linkage.Config | None:
     if maps is None:
         return None
     head = store.load(dataset, "config", "settings").first()
+    if head.skipped:
+        return None
     return linkage.Config([linkage.Mapping(r.left, r.right, r.measure, r.weight, r.important, r.parser) for r in maps.orderBy("turn").collect()], head.threshold, dict(head.toggles))
 
 
 def link(store: Store, dataset: str, left: DataFrame, right: DataFrame | None, config: linkage.Config, cap: int = linkage.PAIR_CAP) -> dict:
-    """Runs linkage and keeps run, clusters and pairs; a run that fails is kept with its error."""
+    """Runs linkage and keeps run, clusters and pairs; a run that fails is kept with its error. The last RUNS runs stay."""
     spark = store.spark
     blocking = recommend.blocking_mapping(config.mappings)
     run = {"status": "ok", "error": None, "blocking_column": blocking.name if blocking else None, "candidate_pairs": 0, "passing_pairs": 0, "clusters": 0}
-    tables = {}
+    tables, pairs, grouped = {}, None, None
     try:
         pairs = linkage.scores(left, right, config, cap).persist()
         run["candidate_pairs"] = linkage.candidate_count(left, right, config)
@@ -223,13 +257,25 @@ def link(store: Store, dataset: str, left: DataFrame, right: DataFrame | None, c
     except ValueError as e:
         run |= {"status": "failed", "error": str(e)}
     row = spark.createDataFrame([tuple(run.values())], "status string, error string, blocking_column string, candidate_pairs long, passing_pairs long, clusters long")
-    store.save(dataset, "linkage", {"run": row.withColumn("engine_version", F.lit(VERSIONS["linkage"])), **tables})
+    row = row.select("*", F.lit(VERSIONS["linkage"]).alias("engine_version"), F.current_timestamp().alias("created_at"))
+    store.save(dataset, "linkage", {"run": row, **tables}, keep=RUNS)
+    for kept in (pairs, grouped):
+        if kept is not None:
+            kept.unpersist()
     return run
 
 
-def cluster_detail(store: Store, dataset: str, index: int, left: DataFrame, right: DataFrame | None = None) -> dict[str, DataFrame]:
-    """A cluster's pairs by falling score, and its rows; rows of one table are merged, each once."""
-    pairs = store.load(dataset, "linkage", "pairs").where(F.col("cluster_index") == index)
+def runs(store: Store, dataset: str) -> DataFrame:
+    """(run, status, ...) of the kept runs, newest first."""
+    found = [store.load(dataset, "linkage", "run", n).withColumn("run", F.lit(n)) for n in store.history(dataset, "linkage")]
+    if not found:
+        return store.spark.createDataFrame([], "run int, status string")
+    return reduce(DataFrame.unionByName, found).orderBy(F.col("run").desc())
+
+
+def cluster_detail(store: Store, dataset: str, index: int, left: DataFrame, right: DataFrame | None = None, run: int | None = None) -> dict[str, DataFrame]:
+    """A cluster's pairs by falling score, and its rows; rows of one table are merged, each once. Of the last run, or of one by number."""
+    pairs = store.load(dataset, "linkage", "pairs", run).where(F.col("cluster_index") == index)
     a = left.join(pairs.select(F.col("i").alias("_row_index")).distinct(), "_row_index")
     b = (left if right is None else right).join(pairs.select(F.col("j").alias("_row_index")).distinct(), "_row_index")
     out = {"pairs": pairs.orderBy(F.col("score").desc(), "i", "j")}
@@ -238,12 +284,6 @@ def cluster_detail(store: Store, dataset: str, index: int, left: DataFrame, righ
     return out | {"rows_a": a.orderBy("_row_index"), "rows_b": b.orderBy("_row_index")}
 
 
-def latest(rows: DataFrame, by: list[str], at: str) -> DataFrame:
-    """The newest row of each group."""
-    order = Window.partitionBy(*by).orderBy(F.col(at).desc())
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
 def chip(score: str) -> Column:
     """Band of a score: strong from 0.95, good from 0.8, else weak."""
-    return F.when(F.col(score) >= 0.95, "strong").when(F.col(score) >= 0.8, "good").otherwise("weak")
+    return band(F.col(score))

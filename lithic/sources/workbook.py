@@ -159,6 +159,35 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=names)
 
 
+# Kinds of files that uploads may have, with what their first bytes show.
+WORKBOOK_MIME = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+ATTACHMENTS = (
+    ("application/pdf", ".pdf", "255044462D"), ("image/png", ".png", "89504E470D0A1A0A"), ("image/jpeg", ".jpg", "FFD8FF"), ("image/jpeg", ".jpeg", "FFD8FF"),
+    ("image/gif", ".gif", "47494638"), ("image/webp", ".webp", "52494646"),
+)
+MOST_ATTACHED = 32 * 1024 * 1024
+
+
+def attachments(found: DataFrame) -> DataFrame:
+    """(path, size_bytes, mime, family, problem) of files (path, length, content): pdf and images up to 32 MB.
+
+    A name and the first bytes must tell of the same kind.
+    """
+    head, name = F.hex(F.substring("content", 1, 12)), F.lower("path")
+    named = mime = F.lit(None).cast("string")
+    for kind, ending, start in ATTACHMENTS:
+        shown = head.startswith(start) & (head.endswith("57454250") if kind == "image/webp" else F.lit(True))
+        named, mime = F.when(name.endswith(ending), kind).otherwise(named), F.when(shown, kind).otherwise(mime)
+    problem = (
+        F.when(F.col("length") == 0, "empty file")
+        .when(F.col("length") > MOST_ATTACHED, f"larger than {MOST_ATTACHED} bytes")
+        .when(mime.isNull() | named.isNull(), "unknown kind of file")
+        .when(mime != named, "name and contents differ")
+    )
+    family = F.when(mime == "application/pdf", "document").when(mime.isNotNull(), "image")
+    return found.select("path", F.col("length").alias("size_bytes"), mime.alias("mime"), family.alias("family"), problem.alias("problem"))
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size_bytes, sha256, encrypted, problem): validity of workbook files, without parsing them."""
     found = spark.read.format("binaryFile").load(path)
@@ -168,6 +197,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("length") == 0, "empty file")
         .when(F.col("length") > MOST_BYTES, f"larger than {MOST_BYTES} bytes")
         .when(encrypted, "password protected")
+        .when(F.hex(F.substring("content", 1, 4)) != "504B0304", f"not of kind {WORKBOOK_MIME}")
     )
     return found.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), encrypted.alias("encrypted"), problem.alias("problem"))
 
@@ -178,23 +208,31 @@ def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def cells(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of the workbooks under a path, and a row without a sheet per file that holds its error, if any."""
-    found = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES).select("path", "content")
-    return found.mapInPandas(_parse, CELLS)
+    """All cells of the workbooks under a path, and a row without a sheet per file that holds its error, if any.
+
+    A file above MOST_BYTES is not parsed; its size is its error.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    large = found.where(F.col("length") > MOST_BYTES).select("path")
+    fields = [c.split() for c in CELLS.split(", ")]
+    said = {"path": F.col("path"), "error": F.lit(f"larger than {MOST_BYTES} bytes")}
+    refused = large.select(*[said.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
+    return found.where(F.col("length") <= MOST_BYTES).select("path", "content").mapInPandas(_parse, CELLS).unionByName(refused)
 
 
 def checked(spark: SparkSession, path: str) -> str:
-    """The path of one sound workbook; raises what is wrong with it otherwise."""
+    """The path of sound workbooks; raises what is wrong with the first that is not."""
     try:
-        got = files(spark, path).limit(1).collect()
+        found = files(spark, path)
+        bad = found.where("encrypted OR problem IS NOT NULL").orderBy("path").limit(1).collect()
+        if not bad and not found.take(1):
+            raise BadWorkbookError(f"no file at {path}")
     except AnalysisException as e:
         raise BadWorkbookError(f"no file at {path}") from e
-    if not got:
-        raise BadWorkbookError(f"no file at {path}")
-    if got[0].encrypted:
-        raise PasswordProtectedError(path)
-    if got[0].problem:
-        raise BadWorkbookError(f"{path}: {got[0].problem}")
+    if bad and bad[0].encrypted:
+        raise PasswordProtectedError(bad[0].path)
+    if bad:
+        raise BadWorkbookError(f"{bad[0].path}: {bad[0].problem}")
     return path
 
 
