@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +15,8 @@ from lithic.functions import text as tx
 from lithic.functions import types as ct
 from lithic.functions.normalize import normalize, parse_date, parse_email, parse_phone
 from lithic.operators import cross, dashboard, hierarchy, linkage, profile, rows
-from lithic.plans import annotate, recommend, report
+from lithic.plans import annotate, listings, recommend, report, tools
+from lithic.sources.store import Store
 from lithic.streaming import profile as streamed
 
 QUERIES: dict = {}
@@ -133,41 +138,50 @@ def duplicate_rows(spark, sf_dir):
     return profile.duplicate_rows(table(spark, sf_dir, "documents").select("lang", "source"))
 
 
-@query("SELECT 'o_custkey' AS \"left\", 'copy' AS \"right\"")
+@query(" UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\" FROM (SELECT o_orderkey, o_custkey, o_custkey AS copy FROM orders) HAVING bool_and({a} IS NOT DISTINCT FROM {b})" for a, b in (("o_orderkey", "o_custkey"), ("o_orderkey", "copy"), ("o_custkey", "copy"))))
 def duplicate_columns(spark, sf_dir):
     return profile.duplicate_columns(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("copy")))
 
 
-@query(f"SELECT 'customer' AS sheet, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, CAST(0 AS BIGINT) AS duplicate_rows, round(100 - 100.0 * count(*) FILTER (c_mktsegment IS NULL) / (count(*) * 5), 6) AS completeness_pct, 'amber' AS rag FROM {CUSTOMERS}")
+_NULLS = "100.0 * count(*) FILTER (c_mktsegment IS NULL) / count(*)"
+_RAG = f"CASE WHEN {_NULLS} > 50 THEN 'red' WHEN {_NULLS} >= 5 THEN 'amber' ELSE 'green' END"
+_SEVERITY = f"CASE WHEN {_NULLS} > 50 THEN 'high' WHEN {_NULLS} > 20 THEN 'medium' WHEN {_NULLS} >= 5 THEN 'low' END"
+
+
+@query(f"SELECT 'customer' AS sheet, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, CAST(0 AS BIGINT) AS duplicate_rows, round(100 - 100.0 * count(*) FILTER (c_mktsegment IS NULL) / (count(*) * 5), 6) AS completeness_pct, {_RAG} AS rag FROM {CUSTOMERS}")
 def sheet_profile(spark, sf_dir):
     df = customers(spark, sf_dir)
     return rounded(profile.sheet_profile(df, profile.column_profiles(df), "customer"))
 
 
-@query(f"SELECT 'customer' AS sheet, 'c_mktsegment' AS \"column\", 'completeness' AS dimension, 'low' AS severity FROM {CUSTOMERS} HAVING 100.0 * count(*) FILTER (c_mktsegment IS NULL) / count(*) BETWEEN 5 AND 20")
+_ISSUE = f"(SELECT 'customer' AS sheet, 'c_mktsegment' AS \"column\", 'completeness' AS dimension, {_SEVERITY} AS severity, 'Column ''c_mktsegment'' is ' || printf('%.1f', {_NULLS}) || '% null (' || count(*) FILTER (c_mktsegment IS NULL) || ' of ' || count(*) || ' rows).' AS description FROM {CUSTOMERS} HAVING {_NULLS} >= 5)"
+
+
+@query(f"SELECT * FROM {_ISSUE}")
 def issues(spark, sf_dir):
-    return profile.issues(profile.column_profiles(customers(spark, sf_dir)), "customer").drop("description")
+    return profile.issues(profile.column_profiles(customers(spark, sf_dir)), "customer")
 
 
-@query("SELECT severity, CASE severity WHEN 'low' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) v(severity)")
+@query(f"SELECT severity, (SELECT count(*) FROM {_ISSUE} i WHERE i.severity = v.severity) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) v(severity)")
 def severity_histogram(spark, sf_dir):
     return dashboard.severity_histogram(profile.issues(profile.column_profiles(customers(spark, sf_dir)), "customer"))
 
 
-@query("SELECT c AS \"column\", CASE c WHEN 'c_mktsegment' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')) v(c)")
+@query(f"SELECT 'customer' AS sheet, c AS \"column\", (SELECT count(*) FROM {_ISSUE} i WHERE i.\"column\" = c) AS n FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment'), ('')) v(c)")
 def issues_per_column(spark, sf_dir):
     got = profile.column_profiles(customers(spark, sf_dir))
-    return dashboard.issues_per_column(got, profile.issues(got, "customer"))
+    return dashboard.issues_per_column(got.withColumn("sheet", F.lit("customer")), profile.issues(got, "customer"))
 
 
-@query(f"SELECT CAST(count(*) + (SELECT count(*) FROM nation) AS BIGINT) AS row_count, CAST(8 AS BIGINT) AS column_count, round((100 - 100.0 * count(*) FILTER (c_mktsegment IS NULL) / (count(*) * 5) + 100) / 2, 6) AS completeness_pct, 'amber' AS rag FROM {CUSTOMERS}")
+@query(f"SELECT CAST(count(*) + (SELECT count(*) FROM nation) AS BIGINT) AS row_count, CAST(8 AS BIGINT) AS column_count, round((100 - 100.0 * count(*) FILTER (c_mktsegment IS NULL) / (count(*) * 5) + 100) / 2, 6) AS completeness_pct, {_RAG} AS rag FROM {CUSTOMERS}")
 def kpi_totals(spark, sf_dir):
     a, b = customers(spark, sf_dir), table(spark, sf_dir, "nation")
     sheets = profile.sheet_profile(a, profile.column_profiles(a), "customer").unionByName(profile.sheet_profile(b, profile.column_profiles(b), "nation"))
     return rounded(dashboard.kpi_totals(sheets))
 
 
-_FD = ["n_nationkey", "n_name", "n_regionkey"]
+_FD = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "half"]
+_FD_FROM = "(SELECT *, c_nationkey // 2 AS half FROM customer)"
 
 
 def _fd_sql(source: str, columns: list[str]) -> str:
@@ -175,15 +189,19 @@ def _fd_sql(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(_fd_sql("nation", _FD))
+@query(_fd_sql(_FD_FROM, _FD))
 def functional_dependencies(spark, sf_dir):
-    return rounded(cross.functional_dependencies(table(spark, sf_dir, "nation").select(*_FD)))
+    return rounded(cross.functional_dependencies(table(spark, sf_dir, "customer").withColumn("half", F.floor(F.col("c_nationkey") / 2)).select(*_FD)))
 
 
-@query("SELECT 'l_quantity' AS \"left\", 'double_quantity' AS \"right\", 1.0::DOUBLE AS r")
+_CORR = ["l_quantity", "double_quantity", "l_discount", "l_tax", "noisy"]
+_CORR_FROM = "(SELECT *, l_quantity * 2 + 3 AS double_quantity, l_quantity * 10 + l_linenumber AS noisy FROM lineitem)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS r FROM {_CORR_FROM} HAVING count({a} + {b}) >= 10 AND abs(corr({a}, {b})) >= 0.95" for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]))
 def numeric_correlation(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("double_quantity", F.col("l_quantity") * 2 + 3)
-    return rounded(cross.correlations(df, ["l_quantity", "double_quantity", "l_discount", "l_tax"]))
+    df = table(spark, sf_dir, "lineitem").select("*", (F.col("l_quantity") * 2 + 3).alias("double_quantity"), (F.col("l_quantity") * 10 + F.col("l_linenumber")).alias("noisy"))
+    return rounded(cross.correlations(df, _CORR))
 
 
 _FK = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"]}
@@ -287,10 +305,27 @@ _measure("exact", "p_name", "CASE WHEN a.p_name = b.p_name THEN 1 ELSE 0 END")
 _measure("levenshtein", "p_name", "1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))")
 _measure("jaro_winkler", "p_name", "jaro_winkler_similarity(a.p_name, b.p_name)")
 _measure("jaccard_tokens", "p_name", f"len(list_intersect({_T.format(x='a')}, {_T.format(x='b')})) / len(list_distinct(list_concat({_T.format(x='a')}, {_T.format(x='b')})))")
-_measure("soundex", "p_name")
+_SOUNDS = "translate(regexp_replace(upper({x}), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+
+
+def _soundex(x: str) -> str:
+    """Soundex of a text that begins with a letter: H and W are passed over, other signs part equal sounds."""
+    sounds = _SOUNDS.format(x=x)
+    runs = f"left({sounds}, 1) || replace(substr({sounds}, 2), '7', '')"
+    for digit in "123456":
+        runs = f"regexp_replace({runs}, '{digit}+', '{digit}', 'g')"
+    return f"upper(left({x}, 1)) || rpad(left(replace(substr({runs}, 2), '0', ''), 3), 3, '0')"
+
+
+_measure("soundex", "p_name", f"CASE WHEN {_soundex('a.p_name')} = {_soundex('b.p_name')} THEN 1 ELSE 0 END")
 _measure("metaphone", "p_name")
-_measure("ngram", "p_name")
-_measure("cosine_tokens", "p_name")
+_G = "CASE WHEN length({x}.p_name) <= 3 THEN [{x}.p_name] ELSE list_transform(range(1, length({x}.p_name) - 1), lambda i: substr({x}.p_name, i, 3)) END"
+_HOW_OFTEN = "len(list_filter({list}, lambda t: t = g))"
+_ga, _gb = _G.format(x="a"), _G.format(x="b")
+_measure("ngram", "p_name", f"2 * coalesce(list_sum(list_transform(list_intersect({_ga}, {_gb}), lambda g: least({_HOW_OFTEN.format(list=_ga)}, {_HOW_OFTEN.format(list=_gb)}))), 0) / (len({_ga}) + len({_gb}))")
+_ta, _tb = _T.format(x="a"), _T.format(x="b")
+_norm = lambda t: f"sqrt(list_sum(list_transform(list_distinct({t}), lambda g: pow({_HOW_OFTEN.format(list=t)}, 2))))"
+_measure("cosine_tokens", "p_name", f"coalesce(list_sum(list_transform(list_intersect({_ta}, {_tb}), lambda g: {_HOW_OFTEN.format(list=_ta)} * {_HOW_OFTEN.format(list=_tb)})), 0) / ({_norm(_ta)} * {_norm(_tb)})")
 _measure("numeric_tolerance", "p_size", "greatest(0, 1 - abs(a.p_size - b.p_size) / (0.01 + 0.05 * greatest(abs(a.p_size), abs(b.p_size))))")
 
 
@@ -316,16 +351,39 @@ def pair_scores(spark, sf_dir):
     return rounded(linkage.scores(_suppliers(spark, sf_dir).drop("key"), None, _PAIR_SCORES, cap=10**9).select("i", "j", "score"))
 
 
-@query()
+_LOW, _FIRST = "lower(trim(text))", "regexp_extract(lower(trim(text)), '^[^\\s]*')"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_LOW} <> '' THEN substr({_LOW}, 1, 3) || '|' || CASE WHEN regexp_matches({_FIRST}, '^[a-z]') THEN {_soundex(_FIRST)} ELSE '' END END AS key FROM conversations")
 def blocking_keys(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", linkage.blocking_key(F.col("text")).alias("key"))
 
 
-@query()
+def _near_pairs(spark, sf_dir):
+    """Pairs of parts of one brand with prices that are near, each weighed by the gap."""
+    part = table(spark, sf_dir, "part")
+    a, b = part.alias("a"), part.alias("b")
+    gap = F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice"))
+    joined = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (gap <= 2))
+    return joined.select(F.col("a.p_partkey").alias("i"), F.col("b.p_partkey").alias("j"), (1 - gap / 10).alias("score"))
+
+
+_NEAR = "p AS (SELECT a.p_partkey AS i, b.p_partkey AS j, round(1 - abs(a.p_retailprice - b.p_retailprice) / 10, 9) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 2)"
+_REACH = "WITH RECURSIVE " + _NEAR + ", e AS (SELECT i AS u, {b} AS v FROM p UNION SELECT {b}, i FROM p), r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), l AS (SELECT u, min(v) AS label FROM r GROUP BY u), n AS (SELECT p.*, label FROM p JOIN l ON i = u), "
+_GROUPS = "g AS (SELECT label, max(score) AS top_score, min(score) AS min_score, min((i, j)) AS first, list_sort(list_distinct(list(i))) AS members_a, list_sort(list_distinct(list(j))) AS members_b FROM n GROUP BY label) "
+
+
+@query(_REACH.format(b="-j - 1") + _GROUPS + "SELECT CAST(row_number() OVER (ORDER BY top_score DESC, first) - 1 AS BIGINT) AS cluster_index, array_to_string(members_a, ',') AS members_a, array_to_string(members_b, ',') AS members_b, round(top_score, 6) AS top_score, round(min_score, 6) AS min_score FROM g")
 def linkage_clusters(spark, sf_dir):
-    data = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_row_index"), "text")
-    config = linkage.Config([linkage.Mapping("text", "text", "jaccard_tokens", 1.0, True)], 0.5, {"case_fold": True})
-    return linkage.clusters(linkage.scores(data, None, config))
+    found = linkage.clusters(_near_pairs(spark, sf_dir).withColumn("score", F.round("score", 9)))
+    return rounded(found.select("cluster_index", F.concat_ws(",", "members_a").alias("members_a"), F.concat_ws(",", "members_b").alias("members_b"), "top_score", "min_score"))
+
+
+@query(_REACH.format(b="j") + "m AS (SELECT label, i AS x FROM n UNION SELECT label, j FROM n) SELECT members, count(*) AS clusters FROM (SELECT label, count(*) AS members FROM m GROUP BY label) GROUP BY members")
+def merged_members(spark, sf_dir):
+    """How many clusters of rows of one table have so many members."""
+    sizes = linkage.merged_members(linkage.clusters(_near_pairs(spark, sf_dir), merge_roles=True))
+    return sizes.groupBy("members").agg(F.count("*").alias("clusters"))
 
 
 def _tree(spark, sf_dir):
@@ -347,7 +405,7 @@ def ancestor_root(spark, sf_dir):
 
 @query(f"SELECT level, count(*) AS n FROM {_TREE} GROUP BY level")
 def tree_counts(spark, sf_dir):
-    return _tree(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
+    return hierarchy.level_counts(_tree(spark, sf_dir))
 
 
 @query(f"SELECT id, CAST(row_number() OVER (PARTITION BY parent ORDER BY name, id) - 1 AS INTEGER) AS position FROM {_TREE}")
@@ -389,9 +447,17 @@ def tree_from_json(spark, sf_dir):
     return hierarchy.from_json(trees, "tree", "region").drop("description", "position")
 
 
-@query("SELECT page_id, regexp_matches(lower(url), '^https?://[^/?#:]') AND NOT regexp_matches(lower(url), '^https?://(localhost|127[.]|10[.]|192[.]168[.])') AS ok FROM pages")
+_HOSTS = {
+    "a.example.org": True, "127.0.0.1": False, "[::ffff:10.0.0.1]": False, "localhost.": False, "0177.0.0.1": False, "8.8.4.4": True, "[0:0:0:0:0:0:0:1]": False, "192.168.7.1": False, "[2a00:1450::1]": True, "2130706433": False,
+}
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_matches(lower(url), '^https?://[^/?#:]') ELSE CASE page_id % 20 // 2 " + " ".join(f"WHEN {i} THEN {ok}" for i, ok in enumerate(_HOSTS.values())) + " END END AS ok FROM pages")
 def safe_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.safe_url(F.col("url")).alias("ok"))
+    """Every second page's own address; the others' paths under hosts of all kinds."""
+    hosts = F.array(*[F.lit(h) for h in _HOSTS])
+    url = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://"), F.get(hosts, F.floor(F.col("page_id") % 20 / 2).cast("int")), F.lit("/x?y")))
+    return table(spark, sf_dir, "pages").select("page_id", tx.safe_url(url).alias("ok"))
 
 
 @query("SELECT page_id, url, url AS title FROM pages WHERE url <> ''")
@@ -450,17 +516,387 @@ def distribution_summary(spark, sf_dir):
     return rounded(got.select("column", F.col("summary")[0].alias("low"), F.col("summary")[2].alias("middle"), F.col("summary")[4].alias("high")), 2)
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{broken' ELSE props END AS props FROM events) WHERE json_valid(props) UNION ALL SELECT event_id, -1 FROM events WHERE event_id % 7 = 0")
 def json_decode(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    """Damaged texts give the default."""
+    props = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.col("props"))
+    rows_ = table(spark, sf_dir, "events").select("event_id", F.when(F.try_parse_json(props).isNotNull(), props).alias("props"))
+    return rows_.select("event_id", listings.decoded("props", "k long", '{"k":-1}')["k"].alias("k"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
 def latest_per_group(spark, sf_dir):
-    newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    return table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(newest)).where("n = 1").select("o_custkey", "o_orderkey")
+    return listings.latest(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderstatus, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1, 2")
+def oldest_per_group(spark, sf_dir):
+    return listings.oldest(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
+def newest_first(spark, sf_dir):
+    """A page of an owner's records, newest first."""
+    return listings.newest_first(listings.owned(table(spark, sf_dir, "orders"), "o_orderstatus", "P"), "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate").limit(25)
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role = 'user' ORDER BY turn, conv_id LIMIT 25")
+def oldest_first(spark, sf_dir):
+    return listings.oldest_first(listings.owned(table(spark, sf_dir, "conversations"), "role", "user"), "turn", "conv_id").select("conv_id", "turn", "role").limit(25)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 17 AND o_orderstatus = (SELECT o_orderstatus FROM orders WHERE o_orderkey = 17)")
+def one_owned(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    owner = F.col("o_orderstatus")
+    found = [listings.one_owned(orders, "o_orderstatus", status, "o_orderkey", 17).select("o_orderkey", "o_custkey", owner) for status in ("F", "O", "P")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).drop("o_orderstatus")
+
+
+@query("SELECT c_custkey, n_name AS type_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def with_types(spark, sf_dir):
+    return listings.with_types(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", "n_name").select("c_custkey", "type_name")
+
 
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (5, 3, 7)")
+def resolved_ids(spark, sf_dir):
+    return listings.resolve(table(spark, sf_dir, "supplier"), "s_suppkey", [5, 3, 7, 5]).select("s_suppkey", "s_name")
 
-@query("SELECT user_id, CAST(count(*) AS BIGINT) AS next_position FROM events GROUP BY 1")
+
+@query("SELECT l_partkey AS \"_asked\" FROM (SELECT DISTINCT l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def missing_ids(spark, sf_dir):
+    asked = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("_turn"), F.col("l_partkey").alias("_asked")).distinct()
+    return listings.missing_ids(table(spark, sf_dir, "supplier"), "s_suppkey", asked).select("_asked")
+
+
+@query("SELECT count(*) FILTER (coalesce(c_acctbal > 0, false)) AS active, count(*) FILTER (NOT coalesce(c_acctbal > 0, false)) AS inactive FROM customer")
+def flag_counts(spark, sf_dir):
+    return listings.flag_counts(table(spark, sf_dir, "customer").withColumn("on", F.col("c_acctbal") > 0), "on")
+
+
+@query(f"SELECT DISTINCT c_nationkey FROM {CUSTOMERS} WHERE c_mktsegment IS NULL AND c_nationkey IS NOT NULL")
+def orphans(spark, sf_dir):
+    return listings.orphans(customers(spark, sf_dir), "c_nationkey", "c_mktsegment")
+
+
+@query("SELECT r_regionkey, r_name, NULL::INTEGER AS n_nationkey, NULL::VARCHAR AS n_name, NULL::INTEGER AS n_regionkey FROM region UNION ALL SELECT NULL, NULL, n_nationkey, n_name, n_regionkey FROM nation")
+def union_columns(spark, sf_dir):
+    return listings.union_columns([table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")])
+
+
+@query(f"SELECT '{{\"c_custkey\":' || c_custkey || ',\"c_acctbal\":' || CASE WHEN c_custkey % 11 = 0 THEN 'null' ELSE CAST(c_acctbal AS VARCHAR) END || ',\"c_mktsegment\":' || coalesce('\"' || c_mktsegment || '\"', 'null') || ',\"day\":\"2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || '\"}}' AS json FROM {CUSTOMERS}")
+def json_rows(spark, sf_dir):
+    """Rows as JSON, NaN among them."""
+    balance = F.when(F.col("c_custkey") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    day = F.make_date(F.lit(2024), F.lit(1), (F.col("c_custkey") % 28 + 1).cast("int"))
+    return listings.json_rows(customers(spark, sf_dir).select("c_custkey", balance.alias("c_acctbal"), "c_mktsegment", day.alias("day")))
+
+
+def _placed_tree(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return tree.join(dashboard.sibling_rank(tree), "id")
+
+
+_PLACED = f"(SELECT *, row_number() OVER (PARTITION BY parent ORDER BY name, id) - 1 AS position FROM {_TREE})"
+
+
+@query(f"SELECT parent, CAST(max(position) + 1 AS BIGINT) AS position FROM {_PLACED} GROUP BY parent")
 def next_position(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("next_position"))
+    return hierarchy.next_positions(_placed_tree(spark, sf_dir))
+
+
+@query(f"SELECT id, parent, level, name, CAST(position AS INTEGER) AS position FROM {_PLACED} WHERE id <> '1:3' AND parent IS DISTINCT FROM '1:3' UNION ALL SELECT 'new', '0:1', 2, 'New', CAST(max(position) + 1 AS INTEGER) FROM {_PLACED} WHERE parent = '0:1'")
+def tree_edits(spark, sf_dir):
+    """A node is added, then another goes with all below it."""
+    return hierarchy.delete(hierarchy.create(_placed_tree(spark, sf_dir), "new", " New ", "0:1"), "1:3").select("id", "parent", "level", "name", "position")
+
+
+@query(f"SELECT id, CAST(CASE WHEN parent IS NULL AND position = 1 THEN 2 WHEN parent IS NULL AND position = 2 THEN 1 ELSE position END AS INTEGER) AS position FROM {_PLACED}")
+def moved_sibling(spark, sf_dir):
+    tree = _placed_tree(spark, sf_dir)
+    second = tree.where("parent IS NULL AND position = 1").first()["id"]
+    return hierarchy.move(tree, second, 1).select("id", "position")
+
+
+@query("SELECT '0:' || r_regionkey AS id, CAST((row_number() OVER (ORDER BY r_name) - 1) % 3 AS INTEGER) AS colour FROM region")
+def palette(spark, sf_dir):
+    return hierarchy.palette(_placed_tree(spark, sf_dir), 3)
+
+
+@query("SELECT r_name AS name FROM region WHERE r_regionkey > 1")
+def seed_missing(spark, sf_dir):
+    region = table(spark, sf_dir, "region")
+    return hierarchy.seed(spark, region.where("r_regionkey <= 1").select(F.col("r_name").alias("name")), [r.r_name for r in region.collect()])
+
+
+@query("SELECT r_name AS name, count(n_nationkey) AS children FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def tree_nested(spark, sf_dir):
+    return hierarchy.nested(_placed_tree(spark, sf_dir)).select("name", F.size("children").cast("long").alias("children"))
+
+
+_RULES = {
+    "half": ("o_orderpriority", "o_orderkey % 5 < 3"), "third": ("o_orderstatus", "o_orderkey % 10 < 3"), "tenth": ("o_orderpriority", "o_orderkey % 10 = 0"),
+}
+_MESSY = "(SELECT " + ", ".join(f"CASE WHEN NOT ({on}) THEN {c} END AS {name}" for name, (c, on) in _RULES.items()) + ", CASE WHEN o_orderkey % 250 = 0 THEN 'n/a' ELSE CAST(o_orderkey AS VARCHAR) END AS code, CASE WHEN o_orderkey % 40 = 0 THEN 'none' ELSE 'u' || o_custkey || '@x.org' END AS mail, 'same' AS fixed, CAST(o_orderkey % 50 AS INTEGER) AS size, CAST(CASE WHEN o_orderkey % 1000 = 0 THEN 100000 ELSE o_orderkey % 10 END AS BIGINT) AS far FROM orders)"
+
+
+def _messy(spark, sf_dir):
+    """Orders with a column for each rule of issues."""
+    key = F.col("o_orderkey")
+    columns = [F.when(~F.expr(on), F.col(c)).alias(name) for name, (c, on) in _RULES.items()]
+    return table(spark, sf_dir, "orders").select(
+        *columns, F.when(key % 250 == 0, "n/a").otherwise(key.cast("string")).alias("code"), F.when(key % 40 == 0, "none").otherwise(F.concat(F.lit("u"), "o_custkey", F.lit("@x.org"))).alias("mail"),
+        F.lit("same").alias("fixed"), (key % 50).cast("int").alias("size"), F.when(key % 1000 == 0, 100000).otherwise(key % 10).cast("long").alias("far"),
+    )
+
+
+def _issue_rules_sql() -> str:
+    nulls = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", 'completeness' AS dimension, '{level}' AS severity, 'Column ''{c}'' is ' || printf('%.1f', 100.0 * count(*) FILTER ({c} IS NULL) / count(*)) || '% null (' || count(*) FILTER ({c} IS NULL) || ' of ' || count(*) || ' rows).' AS description FROM {_MESSY}" for c, level in (("half", "high"), ("third", "medium"), ("tenth", "low")))
+    others = [
+        f"SELECT 'code', 'consistency', 'high', 'Column ''code'' was inferred as ''integer'' but ' || count(*) FILTER (code = 'n/a') || ' of ' || count(*) || ' non-null values do not conform.' FROM {_MESSY}",
+        f"SELECT 'mail', 'consistency', 'medium', 'Column ''mail'' looks like ''email'' (' || printf('%.1f', 100.0 * count(*) FILTER (mail <> 'none') / count(*)) || '% conformance); some values don''t match the pattern.' FROM {_MESSY}",
+        f"SELECT 'size', 'validity', 'high', 'Column ''size'' has ' || count(*) FILTER (size < 5 OR size > 40) || ' value(s) outside the configured bounds [5.0, 40.0].' FROM {_MESSY}",
+        f"SELECT 'far', 'accuracy', 'low', 'Column ''far'' has ' || count(*) FILTER (far = 100000) || ' Tukey-IQR outlier(s) and ' || count(*) FILTER (far = 100000) || ' MAD outlier(s); investigate whether they are valid extremes.' FROM {_MESSY}",
+        f"SELECT 'fixed', 'uniqueness', 'low', 'Column ''fixed'' has only one distinct value across ' || count(*) || ' non-null rows; consider dropping.' FROM {_MESSY}",
+    ]
+    return " UNION ALL ".join([nulls, *others])
+
+
+@query(_issue_rules_sql())
+def issue_rules(spark, sf_dir):
+    bounds = {"size": (5, 40)}
+    return profile.issues(profile.column_profiles(_messy(spark, sf_dir), bounds), "orders", bounds=bounds).drop("sheet")
+
+
+@query(f"SELECT * FROM ({_issue_rules_sql()}) ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, \"column\", dimension LIMIT 4")
+def issues_by_rank(spark, sf_dir):
+    bounds = {"size": (5, 40)}
+    found, _ = report.list_issues(profile.issues(profile.column_profiles(_messy(spark, sf_dir), bounds), "orders", bounds=bounds), "orders", by_rank=True, limit=4)
+    return found.drop("sheet")
+
+
+@query("SELECT \"column\", round(null_pct, 6) AS null_pct FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", 100.0 * count(*) FILTER ({c} IS NULL) / count(*) AS null_pct FROM {_MESSY}" for c in ("half", "third", "tenth", "code", "mail", "fixed", "size", "far")) + ") ORDER BY null_pct DESC, \"column\" LIMIT 4")
+def sorted_columns(spark, sf_dir):
+    return rounded(report.sort_columns(profile.column_profiles(_messy(spark, sf_dir)), "null_pct", descending=True).select("column", "null_pct").limit(4))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS \"column\", 'uniqueness' AS dimension, 'medium' AS severity, 'Sheet ''documents'' contains ' || sum(n) || ' row(s) that appear more than once.' AS description FROM (SELECT count(*) AS n FROM documents GROUP BY lang, source HAVING count(*) > 1)")
+def duplicate_issue(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("lang", "source")
+    copies = profile.duplicate_rows(df).first()["duplicate_rows"]
+    return profile.issues(profile.column_profiles(df).limit(0), "documents", copies).drop("sheet")
+
+
+@query("SELECT 'redundancy' AS dimension, 'medium' AS severity, 'Sheet ''orders'' has identical columns ''o_custkey'' and ''copy''; consider dropping one.' AS description FROM (SELECT o_custkey, o_custkey AS copy FROM orders) HAVING bool_and(o_custkey IS NOT DISTINCT FROM copy) UNION ALL SELECT 'redundancy', 'medium', 'Columns ''l_quantity'' and ''more'' on sheet ''lineitem'' have Pearson r=' || printf('%.3f', corr(l_quantity, more)) || ' (|r| >= 0.95); consider whether they are redundant.' FROM (SELECT l_quantity, l_quantity * 10 + l_linenumber AS more FROM lineitem) HAVING corr(l_quantity, more) >= 0.95")
+def column_pair_issues(spark, sf_dir):
+    twins = profile.duplicate_columns(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("copy")))
+    more = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_quantity") * 10 + F.col("l_linenumber")).alias("more"))
+    found = profile.column_pair_issues(twins, "orders").unionByName(profile.column_pair_issues(cross.correlations(more, ["l_quantity", "more"]), "lineitem"))
+    return found.select("dimension", "severity", "description")
+
+
+@query("SELECT c AS \"column\", CAST(0 AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS distinct_count, 0.0::DOUBLE AS null_pct, 'empty' AS semantic_type, (SELECT 100.0::DOUBLE FROM (SELECT count(*) AS n FROM part WHERE false) WHERE n = 0) AS completeness_pct FROM (VALUES ('p_partkey'), ('p_name'), ('p_size')) v(c)")
+def empty_sheet(spark, sf_dir):
+    """A sheet without rows: a profile per column, and a whole completeness."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").where("false")
+    got = profile.column_profiles(df)
+    whole = profile.sheet_profile(df, got, "part").first()
+    return got.select("column", "row_count", "distinct_count", "null_pct", "semantic_type", F.lit(whole.completeness_pct).alias("completeness_pct"))
+
+
+_KINDS = {"flag": ("boolean", "l_linenumber > 3"), "share": ("float", "CAST(l_discount AS VARCHAR)"), "day": ("date", "strftime(l_shipdate, '%Y-%m-%d')"), "mark": ("string", "l_returnflag"), "number": ("integer", "CAST(l_partkey AS VARCHAR)")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS \"column\", '{kind}' AS semantic_type, count(DISTINCT {sql}) AS distinct_count FROM lineitem" for name, (kind, sql) in _KINDS.items()))
+def infer_kinds(spark, sf_dir):
+    """Types of cells that are true or false, and of texts that spell numbers and dates."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") > 3).alias("flag"), F.col("l_discount").cast("string").alias("share"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.col("l_returnflag").alias("mark"), F.col("l_partkey").cast("string").alias("number"))
+    return profile.column_profiles(df).select("column", "semantic_type", "distinct_count")
+
+
+_SHAPES = {
+    "email": "'u' || s_suppkey || '@x.org'", "uuid": "lpad(CAST(s_suppkey AS STRING), 8, '0') || '-0000-0000-0000-000000000000'", "url": "'https://x.org/' || s_suppkey", "ipv4": "'10.0.0.' || (s_suppkey % 256)",
+    "ipv6": "'1:2:3:4:5:6:7:' || (s_suppkey % 10)", "us_zip": "lpad(CAST(s_suppkey AS STRING), 5, '0') || '-1234'", "ca_postal": "'K1A 0B' || (s_suppkey % 10)", "currency_usd": "'$' || (s_suppkey % 100) || '.50'",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS \"column\", '{name}' AS pattern_label, 100.0 * count({sql}) / count(*) AS pattern_pct FROM supplier" for name, sql in _SHAPES.items()))
+def text_patterns(spark, sf_dir):
+    """A column for each known pattern but phone numbers, which count as integers."""
+    df = table(spark, sf_dir, "supplier").select(*[F.expr(sql).alias(name) for name, sql in _SHAPES.items()])
+    return rounded(profile.column_profiles(df).select("column", "pattern_label", "pattern_pct"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(quantile_cont({c}, 0.05), 6) AS p05, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.995), 6) AS p995 FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_partkey")))
+def ranged_quantiles(spark, sf_dir):
+    """Quantiles by counted ranges, as columns with very many values take them."""
+    df = table(spark, sf_dir, "lineitem")
+    freq = profile.frequencies(df, ["l_quantity", "l_extendedprice", "l_partkey"])
+    got = profile.quantiles(freq, F.col("value").cast("double"), (0.05, 0.5, 0.995), buffered=False)
+    return rounded(got.select("column", F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p995")))
+
+
+@query("SELECT event_id, CASE WHEN value / 10 IS NULL THEN 0 ELSE greatest(0, least(1, value / 10 - 0.1)) END AS share, CASE WHEN value / 10 >= 0.95 THEN 'strong' WHEN value / 10 >= 0.8 THEN 'good' ELSE 'weak' END AS band FROM events")
+def score_bands(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", sim.clamped(F.col("value") / 10 - 0.1).alias("share"), sim.band(F.col("value") / 10).alias("band"))
+
+
+@query("SELECT a.o_orderkey AS i, b.o_orderkey AS j, round(greatest(0, 1 - abs(date_diff('day', a.o_orderdate, b.o_orderdate)) / 7), 6) AS score FROM orders a JOIN orders b ON a.o_orderkey + 1 = b.o_orderkey")
+def sim_date_proximity(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    a, b = orders.alias("a"), orders.alias("b")
+    pairs = a.join(b, F.col("a.o_orderkey") + 1 == F.col("b.o_orderkey"))
+    return rounded(pairs.select(F.col("a.o_orderkey").alias("i"), F.col("b.o_orderkey").alias("j"), sim.date_proximity(F.col("a.day"), F.col("b.day")).alias("score")))
+
+
+@query("SELECT c_custkey AS i, s_suppkey AS j FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+def block_pairs(spark, sf_dir):
+    """Pairs of rows of two tables in one block."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_row_index"), F.col("c_nationkey").alias("key"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_row_index"), F.col("s_nationkey").alias("key"))
+    return linkage.candidates(a, b)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, true AS ok FROM orders")
+def parse_written_dates(spark, sf_dir):
+    """Dates as people write them, a form for each remainder of the key."""
+    forms = ("EEEE, MMMM d, yyyy", "d MMM yyyy", "dd.MM.yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MMM d yyyy h:mm a", "yyyy/M/d", "dd-MMM-yyyy", "yyyy-MM-dd'T'23:30:00-08:00")
+    written = F.coalesce(*[F.when(F.col("o_orderkey") % len(forms) == i, F.date_format("o_orderdate", f.replace("'T'23:30:00-08:00", "'T23:30:00-08:00'"))) for i, f in enumerate(forms)])
+    # dd.MM.yyyy with a day of at most 12 reads as a day first, since dots do not part American dates
+    parsed = parse_date(written)
+    return table(spark, sf_dir, "orders").select("o_orderkey", parsed["value"].alias("day"), parsed["ok"].alias("ok"))
+
+
+@query("SELECT c_custkey, c_custkey % 4 IN (0, 3) AS ok FROM customer")
+def parse_phones(spark, sf_dir):
+    """Numbers with and without a country code that is in use."""
+    last = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    kinds = (F.concat(F.lit("+1 (415) 555-"), last), F.concat(F.lit("+1000000"), last), F.concat(F.lit("415-555-"), last), F.concat(F.lit("+44 20 7183 "), last))
+    number = F.coalesce(*[F.when(F.col("c_custkey") % 4 == i, k) for i, k in enumerate(kinds)])
+    return table(spark, sf_dir, "customer").select("c_custkey", parse_phone(number)["ok"].alias("ok"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' North Main Street Suite 5' WHEN 1 THEN 'Moskva Strasse ' || c_custkey ELSE 'Saint Mary Avenue ' || c_custkey END AS address FROM customer")
+def normalize_addresses(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    kinds = (F.concat(key, F.lit(" N. Main St. Ste 5")), F.concat(F.lit("Москва Straße "), key, F.lit("​")), F.concat(F.lit("St. Mary Ave "), key))
+    text = F.coalesce(*[F.when(F.col("c_custkey") % 3 == i, k) for i, k in enumerate(kinds)])
+    return table(spark, sf_dir, "customer").select("c_custkey", normalize(text, {"expand_address_abbrev": True, "nfkd_fold": True, "strip_special_chars": True}).alias("address"))
+
+
+_TAGS = "regexp_replace({0}, '(?is)<{1}\\b[^>]*>.*?</{1}\\s*>', ' ', 'g')"
+
+
+def _html_sql() -> str:
+    text = "html"
+    for tag in ("script", "style", "noscript", "template"):
+        text = _TAGS.format(text, tag)
+    text = f"regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g')"
+    text = f"regexp_replace({text}, '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\\b[^>]*>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[^>]+>', '', 'g')"
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{sign}')"
+    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[\\s]*', chr(10), 'g')"
+    return f"SELECT page_id, md5(regexp_replace({text}, '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM pages"
+
+
+@query(_html_sql())
+def html_texts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_text(F.col("html"))).alias("text_md5"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || chr(10) || chr(10) || '[truncated, original was ' || length(text) || ' chars]' ELSE text END AS text FROM conversations")
+def truncated_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.truncate(F.col("text"), 100).alias("text"))
+
+
+@query("SELECT event_id, CASE event_id % 2 WHEN 0 THEN event_type ELSE 'message' END AS event, props AS data FROM events")
+def event_frames(spark, sf_dir):
+    """Each event as a frame of a stream, every second without a name, taken apart again."""
+    head = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("event: "), "event_type", F.lit("\n"))).otherwise("")
+    stream = F.concat(head, F.lit("data: "), "props", F.lit("\n\n: ping\n\n"))
+    return table(spark, sf_dir, "events").select("event_id", F.inline(tx.sse_frames(stream)))
+
+
+@query("SELECT p_partkey, ' ' AS p_name FROM part WHERE p_partkey % 500 = 3")
+def filter_is_null(spark, sf_dir):
+    blank = table(spark, sf_dir, "part").withColumn("p_name", F.when(F.col("p_partkey") % 500 == 3, F.lit(" ")).otherwise(F.col("p_name")))
+    found = rows.where(blank, [{"column": "p_name", "op": "is_null"}])
+    return found.select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey < 30")
+def query_rows(spark, sf_dir):
+    """A page of rows with chosen columns."""
+    return rows.query(table(spark, sf_dir, "part"), [{"column": "p_partkey", "op": "<", "value": 30}], ["p_partkey", "p_name"], 50)[0]
+
+
+def _store(spark: SparkSession) -> Store:
+    """A store of its own in the folder that the cluster names, or in a temporary one of a local run."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='lithic-')}"
+    return Store(spark, f"{folder}/store-{uuid.uuid4().hex}")
+
+
+_reports: dict[tuple[str, str], Store] = {}
+
+
+def _reported(spark, sf_dir) -> Store:
+    """Regions without two of them and nations: profiled, the relationship confirmed, an issue flagged, profiled anew; once a session."""
+    known = _reports.get((spark.sparkContext.applicationId, sf_dir))
+    if known:
+        return known
+    store = _reports[spark.sparkContext.applicationId, sf_dir] = _store(spark)
+    sheets = {"region": table(spark, sf_dir, "region").where("r_regionkey < 3"), "nation": table(spark, sf_dir, "nation").drop("n_nationkey")}
+    report.profile_dataset(store, "d", sheets)
+    report.decide(store, "d", ("region", "r_regionkey", "nation", "n_regionkey"), "confirmed")
+    report.set_bounds(store, "d", "nation", "n_regionkey", 0, 3, sheets)
+    report.flag_issue(store, "d", "nation", "accuracy", "critical", "odd names", samples=["NATION_0"])
+    return store
+
+
+_REPORTED = "SELECT 'nation' AS sheet, 'n_regionkey' AS \"column\", 'validity' AS dimension, 'high' AS severity, '[FK violation] nation.n_regionkey has ' || count(DISTINCT n_regionkey) || ' value(s) not present in region.r_regionkey.' AS description FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)"
+
+
+@query(_REPORTED + " UNION ALL SELECT 'nation', 'n_regionkey', 'validity', 'high', 'Column ''n_regionkey'' has ' || count(*) || ' value(s) outside the configured bounds [0.0, 3.0].' FROM nation WHERE n_regionkey > 3 UNION ALL SELECT 'nation', NULL, 'accuracy', 'critical', 'odd names'")
+def report_issues(spark, sf_dir):
+    """A stored report's issues: bounds, a confirmed relationship's orphans, and what a person flagged."""
+    return _reported(spark, sf_dir).load("d", "profile", "issues").where("engine_version <> 'x'").select("sheet", "column", "dimension", "severity", "description")
+
+
+@query(_REPORTED)
+def report_fk_issues(spark, sf_dir):
+    return cross.fk_labelled(_reported(spark, sf_dir).load("d", "profile", "issues")).select("sheet", "column", "dimension", "severity", "description")
+
+
+@query("SELECT 'region' AS parent_table, 'r_regionkey' AS parent_column, 'nation' AS child_table, 'n_regionkey' AS child_column, 'confirmed' AS status, round((SELECT count(DISTINCT n_regionkey) FROM nation WHERE n_regionkey < 3) / count(DISTINCT n_regionkey), 6) AS coverage FROM nation")
+def report_relationships(spark, sf_dir):
+    found = report.list_relationships(_reported(spark, sf_dir).load("d", "profile", "relationships"), "confirmed")
+    return rounded(found.select("parent_table", "parent_column", "child_table", "child_column", "status", "coverage"))
+
+
+_LINKED = "(SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM nation GROUP BY n_regionkey))"
+
+
+@query(f"SELECT 2 AS run, 'ok' AS status, CAST({_LINKED} AS BIGINT) AS candidate_pairs, CAST({_LINKED} AS BIGINT) AS passing_pairs, count(DISTINCT n_regionkey) AS clusters FROM nation UNION ALL SELECT 1, 'failed', CAST({_LINKED} AS BIGINT), 0, 0")
+def linkage_runs(spark, sf_dir):
+    """Two runs over nations of one region, the first above its cap, newest first."""
+    store = _store(spark)
+    data = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("_row_index"), F.col("n_regionkey").cast("string").alias("region"))
+    config = linkage.Config([linkage.Mapping("region", "region", "exact", 1.0, True)])
+    report.save_config(store, "d", data, data, config)
+    report.link(store, "d", data, None, report.load_config(store, "d"), cap=10)
+    report.link(store, "d", data, None, config)
+    return report.runs(store, "d").select("run", "status", "candidate_pairs", "passing_pairs", "clusters")
+
+
+@query("SELECT json_extract_string(x, '$.tool') AS tool, json_extract_string(x, '$.answer') AS answer FROM (SELECT unnest(['{\"tool\":\"count\",\"answer\":\"' || (SELECT count(*) FROM nation) || '\"}', '{\"tool\":\"nope\",\"answer\":\"unknown tool ''nope''\"}', '{\"tool\":\"sheet\",\"answer\":\"unknown sheet ''x''\"}']) AS x)")
+def chat_tools(spark, sf_dir):
+    """Answers of a chat's tools, faults among them, as texts."""
+    at = tools.Context(_store(spark), "d", {"nation": table(spark, sf_dir, "nation")})
+    count = json.loads(tools.dispatch(at, "query_dataset", {"sheet": "nation", "limit": 1}))["row_count_total"]
+    faults = [json.loads(tools.dispatch(at, *call))["error"] for call in (("nope", {}), ("query_dataset", {"sheet": "x"}))]
+    return spark.createDataFrame([("count", str(count)), ("nope", faults[0]), ("sheet", faults[1])], "tool string, answer string")

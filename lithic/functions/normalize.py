@@ -66,20 +66,22 @@ def expand_address_abbrev(text: Column) -> Column:
     once. A dot behind an expanded word goes if a blank or the end follows it.
     """
     pieces = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), 0)
+    none = F.array(F.lit(None).cast("string"))
+    shifted = lambda k: F.concat(F.slice(pieces, k + 1, F.size(pieces)), *[none] * k)
+    around = F.arrays_zip(F.concat(none, pieces).alias("before"), pieces.alias("own"), shifted(1).alias("next"), shifted(2).alias("after"))
     table = F.create_map(*[F.lit(x) for pair in ADDRESS.items() for x in pair])
 
-    def full(i: Column) -> Column:
-        word, after = F.get(pieces, i), F.concat_ws("", F.get(pieces, i + 1), F.get(pieces, i + 2))
-        saint = (F.lower(word) == "st") & F.coalesce(after.rlike(r"^(\.(?=\s))?\s*\p{Lu}"), F.lit(False))
+    def full(word: Column, after: Column) -> Column:
+        saint = (F.lower(word) == "st") & after.rlike(r"^(\.(?=\s))?\s*\p{Lu}")
         known = F.when((F.length(word) > 1) | (word == F.upper(word)), F.try_element_at(table, F.lower(word)))
         return F.when(saint, "Saint").otherwise(known)
 
-    def piece(i: Column) -> Column:
-        own, before = F.get(pieces, i), F.when(i > 0, full(i - 1))
-        bare = F.when(before.isNotNull() & own.rlike(r"^\.(\s|$)") & (own.rlike(r"^\.\s") | (i == F.size(pieces) - 1)), F.substring(own, F.lit(2), F.length(own)))
-        return F.coalesce(full(i), bare, own)
+    def piece(at: Column) -> Column:
+        before, own = at["before"], at["own"]
+        alone = full(before, F.concat_ws("", own, at["next"])).isNotNull() & own.rlike(r"^\.(\s|$)") & (own.rlike(r"^\.\s") | at["next"].isNull())
+        return F.coalesce(full(own, F.concat_ws("", at["next"], at["after"])), F.when(alone, F.substring(own, F.lit(2), F.length(own))), own, F.lit(""))
 
-    return F.when(F.size(pieces) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), piece), "")).otherwise(text)
+    return F.when(F.size(pieces) > 0, F.array_join(F.transform(around, piece), "")).otherwise(text)
 
 
 def case_fold(text: Column) -> Column:

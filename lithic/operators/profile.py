@@ -67,7 +67,8 @@ def quantiles(freq: DataFrame, value: Column, shares: tuple[float, ...], buffere
     rows = freq.select(*by, value.cast("double").alias("x"), "n").where("x IS NOT NULL")
     if buffered:
         return rows.groupBy(*by).agg(F.percentile("x", F.array(*map(F.lit, shares)), F.col("n")).alias("q"))
-    cuts = rows.groupBy(*by).agg(F.approx_percentile("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"), F.sum("n").alias("total"))
+    found = rows.groupBy(*by).agg(F.approx_percentile("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"), F.sum("n").alias("total")).collect()  # a row per column, kept since another run may cut elsewhere
+    cuts = freq.sparkSession.createDataFrame([tuple(r) for r in found], "ordinal int, column string, cuts array<double>, total long")
     ranged = rows.join(F.broadcast(cuts), by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")  # a row per column
     counts = ranged.groupBy(*by, "total", "range").agg(F.sum("n").alias("held"))
     before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -164,7 +165,7 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         "pattern_label", "pattern_pct",
     )
     heads = df.sparkSession.createDataFrame(list(enumerate(names)), "ordinal int, column string")
-    rows = F.broadcast(heads).join(rows, by, "left").na.fill({"row_count": 0, "null_count": 0, "null_pct": 0.0, "distinct_count": 0, "distinct_pct": 0.0, "type_mismatch_count": 0, "outliers_iqr": 0, "outliers_mad": 0, "semantic_type": "empty"})
+    rows = heads.join(rows, by, "left").na.fill({"row_count": 0, "null_count": 0, "null_pct": 0.0, "distinct_count": 0, "distinct_pct": 0.0, "type_mismatch_count": 0, "outliers_iqr": 0, "outliers_mad": 0, "semantic_type": "empty"})
     return rows.withColumn("rag", column_rating())
 
 
