@@ -74,6 +74,16 @@ def profile_counts(spark, sf_dir):
     return rounded(got.select("column", "row_count", "null_count", "null_pct", "distinct_count", "distinct_pct"))
 
 
+_WHOLE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query(_profile_sql("lineitem", [(c, "text" if c in ("l_returnflag", "l_linestatus", "l_shipdate") else "float") for c in _WHOLE], "count(*) AS row_count, count(DISTINCT d) AS distinct_count, round(min(x), 4) AS min, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(max(x), 4) AS max"))
+def profile_lineitem(spark, sf_dir):
+    """All columns of the widest table."""
+    got = profile.column_profiles(table(spark, sf_dir, "lineitem"))
+    return rounded(got.select("column", "row_count", "distinct_count", "min", "mean", "median", "max"), 4)
+
+
 _L = [("l_quantity", "float"), ("l_extendedprice", "float"), ("l_discount", "float"), ("l_linenumber", "int"), ("l_partkey", "int")]
 
 

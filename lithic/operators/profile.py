@@ -121,10 +121,12 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         F.max("num").alias("max"),
         (F.sum(F.col("num") * n) / F.sum(F.when(F.col("num").isNotNull(), n))).alias("mean"),
         F.sum(F.when(F.col("num").isNotNull(), n)).alias("numbers"),
+        (F.percentile("num", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n) if buffered else F.lit(None).cast("array<double>")).alias("q"),
         F.min(F.when(full & F.col("as_date"), F.col("value"))).alias("date_min"),
         F.max(F.when(full & F.col("as_date"), F.col("value"))).alias("date_max"),
     )
-    base = base.join(F.broadcast(quantiles(freq, F.col("num"), (0.25, 0.5, 0.75), buffered)), by, "left")  # a row per column
+    if not buffered:
+        base = base.drop("q").join(F.broadcast(quantiles(freq, F.col("num"), (0.25, 0.5, 0.75), False)), by, "left")  # a row per column
     base = base.select("*", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75")).drop("q")
     spread = freq.where("num IS NOT NULL").join(F.broadcast(base.select(*by, "mean", "p25", "median", "p75")), by)  # a row per column
     gap, iqr = F.abs(F.col("num") - F.col("median")), F.col("p75") - F.col("p25")
@@ -133,12 +135,17 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         F.sum(n * (F.col("num") - F.col("mean")) ** 2).alias("squares"),
         _weighted(fence, n).alias("iqr"),
         (F.sum(gap * n) / F.sum(n)).alias("mean_gap"),
+        (F.percentile(gap, F.lit(0.5), n) if buffered else F.lit(None).cast("double")).alias("mad"),
     )
-    around = around.join(F.broadcast(quantiles(spread, gap, (0.5,), buffered).withColumn("mad", F.col("q")[0]).drop("q")), by, "left")
+    if not buffered:
+        around = around.drop("mad").join(F.broadcast(quantiles(spread, gap, (0.5,), False).select(*by, F.col("q")[0].alias("mad"))), by, "left")
     far = spread.join(F.broadcast(around.select(*by, "mad", "mean_gap")), by)
     odd = F.when(F.col("mad") != 0, 0.6745 * gap / F.col("mad") > 3.5).when(F.col("mean_gap") != 0, gap / (1.253314 * F.col("mean_gap")) > 3.5).otherwise(False)
     modified = far.groupBy(*by).agg(_weighted(odd, n).alias("modified"))
-    rows = base.join(around, by, "left").join(modified, by, "left")
+    if distinct:
+        rows = base.join(around, by, "left").join(modified, by, "left")
+    else:
+        rows = base.select("*", *[F.lit(None).cast("double").alias(c) for c in ("squares", "mad", "mean_gap")], *[F.lit(None).cast("long").alias(c) for c in ("iqr", "modified")])
     filled = F.col("row_count") - F.col("null_count")
     kind, mismatch = F.lit("string"), F.lit(0).cast("long")
     for t in reversed(types):
