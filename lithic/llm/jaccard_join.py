@@ -551,3 +551,18 @@ def _grouped(rows: DataFrame, tasks: int, classes) -> DataFrame:
     packed = rows.mapInArrow(Task(_Prefixes(classes, 4 * tasks)), _Prefixes.SCHEMA)
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(Task(_group), "a long, b long")
+
+
+def oracle(percent: int = PERCENT, width: int = WIDTH) -> str:
+    """DuckDB SQL that counts the common shingles of every pair which has one, and walks the links."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i : i + {width - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+u AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS x FROM s WHERE doc_id IS NOT NULL),
+c AS (SELECT any_value(a.doc_id) AS i, any_value(b.doc_id) AS j FROM u a JOIN u b ON a.x = b.x AND a.r < b.r
+  GROUP BY a.r, b.r HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT i, j FROM c UNION SELECT j, i FROM c),
+reach(i, j) AS (SELECT i, i FROM e UNION SELECT reach.i, e.j FROM reach JOIN e ON reach.j = e.i),
+k AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id FROM s LEFT JOIN k ON s.doc_id = k.i
+"""

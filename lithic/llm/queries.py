@@ -70,5 +70,6 @@ QUERIES = {
 ORACLES = {
     "op4_url_filters": url_filter.oracle(),
     "op5_exact_topk": topk.oracle(),
+    "op6_ngram_jaccard_join": jaccard_join.oracle(),
     "op9_mixing": mixing.oracle(),
 }

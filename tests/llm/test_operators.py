@@ -49,6 +49,28 @@ def test_fingerprints(docs):
     assert fingerprints.containment(a, fingerprints.merge(a, b)) == 1
 
 
+def test_fingerprints_by_hand(docs):
+    """Sketches and likenesses from the hashes of single shingles."""
+    limit = int(fingerprints.FRACTION * 2**64)
+
+    def sketch(text):
+        own = sorted({int(wordhash.text_shingles(wordhash.pa.array([" ".join(s)]))[0][0]) for s in shingles(text)})
+        return [h for h in own if h < limit] or own[:1]
+
+    def near(a, b):
+        return float(not a and not b) if not a or not b else len(set(a) & set(b)) / min(len(a), len(b))
+
+    texts = [t or "" for t in TEXTS]
+    got = {r.doc_id: r for r in fingerprints.compare_edits(docs).collect()}
+    for i, text in enumerate(texts):
+        after = texts[i - 1]
+        own, edited = sketch(text), sketch(text[: len(text) - len(text) // 3] + after[: len(text) // 3])
+        assert fingerprints.from_text(got[i].fingerprint).tolist() == own and fingerprints.from_text(got[i].edited_fingerprint).tolist() == edited
+        assert got[i].near_edited == near(own, edited) and got[i].near_next == near(own, sketch(after))
+    one, two = (np.array(sketch(t), np.uint64) for t in (BASE, "a b c d e"))
+    assert fingerprints.merge(one, two).tolist() == sketch(BASE + " a b c d e")[:0] + sorted({*[h for h in one.tolist() if h < limit], *[h for h in two.tolist() if h < limit]})
+
+
 def test_fingerprints_edges(spark, docs):
     assert fingerprints.compare_edits(docs.limit(0)).count() == 0
     alone = fingerprints.compare_edits(docs.where("doc_id = 0")).collect()
@@ -424,6 +446,12 @@ def test_sharding(docs):
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard(docs.limit(0)).count() == 0
+    odd = sharding.shard(docs.sparkSession.createDataFrame([(None, "a"), (None, "a"), (1, "x"), (1, "x"), (1, None)], "doc_id long, text string").withColumn("slot", F.lit("clash"))).collect()
+    for key in (None, 1):
+        own = [r for r in odd if r.doc_id == key]
+        assert len({r.shard for r in own}) == 1
+    for s in {r.shard for r in odd}:
+        assert sorted(r.slot for r in odd if r.shard == s) == list(range(sum(r.shard == s for r in odd)))
 
 
 def test_mixing(spark, docs):
@@ -456,6 +484,60 @@ def test_line_dedup(spark):
     assert line_templates.report(rows.limit(0)).count() == 0
 
 
+def dedup_by_hand(texts):
+    """Which lines of each document go, from the rules, comparing every line with every other."""
+    mask = lambda w: "0" if re.search("[0-9]", w) else w
+    lines = [(d, k, tuple(map(mask, WORD.findall(x)))) for d, t in enumerate(texts) if t is not None for k, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[2]]
+    long, short = [x for x in lines if len(x[2]) >= 8], [x for x in lines if len(x[2]) < 8]
+    root = {x[2]: x[2] for x in long}
+    for a in list(root):
+        for b in list(root):
+            if len(a) == len(b) and a[:2] == b[:2] and sum(p != q for p, q in zip(a[2:], b[2:], strict=True)) <= -(-(len(a) - 2) // 3):
+                low, high = sorted((root[a], root[b]))
+                root = {w: low if r == high else r for w, r in root.items()}
+    keys = [(x[0], x[1], x[1], ("long", root[x[2]]), 2) for x in long]
+    for d, k, w in short:
+        keys += [(d, k, k, ("short", w), 8)] + [(d, k, k, ("masked", i, w[:i] + ("*",) + w[i + 1 :]), 8) for i in range(2, len(w)) if len(w) >= 5]
+    for d in {x[0] for x in lines}:
+        own = [x for x in lines if x[0] == d]
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                part = [len(x[2]) for x in own[a : b + 1]]
+                if max(part) < 8 <= sum(part) and (sum(part[1:]) < 8 or sum(part[:-1]) < 8):
+                    keys.append((d, own[a][1], own[b][1], ("unit", tuple(x[2] for x in own[a : b + 1])), 2))
+    gone = {d: set() for d in range(len(texts))}
+    worded = {(d, k) for d, k, _ in lines}
+    for key in {k[3] for k in keys}:
+        held = sorted({k[0] for k in keys if k[3] == key})
+        for d, a, b, _, need in (k for k in keys if k[3] == key):
+            if len(held) >= need and d != held[0]:
+                gone[d] |= {i for i in range(a, b + 1) if (d, i) in worded}
+    return {d: sorted(x) for d, x in gone.items()}
+
+
+def test_line_dedup_by_hand(spark):
+    draw = random.Random(9)
+    known = [" ".join(draw.choice("abcdefgh") * draw.randrange(1, 3) for _ in range(draw.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12]))) for _ in range(40)]
+
+    def line():
+        words = draw.choice(known).split(" ")
+        for _ in range(draw.choice([0, 0, 1, 2, 3])):
+            words[draw.randrange(len(words))] = draw.choice(["x1", "y", "77", "zz"])
+        return draw.choice(["", " ", "  "]) + " ".join(words) + draw.choice(["", "\t", "\r"])
+
+    texts = ["\n".join(draw.choice(["", " ", line(), line(), line(), line()]) for _ in range(draw.randrange(1, 14))) for _ in range(60)] + [None, "", "\n\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in line_templates.report(rows).collect()}
+    want = dedup_by_hand(texts)
+    assert {d: r.dropped for d, r in got.items()} == want and sum(map(len, want.values())) > 40
+    for d, r in got.items():
+        assert r.text == (None if texts[d] is None else "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in want[d]))
+    odd = spark.createDataFrame([(None, known[9] * 3), (None, known[9] * 3), (1, "\n".join(known)), (1, "\n".join(known)), (2, "\n".join(known))], "doc_id long, text string")
+    kept = [(r.doc_id, r.n_dropped) for r in line_templates.report(odd).collect()]
+    assert sorted(kept, key=str)[-2:] == [(None, 0), (None, 0)] and all(n == 0 for d, n in kept if d == 1) and all(n > 0 for d, n in kept if d == 2)
+
+
 def test_line_dedup_places(spark):
     line = "the user {} logged in from the {} office at noon and left {} again"
     texts = [line.format(a, b, c) for a, b, c in (("ann", "main", "late"), ("bob", "north", "late"), ("bob", "north", "soon"), ("eve", "east", "never"))]
@@ -511,13 +593,49 @@ def test_line_groups():
 
 
 def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    step = corpus_pipeline.drop_lines(spark, docs, SF)
-    assert step.columns == list(corpus_pipeline.COLUMNS) and step.count() == docs.count()
-    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
-    want = {r for _, r in components([r.text for r in docs.orderBy("doc_id").collect()]).values()}
-    assert kept.count() == len(want)
+    assert names == ["toxicity", "line dedup", "n-gram jaccard join", "source mixing", "sentencepiece"]
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """run() against every stage by hand, each on what the stage before it leaves."""
+    import duckdb
+    import sentencepiece
+
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choices("abcdeinorst", k=draw.randrange(2, 9))) for _ in range(300)]
+    sentence = lambda n: " ".join(draw.choices(vocabulary, k=n))
+    shared = [sentence(14) for _ in range(4)]
+    rows, labels = [], []
+    for i in range(240):
+        text = "\n".join([sentence(draw.randrange(9, 30)) for _ in range(draw.randrange(1, 4))] + draw.sample(shared, draw.choice([0, 0, 1])))
+        toxic = int(i % 4 == 0)
+        rows.append((i, text + (" you idiot" if toxic else ""), "en", [None, "a", "b", "c"][i % 7 % 4], len(text), "extra"))
+        labels.append((i, 1, toxic))
+    rows += [(240 + k, rows[4 * k + 1][1] + (" more" if k % 2 else ""), "en", "b", 1, "extra") for k in range(20)] + [(260, None, "en", "a", 0, "extra"), (261, "", "en", None, 0, "extra")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _score string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept = {i: (t, s) for i, t, _, s, _, _ in rows if model.probability(toxicity.document_margins(toxicity.pa.array([t], toxicity.pa.string()), model))[0] < toxicity.THRESHOLD}
+    assert {i for i, _, y in labels if y} == {i for i, *_ in rows if i not in kept}
+    ids = sorted(kept)
+    gone = dedup_by_hand([kept[i][0] for i in ids])
+    texts = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[n]) for n, i in enumerate(ids) for t in [kept[i][0]]}
+    assert any(gone.values())
+    copies = components([texts[i] for i in ids])
+    left = [i for n, i in enumerate(ids) if copies[n][1] == n]
+    assert len(left) < len(ids)
+    spark.createDataFrame([(i, texts[i], kept[i][1]) for i in left], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/left.parquet")
+    mixed = duckdb.sql(mixing.oracle().replace("FROM documents", f"FROM '{tmp_path}/left.parquet/*.parquet'")).fetchall()
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    want = []
+    for row in mixed:
+        pieces = sp.encode(texts[row[0]] or "", add_eos=True)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, pieces)), sp.decode(pieces))]
+        want += [(row[0], len(pieces), *digests)] * row[4]
+    assert got == sorted(want) and len(got) > 50
