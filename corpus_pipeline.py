@@ -13,13 +13,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below the threshold."""
+    """Documents with a toxicity score below the threshold.
+
+    Null and empty texts score low and stay; equal rows go or stay together; no rows give none.
+    """
     scored = toxicity.score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), keep=True)
     return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their recurring lines; n_chars follows the text."""
+    """Documents without their recurring lines; n_chars follows the text, where lines went.
+
+    Null texts and rows without an id stay as they are; no document goes, though its text may become empty.
+    """
     done = line_templates.drop_recurring(docs.select(*COLUMNS))
     changed = F.when(F.size("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", changed).select(*COLUMNS)
@@ -30,6 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that share an id or have none are documents of their own here, so one row of each
     component stays. The first row of an id counts as that id, other rows come after all ids.
+    Null texts and texts without words are near nothing and stay; no rows give none.
     """
     docs = docs.select(*COLUMNS)
     repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
@@ -47,13 +54,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, its columns repeated.
+
+    A null source is a source; texts without words weigh nothing and are still dealt; no rows give none.
+    """
     mixed = mixing.mix(docs, carry=("text", "lang", "source", "n_chars"))
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and the decoded text."""
+    """doc_id, n_tokens and digests of the ids and the decoded text; a null text counts as empty; no rows give none."""
     return piece_codec.encode(docs, piece_model(), full=False)
 
 
@@ -65,7 +75,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: The trained stage and the tokenizer have no SQL form; the tests hold run() against brute force.
+#: The trained stage and the tokenizer have no SQL form; a test holds run() against each stage by hand on a small table.
 ORACLE_SQL = None
 
 
