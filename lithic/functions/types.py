@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 INTEGER = r"^\s*[+-]?\d+(_\d+)*\s*$"
 FLOAT = r"^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?\s*$"
 NOT_FINITE = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
+# The forms in which texts are dates, in order.
 DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s")
-#: Shares of non-null cells that make a type, and a pattern.
+# Shares of non-null cells that make a type, and a pattern.
 TYPE_SHARE, PATTERN_SHARE = 0.99, 0.95
 
 # The named patterns in order of precedence.
