@@ -48,7 +48,7 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     This cuts the lineage: executors that are lost later cost no recomputation of
-    what came before. The folder goes when the driver ends.
+    what came before. The folder goes with ``release`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lithic-{name}-{uuid.uuid4().hex}"
@@ -56,17 +56,25 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _staged:
+        atexit.register(release, spark)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may be gone at exit
-        pass
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all staged tables; for sessions that live on after their results are written. Results that are not yet written are lost."""
+    while _staged:
+        path = _staged.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM may be gone at exit
+            pass
 
 
 def word_count(text):
