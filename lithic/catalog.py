@@ -786,10 +786,10 @@ def parse_phones(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", parse_phone(number)["ok"].alias("ok"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' North Main Street Suite 5' WHEN 1 THEN 'Moskva Strasse ' || c_custkey ELSE 'Saint Mary Avenue ' || c_custkey END AS address FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' North Main Avenue Suite 5' WHEN 1 THEN 'Moskva Strasse ' || c_custkey ELSE 'Saint Mary Avenue ' || c_custkey END AS address FROM customer")
 def normalize_addresses(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
-    kinds = (F.concat(key, F.lit(" N. Main St. Ste 5")), F.concat(F.lit("Москва Straße "), key, F.lit("​")), F.concat(F.lit("St. Mary Ave "), key))
+    kinds = (F.concat(key, F.lit(" N. Main Ave. Ste 5")), F.concat(F.lit("Москва Straße "), key, F.lit("​")), F.concat(F.lit("St. Mary Ave "), key))
     text = F.coalesce(*[F.when(F.col("c_custkey") % 3 == i, k) for i, k in enumerate(kinds)])
     return table(spark, sf_dir, "customer").select("c_custkey", normalize(text, {"expand_address_abbrev": True, "nfkd_fold": True, "strip_special_chars": True}).alias("address"))
 
