@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithic.llm import fingerprints, jaccard_join, line_templates, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter
+from lithic.llm import fingerprints, hard_negatives, jaccard_join, line_templates, merkle, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter
 from lithic.llm.common import table
 
 
@@ -54,6 +54,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", hard_negatives.relabelled()))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.tampered())
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +73,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -72,4 +82,6 @@ ORACLES = {
     "op5_exact_topk": topk.oracle(),
     "op6_ngram_jaccard_join": jaccard_join.oracle(),
     "op9_mixing": mixing.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
+    "op13_merkle_manifest": merkle.oracle(),
 }
