@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithic.llm import fingerprints, hard_negatives, jaccard_join, line_templates, merkle, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter
+from lithic.llm import fingerprints, hard_negatives, jaccard_join, line_templates, merkle, mixing, piece_codec, sharding, suffix_dedup, tool_chat, topk, toxicity, url_filter
 from lithic.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", hard_negatives.relabelled()))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.tampered())
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
