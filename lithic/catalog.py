@@ -14,7 +14,7 @@ from lithic.functions import similarity as sim
 from lithic.functions import text as tx
 from lithic.functions import types as ct
 from lithic.functions.normalize import normalize, parse_date, parse_email, parse_phone
-from lithic.operators import cross, dashboard, hierarchy, linkage, profile, rows
+from lithic.operators import cross, dashboard, hierarchy, linkage, profile, ranks, rows
 from lithic.plans import annotate, listings, recommend, report, tools
 from lithic.sources.store import Store
 from lithic.streaming import profile as streamed
@@ -737,15 +737,31 @@ def text_patterns(spark, sf_dir):
     return rounded(profile.column_profiles(df).select("column", "pattern_label", "pattern_pct"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(quantile_cont({c}, 0.05), 6) AS p05, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.995), 6) AS p995 FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_partkey")))
+_TIED = "(SELECT l_quantity, round(l_extendedprice, -2) AS l_extendedprice, l_partkey FROM lineitem UNION ALL SELECT -l_quantity, round(l_extendedprice, -2), l_partkey FROM lineitem)"
+
+
+def _tied(spark, sf_dir):
+    """Numbers of lineitem in ranges: quantities on both sides of 0, prices and keys that occur many times."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", F.round("l_extendedprice", -2).alias("l_extendedprice"), "l_partkey")
+    freq = profile.frequencies(lines.unionByName(lines.withColumn("l_quantity", -F.col("l_quantity"))), ["l_quantity", "l_extendedprice", "l_partkey"])
+    return ranks.ranged(ranks.distinct(freq, ["ordinal", "column"], F.col("value").cast("double")), ["ordinal", "column"])
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(quantile_cont({c}, 0.05), 6) AS p05, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.995), 6) AS p995 FROM {_TIED}" for c in ("l_quantity", "l_extendedprice", "l_partkey")))
 def ranged_quantiles(spark, sf_dir):
     """Quantiles by counted ranges, as columns with very many values take them."""
-    df = table(spark, sf_dir, "lineitem")
-    freq = profile.frequencies(df, ["l_quantity", "l_extendedprice", "l_partkey"])
-    got = profile.quantiles(freq, F.col("value").cast("double"), (0.05, 0.5, 0.995), buffered=False)
+    got = ranks.quantiles(_tied(spark, sf_dir), ["ordinal", "column"], (0.05, 0.5, 0.995))
     return rounded(got.select("column", F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p995")))
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(mad({c}), 6) AS mad FROM {_TIED}" for c in ("l_quantity", "l_extendedprice", "l_partkey")))
+def ranged_mad(spark, sf_dir):
+    """The median distance from the median, from the same ranges on both sides of it."""
+    numbers, by = _tied(spark, sf_dir), ["ordinal", "column"]
+    centres = ranks.quantiles(numbers, by, (0.5,)).select(*by, F.col("q")[0].alias("centre"))
+    return rounded(ranks.median_gap(numbers, by, centres).select("column", "mad"))
+
+
 @query("SELECT event_id, CASE WHEN value / 10 IS NULL THEN 0 ELSE greatest(0, least(1, value / 10 - 0.1)) END AS share, CASE WHEN value / 10 >= 0.95 THEN 'strong' WHEN value / 10 >= 0.8 THEN 'good' ELSE 'weak' END AS band FROM events")
 def score_bands(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sim.clamped(F.col("value") / 10 - 0.1).alias("share"), sim.band(F.col("value") / 10).alias("band"))

@@ -3,9 +3,8 @@
 The rows of each column are first reduced to its distinct values with their counts. All
 statistics then run over distinct values, weighted by count: predicates and patterns are
 evaluated once per value, and only two small joins bring quantiles back for outliers. The
-quantiles are exact. Up to BUFFERED distinct values of a column they come from one buffer;
-beyond, the values are counted in ranges, and only the ranges that hold the wanted ranks
-are put in order.
+quantiles are exact. Up to BUFFERED distinct values of a column they come from one buffer,
+beyond that from counted ranges, with equal results.
 """
 
 from __future__ import annotations
@@ -17,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lithic.functions import types as ct
+from lithic.operators import ranks
 
 VERSION = "stats/1"
 SAMPLES = 10
-#: Distinct numbers of a column that one aggregation buffer may hold, and ranges that more are counted in.
-BUFFERED, RANGES = 1_000_000, 256
+#: Distinct numbers of a column that one aggregation buffer may hold.
+BUFFERED = 1_000_000
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None, turn: str | None = None) -> DataFrame:
@@ -57,40 +57,6 @@ def _weighted(on: Column, n: Column) -> Column:
     return F.coalesce(F.sum(F.when(on, n)), F.lit(0)).cast("long")
 
 
-def quantiles(freq: DataFrame, value: Column, shares: tuple[float, ...], buffered: bool) -> DataFrame:
-    """(ordinal, column, q): the interpolated quantiles of each column's numbers ``value``, weighted by n.
-
-    Rank (N - 1) * share lies between two ranks; each is a value whose count of smaller and
-    equal ones reaches it. With ``buffered`` a column's numbers are collected in one buffer.
-    """
-    by = ["ordinal", "column"]
-    rows = freq.select(*by, value.cast("double").alias("x"), "n").where("x IS NOT NULL")
-    if buffered:
-        return rows.groupBy(*by).agg(F.percentile("x", F.array(*map(F.lit, shares)), F.col("n")).alias("q"))
-    found = rows.groupBy(*by).agg(F.approx_percentile("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"), F.sum("n").alias("total")).collect()  # a row per column, kept since another run may cut elsewhere
-    cuts = freq.sparkSession.createDataFrame([tuple(r) for r in found], "ordinal int, column string, cuts array<double>, total long")
-    ranged = rows.join(F.broadcast(cuts), by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")  # a row per column
-    counts = ranged.groupBy(*by, "total", "range").agg(F.sum("n").alias("held"))
-    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), side.alias("rank"), share.alias("share")) for i, s in enumerate(shares) for side, share in _sides(s)]))
-    wanted = counts.select(*by, "range", "before", "held", place.alias("w")).select(*by, "range", "before", "held", "w.*")
-    wanted = wanted.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("held"))).select(*by, "range", "before", "i", "rank", "share")
-    few = ranged.join(F.broadcast(wanted.select(*by, "range", "before").distinct()), [*by, "range"])  # two ranges a share at most
-    upto = Window.partitionBy(*by, "range").orderBy("x")
-    placed = few.withColumn("end", F.col("before") + F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
-    hit = placed.drop("before").join(F.broadcast(wanted.drop("before")), [*by, "range"]).where("rank >= start AND rank < end")
-    one = hit.groupBy(*by, "i").agg(F.sum(F.col("x") * F.col("share")).alias("x"))
-    return one.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("q"))
-
-
-def _sides(share: float) -> list[tuple[Column, Column]]:
-    """The two ranks around a share of ``total``, and how much each counts."""
-    at = (F.col("total") - 1) * share
-    low = F.floor(at).cast("long")
-    return [(low, 1 - (at - low)), (F.least(low + 1, F.col("total") - 1), at - low)]
-
-
 def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]] | None = None, columns: list[str] | None = None) -> DataFrame:
     """One row per column with counts, inferred type, numbers, outliers, pattern, bounds and rating.
 
@@ -126,7 +92,8 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         F.max(F.when(full & F.col("as_date"), F.col("value"))).alias("date_max"),
     )
     if not buffered:
-        base = base.drop("q").join(F.broadcast(quantiles(freq, F.col("num"), (0.25, 0.5, 0.75), False)), by, "left")  # a row per column
+        numbers = ranks.ranged(ranks.distinct(freq, by, F.col("num")), by)
+        base = base.drop("q").join(F.broadcast(ranks.quantiles(numbers, by, (0.25, 0.5, 0.75))), by, "left")  # a row per column
     base = base.select("*", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75")).drop("q")
     spread = freq.where("num IS NOT NULL").join(F.broadcast(base.select(*by, "mean", "p25", "median", "p75")), by)  # a row per column
     gap, iqr = F.abs(F.col("num") - F.col("median")), F.col("p75") - F.col("p25")
@@ -138,7 +105,8 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         (F.percentile(gap, F.lit(0.5), n) if buffered else F.lit(None).cast("double")).alias("mad"),
     )
     if not buffered:
-        around = around.drop("mad").join(F.broadcast(quantiles(spread, gap, (0.5,), False).select(*by, F.col("q")[0].alias("mad"))), by, "left")
+        centres = base.where("median IS NOT NULL").select(*by, F.col("median").alias("centre"))
+        around = around.drop("mad").join(F.broadcast(ranks.median_gap(numbers, by, centres)), by, "left")
     far = spread.join(F.broadcast(around.select(*by, "mad", "mean_gap")), by)
     odd = F.when(F.col("mad") != 0, 0.6745 * gap / F.col("mad") > 3.5).when(F.col("mean_gap") != 0, gap / (1.253314 * F.col("mean_gap")) > 3.5).otherwise(False)
     modified = far.groupBy(*by).agg(_weighted(odd, n).alias("modified"))

@@ -77,16 +77,6 @@ def test_graph(spark):
     assert graph.numbered(numbers.limit(0), "n", F.col("x")).count() == 0
 
 
-def test_quantiles_in_ranges(spark):
-    """The ranged form and the buffered one agree, ties, weights and few values among them."""
-    draw = random.Random(2)
-    rows = [(0, "a", round(draw.gauss(0, 1), 3), draw.randrange(1, 5)) for _ in range(3000)] + [(1, "b", 4.0, 3)] + [(2, "c", float(x), 1) for x in range(2)]
-    freq = spark.createDataFrame(rows, "ordinal int, column string, value double, n long").groupBy("ordinal", "column", "value").agg(F.sum("n").alias("n"))
-    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
-    one, two = ({r.column: [round(x, 9) for x in r.q] for r in profile.quantiles(freq, F.col("value"), shares, b).collect()} for b in (True, False))
-    assert one == two
-
-
 def test_empty_and_narrow(spark):
     empty = spark.createDataFrame([], "a int, b string")
     got = profile.column_profiles(empty)
