@@ -39,11 +39,15 @@ def set_bounds(store: Store, dataset: str, sheet: str, column: str, low: float |
     """Bounds of a column; both None removes them. With the dataset's ``sheets`` it is profiled anew at once."""
     if low is not None and high is not None and low > high:
         raise ValueError("the lower bound is above the upper one")
-    now = bounds(store, dataset)
-    now.setdefault(sheet, {})[column] = (low, high)
     number = lambda x: None if x is None else float(x)
-    rows = [(s, c, number(lo), number(hi)) for s, cs in now.items() for c, (lo, hi) in cs.items() if (lo, hi) != (None, None)]
-    store.save(dataset, "bounds", {"bounds": store.spark.createDataFrame(rows, "sheet string, column string, low double, high double")})
+
+    def changed() -> dict[str, DataFrame]:
+        now = bounds(store, dataset)
+        now.setdefault(sheet, {})[column] = (low, high)
+        rows = [(s, c, number(lo), number(hi)) for s, cs in now.items() for c, (lo, hi) in cs.items() if (lo, hi) != (None, None)]
+        return {"bounds": store.spark.createDataFrame(rows, "sheet string, column string, low double, high double")}
+
+    store.update(dataset, "bounds", changed)
     if sheets is not None:
         profile_dataset(store, dataset, sheets)
 
@@ -55,10 +59,14 @@ def decide(store: Store, dataset: str, key: tuple[str, str, str, str], status: s
     found = store.load(dataset, "profile", "relationships")
     if found is None or not found.where(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(KEY, key, strict=True)])).take(1):
         raise ValueError(f"no relationship {key}")
-    old = store.load(dataset, "decisions", "decisions")
-    rows = {tuple(r[k] for k in KEY): r.status for r in old.collect()} if old is not None else {}  # made by hand, so few
-    rows[key] = status
-    store.save(dataset, "decisions", {"decisions": store.spark.createDataFrame([(*k, s) for k, s in rows.items() if s != "suggested"], ", ".join(f"{k} string" for k in [*KEY, "status"]))})
+
+    def changed() -> dict[str, DataFrame]:
+        old = store.load(dataset, "decisions", "decisions")
+        rows = {tuple(r[k] for k in KEY): r.status for r in old.collect()} if old is not None else {}  # made by hand, so few
+        rows[key] = status
+        return {"decisions": store.spark.createDataFrame([(*k, s) for k, s in rows.items() if s != "suggested"], ", ".join(f"{k} string" for k in [*KEY, "status"]))}
+
+    store.update(dataset, "decisions", changed)
     if sheets is not None:
         profile_dataset(store, dataset, sheets)
 
@@ -74,8 +82,10 @@ def profile_dataset(store: Store, dataset: str, sheets: dict[str, DataFrame]) ->
     """Profiles all sheets and their cross structure and replaces the dataset's tables.
 
     Bounds and decisions on relationships stay. Confirmed relationships that are suggested
-    again give issues for values that the parent lacks. Issues that a person flagged stay.
+    again give issues for values that the parent lacks. Issues that a person flagged stay,
+    also those flagged while this runs; of two profiles at once the later one to end fails.
     """
+    base = store.head(dataset, "profile")
     spark, limits = store.spark, bounds(store, dataset)
     columns, totals, issues, tops, dependencies, texts = [], [], [], [], [], {}
     for name, raw in sheets.items():
@@ -113,14 +123,11 @@ def profile_dataset(store: Store, dataset: str, sheets: dict[str, DataFrame]) ->
     for r in related.where("status = 'confirmed'").collect():
         broken = cross.fk_violations(bodies[r.parent_table], r.parent_column, bodies[r.child_table], r.child_column)
         issues.append(_issues(cross.fk_issue(broken, (r.parent_table, r.parent_column), (r.child_table, r.child_column)), VERSIONS["cross"]))
-    flagged = store.load(dataset, "profile", "issues")
-    if flagged is not None:
-        issues.append(flagged.where(F.col("engine_version") == VERSIONS["flag"]))
     union = lambda parts, shape: reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], shape)
     store.save(dataset, "profile", {
         "columns": union(columns, "sheet string, column string"), "sheets": union(totals, "sheet string"), "top_values": union(tops, "sheet string, column string, rank int, value string, n long"),
         "issues": union(issues, ISSUE), "dependencies": union(dependencies, "determinant string, dependent string, n_groups long, confidence_pct double, sheet string"), "relationships": related,
-    })
+    }, base=base, carry="flag")
 
 
 def flag_issue(store: Store, dataset: str, sheet: str, dimension: str, severity: str, description: str, column: str | None = None, samples: list[str] | None = None) -> None:
@@ -131,7 +138,7 @@ def flag_issue(store: Store, dataset: str, sheet: str, dimension: str, severity:
     if not 1 <= len(description) <= MOST_CHARS or len(samples) > MOST_SAMPLES:
         raise ValueError(f"a description has 1 to {MOST_CHARS} characters and at most {MOST_SAMPLES} samples")
     row = (sheet, column, dimension, severity, description, samples, len(samples), VERSIONS["flag"])
-    store.append(dataset, "profile", "issues", store.spark.createDataFrame([row], ISSUE))
+    store.append(dataset, "profile", "issues", store.spark.createDataFrame([row], ISSUE), tag="flag")
 
 
 def list_issues(issues: DataFrame, sheet: str | None = None, column: str | None = None, severity: str | None = None, by_rank: bool = False, limit: int | None = ISSUE_LIMIT) -> tuple[DataFrame, bool]:

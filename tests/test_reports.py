@@ -9,7 +9,7 @@ from lithic.functions import similarity as sim
 from lithic.functions import text as tx
 from lithic.operators import cross, hierarchy, linkage, profile
 from lithic.plans import annotate, recommend, report
-from lithic.sources.store import Store
+from lithic.sources.store import MANY, ConcurrentWrite, Store
 
 Facts = recommend.Facts
 
@@ -25,6 +25,67 @@ def test_store(spark, tmp_path):
     assert store.datasets() == []
 
 
+def test_store_interleaved(spark, tmp_path):
+    """Additions are kept whoever commits in between; of two replacements from one snapshot the second fails."""
+    store, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    rows = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x int")
+    seen = lambda: sorted(r.x for r in store.load("d", "g", "t").collect())
+    assert store.save("d", "g", {"t": rows(1), "u": rows(9)}) == 1
+    base = store.head("d", "g")
+    other.append("d", "g", "t", rows(2), tag="hand")
+    with pytest.raises(ConcurrentWrite):
+        store.save("d", "g", {"t": rows(5)}, base=base)
+    assert seen() == [1, 2] and [r.x for r in store.load("d", "g", "u").collect()] == [9]
+    store.save("d", "g", {"t": rows(5)}, base=base, carry="hand")
+    assert seen() == [2, 5] and store.load("d", "g", "u") is None
+    with pytest.raises(ConcurrentWrite):
+        other.save("d", "g", {"t": rows(6)}, base=base, carry="hand")
+    commit, late = store._commit, []
+
+    def crossed(home, new):
+        if not late:
+            late.append(other.append("d", "g", "t", rows(7), tag="hand"))
+        commit(home, new)
+
+    store._commit = crossed  # another writer takes the number between reading and committing
+    store.append("d", "g", "t", rows(8))
+    assert seen() == [2, 5, 7, 8]
+    late.clear()
+    tries = []
+
+    def derive():
+        tries.append(1)
+        return {"t": rows(*seen(), 10)}
+
+    store.update("d", "g", derive)
+    assert len(tries) == 2 and seen() == [2, 5, 7, 7, 8, 10]
+    store._commit = commit
+    for _ in range(MANY):
+        store.append("d", "g", "t", rows(0), tag="hand")
+    store.save("d", "g", {"t": rows(1)}, carry="hand")
+    assert seen() == [0] * MANY + [1] and len(store.history("d", "g")) == 2
+    folders = {p.name for p in (tmp_path / "s" / "d" / "g" / "data").iterdir()}
+    assert len(folders) == MANY + 3  # what the last two snapshots name, and nothing else
+
+
+def test_flag_during_a_profile(spark, tmp_path, monkeypatch):
+    """An issue that a person flags while a profile runs stays."""
+    store = Store(spark, str(tmp_path / "s"))
+    sheets = {"a": spark.createDataFrame([(0, 1), (1, None)], "_row_index long, x int")}
+    save = store.save
+
+    def late(*args, **more):
+        report.flag_issue(Store(spark, store.root), "d", "a", "accuracy", "low", "odd")
+        return save(*args, **more)
+
+    monkeypatch.setattr(store, "save", late)
+    report.profile_dataset(store, "d", sheets)
+    monkeypatch.undo()
+    report.profile_dataset(store, "d", sheets)
+    texts = [r.description for r in store.load("d", "profile", "issues").collect()]
+    assert texts.count("odd") == 1 and len(texts) > 1
+
+
 def test_report_and_carry_over(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     customers = spark.createDataFrame([(0, 1, "Ann"), (1, 2, "Bob"), (2, 3, "Cy")], "_row_index long, id int, `full.name` string")
