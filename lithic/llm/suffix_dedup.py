@@ -15,7 +15,8 @@ the bytes before the anchor, read backwards.
    compares bytes behind them only. Equal suffixes settle all strings that their anchors
    stand for. What the order tells of shared prefixes, forwards and backwards, settles the
    strings of suffixes that differ somewhere.
-4. Suffixes whose k-gram occurs on both sides of a splitter are settled by their strings.
+4. Suffixes whose k-gram occurs on both sides of a splitter are ordered once more, by the
+   bytes before the anchor; strings that both orders leave open are compared one by one.
 5. Slices read their documents again and cut the strings out.
 """
 
@@ -259,7 +260,8 @@ class Decisions:
 _HASHES = "kind int, bucket long, slice long, hashes binary, again binary, suffix binary, check long"
 _KNOWN = "slice long, known binary, check long"
 _PIECES = "kind int, part int, slice long, block binary, check long"
-_OUT = "slice long, block binary, check long, string binary, key long, row long, start int"
+_OUT = "slice long, block binary, check long, string binary, key long, row long, start int, rest binary"
+_STRINGS = "string binary, key long, row long, start int"
 
 
 def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -495,16 +497,18 @@ class _Merge:
         near = np.maximum(shared, np.append(shared[1:], 0))
         rows = np.frombuffer(b"".join(distinct), np.uint8).reshape(len(distinct), shape.width)
         crossing = np.array([s[: shape.k] in borders for s in distinct])
-        some = np.flatnonzero((near >= shape.k) & ~crossing)
-        if len(some):
-            earlier = self._earlier(rows, shared, near, some, np.lexsort((off, row, key)), back, ahead)
-            for x, lo, hi in _spans(earlier):
-                decisions.add(row[some[x]], off[some[x]] - hi, off[some[x]] - lo)
-        for x in np.flatnonzero(crossing):
-            for a in range(int(ahead[x]), int(back[x]) + 1, 64):
-                deltas = range(a, min(a + 64, int(back[x]) + 1))
-                ahead_, behind = distinct[x][: shape.length], distinct[x][shape.length : -2]
-                yield _batch(_OUT, [{"string": behind[:d][::-1] + ahead_[: shape.length - d], "key": int(key[x]), "row": int(row[x]), "start": int(off[x] - d)} for d in deltas])
+        near[[0, -1]] = np.where(crossing[[0, -1]], shape.length, near[[0, -1]])  # a neighbour may be in the next range
+        some = np.flatnonzero(near >= shape.k)
+        if not len(some):
+            return
+        earlier = self._earlier(rows, shared, near, some, np.lexsort((off, row, key)), back, ahead)
+        x, lo, hi = _spans(earlier)
+        decisions.add(row[some[x]], off[some[x]] - hi, off[some[x]] - lo)
+        deltas = np.arange(shape.left + 1)
+        rest = ~earlier & (deltas >= ahead[some, None]) & (deltas <= back[some, None]) & (deltas >= shape.length - near[some, None]) & crossing[some, None]
+        for i in np.flatnonzero(rest.any(1)):
+            x = some[i]
+            yield _batch(_OUT, [{"string": distinct[x], "key": int(key[x]), "row": int(row[x]), "start": int(off[x]), "rest": np.packbits(rest[i]).tobytes()}])
 
     def _earlier(self, rows: np.ndarray, shared: np.ndarray, near: np.ndarray, some: np.ndarray, order: np.ndarray, back: np.ndarray, ahead: np.ndarray) -> np.ndarray:
         """For each of ``some`` suffixes and each number of bytes before the anchor: whether that string stands earlier at another.
@@ -534,12 +538,47 @@ class _Merge:
         return earlier
 
 
-def _spans(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _spans(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, first columns, last columns) of the runs of true cells in rows."""
     edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, lo = np.nonzero(edge == 1)
     _, hi = np.nonzero(edge == -1)
-    yield row, lo, hi - 1
+    return row, lo, hi - 1
+
+
+class _Backwards:
+    """Suffixes whose k-gram a splitter parts, in the order of their k-grams and the bytes before: their open strings that another may share.
+
+    A string with more bytes before the anchor than a suffix shares with its neighbours in
+    this order is no other suffix's. The first and last of a partition may have neighbours elsewhere.
+    """
+
+    def __init__(self, shape: Shape) -> None:
+        self.shape = shape
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, before, was = self.shape, None, None
+        for batch in batches:
+            for now in batch.to_pylist():
+                now["turned"] = now["string"][: shape.k] + now["string"][shape.length : -2]
+                if before is not None:
+                    after = _common(before["turned"], now["turned"]) - shape.k
+                    yield from self._open(before, shape.left if was is None else max(was, after))
+                    was = after
+                before = now
+        if before is not None:
+            yield from self._open(before, shape.left)
+
+    def _open(self, suffix: dict, most: int) -> Iterator[pa.RecordBatch]:
+        ahead, behind = suffix["string"][: self.shape.length], suffix["string"][self.shape.length : -2]
+        rest = np.flatnonzero(np.unpackbits(np.frombuffer(suffix["rest"], np.uint8), count=self.shape.left + 1)).tolist()
+        found = [{"string": behind[:d][::-1] + ahead[: self.shape.length - d], "key": suffix["key"], "row": suffix["row"], "start": suffix["start"] - d} for d in rest if d <= most]
+        if found:
+            yield _batch(_STRINGS, found)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    return len(a) - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7) // 8
 
 
 class _Cuts:
@@ -624,7 +663,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     merged = pieces.repartitionById(max(1, len(splitters) + 1), "part").sortWithinPartitions("part").mapInArrow(Task(_Merge(shape, splitters)), _OUT)
     merged = staged(merged, "repeats")
     told = merged.where("string IS NULL").select("slice", "block", "check", F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("start"))
-    told = told.unionByName(_by_string(merged.where("string IS NOT NULL")))
+    told = told.unionByName(_by_string(merged.where("string IS NOT NULL").select("string", "key", "row", "start", "rest"), shape, parts))
     rows = _by_slice(own.drop("id"), told, parts).select("slice", "side", "row", "doc_id", "body", "block", "check", "at", "start")
     kind = docs.schema[key].dataType.simpleString()
     return rows.mapInArrow(Task(_Cuts(length)), f"doc_id {kind}, n_bytes long, removed array<struct<begin:int,end:int>>, kept binary")
@@ -636,12 +675,15 @@ def _by_slice(own: DataFrame, told: DataFrame, parts: int) -> DataFrame:
     return both.repartitionById(parts, F.pmod("slice", F.lit(parts)).cast("int")).sortWithinPartitions("slice", "side", "row")
 
 
-def _by_string(strings: DataFrame) -> DataFrame:
-    """Strings of suffixes whose k-gram a splitter parts: all but the earliest of each go.
+def _by_string(suffixes: DataFrame, shape: Shape, parts: int) -> DataFrame:
+    """Strings of suffixes whose k-gram a splitter parts, as their ranges left them open: all but the earliest of each go.
 
     The earliest come back by a join with a shuffle of its own on both sides, so that adaptive
     execution can split a string that very many suffixes have.
     """
+    behind = [F.substring("string", 1, shape.k), F.substring("string", shape.length + 1, shape.left), F.col("key"), F.col("row"), F.col("start")]
+    turned = suffixes.repartitionByRange(parts, *behind).sortWithinPartitions(*behind)
+    strings = staged(turned.mapInArrow(Task(_Backwards(shape)), _STRINGS), "strings")
     place = F.struct("key", "row", "start")
     first = strings.groupBy("string").agg(F.min(place).alias("first"))
     twin = F.concat("string", F.lit(b"\0"))
