@@ -71,6 +71,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
 
 
+def _groups(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 class Shape:
     """Lengths that belong together: strings, k-grams, bytes kept before an anchor, bytes of a sorted suffix."""
 
@@ -250,8 +258,7 @@ class Decisions:
             self.rows = []
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             slices = rows[:, 0] >> 33
-            cuts = np.flatnonzero(np.diff(slices, prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
+            for a, b in _groups(slices):
                 part = rows[a:b].copy()
                 part[:, 0] &= (1 << 33) - 1
                 yield int(slices[a]), _squeezed(part.astype(np.int32).tobytes())
@@ -312,9 +319,8 @@ class _Hashes:
         if own is not None:
             hashed, counts = np.unique(np.concatenate(hashes), return_counts=True)
             bucket = ((hashed >> np.uint64(48)) * np.uint64(self.buckets)) >> np.uint64(16)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1)))
             low = np.ascontiguousarray(hashed).view(np.uint8).reshape(-1, 8)[:, :6]
-            for a, b in zip(cuts, np.append(cuts[1:], len(hashed)), strict=True):
+            for a, b in _groups(bucket):
                 yield _batch(_HASHES, [{"kind": 0, "bucket": int(bucket[a]), "slice": own, "hashes": low[a:b].tobytes(), "again": np.packbits(counts[a:b] > 1).tobytes(), "check": check}])
             if not len(hashed):  # the slice is checked though nothing in it can recur
                 yield _batch(_HASHES, [{"kind": 0, "bucket": -1 - own % self.buckets, "slice": own, "hashes": b"", "again": b"", "check": check}])
@@ -400,8 +406,7 @@ class _Runs:
         decisions.add(fields["row"][late], (fields["off"] - fields["back"])[late], (fields["off"] - fields["ahead"])[late])
         rows, fields = rows[new], {name: x[new] for name, x in fields.items()}
         part = np.searchsorted(np.array(self.splitters, f"S{rows.shape[1]}"), _sortable(rows), "right") if self.splitters else np.zeros(len(rows), np.int64)
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
+        for a, b in _groups(part):
             yield _batch(_PIECES, [{"kind": 0, "part": int(part[a]), "slice": own, "block": packed(rows[a:b], {name: x[a:b] for name, x in fields.items()})}])
 
 
@@ -430,8 +435,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             key = 2 * batch["slice"].to_numpy().astype(np.int64) + batch["side"].to_numpy()
-            cuts = np.flatnonzero(np.diff(key, prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+            for a, b in _groups(key):
                 yield batch.slice(a, b - a)
 
 
@@ -477,8 +481,7 @@ class _Merge:
         leaf, place, own = np.array(leaves), np.array(places), np.array(classes)
         fields = {name: np.zeros(len(leaf), kind) for name, kind in _FIELDS}
         order = np.argsort(leaf, kind="stable")
-        cuts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+        for a, b in _groups(leaf[order]):
             piece = pieces[leaf[order[a]]]
             for name in fields:
                 fields[name][order[a:b]] = piece.fields[name][place[order[a:b]]]
