@@ -12,6 +12,7 @@ from lithic.functions.normalize import normalize, parse_date, parse_email, parse
 from lithic.functions.similarity import similarity
 from lithic.functions.types import cell
 from lithic.operators.graph import components, numbered
+from lithic.operators.pairs import pair_join
 
 PAIR_CAP = 100_000
 TEXT_MEASURES = ("levenshtein", "jaro_winkler", "jaccard_tokens", "cosine_tokens", "soundex", "metaphone", "ngram", "exact")
@@ -64,13 +65,12 @@ def block_counts(a: DataFrame, b: DataFrame | None, key: str = "key") -> DataFra
 
 
 def candidates(a: DataFrame, b: DataFrame | None, key: str = "key", index: str = "_row_index") -> DataFrame:
-    """(i, j) of rows with an equal non-null key; within one table i < j."""
-    same = b is None
-    x, y = a.alias("x"), (a if same else b).alias("y")
-    on = F.col(f"x.{key}") == F.col(f"y.{key}")
-    if same:
-        on = on & (F.col(f"x.{index}") < F.col(f"y.{index}"))
-    return x.join(y, on).select(F.col(f"x.{index}").alias("i"), F.col(f"y.{index}").alias("j"))
+    """(i, j) of rows with an equal non-null key; within one table i < j. Large blocks are spread over tasks in tiles."""
+    pairs = block_counts(a, b, key).first()["pairs"]
+    x = a.select(F.col(index).alias("i"), F.col(key).alias("key"))
+    if b is None:
+        return pair_join(x, None, pairs).select("i", F.col("i_2").alias("j"))
+    return pair_join(x, b.select(F.col(index).alias("j"), F.col(key).alias("key")), pairs).select("i", "j")
 
 
 def _prepared(df: DataFrame, columns: list[tuple[str, str, str | None]], toggles: dict[str, bool]) -> DataFrame:
@@ -102,27 +102,48 @@ def _blocked(a: DataFrame, b: DataFrame | None, config: Config) -> tuple[DataFra
     return left, right
 
 
-def candidate_count(a: DataFrame, b: DataFrame | None, config: Config) -> int:
-    """How many candidate pairs the settings give, without making them."""
+@dataclass
+class Blocked:
+    """Both sides of a linkage, prepared once, and how many candidate pairs they give."""
+
+    left: DataFrame
+    right: DataFrame | None
+    pairs: int
+
+    def release(self) -> None:
+        self.left.unpersist()
+        if self.right is not None:
+            self.right.unpersist()
+
+
+def block(a: DataFrame, b: DataFrame | None, config: Config) -> Blocked:
+    """Normalises both sides and counts candidate pairs from block sizes, without making them."""
     left, right = _blocked(a, b, config)
-    return block_counts(left, None if b is None else right).first()["pairs"]
+    left, right = left.persist(), right.persist()
+    return Blocked(left, right, block_counts(left, None if b is None else right).first()["pairs"])
 
 
-def scores(a: DataFrame, b: DataFrame | None, config: Config, cap: int = PAIR_CAP) -> DataFrame:
+def scores(a: DataFrame, b: DataFrame | None, config: Config, cap: int = PAIR_CAP, blocked: Blocked | None = None) -> DataFrame:
     """(i, j, score, per_column) of the pairs that pass the threshold and the importance gate.
 
     ``a`` and ``b`` carry ``_row_index``. Blocks come from the heaviest important text
-    mapping; without one all pairs are candidates. The number of pairs is known from block
-    sizes before any pair is made; above the cap nothing runs.
+    mapping; without one all pairs are candidates, as one block. The number of pairs is known
+    from block sizes before any pair is made; above the cap nothing runs. Large blocks are
+    spread over tasks in tiles. ``blocked``, if given, is what ``block`` made of the same.
     """
     same = b is None
-    left, right = _blocked(a, b, config)
-    pairs = block_counts(left, None if same else right).first()["pairs"]
+    if blocked is None:
+        left, right = _blocked(a, b, config)
+        pairs = block_counts(left, None if same else right).first()["pairs"]
+    else:
+        left, right, pairs = blocked.left, blocked.right, blocked.pairs
     if pairs > cap:
         raise TooManyPairs(pairs, cap)
-    x, y = left.withColumnRenamed("_row_index", "i"), right.withColumnRenamed("_row_index", "j").withColumnRenamed("key", "key_r")
-    on = F.col("key") == F.col("key_r")
-    joined = x.join(y, on & (F.col("i") < F.col("j")) if same else on)
+    if same and all(m.left == m.right for m in config.mappings):
+        joined = pair_join(left.withColumnRenamed("_row_index", "i"), None, pairs).withColumnsRenamed({"i_2": "j"} | {f"l{k}_2": f"r{k}" for k in range(len(config.mappings))})
+    else:
+        joined = pair_join(left.withColumnRenamed("_row_index", "i"), right.withColumnRenamed("_row_index", "j"), pairs)
+        joined = joined.where("i < j") if same else joined
     parts = [similarity(m.measure, F.col(f"l{k}"), F.col(f"r{k}")).alias(f"s{k}") for k, m in enumerate(config.mappings)]
     scored = joined.select("i", "j", *parts)
     weight = sum(m.weight for m in config.mappings)

@@ -245,10 +245,11 @@ def link(store: Store, dataset: str, left: DataFrame, right: DataFrame | None, c
     spark = store.spark
     blocking = recommend.blocking_mapping(config.mappings)
     run = {"status": "ok", "error": None, "blocking_column": blocking.name if blocking else None, "candidate_pairs": 0, "passing_pairs": 0, "clusters": 0}
-    tables, pairs, grouped = {}, None, None
+    tables, pairs, grouped, blocked = {}, None, None, None
     try:
-        pairs = linkage.scores(left, right, config, cap).persist()
-        run["candidate_pairs"] = linkage.candidate_count(left, right, config)
+        blocked = linkage.block(left, right, config)
+        pairs = linkage.scores(left, right, config, cap, blocked).persist()
+        run["candidate_pairs"] = blocked.pairs
         grouped = linkage.clusters(pairs).persist()
         run["passing_pairs"], run["clusters"] = pairs.count(), grouped.count()
         owner = grouped.select("cluster_index", F.explode("members_a").alias("i"))
@@ -269,6 +270,8 @@ def link(store: Store, dataset: str, left: DataFrame, right: DataFrame | None, c
     for kept in (pairs, grouped):
         if kept is not None:
             kept.unpersist()
+    if blocked is not None:
+        blocked.release()
     return run
 
 
