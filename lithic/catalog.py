@@ -14,7 +14,7 @@ from lithic.functions import similarity as sim
 from lithic.functions import text as tx
 from lithic.functions import types as ct
 from lithic.functions.normalize import normalize, parse_date, parse_email, parse_phone
-from lithic.operators import cross, dashboard, hierarchy, linkage, profile, ranks, rows
+from lithic.operators import ancestry, cross, dashboard, hierarchy, linkage, profile, ranks, rows
 from lithic.plans import annotate, listings, recommend, report, tools
 from lithic.sources.store import Store
 from lithic.streaming import profile as streamed
@@ -644,6 +644,48 @@ def tree_nested(spark, sf_dir):
     return hierarchy.nested(_placed_tree(spark, sf_dir)).select("name", F.size("children").cast("long").alias("children"))
 
 
+_CHAINS = "(SELECT event_id AS id, CASE WHEN event_id % 1000 = 0 THEN NULL ELSE event_id - 1 END AS parent FROM events)"
+
+
+@query(f"WITH RECURSIVE up(id, root, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM {_CHAINS} c WHERE parent IS NULL OR parent NOT IN (SELECT event_id FROM events) UNION ALL SELECT c.id, u.root, u.depth + 1 FROM {_CHAINS} c JOIN up u ON c.parent = u.id) SELECT * FROM up")
+def tree_deep(spark, sf_dir):
+    """Roots and depths of chains of a thousand events."""
+    chains = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 1000 != 0, F.col("event_id") - 1).alias("parent"))
+    return ancestry.climb(chains).drop("cyclic")
+
+
+_KNOTS = "(SELECT o_orderkey AS id, CASE WHEN o_orderkey % 100 <> 0 THEN o_orderkey - 1 WHEN (o_orderkey // 100) % 3 = 1 THEN o_orderkey + 40 WHEN (o_orderkey // 100) % 3 = 2 THEN -1 END AS parent FROM orders)"
+
+
+def _knots(spark, sf_dir):
+    """Chains of a hundred orders: a third of them bite their tails, the parent of a third's first order is missing."""
+    key = F.col("o_orderkey")
+    third = F.floor(key / 100) % 3
+    return table(spark, sf_dir, "orders").select(key.alias("id"), F.when(key % 100 != 0, key - 1).when(third == 1, key + 40).when(third == 2, -1).alias("parent"))
+
+
+@query(f"WITH RECURSIVE up(id, root, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM {_KNOTS} c WHERE parent IS NULL OR parent NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT c.id, u.root, u.depth + 1 FROM {_KNOTS} c JOIN up u ON c.parent = u.id) SELECT k.id, root, depth, root IS NULL AS cyclic FROM {_KNOTS} k LEFT JOIN up USING (id)")
+def tree_cycles(spark, sf_dir):
+    """Nodes on a cycle or below one have no root."""
+    return ancestry.climb(_knots(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE up(id, ancestor, distance) AS (SELECT id, parent, CAST(1 AS BIGINT) FROM {_KNOTS} WHERE (id // 100) % 3 <> 1 AND parent IN (SELECT o_orderkey FROM orders) UNION ALL SELECT u.id, k.parent, u.distance + 1 FROM up u JOIN {_KNOTS} k ON k.id = u.ancestor AND k.parent IN (SELECT o_orderkey FROM orders) WHERE u.distance < 200) SELECT ancestor, count(*) AS nodes, CAST(sum(distance) AS BIGINT) AS steps FROM up GROUP BY 1")
+def tree_lineage(spark, sf_dir):
+    """How many nodes hang below each node and how far, from all lines of ancestors."""
+    return ancestry.lineage(_knots(spark, sf_dir)).groupBy("ancestor").agg(F.count("*").alias("nodes"), F.sum("distance").alias("steps"))
+
+
+@query("""WITH s AS (SELECT s_nationkey, string_agg('{"id":"2:' || s_suppkey || '","name":"' || s_name || '","children":[]}', ',' ORDER BY s_suppkey) AS j FROM supplier GROUP BY 1),
+n AS (SELECT n_regionkey, string_agg('{"id":"1:' || n_nationkey || '","name":"' || n_name || '","children":[' || coalesce(j, '') || ']}', ',' ORDER BY n_nationkey) AS j FROM nation LEFT JOIN s ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT '0:' || r_regionkey AS root, '{"id":"0:' || r_regionkey || '","name":"' || r_name || '","children":[' || coalesce(j, '') || ']}' AS tree FROM region LEFT JOIN n ON n_regionkey = r_regionkey""")
+def tree_to_json(spark, sf_dir):
+    """Regions, their nations and suppliers as nested JSON."""
+    levels = [(table(spark, sf_dir, "region"), "r_regionkey", "r_name", None), (table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey"), (table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "s_nationkey")]
+    tree = dashboard.flatten_tree(levels)
+    return ancestry.to_json(tree.withColumn("position", F.split("id", ":")[1].cast("long")))
+
+
 _RULES = {
     "half": ("o_orderpriority", "o_orderkey % 5 < 3"), "third": ("o_orderstatus", "o_orderkey % 10 < 3"), "tenth": ("o_orderpriority", "o_orderkey % 10 = 0"),
 }

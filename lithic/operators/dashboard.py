@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lithic.operators.ancestry import climb
+
 SEVERITIES = ("critical", "high", "medium", "low")
 
 
@@ -47,11 +49,8 @@ def flatten_tree(levels: list[tuple[DataFrame, str, str, str | None]]) -> DataFr
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
-    """(id, root) in a tree of three levels, by two joins."""
-    up = tree.select(F.col("id").alias("p1"), F.col("parent").alias("p2"))
-    upper = tree.select(F.col("id").alias("p2_id"), F.col("parent").alias("p3"))
-    rows = tree.join(up, F.col("parent") == F.col("p1"), "left").join(upper, F.col("p2") == F.col("p2_id"), "left")
-    return rows.select("id", F.coalesce("p3", "p2", "p1", "id").alias("root"))
+    """(id, root) of a tree of any depth; nodes on or below a cycle have no root."""
+    return climb(tree).select("id", "root")
 
 
 def broken_links(tree: DataFrame) -> DataFrame:

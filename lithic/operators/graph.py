@@ -35,8 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
         hung = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = hung.groupBy("a").agg(F.min("b").alias("m"))
         lower = hung.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(lower.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = cut(lower.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now.unpersist()
+        now = after
         if state == seen:
             break
         seen = state

@@ -1,6 +1,6 @@
 """Trees of rows (id, parent, level, name, position): building, walking, searching, moving.
 
-Trees have three levels, so a walk is at most two joins.
+Walks take trees of any depth; trees that people edit have LEVELS levels, unless told otherwise.
 """
 
 from __future__ import annotations
@@ -9,12 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lithic.operators import ancestry
 from lithic.operators.dashboard import broken_links
 
 LEVELS = 3
-_LEAF = "struct<name:string,description:string>"
-_MIDDLE = f"struct<name:string,description:string,children:array<{_LEAF}>>"
-SCHEMA = f"array<struct<name:string,description:string,children:array<{_MIDDLE}>>>"
 
 
 def from_json(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -22,16 +20,7 @@ def from_json(df: DataFrame, column: str, key: str) -> DataFrame:
 
     Positions count siblings from 0. Bad JSON and nodes without a name give no rows.
     """
-    top = df.select(key, F.posexplode(F.from_json(column, SCHEMA)).alias("a", "x"))
-    mid = top.select(key, "a", F.posexplode("x.children").alias("b", "y"))
-    low = mid.select(key, "a", "b", F.posexplode("y.children").alias("c", "z"))
-
-    def level(rows: DataFrame, n: int, node: str, path: list[str]) -> DataFrame:
-        up = F.concat_ws(".", *path[:-1]) if n > 1 else F.lit(None).cast("string")
-        return rows.select(key, F.concat_ws(".", *path).alias("id"), up.alias("parent"), F.lit(n).alias("level"), F.col(f"{node}.name").alias("name"), F.col(f"{node}.description").alias("description"), F.col(path[-1]).alias("position"))
-
-    rows = level(top, 1, "x", ["a"]).unionByName(level(mid, 2, "y", ["a", "b"])).unionByName(level(low, 3, "z", ["a", "b", "c"]))
-    return rows.where(F.col("name").isNotNull())
+    return ancestry.from_json(df, column, key)
 
 
 def nested(tree: DataFrame) -> DataFrame:
@@ -50,26 +39,17 @@ def nested(tree: DataFrame) -> DataFrame:
 
 def lineage(tree: DataFrame) -> DataFrame:
     """(id, ancestor) for every node and each node above it."""
-    step = tree.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ancestor"))
-    out, last = step, step
-    for _ in range(LEVELS - 2):
-        up = step.select(F.col("id").alias("_at"), F.col("ancestor").alias("_above"))
-        last = last.join(up, F.col("ancestor") == F.col("_at")).select("id", F.col("_above").alias("ancestor"))
-        out = out.unionByName(last)
-    return out
+    return ancestry.lineage(tree).select("id", "ancestor")
 
 
 def descendants(tree: DataFrame, node: str) -> DataFrame:
     """(id) of all nodes below a node."""
-    return lineage(tree).where(F.col("ancestor") == node).select("id")
+    return ancestry.below(tree, [node]).where(F.col("id") != node)
 
 
 def visible(tree: DataFrame, collapsed: list[str]) -> DataFrame:
     """Nodes without a collapsed node above them."""
-    if not collapsed:
-        return tree
-    hidden = lineage(tree).where(F.col("ancestor").isin(collapsed)).select("id").distinct()
-    return tree.join(hidden, "id", "left_anti")
+    return tree.join(ancestry.below(tree, collapsed), "id", "left_anti") if collapsed else tree
 
 
 def edges(tree: DataFrame) -> DataFrame:
@@ -117,15 +97,15 @@ def _node(tree: DataFrame, node: str):
     return found[0]
 
 
-def create(tree: DataFrame, node: str, name: str, parent: str | None = None, description: str | None = None) -> DataFrame:
-    """The tree with a node behind the last child of its parent; at most LEVELS levels."""
+def create(tree: DataFrame, node: str, name: str, parent: str | None = None, description: str | None = None, levels: int | None = LEVELS) -> DataFrame:
+    """The tree with a node behind the last child of its parent; at most ``levels`` levels."""
     if not name.strip():
         raise ValueError("a node has a name")
     if tree.where(F.col("id") == node).take(1):
         raise ValueError(f"the node {node!r} is there already")
     level = 1 if parent is None else _node(tree, parent).level + 1
-    if level > LEVELS:
-        raise ValueError(f"trees have {LEVELS} levels")
+    if levels is not None and level > levels:
+        raise ValueError(f"trees have {levels} levels")
     own = next_position(tree, parent).select(F.lit(node).alias("id"), F.lit(parent).cast("string").alias("parent"), F.lit(level).alias("level"), F.lit(name.strip()).alias("name"), F.lit(description).cast("string").alias("description"), F.col("position").cast("int").alias("position"))
     return tree.unionByName(own, allowMissingColumns=True)
 
