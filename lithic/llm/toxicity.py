@@ -39,6 +39,8 @@ LANDMARKS, ROUNDS, NEGATIVES, COST = 160, 3, 6000, 10.0
 THRESHOLD = 0.7
 #: Word scores that a worker keeps.
 CACHE = 500_000
+#: Characters summed at once.
+SLICE = 1 << 20
 
 _BITS = 6
 _PATTERNS = [(0, *p) for span in range(ORDER, SPAN + 1) for p in itertools.combinations(range(1, span), ORDER - 1) if p[-1] == span - 1]
@@ -137,16 +139,21 @@ def margins(data: np.ndarray, start: np.ndarray, stop: np.ndarray, table: np.nda
 
 def _sums(symbols: np.ndarray, left: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The weights of the subsequences that begin in each run of symbols from ``first`` on; ``left`` symbols are open to them."""
-    at_place = np.zeros(len(symbols))
-    for pattern, weight in zip(_PATTERNS, _WEIGHTS, strict=True):
-        n = len(symbols) - pattern[-1]
-        if n <= 0:
-            continue
-        key = symbols[:n]
-        for step in pattern[1:]:
-            key = (key << np.uint32(_BITS)) | symbols[step : n + step]
-        at_place[:n] += table[key] * (weight * (left[:n] > pattern[-1]))
-    return np.add.reduceat(at_place, first)
+    out = np.zeros(len(first))
+    for a in range(0, len(symbols), SLICE):  # so that one enormous word needs no more memory than many small ones
+        b = min(a + SLICE, len(symbols))
+        at_place = np.zeros(b - a)
+        for pattern, weight in zip(_PATTERNS, _WEIGHTS, strict=True):
+            n = min(b, len(symbols) - pattern[-1])
+            if n <= a:
+                continue
+            key = symbols[a:n]
+            for step in pattern[1:]:
+                key = (key << np.uint32(_BITS)) | symbols[a + step : n + step]
+            at_place[: n - a] += table[key] * (weight * (left[a:n] > pattern[-1]))
+        low, high = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b, "left")
+        out[low:high] += np.add.reduceat(at_place, np.append(a, first[low + 1 : high]) - a)
+    return out
 
 
 def phrase_margins(data: np.ndarray, start: np.ndarray, stop: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -425,13 +432,10 @@ def _spelled(data: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.nd
         return []
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(single)
-    run = np.cumsum(np.concatenate([[0], (np.diff(at) != 1) | (text[at[1:]] != text[at[:-1]])]))
-    sizes = np.bincount(run)
-    out = []
-    for r in np.flatnonzero(sizes >= ORDER):
-        places = at[run == r]
-        out.append((int(text[places[0]]), data[start[places]].tobytes()))
-    return out
+    borders = np.flatnonzero((np.diff(at) != 1) | (text[at[1:]] != text[at[:-1]])) + 1
+    begin, end = np.append(0, borders), np.append(borders, len(at))
+    long = end - begin >= ORDER
+    return [(int(text[at[a]]), data[start[at[a:b]]].tobytes()) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
 
 
 _scores: dict[str, tuple[np.ndarray, np.ndarray]] = {}
