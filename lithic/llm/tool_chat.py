@@ -1,9 +1,10 @@
 """Tool-call linking in chats, in DataFrame functions only.
 
 A message is a row (conv_id, turn, role, text). An assistant message whose text is a JSON
-object with ``tool_calls`` (id, name, arguments) makes calls; a message of role ``tool``
-whose text is an object with ``tool_call_id`` is a result. Any other text is prose. What
-a message with calls says besides them is a message, too.
+object with ``tool_calls`` makes calls, each with id, name and arguments, these two also
+inside ``function``, and arguments also as a text that spells an object; a message of role
+``tool`` whose text is an object with ``tool_call_id`` is a result. Any other text is prose.
+What a message with calls says besides them is a message, too.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ SCHEMAS = {
     "lookup": {"key": "string", "after?": "string"},
 }
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
-RESULT = "struct<tool_call_id:string,content:string>"
 #: Level of calls in cycles and behind them; one more for results without a settled call.
 LAST = 2_000_000_000
 #: The place of rows that have none: behind all others.
@@ -90,6 +89,39 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, str]]
     return found
 
 
+def _calls(rows: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
+    """(conv_id, turn, part, call_id, waits, problems, json) of calls given as variants.
+
+    Name and arguments may stand inside ``function``, and arguments may be a text that spells
+    an object; both forms come out as the plain one. Every other field of the call, and of
+    ``function``, stays.
+    """
+    own = F.col("call")
+    inner = _object(F.try_variant_get(own, "$.function", "variant"))
+    wrapped = F.try_variant_get(own, "$.name", "string").isNull() & inner.isNotNull()
+    rows = rows.withColumn("inner", F.when(wrapped, inner)).withColumn("id", F.try_variant_get(own, "$.id", "string"))
+    rows = rows.withColumn("name", F.when(wrapped, F.try_variant_get(own, "$.function.name", "string")).otherwise(F.try_variant_get(own, "$.name", "string")))
+    given = F.coalesce(F.try_variant_get(own, "$.arguments", "variant"), F.try_element_at("inner", F.lit("arguments")))
+    rows = rows.withColumn("given", given)
+    spelled = F.try_parse_json(F.when(_kind(F.col("given")) == "string", F.try_variant_get("given", "$", "string")))
+    rows = rows.withColumn("arguments", F.when(_object(spelled).isNotNull(), spelled).otherwise(F.col("given")))
+    fields = _object(F.col("arguments"))
+    values = F.coalesce(F.map_values(fields), F.expr("cast(array() as array<variant>)"))
+    values = F.transform(F.filter(values, lambda v: _kind(v) == "string"), lambda v: F.variant_get(v, "$", "string"))
+    waits = F.transform(F.filter(values, lambda v: v.startswith("@")), lambda v: F.substring(v, F.lit(2), F.length(v)))
+    shape = F.when(F.col("arguments").isNotNull() & fields.isNull(), F.array(F.lit("arguments are not an object"))).otherwise(F.expr("cast(array() as array<string>)"))
+    plain = lambda name, text: F.struct(F.lit(name).alias("key"), text.alias("text"))
+    known = [plain("arguments", F.coalesce(canonical_values(fields), F.to_json("arguments"), F.lit("{}"))), plain("id", _quoted(F.col("id"))), plain("name", _quoted(F.col("name")))]
+    none = F.expr("cast(array() as array<struct<key:string,text:string>>)")
+    deeper = F.map_filter("inner", lambda k, _: ~k.isin("name", "arguments"))
+    inside = F.when(F.size(deeper) > 0, F.array(plain("function", canonical_values(deeper)))).otherwise(none)
+    other = F.map_filter(_object(own), lambda k, _: ~k.isin("id", "name", "arguments") & ~((k == "function") & F.col("inner").isNotNull()))
+    other = F.coalesce(F.transform(F.map_entries(other), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("text"))), none)
+    pairs = F.array_sort(F.concat(F.array(*known), inside, other))
+    json = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["text"])), ","), F.lit("}"))
+    return rows.select("conv_id", "turn", "part", F.col("id").alias("call_id"), F.array_distinct(waits).alias("waits"), F.concat(shape, problems(F.col("name"), fields, schemas)).alias("problems"), json.alias("json"))
+
+
 def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
     """One row per message, call and result, in an order that puts results after their calls.
 
@@ -114,6 +146,8 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     repeated rows stay, an empty table gives an empty result, other columns are not read. No
     row gathers a whole conversation, so one very long conversation is no hot group.
 
+    No field is lost: calls and results keep what they hold besides, with its JSON type; calls
+    in the form with ``function``, or with arguments as a text, come out in the plain form.
     Arguments keep their JSON types: they are variants, numbers exact to 38 digits, beyond
     that and with exponents doubles. Keys inside nested values are in UTF-16 order. Absent
     arguments count as an empty object.
@@ -122,42 +156,37 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> D
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), text.alias("text"))
     maybe = F.trim("text").startswith("{")
-    rows = rows.withColumn("calls", F.when(maybe & (F.col("role") == "assistant"), F.from_json("text", CALLS)["tool_calls"]))
-    rows = rows.withColumn("result", F.when(maybe & (F.col("role") == "tool"), F.from_json("text", RESULT)))
-    none = F.expr(f"cast(array() as {CALLS[len('struct<tool_calls:'):-1]})")
-    is_call, is_result = F.size(F.coalesce("calls", none)) > 0, F.coalesce(F.col("result.tool_call_id").isNotNull(), F.lit(False))
-    rest = F.map_filter(_object(F.try_parse_json("text")), lambda k, v: ~k.isin("tool_calls", "role") & ~F.is_variant_null(v))
+    rows = rows.withColumn("body", F.when(maybe & F.col("role").isin("assistant", "tool"), F.try_parse_json("text")))
+    rows = rows.withColumn("calls", F.when(F.col("role") == "assistant", F.try_variant_get("body", "$.tool_calls", "array<variant>")))
+    rows = rows.withColumn("result", F.when(F.col("role") == "tool", F.try_variant_get("body", "$.tool_call_id", "string")))
+    is_call, is_result = F.coalesce(F.size("calls"), F.lit(0)) > 0, F.col("result").isNotNull()
+    rest = F.map_filter(_object(F.col("body")), lambda k, v: ~k.isin("tool_calls", "role") & ~F.is_variant_null(v))
     rows = rows.withColumn("rest", F.when(is_call, rest))
     prose = rows.where(~is_result & (~is_call | (F.size("rest") > 0))).select(
         "conv_id", "turn", F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("boolean").alias("linked"),
         F.lit(None).cast("boolean").alias("valid"), F.expr("cast(array() as array<string>)").alias("problems"), F.lit(0).alias("level"), _place(F.lit(0)).alias("place"),
         F.when(is_call, canonical_values(F.col("rest"), role=F.col("role"))).otherwise(canonical(F.create_map(F.lit("content"), F.col("text"), F.lit("role"), F.col("role")))).alias("json"),
     )
-    calls = rows.where(is_call).select("conv_id", "turn", F.posexplode("calls").alias("part", "call"))
-    values = F.coalesce(F.map_values(_object(F.col("call.arguments"))), F.expr("cast(array() as array<variant>)"))
-    values = F.transform(F.filter(values, lambda v: _kind(v) == "string"), lambda v: F.variant_get(v, "$", "string"))
-    waits = F.transform(F.filter(values, lambda v: v.startswith("@")), lambda v: F.substring(v, F.lit(2), F.length(v)))
-    calls = calls.select("conv_id", "turn", "part", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), F.array_distinct(waits).alias("waits"))
-    results = rows.where(is_result).select("conv_id", "turn", F.lit(0).alias("part"), F.col("result.tool_call_id").alias("call_id"), F.col("result.content").alias("content"))
+    calls = _calls(rows.where(is_call).select("conv_id", "turn", F.posexplode("calls").alias("part", "call")), schemas)
+    told = F.map_filter(_object(F.col("body")), lambda k, v: ~k.isin("tool_call_id", "role"))
+    content = F.map_from_arrays(F.array(F.lit("content")), F.array(F.parse_json(F.lit("null"))))
+    told = F.when(F.map_contains_key(told, F.lit("content")), told).otherwise(F.map_concat(told, content))
+    results = rows.where(is_result).select("conv_id", "turn", F.lit(0).alias("part"), F.col("result").alias("call_id"), canonical_values(told, role=F.lit("tool"), tool_call_id=F.col("result")).alias("json"))
     calls, results = staged(calls, "calls"), staged(results, "results")
     calls, results = calls.withColumn("own", _place()), results.withColumn("own", _place())
     levels = _levels(calls, results)
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     on = ["conv_id", "call_id"]
     made = _left(_left(calls, levels, on, ["level", "place"]), answered, on, ["answered"])
-    fields = _object(F.col("arguments"))
-    shape = F.when(F.col("arguments").isNotNull() & fields.isNull(), F.array(F.lit("arguments are not an object"))).otherwise(F.expr("cast(array() as array<string>)"))
-    wrong = F.concat(shape, problems(F.col("name"), fields, schemas))
-    body = F.concat(F.lit('{"arguments":'), F.coalesce(canonical_values(fields), F.to_json("arguments"), F.lit("{}")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
-    made = made.withColumn("problems", wrong).select(
+    made = made.select(
         "conv_id", "turn", "part", F.lit("call").alias("kind"), "call_id", (F.coalesce("answered", F.lit(False)) & F.col("level").isNotNull()).alias("linked"), (F.size("problems") == 0).alias("valid"), "problems",
-        F.coalesce(F.col("level"), F.lit(LAST)).alias("level"), F.when(F.col("call_id").isNull(), F.col("own")).when(F.col("place").isNull(), END).otherwise(F.greatest("place", "own")).alias("place"), body.alias("json"),
+        F.coalesce(F.col("level"), F.lit(LAST)).alias("level"), F.when(F.col("call_id").isNull(), F.col("own")).when(F.col("place").isNull(), END).otherwise(F.greatest("place", "own")).alias("place"), "json",
     )
     given = _left(results, levels, on, ["level", "known", "place"]).select(
         "conv_id", "turn", "part", F.lit("result").alias("kind"), "call_id", F.coalesce("known", F.lit(False)).alias("linked"), F.lit(None).cast("boolean").alias("valid"),
         F.expr("cast(array() as array<string>)").alias("problems"), F.coalesce(F.col("level") + 1, F.lit(LAST + 1)).alias("level"),
         F.when(F.col("known").isNull(), F.col("own")).when(F.col("place").isNull(), END).otherwise(F.greatest("place", "own")).alias("place"),
-        canonical(F.create_map(F.lit("content"), F.col("content"), F.lit("role"), F.lit("tool"), F.lit("tool_call_id"), F.col("call_id"))).alias("json"),
+        "json",
     )
     every = prose.unionByName(made).unionByName(given)
     position = F.concat_ws(":", "place", F.lpad(F.col("level").cast("string"), 10, "0"), F.when(F.col("kind") == "message", "0").otherwise("1"), _place())

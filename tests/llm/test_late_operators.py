@@ -245,3 +245,87 @@ def test_peaks_of_parts_make_the_whole():
             for r in part.stack:
                 merged.push(*part.nodes[r])
         assert [merged.nodes[r] for r in merged.stack] == [whole.nodes[whole.stack[0]]]
+
+
+# op2: texts of single characters, words of any length
+
+
+def test_toxicity_of_digit_tables_and_enormous_words(monkeypatch):
+    """Time in proportion to the text where runs of single characters are many; slices change no sum."""
+    import time
+
+    import pyarrow as pa
+
+    from lithic.llm import toxicity
+
+    draw = np.random.default_rng(3)
+    keys = np.unique(draw.integers(0, 1 << 24, 4000)).astype(np.uint32)
+    model = toxicity.Model(keys, draw.normal(size=len(keys)).astype(np.float32), -0.2, 1.0, 0.0)
+    table = "1 2 3 4 total "
+    began = time.time()
+    toxicity.document_margins(pa.array([table * 1000]), model)
+    toxicity._scores.clear()
+    small = time.time() - began
+    began = time.time()
+    long = toxicity.document_margins(pa.array([table * 430_000]), model)  # 6 MB
+    assert time.time() - began < max(5, 3000 * small)
+    toxicity._scores.clear()
+    assert long[0] == pytest.approx(toxicity.document_margins(pa.array([table * 3]), model)[0])
+    texts = pa.array(["x" * 5000 + " " + "abc" * 900, "a b c d " * 300 + "word", "", "one two"])
+    toxicity._scores.clear()
+    one = toxicity.document_margins(texts, model)
+    monkeypatch.setattr(toxicity, "SLICE", 97)
+    toxicity._scores.clear()
+    assert toxicity.document_margins(texts, model) == pytest.approx(one)
+
+
+# op3: forms of calls, fields besides
+
+
+def test_tool_chat_keeps_all_fields(spark):
+    import json
+
+    from lithic.llm import tool_chat
+
+    calls = [
+        {"id": "a", "type": "function", "function": {"name": "search", "arguments": '{"query":"q","limit":3}', "strict": True}},
+        {"id": "b", "function": {"name": "lookup", "arguments": {"key": "@a"}}},
+        {"id": "c", "name": "lookup", "arguments": '{"key":"k"}', "function": "odd", "meta": {"z": 1, "a": [None, 2.5]}},
+        {"id": "d", "name": "lookup", "arguments": "no object"},
+        {"id": 7, "function": {"name": "weather"}},
+        "not an object",
+    ]
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": calls})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": [{"type": "text", "text": "x"}, 2], "is_error": False, "name": "search", "role": "tool"})),
+        (1, 2, "tool", json.dumps({"tool_call_id": "b", "content": {"b": 1, "a": None}})),
+        (1, 3, "tool", json.dumps({"tool_call_id": "c"})),
+        (1, 4, "tool", json.dumps({"tool_call_id": 7, "content": "mild"})),
+    ]
+    got = tool_chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    made = {r.part: r for r in got if r.kind == "call"}
+    told = {p: json.loads(r.json) for p, r in made.items()}
+    assert told[0] == {"arguments": {"limit": 3, "query": "q"}, "function": {"strict": True}, "id": "a", "name": "search", "type": "function"}
+    assert made[0].valid and made[0].linked and made[0].json == '{"arguments":{"limit":3,"query":"q"},"function":{"strict":true},"id":"a","name":"search","type":"function"}'
+    assert told[1] == {"arguments": {"key": "@a"}, "id": "b", "name": "lookup"} and made[1].level == 2 and made[1].valid
+    assert told[2] == {"arguments": {"key": "k"}, "function": "odd", "id": "c", "meta": {"a": [None, 2.5], "z": 1}, "name": "lookup"}
+    assert made[3].problems == ["arguments are not an object", "key is missing"] and told[3]["arguments"] == "no object"
+    assert made[4].problems == ["city is missing"] and made[4].call_id == "7" and made[4].linked
+    assert made[5].problems == ["no name"]
+    results = {r.call_id: r.json for r in got if r.kind == "result"}
+    assert results["a"] == '{"content":[{"text":"x","type":"text"},2],"is_error":false,"name":"search","role":"tool","tool_call_id":"a"}'
+    assert results["b"] == '{"content":{"a":null,"b":1},"role":"tool","tool_call_id":"b"}'
+    assert results["c"] == '{"content":null,"role":"tool","tool_call_id":"c"}' and results["7"] == '{"content":"mild","role":"tool","tool_call_id":"7"}'
+
+
+def test_tool_chat_many_calls(spark):
+    """A generated table of 100,000 calls in one conversation, each waiting for the one before it in chains of ten."""
+    from lithic.llm import tool_chat
+
+    n = F.col("id")
+    call = F.format_string('{"tool_calls":[{"id":"c%d","name":"lookup","arguments":{"key":"%s"}}]}', n, F.when(n % 10 == 0, F.lit("k")).otherwise(F.concat(F.lit("@c"), (n - 1).cast("string"))))
+    answer = F.format_string('{"tool_call_id":"c%d","content":"r%d"}', n, n)
+    base = spark.range(100_000)
+    chat = base.select(F.lit(1).alias("conv_id"), (100_000 - n).alias("turn"), F.lit("assistant").alias("role"), call.alias("text")).unionByName(base.select(F.lit(1).alias("conv_id"), (200_000 - n).alias("turn"), F.lit("tool").alias("role"), answer.alias("text")))
+    got = tool_chat.link(chat).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("linked").alias("linked"), F.max("level").alias("most"), F.sum("level").alias("levels")).collect()
+    assert sorted(map(tuple, got)) == [("call", 100_000, 100_000, 18, 900_000), ("result", 100_000, 100_000, 19, 1_000_000)]
