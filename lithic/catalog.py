@@ -459,14 +459,15 @@ def tree_from_json(spark, sf_dir):
 
 _HOSTS = {
     "a.example.org": True, "127.0.0.1": False, "[::ffff:10.0.0.1]": False, "localhost.": False, "0177.0.0.1": False, "8.8.4.4": True, "[0:0:0:0:0:0:0:1]": False, "192.168.7.1": False, "[2a00:1450::1]": True, "2130706433": False,
+    "a@b@127.0.0.1": False, "１２７.0.0.1": False, "localhost。": False, "ｅｘａｍｐｌｅ．ｏｒｇ": True,
 }
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_matches(lower(url), '^https?://[^/?#:]') ELSE CASE page_id % 20 // 2 " + " ".join(f"WHEN {i} THEN {ok}" for i, ok in enumerate(_HOSTS.values())) + " END END AS ok FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_matches(lower(url), '^https?://[^/?#:]') ELSE CASE page_id % 28 // 2 " + " ".join(f"WHEN {i} THEN {ok}" for i, ok in enumerate(_HOSTS.values())) + " END END AS ok FROM pages")
 def safe_urls(spark, sf_dir):
     """Every second page's own address; the others' paths under hosts of all kinds."""
     hosts = F.array(*[F.lit(h) for h in _HOSTS])
-    url = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://"), F.get(hosts, F.floor(F.col("page_id") % 20 / 2).cast("int")), F.lit("/x?y")))
+    url = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://"), F.get(hosts, F.floor(F.col("page_id") % 28 / 2).cast("int")), F.lit("/x?y")))
     return table(spark, sf_dir, "pages").select("page_id", tx.safe_url(url).alias("ok"))
 
 
@@ -828,20 +829,27 @@ def block_pairs(spark, sf_dir):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, true AS ok FROM orders")
 def parse_written_dates(spark, sf_dir):
     """Dates as people write them, a form for each remainder of the key."""
-    forms = ("EEEE, MMMM d, yyyy", "d MMM yyyy", "dd.MM.yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MMM d yyyy h:mm a", "yyyy/M/d", "dd-MMM-yyyy", "yyyy-MM-dd'T'23:30:00-08:00")
+    forms = ("EEEE, MMMM d, yyyy", "d MMM yyyy", "dd.MM.yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MMM d yyyy h:mm a", "yyyy/M/d", "dd-MMM-yyyy", "yyyy-MM-dd'T'23:30:00-08:00", "M/d/yy", "d MMM yy", "yyyyMMdd", "MMM d ''yy")
     written = F.coalesce(*[F.when(F.col("o_orderkey") % len(forms) == i, F.date_format("o_orderdate", f.replace("'T'23:30:00-08:00", "'T23:30:00-08:00'"))) for i, f in enumerate(forms)])
     # dd.MM.yyyy with a day of at most 12 reads as a day first, since dots do not part American dates
     parsed = parse_date(written)
     return table(spark, sf_dir, "orders").select("o_orderkey", parsed["value"].alias("day"), parsed["ok"].alias("ok"))
 
 
-@query("SELECT c_custkey, c_custkey % 4 IN (0, 3) AS ok FROM customer")
+# Numbers of many countries before their last four digits; the second says whether such a number can be.
+_NUMBERS = (
+    ("+1 (415) 555-", True), ("+1000000", False), ("415-555-", False), ("+44 20 7183 ", True), ("+490000000", False), ("+33 6 12 34 ", True), ("+49 (0)30 1234 ", True), ("+81 3 1234 ", True),
+    ("+91 987654", True), ("+55 11 91234 ", True), ("+86 138 0013 ", True), ("+61 2 9374 ", True), ("+34 612 34 ", True), ("+39 06 698 ", True), ("+7 495 123 ", True), ("+33 6 12 3 ", False),
+)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 16 " + " ".join(f"WHEN {i} THEN {ok}" for i, (_, ok) in enumerate(_NUMBERS)) + " END AS ok, CASE WHEN CASE c_custkey % 16 " + " ".join(f"WHEN {i} THEN {ok}" for i, (_, ok) in enumerate(_NUMBERS)) + " END THEN regexp_replace(replace(CASE c_custkey % 16 " + " ".join(f"WHEN {i} THEN '{head}'" for i, (head, _) in enumerate(_NUMBERS)) + " END, '(0)', ''), '[^0-9+]', '', 'g') || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') END AS number FROM customer")
 def parse_phones(spark, sf_dir):
-    """Numbers with and without a country code that is in use."""
-    last = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
-    kinds = (F.concat(F.lit("+1 (415) 555-"), last), F.concat(F.lit("+1000000"), last), F.concat(F.lit("415-555-"), last), F.concat(F.lit("+44 20 7183 "), last))
-    number = F.coalesce(*[F.when(F.col("c_custkey") % 4 == i, k) for i, k in enumerate(kinds)])
-    return table(spark, sf_dir, "customer").select("c_custkey", parse_phone(number)["ok"].alias("ok"))
+    """Numbers of many countries, some of them too short, without a code or of no plan."""
+    heads = F.array(*[F.lit(head) for head, _ in _NUMBERS])
+    number = F.concat(F.get(heads, (F.col("c_custkey") % len(_NUMBERS)).cast("int")), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"))
+    parsed = parse_phone(number)
+    return table(spark, sf_dir, "customer").select("c_custkey", parsed["ok"].alias("ok"), F.when(parsed["ok"], parsed["value"]).alias("number"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' North Main Avenue Suite 5' WHEN 1 THEN 'Moskva Strasse ' || c_custkey ELSE 'Saint Mary Avenue ' || c_custkey END AS address FROM customer")
@@ -862,15 +870,17 @@ def _html_sql() -> str:
     text = f"regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g')"
     text = f"regexp_replace({text}, '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\\b[^>]*>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]+>', '', 'g')"
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         text = f"replace({text}, '{name}', '{sign}')"
     text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[\\s]*', chr(10), 'g')"
-    return f"SELECT page_id, md5(regexp_replace({text}, '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM pages"
+    return f"SELECT page_id, md5(regexp_replace({text}, '^\\s+|\\s+$', '', 'g') || chr(10) || '1 < 2 ’éb') AS text_md5 FROM pages"
 
 
 @query(_html_sql())
 def html_texts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_text(F.col("html"))).alias("text_md5"))
+    """Texts of pages, with a bare bracket, references, a bracket in quotes and an open comment behind each."""
+    page = F.concat("html", F.lit("<p>1 < 2 &#8217;&eacute;<b title='x > y'>b</b><!-- open <p>no"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_text(page)).alias("text_md5"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || chr(10) || chr(10) || '[truncated, original was ' || length(text) || ' chars]' ELSE text END AS text FROM conversations")

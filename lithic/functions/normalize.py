@@ -132,44 +132,90 @@ def parse_email(text: Column) -> Column:
     return F.struct(F.when(ok, value).otherwise(text).alias("value"), ok.alias("ok"))
 
 
-# Country calling codes in use, by their first digits.
-CALLING = (
-    "1", "7", "2(?:0|7|1[12368]|2\\d|3\\d|4\\d|5[0-8]|6\\d|9[01789])", "3(?:[0-469]|5\\d|7[0-8]|8[0-3567]|89)", "4(?:[013-9]|2[013])", "5(?:[1-8]|0\\d|9\\d)",
-    "6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])", "8(?:[1246]|0[08]|5[02356]|7[08]|8[012368])", "9(?:[0-58]|6[0-8]|7[0-79]|9[2-68])",
+# National numbers by country calling code, without trunk prefix.
+PLANS = {
+    "1": r"[2-9]\d{2}[2-9]\d{6}", "7": r"[34689]\d{9}|7\d{9}", "20": r"1[0125]\d{8}|[23]\d{7,8}|[4-9]\d{7,8}", "27": r"[1-8]\d{8}", "30": r"[26]\d{9}", "31": r"[1-9]\d{8}", "32": r"4\d{8}|[1-9]\d{7}", "33": r"[1-9]\d{8}", "34": r"[5-9]\d{8}",
+    "36": r"[1-9]\d{7,8}", "39": r"0\d{5,10}|3\d{8,9}|[89]\d{5,9}", "40": r"[2-9]\d{8}", "41": r"[2-9]\d{8}", "43": r"[1-9]\d{3,12}", "44": r"[1235]\d{9}|7\d{9}|[89]\d{8,9}|1\d{8}", "45": r"[2-9]\d{7}", "46": r"[1-9]\d{6,9}", "47": r"[2-9]\d{7}", "48": r"[1-9]\d{8}",
+    "49": r"1[567]\d{8,9}|[2-9]\d{5,10}|1[0-489]\d{4,9}", "51": r"9\d{8}|[1-8]\d{7}", "52": r"[2-9]\d{9}", "54": r"9?[1-368]\d{9}", "55": r"[1-9]{2}(?:9\d{8}|[2-5]\d{7})", "56": r"[2-9]\d{8}", "57": r"[36]\d{9}", "58": r"[24]\d{9}", "60": r"[1-9]\d{7,9}", "61": r"[2-478]\d{8}",
+    "62": r"[1-9]\d{6,11}", "63": r"[2-9]\d{7,9}", "64": r"[2-9]\d{7,9}", "65": r"[3689]\d{7}", "66": r"[2-9]\d{7,8}", "81": r"[1-9]\d{8,9}", "82": r"[1-9]\d{7,9}", "84": r"[2-9]\d{8,9}", "86": r"1[3-9]\d{9}|[2-9]\d{8,10}|10\d{8}", "90": r"[2-5]\d{9}", "91": r"[1-9]\d{9}",
+    "92": r"[2-9]\d{8,9}", "94": r"[1-9]\d{8}", "98": r"[1-9]\d{9}", "234": r"[1-9]\d{6,9}", "254": r"[1-9]\d{6,9}", "351": r"[2-9]\d{8}", "353": r"[1-9]\d{6,9}", "354": r"[4-9]\d{6}", "358": r"[1-9]\d{4,11}", "359": r"[2-9]\d{6,8}", "370": r"[3-9]\d{7}", "371": r"[2689]\d{7}",
+    "372": r"[3-9]\d{6,7}", "380": r"[3-9]\d{8}", "385": r"[1-9]\d{7,8}", "386": r"[1-7]\d{7}", "420": r"[2-9]\d{8}", "421": r"[2-9]\d{8}", "852": r"[2-9]\d{7}", "886": r"[2-9]\d{7,8}", "966": r"[1-9]\d{8}", "971": r"[2-9]\d{7,8}", "972": r"[2-9]\d{7,8}",
+}
+# The other calling codes in use; of their numbers only the length is known here.
+OTHER_CODES = (
+    "21[12368]", "22\\d", "23[0-35-9]", "24\\d", "25[0-35-8]", "26\\d", "29[01789]", "350", "35[2567]", "37[3-8]", "38[1-3789]", "423", "50\\d", "53", "59\\d", "67[02-9]", "68[0-35-9]", "69[0-2]",
+    "80[08]", "85[0356]", "870", "878", "88[0-38]", "93", "95", "96[0-57-8]", "97[03-79]", "99[2-68]",
 )
+# Calling codes and trunk prefixes of regions.
+REGIONS = {
+    "US": ("1", "1"), "CA": ("1", "1"), "GB": ("44", "0"), "IE": ("353", "0"), "DE": ("49", "0"), "AT": ("43", "0"), "CH": ("41", "0"), "FR": ("33", "0"), "NL": ("31", "0"), "BE": ("32", "0"), "SE": ("46", "0"), "FI": ("358", "0"), "AU": ("61", "0"), "NZ": ("64", "0"), "JP": ("81", "0"), "KR": ("82", "0"),
+    "IN": ("91", "0"), "CN": ("86", "0"), "ZA": ("27", "0"), "TR": ("90", "0"), "BR": ("55", "0"), "UA": ("380", "0"), "RU": ("7", "8"), "IT": ("39", ""), "ES": ("34", ""), "PT": ("351", ""), "DK": ("45", ""), "NO": ("47", ""), "PL": ("48", ""), "CZ": ("420", ""), "GR": ("30", ""), "MX": ("52", ""), "SG": ("65", ""),
+}
 
 
 def parse_phone(text: Column, region: str | None = None) -> Column:
     """Struct (value, ok) in E.164 form; without a region only numbers with a plus sign.
 
-    The country code must be in use, and numbers of the North American plan must have its
-    form; further rules of countries are not known here.
+    The calling code must be in use, and the national number must have the first digits and
+    the length of its country's plan, as far as PLANS knows it. A trunk zero behind the code
+    is dropped where it stands in brackets, and where only without it the number fits.
+    Letters and extensions are refused.
     """
-    digits = F.regexp_replace(F.trim(text), r"[\s().\-]", "")
-    american = r"[2-9]\d{2}[2-9]\d{6}"
-    other = "|".join(CALLING[1:])
-    number = F.when(digits.rlike(rf"^\+(1{american}|(?=\d{{7,15}}$)(?:{other})\d+)$"), digits)
-    if region in ("US", "CA"):
-        local = F.regexp_extract(digits, rf"^1?({american})$", 1)
-        number = F.coalesce(number, F.when(local != "", F.concat(F.lit("+1"), local)))
+    digits = F.regexp_replace(F.regexp_replace(F.trim(text), r"^(\+[\d\s.\-]+)\(0\)", "$1"), r"[\s().\-/]", "")
+    codes = [f"{code}(?:{plan})" for code, plan in sorted(PLANS.items())]
+    known = rf"^\+(?:{'|'.join(codes)})$"
+    other = rf"^\+(?=\d{{7,15}}$)(?:{'|'.join(OTHER_CODES)})[1-9]\d+$"
+    zeros = "|".join(c for c, trunk in sorted(set(REGIONS.values())) if trunk == "0")
+    bare = F.regexp_replace(digits, rf"^(\+(?:{zeros}))0", "$1")
+    number = F.when(digits.rlike(known) | digits.rlike(other), digits).when(bare.rlike(known), bare)
+    if region is not None:
+        code, trunk = REGIONS[region]
+        local = F.regexp_extract(digits, rf"^(?:{trunk})?({PLANS[code]})$", 1)
+        number = F.coalesce(number, F.when(local != "", F.concat(F.lit(f"+{code}"), local)))
     return F.struct(F.coalesce(number, text).alias("value"), number.isNotNull().alias("ok"))
 
 
-#: Formats of dates in numbers, month before day, and with names of months.
-NUMBER_DATES = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "yyyyMMdd")
-NAMED_DATES = ("d-MMM-yyyy", "d MMM yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d yyyy", "yyyy MMM d", "yyyy MMMM d", "d-MMMM-yyyy")
+# Names of months, and words that may stand in a date besides them.
+MONTHS = (
+    "january jan januar janvier enero gennaio janeiro januari", "february feb februar février fevrier febrero febbraio fevereiro februari", "march mar märz maerz mars marzo março maart", "april apr avril abril aprile",
+    "may mai mayo maggio maio mei", "june jun juni juin junio giugno junho", "july jul juli juillet julio luglio julho", "august aug août aout agosto augustus", "september sept sep septembre septiembre settembre setembro",
+    "october oct oktober octobre octubre ottobre outubro", "november nov novembre noviembre novembro", "december dec dezember décembre decembre diciembre dicembre dezembro",
+)
+DATE_WORDS = "of the de del den der le am on monday mon tuesday tue tues wednesday wed thursday thu thur thurs friday fri saturday sat sunday sun t z utc gmt"
+#: Two-digit years from here on are of the last century.
+PIVOT = 69
 
 
 def parse_date(text: Column) -> Column:
-    """Struct (value, ok) with an ISO date; month before day where both are numbers.
-
-    The day is that which the text names, whatever time and zone stand behind it; names of
-    weekdays, commas and endings of ordinals are passed over.
+    """Struct (value, ok) with an ISO date.
+
+    A date is three fields in any of their orders: a day of one or two digits, a month of one
+    or two digits or a name, a year of two or four digits. With a name, the other two are
+    day and year, unless the first has four digits. In numbers, a year of four digits first
+    means year, month, day (or year, day, month, if only that is a date); else month comes
+    before day, or day before month where dots part them, unless only the other order is a date. Eight digits are year, month, day. A
+    time and its zone at the end, weekdays, commas, endings of ordinals and words like ``of``
+    are passed over. Dates without one of the fields, and any other word, are refused.
     """
-    day = F.regexp_replace(F.trim(text), r"(?i)(?:T|\s+|,\s*)\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[ap]m)?\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})?$", "")
-    named = F.regexp_replace(F.lower(day), r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b[.,]?\s*", "")
-    named = F.regexp_replace(F.regexp_replace(F.regexp_replace(named, r"(\d)(?:st|nd|rd|th)\b", "$1"), r"[,.]|\bof\b", " "), r"\bsept\b", "sep")
-    named = F.initcap(F.trim(F.regexp_replace(named, r"\s+", " ")))
-    dashed = F.concat_ws("-", F.transform(F.split(named, "-"), F.initcap))
-    found = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in NUMBER_DATES], *[F.try_to_timestamp(dashed if "-" in f else named, F.lit(f)) for f in NAMED_DATES])
+    time = r"(?:t|\s+|,\s*|\s+at\s+)\d{1,2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:[ap]\.?m\.?)?|\s*[ap]\.?m\.?)\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
+    low = F.regexp_replace(F.lower(F.trim(text)), time, "")
+    low = F.regexp_replace(low, r"(\d)(?:st|nd|rd|th|er|º|ª)\b", "$1")
+    low = F.regexp_replace(low, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    plain = ~low.rlike(r"[^\d\p{L}\s,./'’\-]") & ~low.rlike(r"\d\p{L}{3,}\d|--|//|\.\.")
+    tokens = F.regexp_extract_all(low, F.lit(r"(\d+|\p{L}+)"), 1)
+    numbers = F.filter(tokens, lambda t: t.rlike(r"^\d"))
+    months = F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS, 1) for name in names.split() for x in (name, str(i))])
+    words = F.filter(tokens, lambda t: ~t.rlike(r"^\d"))
+    named = F.filter(F.transform(words, lambda w: F.try_element_at(months, w)), lambda m: m.isNotNull())
+    other = F.filter(words, lambda w: F.try_element_at(months, w).isNull() & ~w.isin(DATE_WORDS.split()))
+    field = lambda i: F.get(numbers, F.lit(i))
+    short = lambda c: F.length(c) <= 2
+    whole = lambda c: F.when(F.length(c) == 4, c).when(F.length(c) == 2, F.when(c.cast("int") < PIVOT, F.concat(F.lit("20"), c)).otherwise(F.concat(F.lit("19"), c)))
+    made = lambda y, m, d: F.when(short(d), F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-M-d")))
+    year_first = F.length(field(0)) == 4
+    month = F.get(named, F.lit(0))
+    with_name = F.when(year_first, made(field(0), month, field(1))).otherwise(made(whole(field(1)), month, field(0)))
+    a, b, c = field(0), field(1), field(2)
+    in_numbers = F.when(year_first, F.coalesce(made(a, b, c), made(a, c, b))).when(low.rlike(r"^\d+\.\d+\.\d+$"), F.coalesce(made(whole(c), b, a), made(whole(c), a, b))).otherwise(F.coalesce(made(whole(c), a, b), made(whole(c), b, a)))
+    found = F.when((F.size(other) == 0) & plain, F.when((F.size(named) == 1) & (F.size(numbers) == 2), with_name).when((F.size(named) == 0) & (F.size(numbers) == 3), in_numbers))
     return F.struct(F.coalesce(F.date_format(found, "yyyy-MM-dd"), text).alias("value"), found.isNotNull().alias("ok"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,14 +64,24 @@ def citations(transcript: Column) -> Column:
     return F.coalesce(shaped, F.from_json(F.lit("[]"), "array<struct<url:string,title:string,cited_text:string>>"))
 
 
+#: Full-width signs and the ASCII ones that clients read in their place, dots of other scripts among them.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3002\uff61"
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + ".."
+
+
 def safe_url(url: Column) -> Column:
     """Whether an address is http(s) and does not name a private, local or reserved host.
 
-    Numeric hosts count only as four decimal numbers without leading zeros, bracketed ones
-    only as global unicast addresses without an embedded older one; dots at the end of a
-    name are dropped first.
+    The authority is read as clients do: up to the first slash, question mark or hash, without
+    what stands before an ``@``; with more than one ``@``, or with backslashes, spaces or
+    percent signs, clients differ, and it is refused. Full-width signs and dots of other
+    scripts count as the ASCII ones, numerals of other scripts are refused. Numeric hosts
+    count only as four decimal numbers without leading zeros, bracketed ones only as global
+    unicast addresses without an embedded older one; dots at the end of a name are dropped.
     """
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    authority = F.translate(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), _WIDE, _NARROW)
+    clear = ~authority.rlike(r"@.*@|[\\\s%\p{Cc}\p{Cf}]|[\p{N}&&[^0-9]]") & ~authority.rlike("[/?#]")
+    host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^[^@]*@", ""), r":\d*$", ""))
     host = F.regexp_replace(host, r"\.+$", "")
     web = F.lower(url).rlike("^https?://")
     # Address ranges and names that are not public.
@@ -79,18 +91,53 @@ def safe_url(url: Column) -> Column:
     numeric = host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*$")
     fine = host.rlike(rf"^{octet}(\.{octet}){{3}}$") & ~host.rlike(closed)
     global6 = host.rlike(r"^\[[23][0-9a-f]{3}:[0-9a-f:]+\]$") & ~host.rlike(r"^\[(2001:(0{0,3}:|0?db8:)|2002:)")
-    named = ~numeric & ~host.rlike(local) & host.rlike(r"^[^\[\]\s%]+$")
-    return F.coalesce(web & (host != "") & F.when(host.startswith("["), global6).when(numeric, fine).otherwise(named), F.lit(False))
+    named = ~numeric & ~host.rlike(local) & host.rlike(r"^[^\[\]:]+$")
+    return F.coalesce(web & clear & (host != "") & F.when(host.startswith("["), global6).when(numeric, fine).otherwise(named), F.lit(False))
+
+
+#: What stands inside a tag: quoted values, which may hold an angle bracket, and the rest.
+_INSIDE = r"""(?:[^<>"']++|"[^"]*+(?:"|$)|'[^']*+(?:'|$)|<)*+"""
+#: Names of characters as HTML 4 has them, and the signs that numbers from 128 to 159 stand for there.
+_NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+_SIGNS = {code: bytes([code]).decode("cp1252", "replace") for code in range(128, 160)} | {160: " "}
+#: Names that end without a semicolon, too.
+_OPEN_NAMES = "amp|lt|gt|quot|nbsp"
+
+
+def references(text: Column) -> Column:
+    """The text with its character references read: by name, by decimal or hexadecimal number; what is none stays."""
+    # The first part stands before any ampersand.
+    parts = F.split(text, "&", -1)
+    names = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")
+    signs = F.from_json(F.lit(json.dumps(_SIGNS)), "map<string,string>")
+
+    def read(part: Column, n: Column) -> Column:
+        number = F.regexp_extract(part, r"^#(\d{1,7}|[xX][0-9a-fA-F]{1,6});?", 1)
+        code = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, F.lit(2), F.length(number)), 16, 10)).otherwise(number).try_cast("int")
+        strange = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        sign = F.when(strange, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(signs, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")))
+        name = F.coalesce(F.try_element_at(names, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)), F.try_element_at(names, F.regexp_extract(part, rf"^({_OPEN_NAMES})(?![A-Za-z0-9=])", 1)))
+        rest = lambda pattern: F.regexp_replace(part, pattern, "")
+        found = F.when(number != "", F.concat(sign, rest(r"^#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});?"))).when(name.isNotNull(), F.concat(name, rest(r"^[A-Za-z][A-Za-z0-9]*;?")))
+        return F.when(n == 0, part).otherwise(F.coalesce(found, F.concat(F.lit("&"), part)))
+
+    return F.array_join(F.transform(parts, read), "")
 
 
 def html_text(html: Column) -> Column:
-    """The text of a page: without scripts, styles, comments and tags, named characters read, blocks on lines of their own."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[\s]*", "\n")
+    """The text of a page, blocks on lines of their own.
+
+    Comments, scripts, styles and declarations go, to the end of the page where they are not
+    closed. A tag is an angle bracket before a letter, or a slash and a letter, up to the next
+    closing bracket outside of quotes; any other bracket is text. Then references are read.
+    """
+    text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", " ")
+    text = F.regexp_replace(text, rf"(?is)<(script|style|noscript|template)\b{_INSIDE}(?:>|$).*?(?:</\1\s*>|$)", " ")
+    text = F.regexp_replace(text, r"(?s)<[!?][^>]*(?:>|$)", " ")
+    text = F.regexp_replace(text, rf"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\b{_INSIDE}(?:>|$)", "\n")
+    text = F.regexp_replace(text, rf"</?[A-Za-z]{_INSIDE}(?:>|$)", "")
+    text = references(text)
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\xa0]+", " "), r" ?\n[\s]*", "\n")
     return _strip(text)
 
 
