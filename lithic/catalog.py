@@ -328,7 +328,13 @@ def _soundex(x: str) -> str:
 
 
 _measure("soundex", "p_name", f"CASE WHEN {_soundex('a.p_name')} = {_soundex('b.p_name')} THEN 1 ELSE 0 END")
-_measure("metaphone", "p_name")
+_measure("metaphone", "p_name", f"CASE WHEN {tx.metaphone_sql('a.p_name')} = {tx.metaphone_sql('b.p_name')} AND {tx.metaphone_sql('a.p_name')} <> '' THEN 1.0 ELSE 0.0 END")
+
+
+@query(f"SELECT p_partkey, {tx.metaphone_sql('p_name')} AS code, {tx.metaphone_sql('reverse(p_name)')} AS back FROM part")
+def metaphone_codes(spark, sf_dir):
+    """The sounds of names, and of the names spelled backwards."""
+    return table(spark, sf_dir, "part").select("p_partkey", tx.metaphone(F.col("p_name")).alias("code"), tx.metaphone(F.reverse("p_name")).alias("back"))
 _G = "CASE WHEN length({x}.p_name) <= 3 THEN [{x}.p_name] ELSE list_transform(range(1, length({x}.p_name) - 1), lambda i: substr({x}.p_name, i, 3)) END"
 _HOW_OFTEN = "len(list_filter({list}, lambda t: t = g))"
 _ga, _gb = _G.format(x="a"), _G.format(x="b")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lithic.functions import text
 from lithic.functions.types import to_timestamp
@@ -73,43 +71,38 @@ def metaphone(a: Column, b: Column) -> Column:
     return _guard(a, b, ((x == y) & (x != "")).cast("double"))
 
 
-def _jaro_winkler(s: str | None, t: str | None) -> float:
-    if not s or not t:
-        return 0.0
-    if s == t:
-        return 1.0
-    reach = max(0, max(len(s), len(t)) // 2 - 1)
-    used, first = [False] * len(t), []
-    for i, c in enumerate(s):
-        for j in range(max(0, i - reach), min(len(t), i + reach + 1)):
-            if not used[j] and t[j] == c:
-                used[j] = True
-                first.append(c)
-                break
-    if not first:
-        return 0.0
-    second = [c for c, u in zip(t, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(first, second, strict=True)) // 2
-    m = len(first)
-    jaro = (m / len(s) + m / len(t) + (m - swaps) / m) / 3
-    same = 0
-    for x, y in zip(s[:4], t[:4], strict=False):
-        if x != y:
-            break
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
-
-
-@F.pandas_udf(T.DoubleType())
-def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Once per distinct pair of a batch."""
-    pairs = list(zip(a, b, strict=True))
-    known = {p: _jaro_winkler(*p) for p in set(pairs)}
-    return pd.Series([known[p] for p in pairs], dtype=float)
+#: Stands for a character that has found its partner; no character of a text.
+_TAKEN = "\uffff"
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return _jaro_winkler_batch(a, b)
+    """Share of common characters in similar places, more for equal beginnings of up to four.
+
+    A fold over the first text: each character takes the first free equal one of the second
+    within reach, which is marked there; the characters in the order in which they were
+    taken are then compared with those in the order of the second text.
+    """
+    x, y = F.length(a), F.length(b)
+    reach = F.greatest(F.lit(0), F.floor(F.greatest(x, y) / 2).cast("int") - 1)
+    begin = F.struct(b.alias("left"), F.lit("").alias("taken"))
+
+    def take(state: Column, i: Column) -> Column:
+        letter = F.substring(a, i, F.lit(1))
+        place = F.call_function("locate", letter, state["left"], F.greatest(F.lit(1), i - reach))
+        found = (place > 0) & (place <= i + reach)
+        return F.when(found, F.struct(F.overlay(state["left"], F.lit(_TAKEN), place, F.lit(1)).alias("left"), F.concat(state["taken"], letter).alias("taken"))).otherwise(state)
+
+    def score(state: Column) -> Column:
+        m = F.length(state["taken"])
+        second = F.aggregate(F.sequence(F.lit(1), y), F.lit(""), lambda s, j: F.when(F.substring(state["left"], j, F.lit(1)) == _TAKEN, F.concat(s, F.substring(b, j, F.lit(1)))).otherwise(s))
+        moved = F.when(second == state["taken"], 0).otherwise(F.aggregate(F.sequence(F.lit(1), m), F.lit(0), lambda n, k: n + (F.substring(state["taken"], k, F.lit(1)) != F.substring(second, k, F.lit(1))).cast("int")))
+        jaro = (m / x + m / y + (m - F.floor(moved / 2)) / m) / 3
+        same = F.lit(0)
+        for k in (4, 3, 2, 1):  # the longest beginning that both share
+            same = F.when((F.least(x, y) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), F.greatest(same, F.lit(k))).otherwise(same)
+        return F.when(m == 0, 0.0).otherwise(F.when(jaro > 0.7, jaro + same * 0.1 * (1 - jaro)).otherwise(jaro))
+
+    return _guard(a, b, F.when(a == b, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), x), begin, take, score)))
 
 
 REGISTRY = {

@@ -6,10 +6,8 @@ import json
 import re
 from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RESULT_CHARS, PREVIEW_CHARS = 30_000, 300
 CITATIONS = "array<struct<content:array<struct<citations:array<struct<url:string,title:string,cited_text:string>>>>>>"
@@ -196,31 +194,41 @@ _SOUNDS: dict[str, list[tuple[str, str, str]]] = {
 }
 
 
-def metaphone_code(text: str) -> str:
-    """The sounds of a text's words; empty without letters."""
-    out = []
-    for word in re.findall("[A-Z]+", text.upper()):
-        code = ""
-        if re.match("KN|GN|PN|WR|AE", word):
-            word = word[1:]
-        elif word.startswith("WH"):
-            word = "W" + word[2:]
-        for i, c in enumerate(word):
-            before, after = word[:i], word[i + 1 :]
-            if i and c == word[i - 1] and c != "C":
-                continue
-            if c in _VOWELS:
-                code += c if i == 0 else ""
-                continue
-            for left, right, sound in _SOUNDS[c]:
-                if re.search(left, before) and re.search(right, after):
-                    code += sound
-                    break
-        out.append(code)
-    return " ".join(c for c in out if c)
-
-
-@F.pandas_udf(T.StringType())
-def metaphone(texts: pd.Series) -> pd.Series:
-    """The code of each text, worked out once per distinct text of a batch."""
-    return texts.map({t: metaphone_code(t) for t in texts.dropna().unique()})
+def metaphone(text: Column) -> Column:
+    """The sounds of a text's words, joined by spaces; empty without letters.
+
+    A fold over the letters of each word; a letter's sound follows from what stands before
+    and behind it. Of silent first letters and of doubled ones but C nothing is heard, of
+    vowels only those that come first.
+    """
+
+    def code(word: Column) -> Column:
+        word = F.regexp_replace(F.regexp_replace(word, "^(?:[KGP](?=N)|W(?=R)|A(?=E))", ""), "^WH", "W")
+
+        def sound(out: Column, i: Column) -> Column:
+            letter, before, after = F.substring(word, i, F.lit(1)), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))
+            heard = F.when((i > 1) & (letter == F.substring(word, i - 1, F.lit(1))) & (letter != "C"), "").when(letter.isin(*_VOWELS), F.when(i == 1, letter).otherwise(F.lit("")))
+            for name, contexts in _SOUNDS.items():
+                own = F.lit("")
+                for left, right, told in reversed(contexts):
+                    own = F.when((before.rlike(left) if left else F.lit(True)) & (after.rlike(right) if right else F.lit(True)), told).otherwise(own) if left or right else F.lit(told)
+                heard = heard.when(letter == name, own)
+            return F.concat(out, heard)
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word))), F.lit(""), sound)
+
+    words = F.transform(F.regexp_extract_all(F.upper(text), F.lit("([A-Z]+)"), 1), code)
+    return F.array_join(F.filter(words, lambda c: c != ""), " ")
+
+
+def metaphone_sql(text: str) -> str:
+    """The same in DuckDB SQL, from the same table of sounds."""
+    letter, before, after = "w[i]", "w[1:i-1]", "w[i+1:]"
+    whens = [f"WHEN i > 1 AND {letter} = w[i-1] AND {letter} <> 'C' THEN ''", f"WHEN {letter} IN ('A', 'E', 'I', 'O', 'U') THEN CASE WHEN i = 1 THEN {letter} ELSE '' END"]
+    for name, contexts in _SOUNDS.items():
+        for left, right, told in contexts:
+            on = " AND ".join([f"{letter} = '{name}'", *([f"regexp_matches({before}, '{left}')"] if left else []), *([f"regexp_matches({after}, '{right}')"] if right else [])])
+            whens.append(f"WHEN {on} THEN '{told}'")
+    code = f"array_to_string(list_transform(range(1, length(w) + 1), lambda i: CASE {' '.join(whens)} END), '')"
+    cut = "regexp_replace(CASE WHEN regexp_matches(v, '^(KN|GN|PN|WR|AE)') THEN v[2:] ELSE v END, '^WH', 'W')"
+    return f"array_to_string(list_filter(list_transform(list_transform(regexp_extract_all(upper({text}), '[A-Z]+'), lambda v: {cut}), lambda w: {code}), lambda c: c <> ''), ' ')"

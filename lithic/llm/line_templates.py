@@ -361,7 +361,10 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = staged(rows.mapInArrow(Task(_emit), "doc_id long, key long, leaf long"), "lines")
     kind = F.col("key").bitwiseAND(F.lit(3).cast("long"))
-    recurring = keys.where(kind != _WHOLE).groupBy("key").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()  # else a document gives each key once
+    counted = keys.where(kind != _WHOLE)
+    counted = counted.dropDuplicates(["doc_id", "key"]) if repeated else counted
+    recurring = counted.groupBy("key").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     recurring = recurring.where((F.col("documents") >= F.when(kind == _UNIT, DOCUMENTS).otherwise(DOCUMENTS_SHORT)) & (F.col("first") < F.col("last"))).select("key", "first")
     leaves = docs.sparkSession.sparkContext.broadcast(_shared_leaves(keys))  # 2 ** _LEAF_BITS bits
     gathered = rows.mapInArrow(Task(_Gather(leaves)), _Gather.SCHEMA).repartition("leaf").sortWithinPartitions("leaf")
