@@ -75,6 +75,10 @@ def metaphone(a: Column, b: Column) -> Column:
 _TAKEN = "\uffff"
 
 
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Share of common characters in similar places, more for equal beginnings of up to four.
 
@@ -84,25 +88,26 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     """
     x, y = F.length(a), F.length(b)
     reach = F.greatest(F.lit(0), F.floor(F.greatest(x, y) / 2).cast("int") - 1)
-    begin = F.struct(b.alias("left"), F.lit("").alias("taken"))
+    begin = F.struct(b.alias("left"), F.lit("").alias("taken"), F.lit(0).alias("i"), reach.alias("reach"))
 
-    def take(state: Column, i: Column) -> Column:
-        letter = F.substring(a, i, F.lit(1))
-        place = F.call_function("locate", letter, state["left"], F.greatest(F.lit(1), i - reach))
-        found = (place > 0) & (place <= i + reach)
-        return F.when(found, F.struct(F.overlay(state["left"], F.lit(_TAKEN), place, F.lit(1)).alias("left"), F.concat(state["taken"], letter).alias("taken"))).otherwise(state)
+    def take(state: Column, letter: Column) -> Column:
+        i = state["i"] + 1
+        place = F.call_function("locate", letter, state["left"], F.greatest(F.lit(1), i - state["reach"]))
+        kept = F.struct(state["left"].alias("left"), state["taken"].alias("taken"), i.alias("i"), state["reach"].alias("reach"))
+        paired = F.struct(F.overlay(state["left"], F.lit(_TAKEN), place, F.lit(1)).alias("left"), F.concat(state["taken"], letter).alias("taken"), i.alias("i"), state["reach"].alias("reach"))
+        return F.when((place > 0) & (place <= i + state["reach"]), paired).otherwise(kept)
 
     def score(state: Column) -> Column:
         m = F.length(state["taken"])
-        second = F.aggregate(F.sequence(F.lit(1), y), F.lit(""), lambda s, j: F.when(F.substring(state["left"], j, F.lit(1)) == _TAKEN, F.concat(s, F.substring(b, j, F.lit(1)))).otherwise(s))
-        moved = F.when(second == state["taken"], 0).otherwise(F.aggregate(F.sequence(F.lit(1), m), F.lit(0), lambda n, k: n + (F.substring(state["taken"], k, F.lit(1)) != F.substring(second, k, F.lit(1))).cast("int")))
+        second = F.filter(F.zip_with(_letters(b), _letters(state["left"]), lambda c, mark: F.when(mark == _TAKEN, c)), lambda c: c.isNotNull())
+        moved = F.size(F.filter(F.zip_with(_letters(state["taken"]), second, lambda c, d: c != d), lambda differs: differs))
         jaro = (m / x + m / y + (m - F.floor(moved / 2)) / m) / 3
         same = F.lit(0)
         for k in (4, 3, 2, 1):  # the longest beginning that both share
             same = F.when((F.least(x, y) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), F.greatest(same, F.lit(k))).otherwise(same)
         return F.when(m == 0, 0.0).otherwise(F.when(jaro > 0.7, jaro + same * 0.1 * (1 - jaro)).otherwise(jaro))
 
-    return _guard(a, b, F.when(a == b, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), x), begin, take, score)))
+    return _guard(a, b, F.when(a == b, 1.0).otherwise(F.aggregate(_letters(a), begin, take, score)))
 
 
 REGISTRY = {

@@ -329,3 +329,18 @@ def test_tool_chat_many_calls(spark):
     chat = base.select(F.lit(1).alias("conv_id"), (100_000 - n).alias("turn"), F.lit("assistant").alias("role"), call.alias("text")).unionByName(base.select(F.lit(1).alias("conv_id"), (200_000 - n).alias("turn"), F.lit("tool").alias("role"), answer.alias("text")))
     got = tool_chat.link(chat).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("linked").alias("linked"), F.max("level").alias("most"), F.sum("level").alias("levels")).collect()
     assert sorted(map(tuple, got)) == [("call", 100_000, 100_000, 18, 900_000), ("result", 100_000, 100_000, 19, 1_000_000)]
+
+
+# op10: rows that share an id
+
+
+def test_line_dedup_counts_documents(spark):
+    """A short line of seven documents stays, in however many rows and slices they come; of eight it goes."""
+    from lithic.llm import line_templates
+
+    draw = random.Random(5)
+    own = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    rows = [(i % 7, f"seven of us\n{own()}") for i in range(40)] + [(100 + i, f"{own()}\neight of us") for i in range(8)]
+    got = line_templates.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sum("seven of us" in r.text for r in got) == 40
+    assert [r.doc_id for r in got if "eight of us" in r.text] == [100]
