@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from lithic.functions.types import cell
 
 GROUPS, CONFIDENCE, CORRELATION, ROWS = 3, 95.0, 0.95, 10
 COVERAGE, RELATION = 0.5, 50.0
+#: Bits of a column's map of hashed values, as a power of two.
+SLOTS = 18
 # Fixed value: how descriptions of such issues begin.
 FK_LABEL = "[FK violation]"
 
@@ -61,25 +65,64 @@ def name_similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x | y else 0.0
 
 
+@dataclass
+class Sketch:
+    """What is known of a column's distinct values: how many, the least, the greatest, and the slots that their hashes take."""
+
+    kind: str
+    distinct: int
+    rows: int
+    least: str
+    greatest: str
+    slots: np.ndarray
+
+    def may_hold(self, child: Sketch, coverage: float = COVERAGE) -> bool:
+        """Whether this column can have a share of a child's values: False is certain, True is not.
+
+        A slot of the child that this column does not take stands for a value that it lacks.
+        """
+        lacking = int(np.bitwise_count(child.slots & ~self.slots).sum())
+        most = min(self.distinct, child.distinct - lacking)
+        return self.kind == child.kind and self.least <= child.greatest and child.least <= self.greatest and most >= coverage * child.distinct
+
+
+def sketches(values: DataFrame) -> dict[int, Sketch]:
+    """The sketch of each column id of (id, kind, value, n); 2 ** SLOTS bits a column come to the driver."""
+    facts = values.groupBy("id").agg(F.first("kind").alias("kind"), F.count("*").alias("distinct"), F.sum("n").alias("rows"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+    out = {r["id"]: Sketch(r["kind"], r["distinct"], r["rows"], r["least"], r["greatest"], np.zeros((1 << SLOTS) // 8, np.uint8)) for r in facts.collect()}
+    slot = F.pmod(F.xxhash64("value"), F.lit(1 << SLOTS)) + 1  # buckets count from 1
+    parts = values.select("id", slot.alias("slot")).groupBy("id", F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    for r in parts.collect():
+        at = (r["bucket"] - 1) * 4096
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)[: (1 << SLOTS) // 8 - at]
+        out[r["id"]].slots[at : at + len(part)] |= part
+    return out
+
+
 def relationships(tables: dict[str, DataFrame], columns: dict[str, list[str]], kinds: dict[tuple[str, str], str]) -> DataFrame:
     """Suggested parent-child pairs of columns of different tables, by inclusion of distinct values.
 
-    All columns' distinct values form one table that is joined with itself on type and
-    value; coverage is the share of a child's values that its parent has.
+    Coverage is the share of a child's values that its parent has. Sketches of all columns
+    refute most pairs before any values are joined: kinds, counts, ranges and the slots of
+    hashed values bound what a parent can cover. Only the values of a child are then sent to
+    each parent that is left.
     """
     spark = next(iter(tables.values())).sparkSession
-    parts, facts = [], []
+    parts, owners = [], []
     for t, df in tables.items():
         for c in columns[t]:
             one = df.where(cell(c).isNotNull()).groupBy(cell(c).cast("string").alias("value")).agg(F.count("*").alias("n"))
-            parts.append(one.select(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(kinds[t, c]).alias("kind"), "value", "n"))
+            parts.append(one.select(F.lit(len(owners)).alias("id"), F.lit(kinds[t, c]).alias("kind"), "value", "n"))
+            owners.append((t, c))
     values = reduce(DataFrame.unionByName, parts).persist()
-    sizes = values.groupBy("t", "c").agg(F.count("*").alias("distinct"), F.sum("n").alias("rows"))
-    p, k = values.alias("p"), values.alias("k")
-    both = p.join(k, (F.col("p.kind") == F.col("k.kind")) & (F.col("p.value") == F.col("k.value")) & (F.col("p.t") != F.col("k.t")))
-    hits = both.groupBy(F.col("p.t").alias("parent_table"), F.col("p.c").alias("parent_column"), F.col("k.t").alias("child_table"), F.col("k.c").alias("child_column")).agg(F.count("*").alias("common"))
-    child = sizes.select(F.col("t").alias("child_table"), F.col("c").alias("child_column"), F.col("distinct").alias("child_distinct"), F.col("rows").alias("child_rows"))
-    rows = hits.join(F.broadcast(child), ["child_table", "child_column"])  # a row per column
+    known = sketches(values)
+    pairs = [(p, k) for p in known for k in known if owners[p][0] != owners[k][0] and known[p].may_hold(known[k])]
+    sent = values.select(F.col("id").alias("k"), "value").join(F.broadcast(spark.createDataFrame(pairs, "p int, k int")), "k")  # pairs of columns
+    both = sent.join(values.select(F.col("id").alias("p"), "value"), ["p", "value"])
+    found = both.groupBy("p", "k").agg(F.count("*").alias("common")).collect() if pairs else []  # a row per pair of columns at most
+    values.unpersist()
+    hits = [(*owners[r["p"]], *owners[r["k"]], r["common"], known[r["k"]].distinct, known[r["k"]].rows) for r in found]
+    rows = spark.createDataFrame(hits, "parent_table string, parent_column string, child_table string, child_column string, common long, child_distinct long, child_rows long")
     names = [(a, b, name_similarity(a, b)) for a in {c for cs in columns.values() for c in cs} for b in {c for cs in columns.values() for c in cs}]
     near = spark.createDataFrame(names, "parent_column string, child_column string, name_similarity double")
     rows = rows.join(F.broadcast(near), ["parent_column", "child_column"])
