@@ -1,8 +1,10 @@
 """Workbooks (.xlsx) as tables: validation, inspection, cells and sheets.
 
 Files come in through Spark's ``binaryFile`` reader, so any file system that the cluster
-reads will do, and are parsed in Arrow batches. A file goes to one task: uploads are capped
-at ``MOST_BYTES``. Nothing but headers and column kinds, a row per column, reaches the driver.
+reads will do. One task inflates a file, of capped size, and cuts the XML of each wanted
+sheet before row tags into parts of ``PART`` bytes, without parsing it; the parts are dealt
+out and parsed in parallel, and shared texts, cut the same way, are joined to the cells that
+name them. Nothing but headers and column kinds, a row per column, reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from lithic.functions.types import cell
 
 MOST_BYTES = 25 * 1024 * 1024
+#: Bytes of XML that a task parses at once.
+PART = 4 << 20
 VERSION = "workbook/1"
 # The signature of compound files, which is what encrypted workbooks are.
 ENCRYPTED = "D0CF11E0A1B11AE1"
@@ -98,67 +103,141 @@ def sheet_names(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def read_cells(content: bytes, only: str | None = None) -> Iterator[tuple[str, int, int, int, str, str]]:
-    """(sheet, sheet index, row, column, kind, value) of every cell with a value, rows and columns from 1."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = [_texts(si) for si in ET.fromstring(book.read("xl/sharedStrings.xml"))]
-        dates = _date_styles(book)
-        props = ET.fromstring(book.read("xl/workbook.xml")).find(MAIN + "workbookPr")
-        late = props is not None and props.get("date1904") in ("1", "true")
-        for index, (name, part) in enumerate(sheet_names(book)):
-            if only is not None and name != only:
-                continue
-            at_row = 0
-            with book.open(part) as stream:
-                for _, row in ET.iterparse(stream):
-                    if row.tag != MAIN + "row":
-                        continue
-                    at_row = int(row.get("r", at_row + 1))
-                    at_col = 0
-                    for c in row:
-                        at_col = _column(c.get("r", "")) or at_col + 1
-                        kind, raw = c.get("t", "n"), c.find(MAIN + "v")
-                        if kind == "inlineStr":
-                            item = c.find(MAIN + "is")
-                            if item is not None:
-                                yield name, index, at_row, at_col, "text", _texts(item)
-                        elif raw is not None and raw.text is not None:
-                            if kind == "s":
-                                yield name, index, at_row, at_col, "text", shared[int(raw.text)]
-                            elif kind == "b":
-                                yield name, index, at_row, at_col, "bool", "True" if raw.text == "1" else "False"
-                            elif kind == "n":
-                                style = int(c.get("s", "0"))
-                                if style < len(dates) and dates[style]:
-                                    yield name, index, at_row, at_col, "date", _moment(float(raw.text), late)
-                                else:
-                                    yield name, index, at_row, at_col, *_number(raw.text)
-                            elif kind == "d":
-                                yield name, index, at_row, at_col, "date", raw.text.replace("T", " ").rstrip("Z")
-                            else:
-                                yield name, index, at_row, at_col, "text", raw.text
-                    row.clear()
+PARTS = "path string, sheet string, sheet_index int, first long, part binary, dates binary, late boolean, error string"
+
+
+def _cut(stream: io.BufferedIOBase, tag: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+    """(number of the element before, XML) of parts that begin with an element ``tag``, each with the namespaces of the whole.
+
+    Elements count from 1, or as their attribute ``r`` says. A text that has declarations
+    inside, or that is not UTF-8, is not cut.
+    """
+    opening = re.compile(rb"<(?:[\w.-]+:)?" + tag + rb"(?=[\s/>])[^>]*>")
+    named = re.compile(rb"\sr=[\"'](\d+)")
+    held, header, at = stream.read(size), None, 0
+    whole = held.startswith((b"\xff\xfe", b"\xfe\xff")) or re.match(rb"[^>]*encoding=[\"'](?!utf-8)", held, re.I) is not None
+    while True:
+        more = stream.read(size)
+        first = opening.search(held)
+        if header is None and (first or not more):
+            if whole or (first is None and not more):
+                yield 0, held + more + stream.read()
+                return
+            header = b"<parts " + b" ".join(re.findall(rb"xmlns(?::[\w.-]+)?=(?:\"[^\"]*\"|'[^']*')", held[: first.start()])) + b">"
+            held = held[first.start() :]
+        if not more:
+            break
+        tags = list(opening.finditer(held)) if header else []
+        if len(tags) > 1 and b"<!" not in held:
+            yield at, header + held[: tags[-1].start()] + b"</parts>"
+            for t in tags[:-1]:
+                told = named.search(t[0])
+                at = int(told[1]) if told else at + 1
+            held = held[tags[-1].start() :]
+        held += more
+    end = re.search(rb"</(?:[\w.-]+:)?(?:sheetData|sst)\s*>", held)
+    if end is None:
+        raise ValueError("the sheet breaks off")
+    yield at, header + held[: end.start()] + b"</parts>"
+
+
+def _split(want: str, only: str | None = None):
+    """Parts of the worksheets of files, or of one sheet of each, or of their shared texts; and a row per file with its error, if any."""
+    size = PART
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                error = None
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as book:
+                        if want == "texts":
+                            wanted = [("", -1, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
+                        else:
+                            wanted = [(n, i, part) for i, (n, part) in enumerate(sheet_names(book)) if only in (None, n)]
+                        props = ET.fromstring(book.read("xl/workbook.xml")).find(MAIN + "workbookPr")
+                        late = props is not None and props.get("date1904") in ("1", "true")
+                        dates = bytes(_date_styles(book))
+                        for name, index, part in wanted:
+                            with book.open(part) as stream:
+                                for first, xml in _cut(stream, b"si" if want == "texts" else b"row", size):
+                                    yield pd.DataFrame([(path, name, index, first, xml, dates, late, None)], columns=names)
+                except FAULTS as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame([(path, None, None, None, None, None, None, error)], columns=names)
+
+    return step
+
+
+#: What a damaged file raises.
+FAULTS = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, EOFError, zlib.error, NotImplementedError)
+
+
+def read_part(xml: bytes, first: int, dates: bytes, late: bool) -> Iterator[tuple[int, int, str, str]]:
+    """(row, column, kind, value) of every cell with a value, rows and columns from 1; of kind ``shared`` the value is a number."""
+    at_row = first
+    for _, row in ET.iterparse(io.BytesIO(xml)):
+        if row.tag != MAIN + "row":
+            continue
+        at_row = int(row.get("r", at_row + 1))
+        at_col = 0
+        for c in row:
+            at_col = _column(c.get("r", "")) or at_col + 1
+            kind, raw = c.get("t", "n"), c.find(MAIN + "v")
+            if kind == "inlineStr":
+                item = c.find(MAIN + "is")
+                if item is not None:
+                    yield at_row, at_col, "text", _texts(item)
+            elif raw is not None and raw.text is not None:
+                if kind == "s":
+                    yield at_row, at_col, "shared", str(int(raw.text))
+                elif kind == "b":
+                    yield at_row, at_col, "bool", "True" if raw.text == "1" else "False"
+                elif kind == "n":
+                    style = int(c.get("s", "0"))
+                    if style < len(dates) and dates[style]:
+                        yield at_row, at_col, "date", _moment(float(raw.text), late)
+                    else:
+                        yield at_row, at_col, *_number(raw.text)
+                elif kind == "d":
+                    yield at_row, at_col, "date", raw.text.replace("T", " ").rstrip("Z")
+                else:
+                    yield at_row, at_col, "text", raw.text
+        row.clear()
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CELLS.split(", ")]
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows, error = [], None
-            try:
-                for cell in read_cells(bytes(content)):
-                    rows.append((path, *cell, None))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-            except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, EOFError) as e:
-                error = f"{type(e).__name__}: {e}"
-            rows.append((path, None, None, None, None, None, None, error))
+        for p in batch.itertuples():
+            rows, error = [], p.error
+            if p.part is not None:
+                try:
+                    for cell in read_part(bytes(p.part), int(p.first), bytes(p.dates), bool(p.late)):
+                        rows.append((p.path, p.sheet, p.sheet_index, *cell, None))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                except FAULTS as e:
+                    error = f"{type(e).__name__}: {e}"
+            if p.part is None or error is not None:
+                rows.append((p.path, None, None, None, None, None, None, error))
             yield pd.DataFrame(rows, columns=names)
 
 
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, number, text) of shared texts; a damaged table gives none, so that its cells are found to lack their texts."""
+    for batch in batches:
+        for p in batch.itertuples():
+            if p.part is not None:
+                try:
+                    texts = [_texts(x) for _, x in ET.iterparse(io.BytesIO(bytes(p.part))) if x.tag == MAIN + "si"]
+                except ET.ParseError:
+                    continue
+                yield pd.DataFrame({"_path": p.path, "number": range(int(p.first), int(p.first) + len(texts)), "text": texts})
+
+
 # Kinds of files that uploads may have, with what their first bytes show.
 WORKBOOK_MIME = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 ATTACHMENTS = (
@@ -207,8 +286,8 @@ def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select(F.col("file_sha256").alias("_sha")), F.col("sha256") == F.col("_sha"), "left_anti")
 
 
-def cells(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of the workbooks under a path, and a row without a sheet per file that holds its error, if any.
+def cells(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """All cells of the workbooks under a path, or of one sheet of each, and a row without a sheet per file that holds its error, if any.
 
     A file above MOST_BYTES is not parsed; its size is its error.
     """
@@ -217,7 +296,17 @@ def cells(spark: SparkSession, path: str) -> DataFrame:
     fields = [c.split() for c in CELLS.split(", ")]
     said = {"path": F.col("path"), "error": F.lit(f"larger than {MOST_BYTES} bytes")}
     refused = large.select(*[said.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
-    return found.where(F.col("length") <= MOST_BYTES).select("path", "content").mapInPandas(_parse, CELLS).unionByName(refused)
+    small = found.where(F.col("length") <= MOST_BYTES).select("path", "content")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = small.mapInPandas(_split("cells", only), PARTS).repartition(tasks, "path", "sheet_index", "first").mapInPandas(_parse, CELLS)
+    texts = small.mapInPandas(_split("texts"), PARTS).repartition(tasks, "path", "first").mapInPandas(_shared, "_path string, number long, text string")
+    number = F.when(F.col("kind") == "shared", F.col("value").cast("long"))
+    named = told.withColumn("_number", number).join(texts, (F.col("path") == F.col("_path")) & (F.col("_number") == F.col("number")), "left")
+    lost = F.col("_number").isNotNull() & F.col("number").isNull()
+    value = F.when(F.col("_number").isNotNull(), F.col("text")).otherwise(F.col("value"))
+    error = F.when(lost, F.concat(F.lit("no shared text "), F.col("value"))).otherwise(F.col("error"))
+    named = named.select("path", "sheet", "sheet_index", "row", "col", F.when(F.col("kind") == "shared", "text").otherwise(F.col("kind")).alias("kind"), value.alias("value"), error.alias("error"))
+    return named.unionByName(refused)
 
 
 def checked(spark: SparkSession, path: str) -> str:
@@ -288,7 +377,7 @@ def sheets(spark: SparkSession, path: str, only: str | None = None, default_na:
     A column takes a type if all its cells agree (whole numbers, numbers, booleans, dates),
     else it holds display texts. Texts that stand for a missing value are null.
     """
-    found = cells(spark, checked(spark, path)).persist()
+    found = cells(spark, checked(spark, path), only).persist()
     _raise_errors(found)
     names = _names(spark, path)
     if only is not None and only not in names:

@@ -4,6 +4,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pytest
+from pyspark.sql import functions as F
 
 from lithic.sources import workbook as wb
 
@@ -78,3 +79,46 @@ def test_faults(spark, tmp_path, book):
     found = wb.files(spark, book)
     known = found.select(found.sha256.alias("file_sha256"))
     assert wb.new_files(found, known).count() == 0 and found.first().problem is None
+
+
+def large(path, rows, prefix="", numbered=True):
+    """A book with one large sheet of numbers and shared texts, and a second one that is damaged."""
+    tag = lambda x: f"{prefix}{x}"
+    at = lambda r: f' r="{r}"' if numbered else ""
+    space = f'xmlns:{prefix[:-1]}="{NS}"' if prefix else f'xmlns="{NS}"'
+    body = "".join(f'<{tag("row")}{at(r)}><{tag("c")}><{tag("v")}>{r}</{tag("v")}></{tag("c")}><{tag("c")} t="s"><{tag("v")}>{r % 500}</{tag("v")}></{tag("c")}></{tag("row")}>' for r in range(1, rows + 1))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS}" xmlns:r="{RNS}"><sheets><sheet name="a" sheetId="1" r:id="r1"/><sheet name="b" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/a.xml"/><Relationship Id="r2" Target="worksheets/b.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{NS}">' + "".join(f"<si><t>text {i}</t></si>" for i in range(500)) + "</sst>")
+        z.writestr("xl/worksheets/a.xml", f'<?xml version="1.0" encoding="UTF-8"?><{tag("worksheet")} {space}><{tag("sheetData")}>{body}</{tag("sheetData")}><{tag("pageMargins")}/></{tag("worksheet")}>')
+        z.writestr("xl/worksheets/b.xml", f'<worksheet xmlns="{NS}"><sheetData><row r="1"><c><v>1</v></c></row><row')
+    return str(path)
+
+
+@pytest.mark.parametrize("prefix, numbered", [("", True), ("x:", True), ("", False)])
+def test_large_sheets_are_parsed_in_parts(spark, tmp_path, monkeypatch, prefix, numbered):
+    """Parts of one sheet go to several tasks; of one wanted sheet only its own XML is read."""
+    monkeypatch.setattr(wb, "PART", 10_000)
+    path = large(tmp_path / "big.xlsx", 5000, prefix, numbered)
+    found = wb.cells(spark, path, "a").where("sheet IS NOT NULL")
+    got = {(r.row, r.col): r.value for r in found.collect()}
+    assert got == {(r, c): str(r) if c == 1 else f"text {r % 500}" for r in range(1, 5001) for c in (1, 2)}
+    parts = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(wb._split("cells", "a"), wb.PARTS).where("part IS NOT NULL")
+    assert parts.count() > 20
+    dealt = parts.repartition(4, "path", "sheet_index", "first").mapInPandas(wb._parse, wb.CELLS).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(dealt) == 4 and max(r["count"] for r in dealt) < 0.6 * 10_000
+    with pytest.raises(wb.BadWorkbookError):
+        wb.sheets(spark, path)
+    assert wb.sheets(spark, path, "a")["a"].count() == 4999
+
+
+def test_a_missing_shared_text_is_an_error(spark, tmp_path):
+    path = large(tmp_path / "short.xlsx", 3)
+    with zipfile.ZipFile(path) as z:
+        names = {n: z.read(n) for n in z.namelist()}
+    with zipfile.ZipFile(tmp_path / "cut.xlsx", "w") as z:
+        for n, data in names.items():
+            z.writestr(n, data.replace(b"<si><t>text 2</t></si>", b"")[: None if "shared" not in n else 200] if "shared" in n else data)
+    with pytest.raises(wb.BadWorkbookError, match="no shared text"):
+        wb.sheets(spark, str(tmp_path / "cut.xlsx"), "a")
