@@ -85,7 +85,7 @@ class Shape:
     def __init__(self, length: int) -> None:
         if not 12 <= length <= 120:
             raise ValueError("strings have 12 to 120 bytes")
-        self.length, self.k = length, length // 3
+        self.length, self.k, self.piece = length, length // 3, PIECE
         self.left = length - self.k
         self.width = length + self.left + 2  # the last two bytes: how many of the others are real
 
@@ -98,8 +98,8 @@ class Shape:
         np.add.at(inside, ends[1:][full] - n + 1, -1)
         inside = np.cumsum(inside, dtype=np.int8)
         found = []
-        for at in range(0, len(values) - n + 1, PIECE):
-            part = values[at : at + PIECE + n - 1]
+        for at in range(0, len(values) - n + 1, self.piece):
+            part = values[at : at + self.piece + n - 1]
             places = np.flatnonzero(inside[at : at + len(part) - n + 1])
             if not len(places):
                 continue
@@ -355,7 +355,7 @@ class _Runs:
     """Sorted runs of a slice's suffixes whose k-grams recur, cut at the splitters, and what a run settles by itself."""
 
     def __init__(self, shape: Shape, splitters: list[bytes]) -> None:
-        self.shape, self.splitters = shape, splitters
+        self.shape, self.splitters, self.run = shape, splitters, RUN
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, part in _slices(batches):
@@ -377,14 +377,14 @@ class _Runs:
             hashed &= np.uint64((1 << 48) - 1)
             place = np.minimum(np.searchsorted(known, hashed), max(0, len(known) - 1))
             some = np.flatnonzero(known[place] == hashed) if len(known) else np.zeros(0, np.int64)
-            for a in range(0, len(some), RUN):
-                pick = some[a : a + RUN]
+            for a in range(0, len(some), self.run):
+                pick = some[a : a + self.run]
                 doc = np.searchsorted(ends, at[pick], "right") - 1
                 key = np.array([_LAST if x is None else x for x in batch["id"].to_pylist()], np.int64)[doc]
                 fields = {"key": key, "row": batch["row"].to_numpy()[doc], "off": at[pick] - ends[doc], "back": at[pick] - first[pick], "ahead": at[pick] - last[pick]}
                 held.append((self.shape.suffixes(values, ends[doc], ends[doc + 1], at[pick]), fields))
                 count += len(pick)
-                if count >= RUN:
+                if count >= self.run:
                     yield from self._run(own, held, decisions)
                     held, count = [], 0
         if check != want:
@@ -443,7 +443,7 @@ class _Merge:
     """Merges the pieces of a range and settles their strings; decisions of runs go through."""
 
     def __init__(self, shape: Shape, splitters: list[bytes]) -> None:
-        self.shape, self.splitters = shape, splitters
+        self.shape, self.splitters, self.chunk = shape, splitters, CHUNK
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, table in runs(batches, "part"):
@@ -463,7 +463,7 @@ class _Merge:
         leaves, places, classes, distinct, shared = [], [], [], [], []
         for leaf, place, suffix, same in LoserTree(pieces):
             if same < width or not distinct:
-                if same < k and len(leaves) >= CHUNK:
+                if same < k and len(leaves) >= self.chunk:
                     yield from self._settled(pieces, leaves, places, classes, distinct, shared, borders, decisions)
                     leaves, places, classes, distinct, shared = [], [], [], [], []
                 distinct.append(suffix)
