@@ -318,7 +318,7 @@ class _Hashes:
                 yield _batch(_HASHES, [{"kind": 1, "slice": own, "suffix": s.tobytes()} for s in suffixes])
         if own is not None:
             hashed, counts = np.unique(np.concatenate(hashes), return_counts=True)
-            bucket = ((hashed >> np.uint64(48)) * np.uint64(self.buckets)) >> np.uint64(16)
+            bucket = ((hashed >> np.uint64(40)) * np.uint64(self.buckets)) >> np.uint64(24)
             low = np.ascontiguousarray(hashed).view(np.uint8).reshape(-1, 8)[:, :6]
             for a, b in _groups(bucket):
                 yield _batch(_HASHES, [{"kind": 0, "bucket": int(bucket[a]), "slice": own, "hashes": low[a:b].tobytes(), "again": np.packbits(counts[a:b] > 1).tobytes(), "check": check}])
@@ -655,7 +655,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
     anchors = 2 * total // (shape.left + 2)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, ranges = min(1 << 16, max(parts, anchors // (4 * RANGE))), max(parts, anchors // RANGE)
+    buckets, ranges = min(1 << 20, max(parts, anchors // (4 * RANGE))), max(parts, anchors // RANGE)  # buckets by 24 bits of a hash
     own = docs.select(F.spark_partition_id().cast("long").alias("slice"), F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(key).cast("long").alias("id"), body.alias("body"))
     step = max(1, anchors // min(40 * ranges, SAMPLE))
     hashes = staged(own.select("slice", "row", "body").mapInArrow(Task(_Hashes(shape, buckets, step)), _HASHES), "hashes")
