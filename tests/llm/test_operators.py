@@ -386,6 +386,13 @@ def test_jaccard_join_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.join(nulls).collect()) == [("5", "5"), ("5", "5"), ("6", "6"), ("None", "None")]
 
 
+def test_jaccard_join_first_slot(spark):
+    """Ids that fall on the first slot of the bit map: 587600 and 876020 hash to 0 in 20 bits."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(587600, text), (876020, text + " more"), (5, "alone in the world here")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(rows).collect()} == {587600: 587600, 876020: 587600, 5: 5}
+
+
 def test_jaccard_join_shared_ids(spark):
     other = " ".join(f"o{i}" for i in range(60))
     rows = spark.createDataFrame([(3, other), (5, BASE), (5, other), (9, BASE + " more"), (11, "all alone here")], "doc_id long, text string")
