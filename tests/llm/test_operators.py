@@ -366,6 +366,24 @@ def components(texts):
     return {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, root, strict=True))}
 
 
+def test_topk_each_row(spark, monkeypatch, tmp_path):
+    """The query asks every row, and every other row is a candidate, rows with the same id and equal rows among them."""
+    from lithic.llm import queries
+
+    draw = np.random.default_rng(2)
+    rows = [(int(draw.integers(0, 60)) * 5, [float(x) for x in draw.integers(-2, 3, size=3)]) for _ in range(300)] + [(50, [1.0, 2.0, 2.0])] * 8
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = []
+    for a, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            ranked = sorted((-65536 * int(np.dot(v, w)), i) for b, (i, w) in enumerate(rows) if a != b)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(ranked)]
+    assert sorted(map(tuple, queries.op5_exact_topk(spark, str(tmp_path)).collect())) == sorted(want)
+    monkeypatch.setattr(topk, "FAN", 2)
+    monkeypatch.setattr(topk, "TILE", 7)
+    assert sorted(map(tuple, queries.op5_exact_topk(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_jaccard_join(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
     assert got == components(TEXTS)
