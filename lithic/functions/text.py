@@ -102,19 +102,24 @@ _SIGNS = {code: bytes([code]).decode("cp1252", "replace") for code in range(128,
 _OPEN_NAMES = "amp|lt|gt|quot|nbsp"
 
 
-def references(text: Column) -> Column:
-    """The text with its character references read: by name, by decimal or hexadecimal number; what is none stays."""
+def references(text: Column, closed: bool = False) -> Column:
+    """The text with its character references read: by name, by decimal or hexadecimal number; what is none stays.
+
+    With ``closed`` only those that end in a semicolon are references.
+    """
+    end = ";" if closed else ";?"
     # The first part stands before any ampersand.
     parts = F.split(text, "&", -1)
     names = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")
     signs = F.from_json(F.lit(json.dumps(_SIGNS)), "map<string,string>")
 
     def read(part: Column, n: Column) -> Column:
-        number = F.regexp_extract(part, r"^#(\d{1,7}|[xX][0-9a-fA-F]{1,6});?", 1)
+        number = F.regexp_extract(part, rf"^#(\d{{1,7}}|[xX][0-9a-fA-F]{{1,6}}){end}", 1)
         code = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, F.lit(2), F.length(number)), 16, 10)).otherwise(number).try_cast("int")
         strange = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
         sign = F.when(strange, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(signs, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")))
-        name = F.coalesce(F.try_element_at(names, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)), F.try_element_at(names, F.regexp_extract(part, rf"^({_OPEN_NAMES})(?![A-Za-z0-9=])", 1)))
+        name = F.try_element_at(names, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1))
+        name = name if closed else F.coalesce(name, F.try_element_at(names, F.regexp_extract(part, rf"^({_OPEN_NAMES})(?![A-Za-z0-9=])", 1)))
         rest = lambda pattern: F.regexp_replace(part, pattern, "")
         found = F.when(number != "", F.concat(sign, rest(r"^#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});?"))).when(name.isNotNull(), F.concat(name, rest(r"^[A-Za-z][A-Za-z0-9]*;?")))
         return F.when(n == 0, part).otherwise(F.coalesce(found, F.concat(F.lit("&"), part)))
@@ -122,19 +127,20 @@ def references(text: Column) -> Column:
     return F.array_join(F.transform(parts, read), "")
 
 
-def html_text(html: Column) -> Column:
+def html_text(html: Column, closed: bool = False) -> Column:
     """The text of a page, blocks on lines of their own.
 
     Comments, scripts, styles and declarations go, to the end of the page where they are not
     closed. A tag is an angle bracket before a letter, or a slash and a letter, up to the next
-    closing bracket outside of quotes; any other bracket is text. Then references are read.
+    closing bracket outside of quotes; any other bracket is text. Then references are read,
+    with ``closed`` only those that end in a semicolon.
     """
     text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", " ")
     text = F.regexp_replace(text, rf"(?is)<(script|style|noscript|template)\b{_INSIDE}(?:>|$).*?(?:</\1\s*>|$)", " ")
     text = F.regexp_replace(text, r"(?s)<[!?][^>]*(?:>|$)", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\b{_INSIDE}(?:>|$)", "\n")
     text = F.regexp_replace(text, rf"</?[A-Za-z]{_INSIDE}(?:>|$)", "")
-    text = references(text)
+    text = references(text, closed)
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\xa0]+", " "), r" ?\n[\s]*", "\n")
     return _strip(text)
 

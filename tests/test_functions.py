@@ -68,6 +68,7 @@ def test_texts(spark):
         "<p>one<p>two</p></P\n>three<hr/>": "one\ntwo\nthree", "<!DOCTYPE html><?x y?>t</ b>": "t</ b>", "cut <a href='x": "cut", 'cut <a title="x>text': "cut", "x &lt;b&gt; y": "x <b> y", "AT&T; R&D &": "AT&T; R&D &", "<3 <- <=>": "<3 <- <=>",
     }
     assert dict(zip(marked, answers(spark, list(marked), tx.html_text), strict=True)) == marked
+    assert answers(spark, ["R&amp<b>D</b> &amp; &#65 &#65; &lt"], lambda c: tx.html_text(c, closed=True)) == ["R&ampD & &#65 A &lt"]
     long = "<p title='" + "x>" * 50_000 + "'>end</p>" + "<b>" * 50_000 + "&amp;" * 20_000
     assert answers(spark, [long], tx.html_text) == ["end\n" + "&" * 20_000]
     assert tx.strip_codefence("```json\n{}\n```") == "{}" and tx.strip_codefence("a ``` b") == "a ``` b" and tx.strip_codefence("``` x ```") == "x"
