@@ -66,8 +66,9 @@ def soundex(a: Column, b: Column) -> Column:
     return _guard(a, b, (alpha(a) & alpha(b) & (F.soundex(a) == F.soundex(b))).cast("double"))
 
 
-def metaphone(a: Column, b: Column) -> Column:
-    x, y = text.metaphone(a), text.metaphone(b)
+def metaphone(a: Column, b: Column, sounds: tuple[Column, Column] | None = None) -> Column:
+    """``sounds``, if given, are those of both texts, as ``text.with_sounds`` finds them."""
+    x, y = sounds or (text.metaphone(a), text.metaphone(b))
     return _guard(a, b, ((x == y) & (x != "")).cast("double"))
 
 

@@ -6,7 +6,7 @@ import json
 import re
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT_CHARS, PREVIEW_CHARS = 30_000, 300
@@ -227,6 +227,15 @@ def metaphone(text: Column) -> Column:
     return F.array_join(F.filter(words, lambda c: c != ""), " ")
 
 
+def with_sounds(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """``df`` with the sounds of texts as columns of these names; each distinct row of words is folded once and joined back."""
+    for name, text in texts.items():
+        df = df.withColumn("_words", F.array_join(F.regexp_extract_all(F.upper(text), F.lit("([A-Z]+)"), 1), " "))
+        codes = df.select("_words").distinct().select("_words", metaphone(F.col("_words")).alias(name))
+        df = df.join(codes, "_words", "left").drop("_words")
+    return df
+
+
 def metaphone_sql(text: str) -> str:
     """The same in DuckDB SQL, from the same table of sounds."""
     letter, before, after = "w[i]", "w[1:i-1]", "w[i+1:]"

@@ -49,3 +49,11 @@ def test_metaphone(spark):
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     got = {r.x: r.code for r in df.collect()}
     assert {k: got[k] for k in ("Which", "physics", "school", "Xavier", "two  words", "", "123", "a", "WHALE", "bomb")} == {k: known[k] for k in ("Which", "physics", "school", "Xavier", "two  words", "", "123", "a", "WHALE", "bomb")}
+
+
+def test_sounds_are_folded_once_for_equal_words(spark):
+    names = ["large ring", "Large  Ring 7", "knight", "", None, "123", "ring large"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names * 3)], "i int, x string").withColumn("own", tx.metaphone(F.col("x")))
+    got = tx.with_sounds(df, {"code": F.col("x"), "back": F.reverse("x")})
+    assert got.count() == 21 and got.where(~F.col("own").eqNullSafe(F.col("code"))).count() == 0
+    assert got.where("x = 'knight'").first().back == df.select(tx.metaphone(F.lit("thgink"))).first()[0]
