@@ -59,9 +59,9 @@ def lineage(tree: DataFrame) -> DataFrame:
         lower = lines.select(F.col("id").alias("_of"), F.col("ancestor").alias("_to"), F.col("distance").alias("_by"))
         beyond = jump.join(lower, F.col("ancestor") == F.col("_of")).select("id", F.col("_to").alias("ancestor"), (F.col("distance") + F.col("_by")).alias("distance"))
         further = cut(jump.join(step, F.col("ancestor") == F.col("_id")).select("id", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_far")).alias("distance")))
-        lines = cut(lines.unionByName(beyond))
-        if further.isEmpty():
-            return lines
+        if further.isEmpty():  # the last lines, and those before, are not written once more
+            return lines.unionByName(beyond)
+        lines = lines.unionByName(cut(beyond))
         jump = further
 
 
