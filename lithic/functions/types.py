@@ -58,7 +58,8 @@ def to_timestamp(text: Column) -> Column:
 
 
 def is_date(text: Column) -> Column:
-    return F.when(text.rlike(r"^\s*\d"), to_timestamp(text).isNotNull()).otherwise(False)
+    # each form begins with three numbers; to try them all on a text that is none takes long
+    return F.when(text.rlike(r"^\s*\d+[-/]\d+[-/]\d"), to_timestamp(text).isNotNull()).otherwise(False)
 
 
 def iso(moment: Column) -> Column:
