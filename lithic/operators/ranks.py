@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lithic.operators.graph import cut
+
 #: Ranges that numbers are counted in, and numbers around a rank that one task may order.
 RANGES, FEW = 256, 1_000_000
 
@@ -28,7 +30,9 @@ def ranged(rows: DataFrame, by: list[str]) -> DataFrame:
     cuts = rows.groupBy(*by).agg(F.approx_percentile("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
     kinds = dict(rows.dtypes)
     found = rows.sparkSession.createDataFrame([tuple(r) for r in cuts.collect()], ", ".join([*[f"{c} {kinds[c]}" for c in by], "_cuts array<double>"]))  # a row per key; kept, since another run may cut elsewhere
-    return rows.join(F.broadcast(found), by).withColumn("range", F.size(F.filter("_cuts", lambda c: c < F.col("x")))).drop("_cuts")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(RANGES.bit_length()))])  # a search by halves: how many cuts lie below
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col("x"), at + step).otherwise(at))
+    return rows.join(F.broadcast(found), by).withColumn("range", below).drop("_cuts")
 
 
 def at_ranks(rows: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
@@ -38,11 +42,11 @@ def at_ranks(rows: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
     ranks from 0. With a column ``centre`` in ``wanted`` ranks count distances from it.
     """
     keys, centred = [*by, "i"], "centre" in wanted.columns
-    few = _around(rows, by, wanted, centred)
+    few = cut(_around(rows, by, wanted, centred))
     while (few.groupBy(*keys).agg(F.count("*").alias("held")).agg(F.max("held")).first()[0] or 0) > FEW:
-        again = ranged(few.select(*keys, F.col("y").alias("x"), "n"), keys)
+        again = cut(ranged(few.select(*keys, F.col("y").alias("x"), "n"), keys))
         heads = few.groupBy(*keys).agg((F.first("rank") - F.first("before")).alias("rank"))
-        few = _around(again, keys, heads, False)
+        few = cut(_around(again, keys, heads, False))
     one = few.groupBy(*keys, "rank", "before", "y").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*keys).orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
     end = one.withColumn("end", F.col("before") + F.sum("n").over(upto))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lithic.functions import types
 from lithic.operators import profile, ranks
 
 BY = ["ordinal", "column"]
@@ -55,3 +56,21 @@ def test_profiles_do_not_turn_on_size(spark, monkeypatch):
     monkeypatch.setattr(profile, "BUFFERED", 10)
     assert shown() == one
     assert one[0][profile.column_profiles(df).columns.index("outliers_mad")] > 0
+
+
+def test_values_are_counted_before_they_are_spelled(spark):
+    """Zeros of both signs are two texts, moments of one second one; only three numbers with signs between may be a date."""
+    rows = [(0.0, "2024-01-01 10:00:00.1", "7"), (-0.0, "2024-01-01 10:00:00.9", "2024-1-5"), (0.0, "2024-01-02 00:00:00", "5/1/2024"), (1.5, "2024-01-02 00:00:00", "12345678"), (float("nan"), None, "1-2")]
+    df = spark.createDataFrame(rows, "x double, t string, d string").withColumn("t", F.col("t").cast("timestamp"))
+    got = sorted((r.column, str(r.value), r.n) for r in profile.frequencies(df, ["x", "t"]).collect())
+    assert got == [("t", "2024-01-01T10:00:00", 2), ("t", "2024-01-02", 2), ("t", "None", 1), ("x", "-0.0", 1), ("x", "0.0", 2), ("x", "1.5", 1), ("x", "NaN", 1)]
+    assert [r.a for r in df.select(types.is_date(F.col("d")).alias("a")).collect()] == [False, True, True, False, False]
+
+
+def test_ranges_are_found_by_halves(spark):
+    """The plan looks at a handful of cuts for each number, not at all of them."""
+    freq = spark.range(2000).select(F.lit(0).alias("ordinal"), F.lit("c").alias("column"), F.col("id").cast("double").alias("value"), F.lit(1).alias("n"))
+    rows = ranks.ranged(ranks.distinct(freq, BY, F.col("value")), BY)
+    assert "filter(_cuts" not in rows._jdf.queryExecution().analyzed().toString()
+    each = rows.groupBy("range").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("range").collect()
+    assert len(each) > 200 and all(a.high < b.low for a, b in zip(each, each[1:]))
