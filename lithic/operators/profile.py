@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from lithic.functions import types as ct
 from lithic.operators import ranks
+from lithic.operators.graph import cut
 
 VERSION = "stats/1"
 SAMPLES = 10
@@ -31,9 +32,16 @@ def frequencies(df: DataFrame, columns: list[str] | None = None, turn: str | Non
     parts = []
     for i, c in enumerate(columns or df.columns):
         kind = kinds[c]
-        shown = ct.iso(ct.cell(c)) if kind in ("timestamp", "timestamp_ntz", "date") else ct.cell(c).cast("string")
+        text = lambda x, dated=kind in ("timestamp", "timestamp_ntz", "date"): ct.iso(x) if dated else x.cast("string")
         family = "bool" if kind == "boolean" else "date" if kind in ("timestamp", "timestamp_ntz", "date") else "int" if kind in ("int", "bigint", "smallint", "tinyint") else "float" if kind in ("double", "float") else "text"
-        parts.append(df.groupBy(shown.alias("value")).agg(F.count("*").alias("n"), first.alias("first")).select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(family).alias("kind"), "value", "n", *(["first"] if turn else [])))
+        # numbers and moments are counted before they are spelled; zeros of both signs are one number but two texts
+        zero = F.when(ct.cell(c) == 0, text(ct.cell(c))) if family == "float" else F.lit(None).cast("string")
+        own = ct.cell(c) if family in ("int", "float", "date") else text(ct.cell(c))
+        counted = df.groupBy(own.alias("own"), zero.alias("zero")).agg(F.count("*").alias("n"), first.alias("first"))
+        counted = counted.withColumn("value", F.coalesce("zero", text(F.col("own"))))
+        if family == "date":  # several moments of a second are one text
+            counted = counted.groupBy("value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        parts.append(counted.select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(family).alias("kind"), "value", "n", *(["first"] if turn else [])))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -92,8 +100,9 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         F.max(F.when(full & F.col("as_date"), F.col("value"))).alias("date_max"),
     )
     if not buffered:
-        numbers = ranks.ranged(ranks.distinct(freq, by, F.col("num")), by)
-        base = base.drop("q").join(F.broadcast(ranks.quantiles(numbers, by, (0.25, 0.5, 0.75))), by, "left")  # a row per column
+        numbers = cut(ranks.ranged(ranks.distinct(freq, by, F.col("num")), by))
+        quartiles = cut(ranks.quantiles(numbers, by, (0.25, 0.5, 0.75)))
+        base = base.drop("q").join(F.broadcast(quartiles), by, "left")  # a row per column
     base = base.select("*", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75")).drop("q")
     spread = freq.where("num IS NOT NULL").join(F.broadcast(base.select(*by, "mean", "p25", "median", "p75")), by)  # a row per column
     gap, iqr = F.abs(F.col("num") - F.col("median")), F.col("p75") - F.col("p25")
@@ -105,8 +114,8 @@ def column_profiles(df: DataFrame, bounds: dict[str, tuple[float | None, float |
         (F.percentile(gap, F.lit(0.5), n) if buffered else F.lit(None).cast("double")).alias("mad"),
     )
     if not buffered:
-        centres = base.where("median IS NOT NULL").select(*by, F.col("median").alias("centre"))
-        around = around.drop("mad").join(F.broadcast(ranks.median_gap(numbers, by, centres)), by, "left")
+        centres = quartiles.select(*by, F.col("q")[1].alias("centre"))
+        around = around.drop("mad").join(F.broadcast(cut(ranks.median_gap(numbers, by, centres))), by, "left")
     far = spread.join(F.broadcast(around.select(*by, "mad", "mean_gap")), by)
     odd = F.when(F.col("mad") != 0, 0.6745 * gap / F.col("mad") > 3.5).when(F.col("mean_gap") != 0, gap / (1.253314 * F.col("mean_gap")) > 3.5).otherwise(False)
     modified = far.groupBy(*by).agg(_weighted(odd, n).alias("modified"))
