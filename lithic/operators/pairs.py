@@ -27,12 +27,13 @@ def _slices(n: str, side: int) -> Column:
     return F.least(F.lit(SLICES), F.ceil(F.col(n) / side).cast("int"))
 
 
-def pair_join(x: DataFrame, y: DataFrame | None, pairs: int, key: str = "key", i: str = "i", j: str = "j") -> DataFrame:
+def pair_join(x: DataFrame, y: DataFrame | None, pairs: int, key: str = "key", i: str = "i", j: str = "j", sizes: DataFrame | None = None) -> DataFrame:
     """All columns of ``x`` and ``y`` (but ``y``'s key) for rows with an equal, non-null key.
 
     Without ``y`` pairs are taken within ``x``, those with i < j, and the second row's columns
     have ``_2`` appended. ``pairs`` is how many pairs there are; it gives the number of tasks
-    and the side of a tile.
+    and the side of a tile. ``sizes``, if known, is (key, _n, _m): the rows of each key in
+    ``x`` and in ``y``.
     """
     spark = x.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
@@ -43,7 +44,7 @@ def pair_join(x: DataFrame, y: DataFrame | None, pairs: int, key: str = "key", i
         right = right.withColumnsRenamed({c: f"{c}_2" for c in x.columns if c != key})
         below = F.col(i) < F.col(f"{i}_2")
     else:
-        left, right = _square(x, y.where(F.col(key).isNotNull()), key, i, j, side)
+        left, right = _square(x, y.where(F.col(key).isNotNull()), key, i, j, side, sizes)
         below = F.lit(True)
     # A number of partitions of one's own: tiles are small in bytes and would be put together.
     left = left.repartition(tasks, F.col(key), F.col("_tile"))
@@ -63,8 +64,9 @@ def _triangle(x: DataFrame, key: str, i: str, side: int) -> tuple[DataFrame, Dat
     return left.drop("_s", "_own"), right.drop("_s", "_own")
 
 
-def _square(x: DataFrame, y: DataFrame, key: str, i: str, j: str, side: int) -> tuple[DataFrame, DataFrame]:
-    sizes = x.groupBy(key).agg(F.count("*").alias("_n")).join(y.groupBy(key).agg(F.count("*").alias("_m")), key)
+def _square(x: DataFrame, y: DataFrame, key: str, i: str, j: str, side: int, sizes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    if sizes is None:
+        sizes = x.groupBy(key).agg(F.count("*").alias("_n")).join(y.groupBy(key).agg(F.count("*").alias("_m")), key)
     info = _small(sizes.where((F.col("_n") > side) | (F.col("_m") > side)).select(key, _slices("_n", side).alias("_a"), _slices("_m", side).alias("_b")))
     out = []
     for rows, index, own, other in ((x, i, "_a", "_b"), (y, j, "_b", "_a")):

@@ -3,6 +3,7 @@
 import random
 from math import comb
 
+import pytest
 from pyspark.sql import functions as F
 
 from lithic.operators import linkage, pairs
@@ -74,3 +75,17 @@ def test_few_edits_above_the_cap(spark):
         want = shown(linkage.scores(df, None, config))
         assert want and shown(linkage.scores(df, None, config, cap=len(want) * 3)) == want
         assert shown(linkage.scores(df, df, config, cap=len(want) * 6)) == shown(linkage.scores(df, df, config))
+
+
+def test_rows_of_near_texts_without_a_cap(spark, monkeypatch):
+    """Without a cap many rows of few near texts give all their pairs, those of rows without a second value too."""
+    df = spark.range(700).select(F.col("id").alias("_row_index"), F.concat(F.lit("Supplier#00000000"), F.col("id") % 3).alias("name"), F.expr("if(id % 7 = 0, null, id % 5)").alias("band"))
+    df = df.union(spark.createDataFrame([(900, "Supplier#12345678", 1), (901, "", 1), (902, None, 1)], df.schema))
+    config = linkage.Config([linkage.Mapping("name", "name", "levenshtein", 1.0, True), linkage.Mapping("band", "band", "numeric_tolerance", 0.5)], 0.9, {"case_fold": True})
+    with pytest.raises(linkage.TooManyPairs):
+        linkage.scores(df, None, config, cap=200_000)
+    shown = lambda d: d.select("i", "j", F.round("score", 9), F.map_values("per_column"))
+    got = shown(linkage.scores(df, None, config, cap=None))
+    monkeypatch.setattr(linkage, "_few_edits", lambda *_: None)
+    want = shown(linkage.scores(df, None, config, cap=None))
+    assert got.count() == want.count() == comb(700, 2) and got.exceptAll(want).isEmpty()
