@@ -26,12 +26,10 @@ from lithic.llm.wordhash import mix, slices, text_shingles
 PERCENT, WIDTH = 75, 5
 #: Counters of shingle frequencies, and the parts they travel in.
 COUNTERS, PARTS = 1 << 21, 32
-#: Groups of equal sets, the largest, whose copies are told by signature: any other has at most a share of 1 / GROUPS of all rows.
-GROUPS = 1 << 16
 #: Ids of a bit map at most; beyond, rows are thinned by a join.
 MAPPED = 1 << 24
 #: A block of a candidate group: at most so many documents, and about so many shingles.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 
 def _ceil(a: np.ndarray, top: int, bottom: int) -> np.ndarray:
@@ -70,15 +68,9 @@ def expand(data: bytes) -> np.ndarray:
 
 
 def _shingles(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, shingle hashes, first of each row) of texts, or of sets that were made of them."""
-    if "text" in batch.schema.names:
-        for part in slices(batch, most=2 << 20):
-            yield (part, *text_shingles(part["text"], WIDTH))
-    else:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
-            sets = [np.frombuffer(m.as_py(), np.uint64) for m in part["members"]]
-            yield part, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    """(rows, shingle hashes, first of each row) of texts."""
+    for part in slices(batch, most=2 << 20):
+        yield (part, *text_shingles(part["text"], WIDTH))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +149,6 @@ def frequency_classes(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-class _Large:
-    """The largest groups of equal sets: only the document that stands for a group shows its prefix."""
-
-    def __init__(self, equal: DataFrame | None) -> None:
-        rows = equal.orderBy(F.col("copies").desc(), "sig1", "sig2").limit(GROUPS).select("sig1", "sig2", "rep").toArrow().sort_by("sig1") if equal is not None else None
-        self.sig1, self.sig2, self.rep = (rows[c].to_numpy() if rows else np.zeros(0, np.int64) for c in ("sig1", "sig2", "rep"))
-
-    def left_out(self, sig1: np.uint64, sig2: np.uint64, doc: int) -> bool:
-        one, two = np.array([sig1, sig2]).view(np.int64)
-        a, b = np.searchsorted(self.sig1, one, "left"), np.searchsorted(self.sig1, one, "right")
-        return any(self.sig2[i] == two and self.rep[i] != doc for i in range(a, b))
-
-
 class _Prefixes:
     """The prefixes of sets, packed by bucket of shingles; longer ones, that linked sets share several shingles of, if ``long``.
 
@@ -179,11 +158,11 @@ class _Prefixes:
 
     SCHEMA = "bucket int, shingles binary, place binary, ids binary, sizes binary"
 
-    def __init__(self, classes, buckets: int, large=None, long: bool = False) -> None:
-        self.classes, self.buckets, self.large, self.long = classes, buckets, large, long
+    def __init__(self, classes, buckets: int, long: bool = False) -> None:
+        self.classes, self.buckets, self.long = classes, buckets, long
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, large = self.classes.value, self.large and self.large.value
+        classes = self.classes.value
         for batch in batches:
             for part, hashes, first in _shingles(batch):
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)
@@ -196,8 +175,6 @@ class _Prefixes:
                         continue
                     own, at = np.unique(hashes[a:b], return_index=True)
                     n[i] = len(own)
-                    if large and len(large.rep) and large.left_out(*_signature(own)[1:], ids[i]):
-                        continue
                     probe, store = prefixes(n[i], more=common(n[i]) if self.long else 1)
                     order = np.argsort(rank[a:b][at], kind="stable")[:probe]
                     found.append(own[order])
@@ -306,28 +283,38 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_id"]).filter(pa.array(shared >= common(_ceil(n, PERCENT, 100))))
 
 
-class _Sets:
-    """The whole set of each document."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text compressed: less than its set of hashes, which nothing compresses."""
+    for batch in batches:
+        data = [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]
+        told = [len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in data]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(told, pa.binary())], ["doc_id", "packed"])
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                hashes, first = text_shingles(part["text"], WIDTH)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "members"])
+
+def _unpacked(packed: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of packed texts."""
+    out: list[np.ndarray] = []
+    for a in range(0, len(packed), 100):
+        data = [x.as_py() for x in packed.slice(a, 100)]
+        texts = [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in data]
+        ends = np.cumsum([0, *map(len, texts)])
+        column = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(texts))])
+        for _, hashes, first in _shingles(pa.RecordBatch.from_arrays([column], ["text"])):
+            out += [np.unique(hashes[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+    return out
 
 
 class _Kept:
     """The rows that the bit map lets through."""
 
-    def __init__(self, found, take: str) -> None:
-        self.found, self.take = found, take
+    def __init__(self, found) -> None:
+        self.found = found
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = self.found.value
         for batch in batches:
             slot = batch["slot"].to_numpy()
-            yield batch.select(["doc_id", self.take]).filter(pa.array((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 == 1))
+            yield batch.select(["doc_id", "text"]).filter(pa.array((bits[slot // 8] >> (slot % 8).astype(np.uint8)) & 1 == 1))
 
 
 class _Spread:
@@ -340,7 +327,8 @@ class _Spread:
         for batch in batches:
             for part, hashes, first in _shingles(batch):
                 ids = part["doc_id"].to_numpy()
-                place = np.repeat(np.arange(len(part)), np.diff(first))
+                sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                hashes, place = np.concatenate(sets), np.repeat(np.arange(len(part)), [len(x) for x in sets])
                 bucket = ((hashes >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 bucket, short, place = bucket[order], hashes[order].astype(np.uint32), place[order]
@@ -431,8 +419,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     links: list[tuple[int, int]] = []
     for _, table in runs(batches, "tile"):
         if table.num_rows > 1:
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["members"]]
-            links += tile_links(table["doc_id"].to_numpy(), sets, table["side"].to_numpy())
+            links += tile_links(table["doc_id"].to_numpy(), _unpacked(table["packed"]), table["side"].to_numpy())
         if len(links) > 10_000:
             yield _links(links)
             links = []
@@ -487,8 +474,10 @@ def join(docs: DataFrame) -> DataFrame:
     not read. Shingles are compared by 64-bit hashes.
 
     Texts are read three times: for signatures and counters of shingles, for the prefixes,
-    and for the whole sets of candidates. Equal sets are merged by signature first: of the
-    largest groups one document shows its prefix, whatever the number of copies. A document
+    and to keep those of candidates. Equal sets are merged by signature first: from then on
+    one document stands for all its copies, however many sets have copies. Sets are made of
+    texts where they are needed; what is written and sent are compressed texts, which take
+    less than half the bytes of their hashes. A document
     is a candidate if it shares a sixteenth of its size in shingles of its prefix with
     others, each maybe with another one: a linked document shares as many with its partner
     alone. By the same reason a candidate stays only if it shares PERCENT of its shingles
@@ -502,53 +491,50 @@ def join(docs: DataFrame) -> DataFrame:
     signed = staged(texts.mapInArrow(Task(_sign), SIGNED), "signed")
     rows = signed.where("kind = 0").select("doc_id", "n", "sig1", "sig2")
     nodes = rows.where("n > 0 AND doc_id IS NOT NULL")
-    equal = nodes.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    equal = nodes.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     equal = staged(equal, "equal")  # a table of its own, so that the join may split a large group
-    copies = staged(nodes.join(equal.drop("copies"), ["sig1", "sig2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
+    copies = staged(nodes.join(equal.where("copies > 1").drop("copies"), ["sig1", "sig2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
     share = spark.sparkContext.broadcast
     named = texts.where("doc_id IS NOT NULL")
-    prefixes_ = _Prefixes(share(frequency_classes(signed.where("kind = 1"))), 4 * tasks, share(_Large(equal)), True)
-    dealt = named.mapInArrow(Task(prefixes_), _Prefixes.SCHEMA).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    firsts = equal.select(F.col("rep").alias("doc_id")).distinct()  # ids with a row that is no copy
+    prefixes_ = _Prefixes(share(frequency_classes(signed.where("kind = 1"))), 4 * tasks, True)
+    dealt = _thinned(named, firsts, _Prefixes.SCHEMA, prefixes_).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     near = _summed(dealt.mapInArrow(Task(_Crowd(tasks)), COUNTED), tasks).mapInArrow(Task(_crowded), "doc_id long")
-    rest = nodes.join(copies.select("a").distinct(), F.col("doc_id") == F.col("a"), "left_semi")
-    rest = rest.join(equal.drop("copies").withColumnRenamed("n", "_n").withColumnsRenamed({"sig1": "_sig1", "sig2": "_sig2"}), F.expr("sig1 = _sig1 AND sig2 = _sig2 AND n = _n AND doc_id <> rep"), "left_anti")
-    whole = copies.select("a").distinct().join(rest, F.col("a") == F.col("doc_id"), "left_anti")  # ids with no row that is not a copy
-    near = staged(near.join(whole, F.col("doc_id") == F.col("a"), "left_anti"), "near")
-    sets = _thinned(named, near, "text").mapInArrow(Task(_Sets()), "doc_id long, members binary")
-    sets = staged(sets, "sets")
-    spread = sets.mapInArrow(Task(_Spread(4 * tasks)), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    near = staged(near.join(firsts, "doc_id", "left_semi"), "near")
+    close = staged(_thinned(named, near, "doc_id long, text string"), "close", codec="zstd")
+    spread = close.mapInArrow(Task(_Spread(4 * tasks)), "bucket int, shingles binary, ids binary, counts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     shared = _summed(spread.mapInArrow(Task(_Shared(tasks)), COUNTED), tasks).mapInArrow(Task(_add), "doc_id long, n long, shared long").drop("n")
-    sizes = sets.select("doc_id", (F.octet_length("members") / 8).cast("long").alias("n"))
-    sharing = staged(sizes.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "n"), "sharing")
-    kept = _thinned(sets, sharing.select("doc_id").distinct(), "members")
-    again = _grouped(kept, tasks, share(frequency_classes(kept.mapInArrow(Task(_count), "part int, counts binary"))))
+    sizes = nodes.select("doc_id", "n").join(near, "doc_id")
+    sharing = staged(sizes.join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "n").distinct(), "sharing")
+    ids = sharing.select("doc_id").distinct()
+    again = _grouped(close, ids, tasks, share(frequency_classes(_thinned(close, ids, "part int, counts binary", _count))))
     groups = connected(again, "groups")
-    members = staged(sharing.distinct().join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "n", "component"), "members")
-    chosen = _thinned(sets, members.select("doc_id").distinct(), "members")
+    members = staged(sharing.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "n", "component"), "members")
+    chosen = _thinned(close, members.select("doc_id").distinct(), "doc_id long, packed binary", _packed)
     loaded = _tiles(members).join(chosen, "doc_id").repartition(tasks, "tile").sortWithinPartitions("tile")
-    links = loaded.select("tile", "side", "doc_id", "members").mapInArrow(Task(_verify), "a long, b long")
+    links = loaded.select("tile", "side", "doc_id", "packed").mapInArrow(Task(_verify), "a long, b long")
     found = connected(links.unionByName(copies), "links")
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _thinned(rows: DataFrame, ids: DataFrame, take: str) -> DataFrame:
-    """The rows of these ids, and maybe some others: by a bit map of eight bits an id, or beyond MAPPED ids by a join."""
+def _thinned(rows: DataFrame, ids: DataFrame, schema: str, *steps) -> DataFrame:
+    """What ``steps`` make of the texts of these ids, and maybe of some others: by a bit map of eight bits an id, or beyond MAPPED ids by a join."""
     count = ids.count()
     if count > MAPPED:
-        return rows.select("doc_id", take).join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+        return rows.select("doc_id", "text").join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(Task(*steps), schema)
     bits = max(20, (8 * count).bit_length())
     found = rows.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id", bits))  # 32 MB at most
-    return rows.select("doc_id", filter_slot("doc_id", bits).alias("slot"), take).mapInArrow(Task(_Kept(found, take)), f"doc_id long, {take} {'string' if take == 'text' else 'binary'}")
+    return rows.select("doc_id", filter_slot("doc_id", bits).alias("slot"), "text").mapInArrow(Task(_Kept(found), *steps), schema)
 
 
 def _summed(counts: DataFrame, tasks: int) -> DataFrame:
     return counts.repartition(tasks, "part").sortWithinPartitions("part")
 
 
-def _grouped(rows: DataFrame, tasks: int, classes) -> DataFrame:
-    """The stars of the candidate groups of sets."""
-    packed = rows.mapInArrow(Task(_Prefixes(classes, 4 * tasks)), _Prefixes.SCHEMA)
+def _grouped(rows: DataFrame, ids: DataFrame, tasks: int, classes) -> DataFrame:
+    """The stars of the candidate groups of the sets of these ids."""
+    packed = _thinned(rows, ids, _Prefixes.SCHEMA, _Prefixes(classes, 4 * tasks))
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(Task(_group), "a long, b long")
 

@@ -6,13 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lithic.llm import fingerprints, jaccard_join, line_templates, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter, wordhash
+from lithic.llm import common, fingerprints, jaccard_join, line_templates, mixing, piece_codec, sharding, tool_chat, topk, toxicity, url_filter, wordhash
 from lithic.llm.queries import piece_model
 
 SF = "/root/testdata/sf0.001"
@@ -417,6 +418,20 @@ def test_jaccard_join_shared_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.join(rows).collect()) == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
 
 
+def test_jaccard_join_near_copies_on_disk(spark):
+    """Near copies of every text: what is written is less than the texts, and a group of small sets is one tile."""
+    draw = np.random.default_rng(5)
+    base = [[f"word{x}" for x in draw.integers(0, 4000, 400)] for _ in range(20)]
+    texts = [" ".join([*words, f"copy{k}"]) for words in base for k in range(15)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = len(common._staged)
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(rows).collect()} == {i: i // 15 * 15 for i in range(300)}
+    files = [f for path in common._staged[before:] if "signed" not in path for f in Path(path.removeprefix("file://")).rglob("*.parquet")]
+    assert 0 < 2 * sum(f.stat().st_size for f in files) < sum(map(len, texts))
+    members = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("n"), F.lit(0).cast("long").alias("component"))
+    assert jaccard_join._tiles(members).count() == 1500
+
+
 def test_pipeline_one_of_each(spark):
     other = " ".join(f"o{i}" for i in range(60))
     texts = [(5, BASE), (5, BASE), (5, other), (None, BASE + " more"), (None, "x y z"), (None, "x y z"), (7, BASE + " more"), (8, "w"), (None, None)]
