@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithic.operators.graph import cut
+from lithic.operators.graph import cut, stored
 
 
 def climb(tree: DataFrame, stop: Column | None = None, path: Column | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def climb(tree: DataFrame, stop: Column | None = None, path: Column | None = Non
     known = rows.select(F.col("id").alias("_known"))
     rows = rows.join(known, F.col("at") == F.col("_known"), "left")
     more = [F.array("own").alias("path")] if path is not None else []
-    now = cut(rows.select("id", F.col("_known").alias("at"), F.when(F.col("_known").isNull(), F.col("id")).alias("root"), F.when(F.col("_known").isNull(), 0).otherwise(1).cast("long").alias("depth"), *more))
+    now, remove = stored(rows.select("id", F.col("_known").alias("at"), F.when(F.col("_known").isNull(), F.col("id")).alias("root"), F.when(F.col("_known").isNull(), 0).otherwise(1).cast("long").alias("depth"), *more))
     open_ = now.where("root IS NULL").count()
     while open_:
         # a node that is under way takes over where the node that it stands at stands
@@ -33,10 +33,10 @@ def climb(tree: DataFrame, stop: Column | None = None, path: Column | None = Non
         moving = now.where("root IS NULL").join(far, F.col("at") == F.col("_id"))
         longer = [F.concat("_path", "path").alias("path")] if path is not None else []
         moved = moving.select("id", F.col("_at").alias("at"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), *longer)
-        after = cut(now.where("root IS NOT NULL").unionByName(moved))
+        after, remove_after = stored(now.where("root IS NOT NULL").unionByName(moved))
         left = after.where("root IS NULL").count()
-        now.unpersist()
-        now = after
+        remove()
+        now, remove = after, remove_after
         if left == open_:
             break
         open_ = left
@@ -52,19 +52,49 @@ def lineage(tree: DataFrame) -> DataFrame:
     """
     sound = climb(tree).where(~F.col("cyclic"))
     edges = tree.where(F.col("parent").isNotNull()).join(sound.where("depth > 0").select("id"), "id")
-    jump = cut(edges.select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
+    jump, _ = stored(edges.select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
     lines = jump
     while True:
         step = jump.select(F.col("id").alias("_id"), F.col("ancestor").alias("_up"), F.col("distance").alias("_far"))
         lower = lines.select(F.col("id").alias("_of"), F.col("ancestor").alias("_to"), F.col("distance").alias("_by"))
         beyond = jump.join(lower, F.col("ancestor") == F.col("_of")).select("id", F.col("_to").alias("ancestor"), (F.col("distance") + F.col("_by")).alias("distance"))
-        further = cut(jump.join(step, F.col("ancestor") == F.col("_id")).select("id", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_far")).alias("distance")))
+        further, _ = stored(jump.join(step, F.col("ancestor") == F.col("_id")).select("id", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_far")).alias("distance")))
         if further.isEmpty():  # the last lines, and those before, are not written once more
             return lines.unionByName(beyond)
-        lines = lines.unionByName(cut(beyond))
+        lines = lines.unionByName(stored(beyond)[0])
         jump = further
 
 
+def weights(tree: DataFrame) -> DataFrame:
+    """(ancestor, nodes, steps) for each node with others below it: their number, and the sum of their distances.
+
+    The sums over the lines of ``lineage``, which are many times the nodes, without the lines:
+    each node holds the sums of those less than 2 ** k steps below it, itself too, and a round
+    gives them, 2 ** k steps further, to its ancestor 2 ** k steps up. A round writes a row a
+    node. Nodes on or below a cycle have only such nodes above them; they move on for ever and
+    are left out once no other moves. Ids are distinct.
+    """
+    rows = tree.select("id", F.col("parent").alias("at"))
+    known = rows.select(F.col("id").alias("_known"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    now, remove = stored(rows.join(known, F.col("at") == F.col("_known"), "left").select("id", F.col("_known").alias("at"), one.alias("nodes"), none.alias("steps")))
+    open_, far = now.where("at IS NOT NULL").count(), 1
+    while open_:
+        moving = now.where("at IS NOT NULL")
+        given = moving.groupBy(F.col("at").alias("_to")).agg(F.sum("nodes").alias("_nodes"), F.sum(F.col("steps") + F.lit(far) * F.col("nodes")).alias("_steps"))
+        up = moving.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+        moved = moving.join(up, F.col("at") == F.col("_id"), "left").select("id", F.col("_at").alias("at"), "nodes", "steps")
+        fuller = now.where("at IS NULL").unionByName(moved).join(given, F.col("id") == F.col("_to"), "left")
+        after, remove_after = stored(fuller.select("id", "at", (F.col("nodes") + F.coalesce("_nodes", none)).alias("nodes"), (F.col("steps") + F.coalesce("_steps", none)).alias("steps")))
+        left = after.where("at IS NOT NULL").count()
+        remove()
+        now, remove = after, remove_after
+        if left == open_:
+            break
+        open_, far = left, 2 * far
+    return now.where("at IS NULL AND nodes > 1").select(F.col("id").alias("ancestor"), (F.col("nodes") - 1).alias("nodes"), "steps")
+
+
 def below(tree: DataFrame, nodes: list) -> DataFrame:
     """(id) of nodes with one of ``nodes`` above them."""
     found = climb(tree, F.col("id").isin(nodes))

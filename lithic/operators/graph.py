@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +23,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``cut``, for rounds of which only the last is wanted: the rows as Parquet, and what removes them.
+
+    Numbers take a fraction of the bytes of a checkpoint, whose files go only some time after
+    the rows are forgotten. What is not removed before goes when the driver ends.
+    """
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        rows = cut(df)
+        return rows, rows.unpersist
+    path = f"{named}/lithic-round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        atexit.unregister(remove)
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM may be gone at exit
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path), remove
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From (u, v) to (node, label): the least node that each reaches.
 

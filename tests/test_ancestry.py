@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lithic.operators import ancestry, dashboard, hierarchy
+from lithic.operators import ancestry, dashboard, graph, hierarchy
 
 
 def test_deep_chain_and_cycle(spark):
@@ -40,6 +40,25 @@ def test_random_trees(spark):
         assert {r.id for r in ancestry.below(tree, cut).collect()} == {i for i, a in lines if a in cut}
 
 
+def test_weights_without_lines(spark, monkeypatch):
+    """Sums over the lines of ancestors: a round writes a row a node, and no round but the last is kept."""
+    rows = [(i, i - 1 if i % 100 else None) for i in range(1000)] + [(2000 + i, 2000 + (i + 1) % 5) for i in range(5)] + [(3000, 2002), (4000, 9999), (4001, 4000), (4002, 4000), (5000, 5000)]
+    tree = spark.createDataFrame(rows, "id long, parent long")
+    written, removed = [], []
+
+    def stored(df):
+        kept, remove = graph.stored(df)
+        written.append(kept.count())
+        return kept, lambda: (removed.append(1), remove())
+
+    monkeypatch.setattr(ancestry, "stored", stored)
+    got = {r.ancestor: (r.nodes, r.steps) for r in ancestry.weights(tree).collect()}
+    assert set(written) == {len(rows)} and len(removed) == len(written) - 1
+    below = {i: 99 - i % 100 for i in range(1000)}
+    assert got == {i: (n, n * (n + 1) // 2) for i, n in below.items() if n} | {4000: (2, 2)}
+    assert ancestry.weights(tree.limit(0)).count() == ancestry.weights(tree.where("id > 4999")).count() == 0
+
+
 def test_nested_json_both_ways(spark):
     def node(depth, name):
         return {"name": name, "description": None, "children": [node(depth - 1, f"{name}]}}{{\"{k}") for k in range(2 if depth < 3 else 1)] if depth else []}
